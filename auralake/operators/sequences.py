@@ -28,7 +28,7 @@ def event_spans(windows: DataFrame, key: str, start: str, end: str, value: str)
     )
 
 
-def repeats_in_period(windows: DataFrame, seconds: int, key: str = "session_id", at: str = "at", value: str = "class_name") -> DataFrame:
+def repeats_in_period(windows: DataFrame, seconds: int, key: str = "session_id", at: str = "seen_at", value: str = "class_name") -> DataFrame:
     """repeats: earlier windows of the same class within `seconds`, back to the last window of another class.
 
     Background and unknown windows neither count nor break the chain; a window
@@ -43,7 +43,7 @@ def repeats_in_period(windows: DataFrame, seconds: int, key: str = "session_id",
     return windows.join(counted, [key, "window_id"], "left").fillna(0, ["repeats"])
 
 
-def alert_episodes(windows: DataFrame, seconds: int, key: str = "session_id", at: str = "at", value: str = "class_name") -> DataFrame:
+def alert_episodes(windows: DataFrame, seconds: int, key: str = "session_id", at: str = "seen_at", value: str = "class_name") -> DataFrame:
     """(key, class, episode start, windows): an alert-worthy window joins the alert created at most `seconds` before, else makes one.
 
     The gap counts from the alert's creation, so this is a fold, not a session
@@ -99,11 +99,11 @@ def ongoing_alert(windows: DataFrame, alerts: DataFrame, seconds: int) -> DataFr
     A union of both sides in time order with the last alert carried forward: one
     shuffle by (session, class), no range join.
     """
-    a = alerts.filter("status NOT IN ('Resolved', 'Dismissed')").select("session_id", F.col("category").alias("class_name"), F.col("created_at").alias("at"), "alert_id", F.lit(None).cast("long").alias("window_id"))
-    b = windows.select("session_id", "class_name", "at", F.lit(None).cast("long").alias("alert_id"), "window_id")
-    w = Window.partitionBy("session_id", "class_name").orderBy("at", F.col("window_id").asc_nulls_first(), "alert_id").rowsBetween(Window.unboundedPreceding, 0)
-    carried = a.unionByName(b).withColumn("latest", F.last(F.when(F.col("alert_id").isNotNull(), F.struct("alert_id", F.col("at").alias("since"))), ignorenulls=True).over(w))
-    fresh = F.unix_micros("at") - F.unix_micros("latest.since") <= seconds * 1_000_000
+    a = alerts.filter("status NOT IN ('Resolved', 'Dismissed')").select("session_id", F.col("category").alias("class_name"), F.col("created_at").alias("seen_at"), "alert_id", F.lit(None).cast("long").alias("window_id"))
+    b = windows.select("session_id", "class_name", "seen_at", F.lit(None).cast("long").alias("alert_id"), "window_id")
+    w = Window.partitionBy("session_id", "class_name").orderBy("seen_at", F.col("window_id").asc_nulls_first(), "alert_id").rowsBetween(Window.unboundedPreceding, 0)
+    carried = a.unionByName(b).withColumn("latest", F.last(F.when(F.col("alert_id").isNotNull(), F.struct("alert_id", F.col("seen_at").alias("since"))), ignorenulls=True).over(w))
+    fresh = F.unix_micros("seen_at") - F.unix_micros("latest.since") <= seconds * 1_000_000
     return carried.filter("window_id IS NOT NULL").select("window_id", F.when(fresh, F.col("latest.alert_id")).alias("alert_id"))
 
 
@@ -116,10 +116,10 @@ def latest_request(audit: DataFrame) -> DataFrame:
 @query(
     "w1_longest_run",
     """SELECT session_id, class_name, max(n) AS longest FROM (SELECT session_id, class_name, g, count(*) AS n FROM (SELECT session_id, class_name,
-    row_number() OVER (PARTITION BY session_id ORDER BY at, window_id) - row_number() OVER (PARTITION BY session_id, class_name ORDER BY at, window_id) AS g FROM {live_windows}) GROUP BY ALL) GROUP BY ALL""",
+    row_number() OVER (PARTITION BY session_id ORDER BY seen_at, window_id) - row_number() OVER (PARTITION BY session_id, class_name ORDER BY seen_at, window_id) AS g FROM {live_windows}) GROUP BY ALL) GROUP BY ALL""",
 )
 def _w1(v: Views) -> DataFrame:
-    return longest_run(v.live_windows, ["session_id"], ["at", "window_id"], "class_name")
+    return longest_run(v.live_windows, ["session_id"], ["seen_at", "window_id"], "class_name")
 
 
 
@@ -127,18 +127,18 @@ def _w1(v: Views) -> DataFrame:
 @query(
     "w2_event_spans",
     """SELECT session_id, span, any_value(class_name) AS class_name, min(s) AS span_start, max(e) AS span_end, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY session_id ORDER BY s, window_id ROWS UNBOUNDED PRECEDING) AS span FROM (
-    SELECT *, CASE WHEN lag(class_name) OVER w = class_name AND s <= lag(e) OVER w THEN 0 ELSE 1 END AS f FROM (SELECT session_id, window_id, class_name, floor(epoch(at)) AS s, floor(epoch(at)) + 7200 AS e FROM {live_windows})
+    SELECT *, CASE WHEN lag(class_name) OVER w = class_name AND s <= lag(e) OVER w THEN 0 ELSE 1 END AS f FROM (SELECT session_id, window_id, class_name, floor(epoch(seen_at)) AS s, floor(epoch(seen_at)) + 7200 AS e FROM {live_windows})
     WINDOW w AS (PARTITION BY session_id ORDER BY s, window_id))) GROUP BY session_id, span""",
 )
 def _w2(v: Views) -> DataFrame:
-    rows = v.live_windows.withColumn("s", F.floor(F.unix_micros("at") / 1e6).cast("double")).withColumn("e", F.col("s") + 7200)
+    rows = v.live_windows.withColumn("s", F.floor(F.unix_micros("seen_at") / 1e6).cast("double")).withColumn("e", F.col("s") + 7200)
     return event_spans(rows, "session_id", "s", "e", "class_name")
 
 
 @query(
     "w3_repeats_in_period",
-    """WITH s AS (SELECT *, sum(c) OVER (PARTITION BY session_id ORDER BY at, window_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN lag(class_name) OVER (PARTITION BY session_id ORDER BY at, window_id) = class_name THEN 0 ELSE 1 END AS c FROM {live_windows} WHERE class_name NOT IN ('Background Noise', 'Unknown')))
-    SELECT l.session_id, l.window_id, coalesce((SELECT count(*) FROM s b JOIN s o ON o.session_id = b.session_id AND o.g = b.g AND o.at < b.at AND epoch_us(o.at) >= epoch_us(b.at) - 36000 * 1000000 WHERE b.window_id = l.window_id AND b.session_id = l.session_id), 0) AS repeats FROM {live_windows} l""",
+    """WITH s AS (SELECT *, sum(c) OVER (PARTITION BY session_id ORDER BY seen_at, window_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN lag(class_name) OVER (PARTITION BY session_id ORDER BY seen_at, window_id) = class_name THEN 0 ELSE 1 END AS c FROM {live_windows} WHERE class_name NOT IN ('Background Noise', 'Unknown')))
+    SELECT l.session_id, l.window_id, coalesce((SELECT count(*) FROM s b JOIN s o ON o.session_id = b.session_id AND o.g = b.g AND o.seen_at < b.seen_at AND epoch_us(o.seen_at) >= epoch_us(b.seen_at) - 36000 * 1000000::BIGINT WHERE b.window_id = l.window_id AND b.session_id = l.session_id), 0) AS repeats FROM {live_windows} l""",
 )
 def _w3(v: Views) -> DataFrame:
     return repeats_in_period(v.live_windows, 36_000).select("session_id", "window_id", "repeats")
@@ -146,8 +146,8 @@ def _w3(v: Views) -> DataFrame:
 
 @query(
     "w4_alert_episodes",
-    """WITH RECURSIVE o AS (SELECT session_id, class_name, CAST(at AS DATE) AS day, epoch_us(at) AS t, row_number() OVER (PARTITION BY session_id, class_name, CAST(at AS DATE) ORDER BY at, window_id) AS n FROM {live_windows} WHERE alerting),
-    r AS (SELECT session_id, class_name, day, t, n, t AS s FROM o WHERE n = 1 UNION ALL SELECT o.session_id, o.class_name, o.day, o.t, o.n, CASE WHEN o.t - r.s <= 14400 * 1000000 THEN r.s ELSE o.t END
+    """WITH RECURSIVE o AS (SELECT session_id, class_name, CAST(seen_at AS DATE) AS day, epoch_us(seen_at) AS t, row_number() OVER (PARTITION BY session_id, class_name, CAST(seen_at AS DATE) ORDER BY seen_at, window_id) AS n FROM {live_windows} WHERE alerting),
+    r AS (SELECT session_id, class_name, day, t, n, t AS s FROM o WHERE n = 1 UNION ALL SELECT o.session_id, o.class_name, o.day, o.t, o.n, CASE WHEN o.t - r.s <= 14400 * 1000000::BIGINT THEN r.s ELSE o.t END
     FROM r JOIN o ON o.session_id = r.session_id AND o.class_name = r.class_name AND o.day = r.day AND o.n = r.n + 1)
     SELECT session_id, class_name, make_timestamp(s) AS started, CAST(count(*) AS INTEGER) AS windows FROM r GROUP BY session_id, class_name, day, s""",
 )
@@ -193,10 +193,10 @@ def _a32(v: Views) -> DataFrame:
 @query(
     "j12_ongoing_alert",
     """SELECT w.window_id, (SELECT arg_max(a.alert_id, (epoch_us(a.created_at), a.alert_id)) FROM {alerts} a WHERE a.session_id = w.session_id AND a.category = w.class_name AND a.status NOT IN ('Resolved', 'Dismissed')
-    AND a.created_at <= w.moved AND epoch_us(w.moved) - epoch_us(a.created_at) <= 2592000 * 1000000) AS alert_id FROM (SELECT *, at - INTERVAL 9500 DAY AS moved FROM {live_windows}) w""",
+    AND a.created_at <= w.moved AND epoch_us(w.moved) - epoch_us(a.created_at) <= 2592000 * 1000000::BIGINT) AS alert_id FROM (SELECT *, seen_at - INTERVAL 9500 DAY AS moved FROM {live_windows}) w""",
 )
 def _j12(v: Views) -> DataFrame:
-    moved = v.live_windows.withColumn("at", F.col("at") - F.expr("INTERVAL 9500 DAYS"))
+    moved = v.live_windows.withColumn("seen_at", F.col("seen_at") - F.expr("INTERVAL 9500 DAYS"))
     return ongoing_alert(moved, v.alerts, 2_592_000)
 
 
@@ -210,8 +210,8 @@ def _j14(v: Views) -> DataFrame:
 
 @query(
     "st2_session_totals",
-    """SELECT session_id, min(at) AS started, max(at) AS ended, count(*) AS windows, count(*) FILTER (NOT silent) AS stored FROM (SELECT *, sum(f) OVER (PARTITION BY session_id ORDER BY at ROWS UNBOUNDED PRECEDING) AS g FROM (
-    SELECT *, CASE WHEN epoch_us(at) - epoch_us(lag(at) OVER (PARTITION BY session_id ORDER BY at)) < 21600 * 1000000 THEN 0 ELSE 1 END AS f FROM {live_windows})) GROUP BY session_id, g""",
+    """SELECT session_id, min(seen_at) AS started, max(seen_at) AS ended, count(*) AS windows, count(*) FILTER (NOT silent) AS stored FROM (SELECT *, sum(f) OVER (PARTITION BY session_id ORDER BY seen_at ROWS UNBOUNDED PRECEDING) AS g FROM (
+    SELECT *, CASE WHEN epoch_us(seen_at) - epoch_us(lag(seen_at) OVER (PARTITION BY session_id ORDER BY seen_at)) < 21600 * 1000000::BIGINT THEN 0 ELSE 1 END AS f FROM {live_windows})) GROUP BY session_id, g""",
 )
 def _st2(v: Views) -> DataFrame:
     return session_totals(v.live_windows, "6 hours")
@@ -220,10 +220,10 @@ def _st2(v: Views) -> DataFrame:
 def session_totals(windows: DataFrame, gap: str) -> DataFrame:
     """Per session, split where nothing came for `gap`: start, end, windows, and those that were stored (not silent).
 
-    Works on a batch and, after a watermark on `at`, on a stream in append mode.
+    Works on a batch and, after a watermark on `seen_at`, on a stream in append mode.
     """
     return (
-        windows.groupBy("session_id", F.session_window("at", gap))
-        .agg(F.min("at").alias("started"), F.max("at").alias("ended"), F.count("*").alias("windows"), F.count_if(~F.col("silent")).alias("stored"))
+        windows.groupBy("session_id", F.session_window("seen_at", gap))
+        .agg(F.min("seen_at").alias("started"), F.max("seen_at").alias("ended"), F.count("*").alias("windows"), F.count_if(~F.col("silent")).alias("stored"))
         .drop("session_window")
     )

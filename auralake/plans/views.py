@@ -76,7 +76,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "live_windows": (
         ("keyed_events",),
-        f"""SELECT user_id AS session_id, event_id AS window_id, ts AS at, {_CLASS.format("k % 6")} AS class_name,
+        f"""SELECT user_id AS session_id, event_id AS window_id, ts AS seen_at, {_CLASS.format("k % 6")} AS class_name,
         k % 6 = 0 OR k % 6 = 1 AS alerting, k % 4 = 3 AS silent FROM {{keyed_events}}""",
     ),
     "records": (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auralake.functions import text  # noqa: F401
-from auralake.operators import alerts, analytics, evaluation, events, sequences  # noqa: F401
+from auralake.operators import alerts, analytics, dataset, evaluation, events, sequences  # noqa: F401
 from auralake.plans.registry import QUERIES, SQL
 
 
