@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auralake.functions import text  # noqa: F401
-from auralake.operators import alerts, analytics, dataset, evaluation, events, sequences  # noqa: F401
+from auralake.operators import alerts, analytics, dataset, decision, evaluation, events, neardup, sequences, signals  # noqa: F401
 from auralake.plans.registry import QUERIES, SQL
+from auralake.streaming import jobs  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p1_effective_values"](spark, sf_dir)
+    return QUERIES["decision_overview_by_class"](spark, sf_dir)
