@@ -36,6 +36,8 @@ from auralake.llm.storage import discard, filter_by_ids, materialise
 BAND_RATIO = 4
 #: Sizes below this sign every shingle as a partition of its own.
 SINGLE_BELOW = 64
+#: Bits a shingle of the sketch that goes with every group member, and of the one for single pairs.
+COARSE, FINE = 3, 12
 #: Rows of a signature group that are compared with each other in one piece.
 BLOCK = 1024
 
@@ -68,14 +70,14 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parity_sketch(shingles: np.ndarray) -> bytes:
-    """Bit i is the parity of the shingles that fall on i; 9 to 18 bits a shingle.
+def parity_sketch(shingles: np.ndarray, bits_each: int) -> bytes:
+    """Bit i is the parity of the shingles that fall on i; bits_each to twice as many bits a shingle.
 
     A shingle in one of two sets only flips one bit, so the sketches differ in
     no more bits than the sets in shingles.  Widths are powers of two, and a
     sketch folds to half its width by XOR.
     """
-    bits = 1 << max(6, int(9 * max(1, len(shingles)) - 1).bit_length())
+    bits = 1 << max(6, int(bits_each * max(1, len(shingles)) - 1).bit_length())
     at = (mix(shingles ^ U64(0x5DEECE66D)) & U64(bits - 1)).astype(np.int64)
     odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
@@ -95,7 +97,7 @@ def _sketch_distance(a: bytes, b: bytes) -> int:
 
 
 def describe_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(node, n_shingles, digest, sketch) of every row; empty sets have a null digest."""
+    """(node, n_shingles, digest, sketch, fine) of every row; empty sets have a null digest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -105,12 +107,13 @@ def describe_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
                     "node": pdf["node"],
                     "n_shingles": [len(s) for s in sets],
                     "digest": [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets],
-                    "sketch": [parity_sketch(s) if len(s) else None for s in sets],
+                    "sketch": [parity_sketch(s, COARSE) if len(s) else None for s in sets],
+                    "fine": [parity_sketch(s, FINE) if len(s) else None for s in sets],
                 }
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "node long, n_shingles long, digest binary, sketch binary")
+    return rows.mapInPandas(run, "node long, n_shingles long, digest binary, sketch binary, fine binary")
 
 
 def _signature_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -161,6 +164,12 @@ def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
 
 
+def _narrowed(pairs: DataFrame, coarse: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """Pairs that neither sketch excludes, materialised."""
+    near = materialise(_close(pairs, coarse, percent).distinct(), "near")
+    return materialise(_close(near, fine, percent).distinct(), "close")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that link, by exact intersection; pairs is a materialised table."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -258,16 +267,18 @@ def jaccard_components(
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     sets = materialise(describe_sets(docs, id_col, text_col, words), "sets")
     usable = sets.filter("digest IS NOT NULL AND node IS NOT NULL")
-    classes = materialise(usable.groupBy("digest").agg(F.min("node").alias("first")), "classes")
+    narrow = usable.select("node", "digest")
+    classes = materialise(narrow.groupBy("digest").agg(F.min("node").alias("first")), "classes")
     copies = materialise(
-        usable.join(classes, "digest").filter("node <> first").select("node", "first"), "copies"
+        narrow.join(classes, "digest").filter("node <> first").select("node", "first"), "copies"
     )
     groups = _signature_groups(texts, sets, copies, words, percent)
-    sketches = usable.select("node", "n_shingles", "sketch").dropDuplicates(["node", "n_shingles", "sketch"])
+    coarse = usable.select("node", "n_shingles", "sketch")
+    fine = usable.select("node", "n_shingles", F.col("fine").alias("sketch"))
 
     star = groups.filter("node <> pivot AND 100 * least(n, pn) >= %d * greatest(n, pn)" % percent)
     star = star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(materialise(_close(star, sketches, percent).distinct(), "close"), texts, words, percent)
+    links = _verified(_narrowed(star, coarse, fine, percent), texts, words, percent)
     found = connected_components(links)
 
     mixed = groups.filter("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -277,9 +288,10 @@ def jaccard_components(
         .withColumn("high", F.max("component").over(w))
         .filter("low <> high")
         .select("key", "size", "node", "component")
-        .join(sketches, "node")
+        .join(coarse, "node")
     )
-    rest = materialise(_block_pairs(mixed, percent).distinct(), "close")
+    near = materialise(_block_pairs(mixed, percent).distinct(), "near")
+    rest = materialise(_close(near, fine, percent).distinct(), "close")
     links = links.unionByName(_verified(rest, texts, words, percent))
     links = links.unionByName(copies.select(F.col("first").alias("a"), F.col("node").alias("b")))
     final = connected_components(links)
