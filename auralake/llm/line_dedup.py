@@ -61,13 +61,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
-    """docs with the removed lines cut out of the text, and removed: their [start, end) offsets in the original."""
+    """docs with the removed lines cut out of the text, and removed: their [start, end) offsets in the original.
+
+    A column named removed is replaced.
+    """
     spans = (
         removed_lines(docs, id_col, text_col, min_words)
         .groupBy(F.col("doc_id").alias(id_col))  # bounded by the lines of one document
         .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
     )
-    joined = docs.join(spans, id_col, "left")
+    joined = docs.drop("removed").join(spans, id_col, "left")
     lines = F.split(F.col(text_col), "\n", -1)
     starts = "transform(removed, x -> x.start)"
     kept = F.expr(
