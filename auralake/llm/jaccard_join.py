@@ -13,8 +13,8 @@ just below the next band also signs in that band.
 
 Groups of equal signatures are never expanded to all pairs: each member is tried
 against one pivot, the links found are contracted to components, and only
-members of groups that still hold several components are compared further,
-inside tasks, in blocks, by parity sketches whose distance never exceeds the
+members of groups (all signatures with one pivot) that still hold several
+components are compared further, inside tasks, in blocks, by parity sketches whose distance never exceeds the
 real one.  What a sketch cannot exclude is checked on the exact sets.
 """
 
@@ -37,7 +37,7 @@ BAND_RATIO = 4
 #: Sizes below this sign every shingle as a partition of its own.
 SINGLE_BELOW = 64
 #: Bits a shingle of the sketch that goes with every group member, and of the one for single pairs.
-COARSE, FINE = 3, 12
+COARSE, FINE = 5, 12
 #: Rows of a signature group that are compared with each other in one piece.
 BLOCK = 1024
 
@@ -224,6 +224,7 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
+        told: set[tuple[int, int]] = set()  # a task tells a pair once, in however many groups it meets
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             unit = pdf[["key", "lo", "hi"]].to_numpy()
@@ -232,9 +233,10 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
             for first, end in zip(np.concatenate(([0], cut[:-1])), cut, strict=True) if len(cut) else ():
                 found.update(_compare_unit(pdf.iloc[first:end], percent))
             held = pdf.iloc[cut[-1] :].reset_index(drop=True) if len(cut) else pdf
-            yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(sorted(found - told), columns=["a", "b"], dtype="int64")
+            told |= found
         if held is not None and len(held):
-            yield pd.DataFrame(sorted(set(_compare_unit(held, percent))), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(sorted(set(_compare_unit(held, percent)) - told), columns=["a", "b"], dtype="int64")
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     units = (
@@ -281,13 +283,14 @@ def jaccard_components(
     links = _verified(_narrowed(star, coarse, fine, percent), texts, words, percent)
     found = connected_components(links)
 
-    mixed = groups.filter("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    w = Window.partitionBy("key")
+    w = Window.partitionBy("pivot")
+    mixed = groups.filter("several").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = (
         mixed.withColumn("low", F.min("component").over(w))
         .withColumn("high", F.max("component").over(w))
+        .withColumn("size", F.count("*").over(w))
         .filter("low <> high")
-        .select("key", "size", "node", "component")
+        .select(F.col("pivot").alias("key"), "size", "node", "component")
         .join(coarse, "node")
     )
     near = materialise(_block_pairs(mixed, percent).distinct(), "near")
@@ -303,28 +306,20 @@ def jaccard_components(
 
 
 def _signature_groups(texts: DataFrame, sets: DataFrame, copies: DataFrame, words: int, percent: int) -> DataFrame:
-    """Members of the signatures that several sets share: (key, size, node, n, pivot, pn).
+    """Members of the signatures that several sets share, by pivot: (node, n, pivot, pn, several).
 
-    key identifies the member set, so signatures with the same members make one group.
+    The pivot of a signature is its smallest node.  Signatures with one pivot
+    make one group, in which each member stands once: two sets that share a
+    signature share its pivot.  several: a signature of three sets or more.
     """
     ids = materialise(copies.select("node").distinct(), "ids")
     firsts = filter_by_ids(texts.filter("node IS NOT NULL"), ids, "node", "left_anti")
     w = Window.partitionBy("sig")
-    rows = _signature_rows(firsts, words, percent)
     grouped = (
-        rows.withColumn("size", F.count("*").over(w))
+        _signature_rows(firsts, words, percent)
+        .withColumn("size", F.count("*").over(w))
         .withColumn("top", F.min(F.struct("node", "n")).over(w))
-        .withColumn("key2", F.bit_xor(F.xxhash64("node", F.lit(7))).over(w))
         .filter("size > 1")
+        .select("node", "n", F.col("top.node").alias("pivot"), F.col("top.n").alias("pn"), (F.col("size") > 2).alias("several"))
     )
-    return materialise(
-        grouped.select(
-            F.xxhash64("key2", "size", "top.node").alias("key"),
-            "size",
-            "node",
-            "n",
-            F.col("top.node").alias("pivot"),
-            F.col("top.n").alias("pn"),
-        ).distinct(),
-        "groups",
-    )
+    return materialise(grouped.groupBy("node", "n", "pivot", "pn").agg(F.max("several").alias("several")), "groups")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auralake.llm.storage import materialise
+from auralake.llm.storage import join_hot_apart, materialise
 
 
 def line_units(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -47,14 +47,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first stays whole; an empty table gives no rows.
     """
     units = materialise(line_units(docs, id_col, text_col, min_words), "units")
-    first = (
+    first = materialise(
         units.groupBy("digest")
         .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("kept"))
         .filter("n > 1")
-        .select("digest", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
+        .select("digest", "n", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start")),
+        "first",
     )
     return (
-        units.join(first, "digest")
+        join_hot_apart(units, first, "digest", units.count())
         .filter("doc_id <> kept_doc_id OR start <> kept_start")
         .select("doc_id", "unit", "start", "end", "kept_doc_id", "kept_start")
     )

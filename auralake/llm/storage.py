@@ -44,3 +44,17 @@ def filter_by_ids(df: DataFrame, ids: DataFrame, column: str, how: str = "left_s
     """
     small = ids.count() <= BROADCAST_ROWS
     return df.join(F.broadcast(ids) if small else ids, column, how)
+
+
+def join_hot_apart(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with keyed, a materialised table of one row per key with its number n of rows.
+
+    Keys with more than a ten-thousandth of `total` rows (and over a thousand)
+    are at most ten thousand; they are broadcast, so rows of a hot key stay
+    where they are, and only the others are shuffled by key.
+    """
+    least = max(1_000, total // 10_000)
+    hot = materialise(keyed.filter(F.col("n") > least).drop("n"), "hot")
+    cold = keyed.filter(F.col("n") <= least).drop("n")
+    spread = rows.join(F.broadcast(hot), key)
+    return spread.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralake.llm.hashing import U64, gram_hashes, mix, word_bounds, word_hashes
-from auralake.llm.storage import discard, filter_by_ids, materialise
+from auralake.llm.storage import discard, filter_by_ids, join_hot_apart, materialise
 
 GRAM = 5
 
@@ -160,9 +160,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = filter_by_ids(rows, ids, "doc_id", "left_anti")
 
     keyed = materialise(_anchor_rows(texts, window, right), "anchors")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    repeated = join_hot_apart(keyed, shared, "key", keyed.count())
     wanted = materialise(
-        keyed.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "wanted"
+        repeated.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "wanted"
     )  # a document's keys are bounded by its words
     discard(keyed)
     chosen = filter_by_ids(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id")
