@@ -192,12 +192,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 
 def _compare_unit(unit: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of one block unit in different components that sketches allow; rows come sorted by n."""
+    """Pairs of one block unit in different components that sketches allow; rows come sorted by n.
+
+    A pair is told in the first group that holds both nodes and in no other.
+    """
+    key = unit["key"].iat[0]
     node, comp = unit["node"].to_numpy(), unit["component"].to_numpy()
     n, block = unit["n_shingles"].to_numpy(), unit["block"].to_numpy()
     cross = unit["lo"].iat[0] != unit["hi"].iat[0]
     if not cross and (comp == comp[0]).all():
         return
+    groups = [set(g) for g in unit["groups"]]
     words = [np.frombuffer(s, dtype=U64) for s in unit["sketch"]]
     widths = np.array([len(w) for w in words])
     table = {w: np.stack([_fold(words[i], w) for i in np.flatnonzero(widths >= w)]) for w in np.unique(widths)}
@@ -212,11 +217,14 @@ def _compare_unit(unit: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]
             some = later[np.minimum(widths[later], widths[i]) == w]
             gap = np.bitwise_count(table[w][rank[w][some]] ^ table[w][rank[w][i]]).sum(axis=1, dtype=np.int64)
             for j in some[gap * (100 + percent) <= (100 - percent) * (n[some] + n[i])]:
-                yield (int(min(node[i], node[j])), int(max(node[i], node[j])))
+                if min(groups[i] & groups[j]) == key:
+                    yield (int(min(node[i], node[j])), int(max(node[i], node[j])))
 
 
 def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of the groups in rows (key, size, node, component, n_shingles, sketch).
+    """Candidate pairs of the groups in rows (key, size, node, component, n_shingles, sketch, groups).
+
+    groups: the keys of all groups in rows that hold the node.
 
     A group of up to BLOCK rows is one unit; a larger one is dealt to blocks by
     a hash of the node, and every two blocks make a unit.
@@ -224,19 +232,17 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
-        told: set[tuple[int, int]] = set()  # a task tells a pair once, in however many groups it meets
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             unit = pdf[["key", "lo", "hi"]].to_numpy()
             cut = np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1
-            found: set[tuple[int, int]] = set()
             for first, end in zip(np.concatenate(([0], cut[:-1])), cut, strict=True) if len(cut) else ():
-                found.update(_compare_unit(pdf.iloc[first:end], percent))
+                found = list(_compare_unit(pdf.iloc[first:end], percent))
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
             held = pdf.iloc[cut[-1] :].reset_index(drop=True) if len(cut) else pdf
-            yield pd.DataFrame(sorted(found - told), columns=["a", "b"], dtype="int64")
-            told |= found
         if held is not None and len(held):
-            yield pd.DataFrame(sorted(set(_compare_unit(held, percent)) - told), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(list(_compare_unit(held, percent)), columns=["a", "b"], dtype="int64")
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     units = (
@@ -245,7 +251,7 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
-        .select("key", "lo", "hi", "block", "node", "component", "n_shingles", "sketch")
+        .select("key", "lo", "hi", "block", "node", "component", "n_shingles", "sketch", "groups")
     )
     return (
         units.repartition("key", "lo", "hi")
@@ -291,8 +297,10 @@ def jaccard_components(
         .withColumn("size", F.count("*").over(w))
         .filter("low <> high")
         .select(F.col("pivot").alias("key"), "size", "node", "component")
-        .join(coarse, "node")
     )
+    mixed = materialise(mixed, "mixed")
+    held_by = mixed.groupBy("node").agg(F.collect_set("key").alias("groups"))  # no more than a set has signatures
+    mixed = mixed.join(coarse.join(held_by, "node"), "node")
     near = materialise(_block_pairs(mixed, percent).distinct(), "near")
     rest = materialise(_close(near, fine, percent).distinct(), "close")
     links = links.unionByName(_verified(rest, texts, words, percent))
