@@ -44,40 +44,45 @@ def _triples(words: np.ndarray) -> np.ndarray:
 
 
 def index_items(benchmark: DataFrame, id_col: str, text_col: str, answer_share: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(round, item_id, length, terms, weights, question, answer) per item, weights normalised by the item's own score."""
+    """(item_id, variant, length, terms, weights, question, answer) per item and distinct text, weights normalised by its own score.
+
+    Equal rows count once; different texts of one id are items of their own, told apart by `variant`.
+    """
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for item, text in zip(pdf["item_id"], pdf["text"], strict=True):
+            for item, variant, text in zip(pdf["item_id"], pdf["variant"], pdf["text"], strict=True):
                 h = term_hashes(text)
                 cut = len(h) - max(1, round(len(h) * answer_share))
                 terms, tf = np.unique(h, return_counts=True)
-                rows.append((item, len(h), terms.view(np.int64), tf, _triples(h[:cut]).view(np.int64), _triples(h[cut:]).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["item_id", "length", "terms", "tf", "question", "answer"])
+                rows.append((item, variant, len(h), terms.view(np.int64), tf, _triples(h[:cut]).view(np.int64), _triples(h[cut:]).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["item_id", "variant", "length", "terms", "tf", "question", "answer"])
 
     items = materialise(
-        benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+        benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.sha2(text_col, 256).alias("variant"), F.col(text_col).alias("text"))
         .filter("item_id IS NOT NULL")
-        .mapInPandas(words, "item_id long, length long, terms array<long>, tf array<long>, question array<long>, answer array<long>")
+        .dropDuplicates(["item_id", "variant"])
+        .mapInPandas(words, "item_id long, variant string, length long, terms array<long>, tf array<long>, question array<long>, answer array<long>")
         .filter("length > 0"),
         "items",
     )
     whole = items.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     df = items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    posting = items.select("item_id", "length", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select(
-        "item_id", "length", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf")
+    posting = items.select("item_id", "variant", "length", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select(
+        "item_id", "variant", "length", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf")
     )
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     weighed = (
         posting.join(df, "term")
         .join(F.broadcast(whole))  # one row
-        .groupBy("item_id")
+        .groupBy("item_id", "variant")
         .agg(F.sum(weight).alias("own"), F.sort_array(F.collect_list(F.struct("term", weight.alias("w")))).alias("p"))
     )
-    return weighed.join(items, "item_id").select(
+    return weighed.join(items, ["item_id", "variant"]).select(
         "item_id",
+        "variant",
         "length",
         F.col("p.term").alias("terms"),
         F.transform("p", lambda x: x["w"] / F.col("own")).alias("weights"),
@@ -211,9 +216,11 @@ def find_leaks(
 
     All passages of all texts are scored against all items; the last
     answer_share of an item's words counts as its answer.  Null or empty texts
-    and items leak nothing; repeated ids are searched each by itself; a null id
-    stays null; empty tables give no rows.  Items are searched in rounds of
-    ROUND_ITEMS, so the broadcast index has a fixed size bound.
+    and items leak nothing; documents with a repeated id are searched each by
+    itself; of the texts of a repeated item id the best verified one is told; a
+    null id stays null; empty tables give no rows.  Items are searched in rounds
+    of ROUND_ITEMS, the texts of one id in one round, so the broadcast index has
+    a size bound.
     """
     spark = docs.sparkSession
     items = materialise(index_items(benchmark, item_id_col, item_text_col, answer_share), "index")
@@ -225,17 +232,20 @@ def find_leaks(
     found = spark.createDataFrame([], schema)
     for r in range(rounds):
         chosen = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r).collect() if rounds > 1 else items.collect()
-        index = spark.sparkContext.broadcast(ItemIndex(sorted(chosen, key=lambda x: x["item_id"]), passage))
+        index = spark.sparkContext.broadcast(ItemIndex(sorted(chosen, key=lambda x: (x["item_id"], x["variant"])), passage))
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = []
                 for doc_id, text in zip(pdf["doc_id"].astype("object"), pdf["text"], strict=True):
                     words = term_hashes(text)
+                    best: dict[int, tuple] = {}
                     for item, score, first in index.value.search(words, threshold) if len(words) else ():
+                        item_id = int(index.value.ids[item])
                         q, a = index.value.overlaps(item, words, first)
-                        if q >= overlap and a >= overlap:
-                            out.append((None if pd.isna(doc_id) else doc_id, int(index.value.ids[item]), score, q, a, first))
+                        if q >= overlap and a >= overlap and (item_id not in best or score > best[item_id][0]):
+                            best[item_id] = (score, q, a, first)
+                    out += [(None if pd.isna(doc_id) else doc_id, item_id, *found) for item_id, found in best.items()]
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
         part = rows.mapInPandas(run, schema)

@@ -209,6 +209,21 @@ def test_rounds_give_the_same(spark, monkeypatch):
     assert sorted(tuple(r)[:2] for r in decontaminate.find_leaks(frame, benchmark).collect()) == one
 
 
+def test_items_with_a_repeated_id(spark):
+    light, heavy, plain = words(20, 31), words(60, 32), words(64, 33)
+    items = [(1, " ".join(light)), (1, " ".join(heavy))] + [(2, " ".join(plain))] * 6 + [(3, " ".join(words(30, 34)))]
+    inserted = {10: (light, 40), 11: (heavy, 0), 12: (plain, 16), 13: (plain, 32), 14: (light + words(100, 35) + heavy, 5), 15: ([], 0)}
+    docs = []
+    for i, (text, at) in inserted.items():
+        w = words(200, 40 + i)
+        w[at:at] = text
+        docs.append((i, " ".join(w)))
+    found = decontaminate.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(10, 1), (11, 1), (12, 2), (13, 2), (14, 1)]
+
+
 # ---- op9 ---------------------------------------------------------------------------------------
 
 
