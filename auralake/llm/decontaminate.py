@@ -141,7 +141,7 @@ class ItemIndex:
         self.essential[frequent[:taken]] = False
 
     def search(self, words: np.ndarray, threshold: float) -> list[tuple[int, float, int]]:
-        """(item, score, first word) of each item in its best passage with score >= threshold."""
+        """(item, score, first word) of every passage and item with score >= threshold, by rising score, of equal ones the first passage last."""
         step = self.passage // 2
         at = np.searchsorted(self.terms, words)
         at[at == len(self.terms)] = 0
@@ -164,12 +164,10 @@ class ItemIndex:
         if not len(alive):
             return []
         score = self._scores(where // step, term, alive // self.blocks, alive % self.blocks)
-        best: dict[int, tuple[float, int]] = {}
-        for k, i in zip(*np.nonzero(score >= threshold), strict=True):
-            item = int(alive[k] % self.blocks) * BLOCK_ITEMS + int(i)
-            if score[k, i] > best.get(item, (0.0, 0))[0]:
-                best[item] = (float(score[k, i]), int(alive[k] // self.blocks) * step)
-        return [(i, s, w) for i, (s, w) in sorted(best.items())]
+        pair, i = np.nonzero(score >= threshold)
+        item, first, score = alive[pair] % self.blocks * BLOCK_ITEMS + i, alive[pair] // self.blocks * step, score[pair, i]
+        order = np.lexsort((-item, -first, score))
+        return list(zip(item[order].tolist(), score[order].tolist(), first[order].tolist(), strict=True))
 
     def _scores(self, half: np.ndarray, term: np.ndarray, passage: np.ndarray, block: np.ndarray) -> np.ndarray:
         """Full scores (pair, item of the block) of the given passages and blocks, over all their terms."""
@@ -214,8 +212,9 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word): every verified leak, once per document and item.
 
-    All passages of all texts are scored against all items; the last
-    answer_share of an item's words counts as its answer.  Null or empty texts
+    All passages of all texts are scored against all items, and those at or
+    above the threshold are verified from the best down to the first that holds;
+    the last answer_share of an item's words counts as its answer.  Null or empty texts
     and items leak nothing; documents with a repeated id are searched each by
     itself; of the texts of a repeated item id the best verified one is told; a
     null id stays null; empty tables give no rows.  Items are searched in rounds
@@ -240,10 +239,12 @@ def find_leaks(
                 for doc_id, text in zip(pdf["doc_id"].astype("object"), pdf["text"], strict=True):
                     words = term_hashes(text)
                     best: dict[int, tuple] = {}
-                    for item, score, first in index.value.search(words, threshold) if len(words) else ():
+                    for item, score, first in reversed(index.value.search(words, threshold) if len(words) else ()):
                         item_id = int(index.value.ids[item])
+                        if item_id in best:
+                            continue
                         q, a = index.value.overlaps(item, words, first)
-                        if q >= overlap and a >= overlap and (item_id not in best or score > best[item_id][0]):
+                        if q >= overlap and a >= overlap:
                             best[item_id] = (score, q, a, first)
                     out += [(None if pd.isna(doc_id) else doc_id, item_id, *found) for item_id, found in best.items()]
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])

@@ -224,6 +224,24 @@ def test_items_with_a_repeated_id(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(10, 1), (11, 1), (12, 2), (13, 2), (14, 1)]
 
 
+def test_a_verified_passage_counts_beside_a_better_scored_one(spark):
+    item = words(60, 51)
+    shuffled = random.Random(5).sample(item, len(item))
+    docs = [
+        (1, shuffled + words(36 + 160, 52) + item + words(100, 53)),  # the item cut by the passage grid
+        (2, shuffled + words(36 + 160, 54)),
+        (3, words(64, 55) + item[:40] + words(400, 56) + item),
+        (4, words(17, 57) + item + words(300, 58) + item),
+    ]
+    found = decontaminate.find_leaks(
+        spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"),
+        spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"),
+    ).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (3, 1), (4, 1)]
+    assert all(r["score"] >= 0.5 and r["question_overlap"] >= 0.5 and r["answer_overlap"] >= 0.5 for r in found)
+    assert {r["doc_id"]: r["first_word"] for r in found}[1] >= 224
+
+
 # ---- op9 ---------------------------------------------------------------------------------------
 
 
