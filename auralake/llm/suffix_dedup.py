@@ -6,9 +6,11 @@ its first W positions, a retained position with at least R = M - W + 1 words to
 its right, so the suffixes that can matter are those whose first R words occur
 twice.  These are sorted by content over the cluster (range partitions, each
 sorted), neighbours are compared, and the match is extended to the right and, from
-the retained position, to the left.  A match of M words or more is claimed; the
-claims of a document are united, which restores maximal passages longer than the
-compared context.
+the retained position, to the left.  A match of M words or more is claimed.  Two
+suffixes with the same first R words are neighbours; where there are more, partners
+need not be, so there the M-word windows around the retained positions are hashed
+and each that occurs twice is claimed as well.  The claims of a document are united,
+which restores maximal passages longer than the compared context.
 """
 
 from __future__ import annotations
@@ -91,6 +93,42 @@ def _suffix_rows(texts: DataFrame, window: int, right: int, context: int) -> Dat
     return texts.mapInPandas(run, _SUFFIX)
 
 
+def _window_rows(texts: DataFrame, window: int, right: int, min_words: int) -> DataFrame:
+    """The hash of every window of min_words words that has one of the keys in `many` from one of its first positions on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps = np.arange(window)
+        for pdf in batches:
+            ids, starts, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, U64)]
+            for doc_id, text, many in zip(pdf["doc_id"], pdf["text"], pdf["many"], strict=True):
+                words = _words(text)
+                at, key = anchors(words, window, right)
+                at = at[np.isin(key.view(np.int64), np.asarray(many))]
+                start = np.unique(at[:, None] - steps)
+                start = start[(start >= 0) & (start + min_words <= len(words))]
+                ids.append(np.full(len(start), doc_id, dtype=np.int64))
+                starts.append(start)
+                hashes.append(gram_hashes(words, min_words)[start])
+            yield pd.DataFrame({"words": np.concatenate(hashes).view(np.int64), "doc_id": np.concatenate(ids), "start": np.concatenate(starts)})
+
+    return texts.mapInPandas(run, "words long, doc_id long, start long")
+
+
+def _window_claims(windows: DataFrame, min_words: int) -> DataFrame:
+    """A claim for each of the materialised windows that occurs twice; occurrences are counted before they are joined."""
+    place = F.struct("doc_id", "start")
+    counted = windows.groupBy("words").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+    repeated = join_hot_apart(windows, materialise(counted.filter("n > 1"), "repeated"), "words", windows.count())
+    later = place != F.col("first")
+    return repeated.select(
+        "doc_id",
+        "start",
+        (F.col("start") + min_words).alias("stop"),
+        F.when(later, F.col("first.doc_id")).otherwise(F.col("last.doc_id")).alias("other_doc_id"),
+        later.alias("later"),
+    )
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each pair of rows."""
     return np.cumprod(a == b, axis=1).sum(axis=1)
@@ -161,9 +199,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     keyed = materialise(_anchor_rows(texts, window, right), "anchors")
     shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    repeated = join_hot_apart(keyed, shared, "key", keyed.count())
+    repeated = join_hot_apart(keyed, shared.withColumn("many", F.col("n") > 2), "key", keyed.count())
     wanted = materialise(
-        repeated.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "wanted"
+        repeated.groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("many"), F.col("key"))).alias("many")),
+        "wanted",
     )  # a document's keys are bounded by its words
     discard(keyed)
     chosen = filter_by_ids(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id")
@@ -178,6 +217,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edges = compared.filter("NOT claim").select(*(c.split()[0] for c in _SUFFIX.split(", ")))
     edges = edges.coalesce(1).sortWithinPartitions(*order).mapInPandas(compare, schema)
     claims = compared.filter("claim").unionByName(edges.filter("claim")).select("doc_id", "start", "stop", "other_doc_id", "later")
+    windows = materialise(_window_rows(chosen.filter("size(many) > 0"), window, right, min_words), "windows")
+    claims = claims.unionByName(_window_claims(windows, min_words))
     whole = copies.filter(F.col("words") >= min_words).select(
         "doc_id", F.lit(0).cast("long").alias("start"), F.col("words").alias("stop"), F.col("first").alias("other_doc_id"), F.lit(True).alias("later")
     )

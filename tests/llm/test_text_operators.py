@@ -57,6 +57,23 @@ def test_repeated_passages_equal_brute_force(spark):
     assert sum(map(len, found.values())) <= sum(map(len, expected.values())) * 1.02
 
 
+def test_repeated_passages_of_scattered_neighbours(spark):
+    """A common line of 46 words in many texts; pairs among them share 4 to 10 words before it as well."""
+    rows = []
+    for g in range(12):
+        line = words(46, 700 + g)
+        for k in range(60):
+            before = words(10, 7000 + g * 10 + k // 20) if k % 20 < 2 else words(10, 8000 + g * 100 + k)
+            cut = words(6 - g % 7, 8500 + g * 100 + k) if k % 20 < 2 and g % 7 < 6 else []
+            rows.append((g * 100 + k, " ".join(words(30, 20_000 + g * 100 + k) + cut + before[len(cut) :] + line + words(40, 30_000 + g * 100 + k))))
+    found = defaultdict(set)
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    expected = covered(rows)
+    assert len(expected) == 72 and set(found) == set(expected)
+    assert all(expected[i] <= found[i] for i in expected)
+
+
 def test_repeated_passages_awkward(awkward, empty):
     found = {r["doc_id"]: r for r in repeated_passages(awkward).collect()}
     assert {1, 2, 7} == set(found) and (found[2]["start_word"], found[2]["end_word"]) == (0, 60)
