@@ -143,7 +143,7 @@ def class_codes(rows: DataFrame, order: list, label: str = "class_name", start:
     if start is not None:
         rows = rows.join(F.broadcast(start.groupBy(label).agg(F.max("last_no").alias("last_no"))), label, "left")
         n = n + F.coalesce("last_no", F.lit(0))
-    return rows.withColumn("audio_id", F.concat(prefix, F.lit("-"), F.lpad(n.cast("string"), 5, "0")))
+    return rows.withColumn("audio_id", F.concat(prefix, F.lit("-"), F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(5)), F.lit("0"))))
 
 
 def extend_dataset(existing: DataFrame, new: DataFrame) -> DataFrame:

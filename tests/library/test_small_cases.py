@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auralake.functions.rules import rule_table
+from auralake.functions.text import code
 from auralake.operators import alerts, analytics, dataset, decision, evaluation, events, learning, neardup, sequences, signals
 from auralake.sources import files
 from auralake.streaming import jobs
@@ -314,3 +315,11 @@ def test_escalation_stream(spark, tmp_path):
 def test_stream_dedup_drops_late_rows(spark, tmp_path):
     rows = spark.createDataFrame([("k", T0), ("k", T0 + dt.timedelta(minutes=1)), ("j", T0)], "key string, ts timestamp")
     assert jobs.run_available(jobs.first_of_each(streamed(spark, tmp_path, rows), "key")).count() == 2
+
+
+def test_codes_keep_long_numbers(spark):
+    rows = spark.createDataFrame([(7,), (123456,), (1234567,), (None,)], "n long")
+    assert [r[0] for r in rows.select(code("ALR", "n")).collect()] == ["ALR-000007", "ALR-123456", "ALR-1234567", None]
+    start = spark.createDataFrame([("Gunshot", 99_999)], "label string, last_no long")
+    one = spark.createDataFrame([("Gunshot", "a")], "label string, path string")
+    assert dataset.class_codes(one, ["path"], "label", start).first()["audio_id"] == "GUN-100000"
