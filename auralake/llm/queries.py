@@ -33,7 +33,7 @@ def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_lines(_table(spark, sf_dir, "documents"), min_words=5)
+    return line_dedup.repeated_runs(_table(spark, sf_dir, "documents"), min_words=30).drop("text_key")
 
 
 def op5_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,7 @@ def op5_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
+        "map_version",
     )
 
 
@@ -79,24 +80,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _LINE_DEDUP = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit
-  FROM documents WHERE doc_id IS NOT NULL
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(text, '(?s).*?(?:[.!?,;:]+[ \t-\r]|\n|$)') AS parts
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), pieces AS (
+  SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut
 ), placed AS (
-  SELECT doc_id, unit, line, CAST(coalesce(sum(length(line) + 1) OVER (
-    PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM lines
-), normal AS (
-  SELECT doc_id, unit, start, start + length(line) AS "end",
-         trim(regexp_replace(lower(line), '[ \t\n\v\f\r]+', ' ', 'g')) AS n
-  FROM placed
+  SELECT doc_id, i, part, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS "end",
+         trim(regexp_replace(lower(part), '[ \t\n\v\f\r]+', ' ', 'g')) AS n
+  FROM pieces
+), units AS (
+  SELECT doc_id, "end" - length(part) AS start, "end", n, len(string_split(n, ' ')) AS words,
+         row_number() OVER (PARTITION BY doc_id ORDER BY i) AS unit
+  FROM placed WHERE n <> ''
 ), ranked AS (
-  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start
-  FROM normal WHERE len(string_split(n, ' ')) >= 5
-  WINDOW w AS (PARTITION BY n ORDER BY doc_id, start)
+  SELECT *, count(*) OVER (PARTITION BY n) AS times,
+         first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start
+  FROM units WINDOW w AS (PARTITION BY n ORDER BY doc_id, start)
+), chained AS (
+  SELECT *, doc_id <> kept_doc_id OR start <> kept_start AS removed,
+         unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS chain
+  FROM ranked WHERE times > 1
+), passages AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id, chain) AS total FROM chained
+), runs AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id, removed ORDER BY unit) AS run FROM passages WHERE total >= 30
 )
-SELECT doc_id, CAST(unit AS BIGINT) AS unit, start, CAST("end" AS BIGINT) AS "end", kept_doc_id, kept_start
-FROM ranked WHERE doc_id <> kept_doc_id OR start <> kept_start
+SELECT doc_id, min(start) AS start, max("end") AS "end", CAST(sum(words) AS BIGINT) AS words, removed,
+       arg_min(kept_doc_id, unit) AS kept_doc_id, arg_min(kept_start, unit) AS kept_start
+FROM runs GROUP BY doc_id, chain, removed, run
 """
 
 _TOOL_CALLS = """

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 from auralake.llm import decontaminate, pii, quality, tool_calls
-from auralake.llm.line_dedup import dedup_lines, removed_lines
+from auralake.llm.line_dedup import dedup_lines, repeated_runs
 from auralake.llm.suffix_dedup import repeated_passages
 
 DATA = "/root/testdata/sf0.001"
@@ -162,16 +162,72 @@ def test_quality_awkward(spark, awkward, empty):
 # ---- op4 ---------------------------------------------------------------------------------------
 
 
+def plain_runs(rows, least):
+    """The rule word for word: (doc, start, end, removed) of the runs in chains of repeated units."""
+    units, places = {}, defaultdict(list)
+    for i, t in rows:
+        parts, at = [], 0
+        while at < len(t):
+            end = at
+            while end < len(t) and not (t[end] == "\n" or (t[end] in ".!?,;:" and t[end + 1 : end + 2] in tuple(" \t\n\v\f\r"))):
+                end += 1
+            end = min(len(t), end + (2 if t[end : end + 1] not in ("", "\n") else 1))
+            if t[at:end].split():
+                parts.append((at, end, " ".join(t[at:end].lower().split())))
+                places[parts[-1][2]].append((i, at))
+            at = end
+        units[i] = parts
+    out = set()
+    for i, parts in units.items():
+        k = 0
+        while k < len(parts):
+            m = k
+            while m < len(parts) and len(places[parts[m][2]]) > 1:
+                m += 1
+            if sum(len(p[2].split()) for p in parts[k:m]) >= least:
+                later = [min(places[p[2]]) != (i, p[0]) for p in parts[k:m]]
+                for j in range(k, m):
+                    if j > k and later[j - k] == later[j - k - 1]:
+                        last = (last[0], last[1], parts[j][1], last[3])
+                    else:
+                        if j > k:
+                            out.add(last)
+                        last = (i, parts[j][0], parts[j][1], later[j - k])
+                out.add(last)
+            k = max(m, k + 1)
+    return out
+
+
+def test_repeated_runs_equal_the_plain_rule(spark):
+    r, pool = random.Random(4), [" ".join(words(2 + k % 9, k)) + ".,;!?:"[k % 6] for k in range(60)]
+    rows = []
+    for i in range(120):
+        parts = [r.choice(pool) if r.random() < 0.7 else " ".join(words(5, 900 + 40 * i + j)) + "." for j in range(r.randrange(1, 40))]
+        at = r.randrange(0, 50)
+        rows.append((i, "".join(p + r.choice((" ", "\n", "  ", " \n")) for p in parts[:at] + pool[at : at + 8] + parts[at:])))
+    found = repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), min_words=30).collect()
+    expected = plain_runs(rows, 30)
+    assert {(f["doc_id"], f["start"], f["end"], f["removed"]) for f in found} == expected and len(found) == len(expected) > 200
+
+
 def test_line_dedup(spark, awkward, empty):
-    line = "the same line of words here"
+    line = " ".join(words(30, 3))
     docs = spark.createDataFrame([(2, f"a b\n{line}\nown text of two is here"), (1, f"{line.upper()} \nx"), (3, f"{line}\n{line}\nshort line"), (4, None)], "doc_id long, text string")
-    found = {(r["doc_id"], r["start"], r["end"], r["kept_doc_id"], r["kept_start"]) for r in removed_lines(docs).collect()}
-    n = len(line)
-    assert found == {(2, 4, 4 + n, 1, 0), (3, 0, n, 1, 0), (3, n + 1, 2 * n + 1, 1, 0)}
+    found = {(r["doc_id"], r["start"], r["end"], r["removed"], r["kept_doc_id"], r["kept_start"]) for r in repeated_runs(docs).collect()}
+    n = len(line) + 1
+    assert found == {(1, 0, n + 1, False, 1, 0), (2, 4, 4 + n, True, 1, 0), (3, 0, 2 * n, True, 1, 0)}
     clean = {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()}
     assert clean == {1: f"{line.upper()} \nx", 2: "a b\nown text of two is here", 3: "short line", 4: None}
-    assert {r["doc_id"] for r in removed_lines(awkward).collect()} == {2} and removed_lines(empty).count() == 0
-    assert dedup_lines(awkward).count() == awkward.count()
+    assert {(r["doc_id"], r["removed"]) for r in repeated_runs(awkward).collect()} == {(1, False), (2, True)}
+    assert repeated_runs(empty).count() == 0 and dedup_lines(awkward).count() == awkward.count()
+
+
+def test_line_dedup_of_a_repeated_id(spark):
+    """Of the texts of one id each loses its own repeated runs only; equal rows stay whole."""
+    line, other = " ".join(words(35, 5)), " ".join(words(40, 6))
+    rows = [(1, line), (6, line + "\nthe end"), (6, other + "\nits end"), (7, other), (7, other)]
+    clean = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in clean.collect()) == [(1, line), (6, other + "\nits end"), (6, "the end"), (7, ""), (7, "")]
 
 
 # ---- op8 ---------------------------------------------------------------------------------------
