@@ -227,6 +227,7 @@ def dc_planes(images: list[Image]) -> list[np.ndarray]:
     out: list[np.ndarray | None] = [None] * len(images)
     groups: dict[tuple, list[int]] = {}
     for k, image in enumerate(images):
+        _check_size(image)
         groups.setdefault(image.layout(), []).append(k)
     for layout, members in groups.items():
         for k, dc in zip(members, _decode(layout, [images[k] for k in members]), strict=True):
@@ -234,6 +235,15 @@ def dc_planes(images: list[Image]) -> list[np.ndarray]:
     return out
 
 
+def _check_size(image: Image) -> None:
+    """ValueError where the frame is empty or larger than its scan can hold (two bits a block at least)."""
+    if not image.scan or not image.components or min(min(c[1:3]) for c in image.components) < 1:
+        raise ValueError("no frame or no scan")
+    rows, columns = _mcus(image)
+    if not 0 < rows * columns <= 4 * len(image.data):
+        raise ValueError("dimensions do not fit the scan")
+
+
 def _mcus(image: Image) -> tuple[int, int]:
     """MCU rows and columns of the scan."""
     high = max(v for _, _, v, _ in image.components) if len(image.scan) > 1 else 1

@@ -81,8 +81,11 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def thumbnails(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """(doc_id, width, height, thumb_width, thumb_height, thumb, thumb_hash, error) of any baseline JPEG column.
 
-    Only the first image of a value is read.  What is null or not baseline JPEG
-    gives nulls and the reason in `error`.
+    Only the first image of a value is read.  What is null, not baseline JPEG,
+    cut off or at odds with itself gives nulls and the reason in `error`; no
+    bytes make the task fail.  Dimensions beyond what the scan can hold are
+    refused before memory is taken for them.  Null and repeated ids pass
+    through; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,7 +96,7 @@ def thumbnails(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
                     image = parse(bytes(raw) if raw is not None else b"\0")[0]
                     (t,) = dc_planes([image])
                     rows.append((doc_id, image.width, image.height, t.shape[1], t.shape[0], t.tobytes(), average_hash(t), None))
-                except (ValueError, KeyError, IndexError, StopIteration) as e:
+                except Exception as e:  # noqa: BLE001 - the bytes may be anything
                     rows.append((doc_id, None, None, None, None, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["doc_id", "width", "height", "thumb_width", "thumb_height", "thumb", "thumb_hash", "error"])
 

@@ -75,18 +75,47 @@ def test_shards_are_even_and_gapless(spark, awkward, empty):
     assert sharding.shard_documents(awkward).count() == awkward.count() and sharding.shard_documents(empty).count() == 0
 
 
+def test_rows_of_a_shard_follow_the_stored_map(spark, tmp_path):
+    """The plain placement: the row's slot, the shard that the stored version names, and its rank there."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('y', CAST(id % 211 AS INT)) AS text")
+    path = str(tmp_path / "map")
+    rows = sharding.shard_documents(docs, shards=5, slots=64, map_path=path).collect()
+    assert {r["map_version"] for r in rows} == {2} and sharding.load_map(spark, 1, path) == sharding.even_map(5, 64)
+    mapping = sharding.load_map(spark, 2, path)
+    assert len(mapping) == 64 and all(mapping[r["virtual_slot"]] == r["shard"] for r in rows)
+    for s in range(5):
+        ordered = sorted((r for r in rows if r["shard"] == s), key=lambda r: (r["virtual_slot"], r["doc_id"]))
+        assert [r["slot"] for r in ordered] == list(range(len(ordered)))
+    again = sharding.shard_documents(docs, shards=5, slots=64, map_path=path).collect()
+    assert sorted(again) == sorted(rows)  # nothing to move: no new version
+    grown = sharding.shard_documents(docs, shards=6, slots=64, map_path=path)
+    after = sharding.load_map(spark, 3, path)
+    assert grown.filter("map_version = 3").count() == 3000 and sum(after[k] != mapping[k] for k in after) < 16
+    sizes = [r["b"] for r in grown.groupBy("shard").agg({"size": "sum"}).toDF("shard", "b").collect()]
+    assert len(sizes) == 6 and max(sizes) - min(sizes) < 0.15 * max(sizes)
+
+
+def test_copies_of_one_text_are_spread(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'the same text', CAST(id AS STRING)) AS text")
+    held = {r["shard"]: r["count"] for r in sharding.shard_documents(docs).filter("size = 21").groupBy("shard").count().collect()}
+    assert len(held) == 24 and max(held.values()) < 3 * 2000 / 24
+
+
 def test_map_versions(spark, tmp_path):
     sizes = {k: 10 + k % 7 for k in range(2000)}
-    one = sharding.assign(sizes, 8)
+    one = sharding.rebalance(sharding.even_map(8, 2000), sizes, 8)
     two = sharding.rebalance(one, sizes, 9)
     assert {two[k] for k in two if two[k] != one[k]} == {8}
     loads = [sum(sizes[k] for k in two if two[k] == s) for s in range(9)]
     assert abs(loads[8] - sum(loads) / 9) < 20 and max(loads) < 1.05 * sum(loads) / 8
-    sharding.save_map(spark, one, 1, str(tmp_path / "map"))
-    sharding.save_map(spark, two, 2, str(tmp_path / "map"))
-    assert sharding.load_map(spark, 1, str(tmp_path / "map")) == one and sharding.load_map(spark, 2, str(tmp_path / "map")) == two
+    path = str(tmp_path / "map")
+    assert sharding.latest_version(spark, path) == 0
+    sharding.save_map(spark, one, 1, path)
+    sharding.save_map(spark, two, 2, path)
+    assert sharding.load_map(spark, 1, path) == one and sharding.load_map(spark, 2, path) == two
+    assert sharding.latest_version(spark, path) == 2
     with pytest.raises(Exception, match="(?i)exist"):
-        sharding.save_map(spark, one, 1, str(tmp_path / "map"))
+        sharding.save_map(spark, one, 1, path)
 
 
 def test_media_round_trip(awkward, empty):
@@ -142,7 +171,18 @@ def test_general_baseline_image():
 
 def test_thumbnails_of_bad_bytes(spark):
     (good,) = encode_payloads([pad_payload(b"hello")])
-    rows = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"nope")), (3, None), (4, bytearray(good[:60]))], "doc_id long, media binary")
-    found = {r["doc_id"]: r for r in thumbnails(rows).collect()}
-    assert found[1]["error"] is None and found[1]["thumb_width"] == 24 and found[1]["width"] == 192
-    assert all(found[k]["error"] and found[k]["thumb"] is None for k in (2, 3, 4))
+    rng = np.random.default_rng(7)
+    bad = {2: b"nope", 4: b"", **{100 + n: good[:n] for n in range(0, len(good), 3)}}
+    for k in range(200):
+        broken = bytearray(good)
+        for at in rng.integers(2, len(good), 3):
+            broken[at] = rng.integers(0, 256)
+        bad[2000 + k] = bytes(broken)
+    huge = bytearray(good)
+    at = good.index(b"\xff\xc0") + 5
+    huge[at : at + 4] = b"\xff\xff\xff\xff"
+    rows = [(1, bytearray(good)), (3, None), (5, huge), *((k, bytearray(b)) for k, b in bad.items())]
+    found = {r["doc_id"]: r for r in thumbnails(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert len(found) == len(rows) and found[1]["error"] is None and found[1]["thumb_width"] == 24 and found[1]["width"] == 192
+    assert all(found[k]["error"] and found[k]["thumb"] is None for k in found if k in (2, 3, 4, 5) or 100 <= k < 2000)
+    assert all((r["error"] is None) == (r["thumb"] is not None) for r in found.values())
