@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auralake.llm.storage import materialise
-from auralake.llm.tokens import CachedTokenizer
+from auralake.llm.tokens import worker_tokenizer
 
 #: Partitions whose leftovers are merged by one task.
 MERGE_GROUP = 64
@@ -114,7 +114,7 @@ def pack(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
-        encoder = CachedTokenizer(tokenizer_path, end_id)
+        encoder = worker_tokenizer(tokenizer_path, end_id)
         packer = _Packer(window, open_windows, max_gap, task << 32)
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"].astype("object"), pdf["text"], strict=True):

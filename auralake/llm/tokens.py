@@ -1,22 +1,23 @@
-"""Token ids of whole texts, with the ids of each distinct piece asked of the tokenizer once.
-
-The tokenizer lower-cases, splits into letters, digits and other signs, and
-encodes every such piece by itself, so a piece seen before is one dictionary
-look-up and numpy gathers the ids of a text.  Texts with characters beyond
-Latin letters go through the tokenizer chunk by chunk between white space,
-across which it never joins anything.
+"""Token ids of whole texts, with the ids of each distinct word asked of the tokenizer once.
+
+The tokenizer lower-cases, drops white space and never joins anything across
+it, so the ids of a text are those of its words between white space.  A word
+seen before is one dictionary look-up, and numpy gathers the ids of a text; a
+new word is split into letters, digits and other signs, each piece of which is
+encoded by itself.  Texts with characters beyond Latin letters give their words
+to the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
-#: Distinct pieces remembered by one Python worker (about 100 MB).
+#: Distinct words remembered by one Python worker (about 100 MB).
 REMEMBERED = 600_000
 _LATIN = re.compile("[\t-\r\x20-\x7e\xa1-ɏ]*")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
@@ -30,6 +31,35 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+class _Words(dict):
+    """Number of each word seen, by its text; a new one is encoded on its first look-up."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode = encode
+        self.flat = array("I")
+        self.start = array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        self.flat.extend(self.encode(word))
+        self.start.append(len(self.flat))
+        self[word] = at = len(self)
+        return at
+
+    def ids(self, words: list[str], last: int) -> np.ndarray:
+        """Ids of all words in order, and `last` behind them."""
+        k = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        start = np.frombuffer(self.start, dtype=np.int64)
+        first = start[k]
+        count = start[k + 1] - first
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        out = np.empty(total + 1, dtype=np.uint32)
+        out[:-1] = np.frombuffer(self.flat, dtype=np.uint32)[np.arange(total) + np.repeat(first - (ends - count), count)]
+        out[-1] = last
+        return out
+
+
 class CachedTokenizer:
     """Encodes texts with a tokenizer file of the `tokenizers` library."""
 
@@ -38,49 +68,39 @@ class CachedTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.end_id = end_id
+        self.pieces: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = array("I")
-        self.start = array("q", [0])
+        self.latin, self.other = _Words(self._word), _Words(self._chunk)
 
-    def _add(self, piece: str) -> int:
-        letters = _byte_letters()
-        tokens = self.whole.model.tokenize("".join([letters[b] for b in piece.encode()]))
-        return self._keep(piece, [t.id for t in tokens])
+    def _piece(self, piece: str) -> list[int]:
+        found = self.pieces.get(piece)
+        if found is None:
+            letters = _byte_letters()
+            found = [t.id for t in self.whole.model.tokenize("".join([letters[b] for b in piece.encode()]))]
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            self.pieces[piece] = found
+        return found
 
-    def _add_chunk(self, chunk: str) -> int:
-        return self._keep(chunk, self.whole.encode(chunk[1:], add_special_tokens=False).ids)
+    def _word(self, word: str) -> list[int]:
+        return [i for piece in _SPLIT.findall(word) for i in self._piece(piece)]
 
-    def _keep(self, key: str, ids: list[int]) -> int:
-        self.flat.extend(ids)
-        self.start.append(len(self.flat))
-        self.known[key] = at = len(self.known)
-        return at
+    def _chunk(self, chunk: str) -> list[int]:
+        return self.whole.encode(chunk, add_special_tokens=False).ids
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the whole text followed by end_id, as uint32; a null text has end_id alone."""
-        if len(self.known) > REMEMBERED:
+        if len(self.latin) + len(self.other) > REMEMBERED:
             self._clear()
         text = text or ""
-        get = self.known.get
-        if _LATIN.fullmatch(text) and "<|" not in text:
-            parts, add = _SPLIT.findall(unicodedata.normalize("NFC", text).lower()), self._add
-        else:  # the mark keeps chunks apart from pieces
-            parts = ["\n" + c.decode() for c in text.encode().split()]
-            add = self._add_chunk
-        at = list(map(get, parts))
-        if None in at:
-            at = [k if (k := get(p)) is not None else add(p) for p in parts]
-        if not at:
-            return np.array([self.end_id], dtype=np.uint32)
-        k = np.array(at)
-        start = np.frombuffer(self.start, dtype=np.int64)
-        first, count = start[k], start[k + 1] - start[k]
-        ends = np.cumsum(count)
-        out = np.empty(int(ends[-1]) + 1, dtype=np.uint32)
-        gather = np.arange(int(ends[-1])) + np.repeat(first - (ends - count), count)
-        out[:-1] = np.frombuffer(self.flat, dtype=np.uint32)[gather]
-        out[-1] = self.end_id
-        return out
+        if _LATIN.fullmatch(text) and "<|" not in text:  # in these, white space is ASCII and normal form C changes nothing
+            return self.latin.ids(text.lower().split(), self.end_id)
+        return self.other.ids([c.decode() for c in text.encode().split()], self.end_id)
+
+
+@lru_cache(maxsize=2)
+def worker_tokenizer(path: str, end_id: int) -> CachedTokenizer:
+    """The tokenizer of this Python worker, which the tasks it runs one after the other share."""
+    return CachedTokenizer(path, end_id)
