@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auralake.llm.storage import materialise
+from auralake.llm.storage import materialise, row_key
 
 STATISTICS = (
     "upper", "digit", "symbol", "sentence_marks", "shouting", "bars", "spaces",
@@ -109,14 +109,14 @@ class QuadraticDiscriminant:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x) for every row of docs."""
+    """(doc_id, row_key, x) for every row of docs; row_key is a hash of id and text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [statistics(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row_key": pdf["row_key"], "x": [statistics(t) for t in pdf["text"]]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, x array<double>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, row_key long, x array<double>")
 
 
 def train(stats: DataFrame, labels: DataFrame, label_col: str, to_pooled: float = 0.2, to_diagonal: float = 0.1) -> QuadraticDiscriminant:
@@ -145,9 +145,9 @@ def score_statistics(stats: DataFrame, model: QuadraticDiscriminant) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = np.array(pdf["x"].tolist(), dtype=float).reshape(-1, len(STATISTICS))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.score(x)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row_key": pdf["row_key"], "score": model.score(x)})
 
-    return stats.mapInPandas(run, "doc_id long, score double")
+    return stats.mapInPandas(run, "doc_id long, row_key long, score double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -158,11 +158,12 @@ def held_out(id_col: str = "doc_id"):
 def score_documents(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs.
+    """(doc_id, row_key, held_out, score, predicted) for every row of docs.
 
     Learns from the labelled rows outside the held-out fold; only the text goes
     into a score.  Null and empty texts have the statistics of an empty text;
-    rows that repeat an id are scored each by itself; a null id is scored and
+    rows that repeat an id are scored each by itself (row_key, a hash of id and
+    text, tells them apart); a null id is scored and
     counts as not held out; null labels teach nothing; an empty table gives no
     rows.
     """
@@ -170,5 +171,5 @@ def score_documents(
     model = train(stats, labels.filter(~held_out("doc_id")), label_col)
     scored = score_statistics(stats, model)
     return scored.select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+        "doc_id", "row_key", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

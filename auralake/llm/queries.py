@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"), min_words=50)
+    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"), min_words=50).drop("text_key")
 
 
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("row_key")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of one long column that a join may broadcast (about 16 MB).
@@ -13,9 +13,15 @@ BROADCAST_ROWS = 1_000_000
 
 
 def workspace(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder is set only where it is unset."""
+    """The session's spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster,
+    whose executors do not share the driver's disk, that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -36,8 +42,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def filter_by_ids(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join with a materialised one-column table of ids.
+def row_key(id_col: str, text_col: str) -> Column:
+    """64 bits of id and text: the identity of a row whose id may be null or stand twice."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def filter_by_ids(df: DataFrame, ids: DataFrame, column: str | list[str], how: str = "left_semi") -> DataFrame:
+    """Semi or anti join with a materialised table of ids, of one or more long columns.
 
     The ids are counted first: up to BROADCAST_ROWS they are broadcast, which
     leaves wide rows where they are; beyond that both sides are shuffled.

@@ -52,17 +52,20 @@ def anchors(words: np.ndarray, window: int, right: int) -> tuple[np.ndarray, np.
 def _anchor_rows(texts: DataFrame, window: int, right: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, keys = [np.empty(0, np.int64)], [np.empty(0, U64)]
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                _, key = anchors(_words(text), window, right)
-                ids.append(np.full(len(key), doc_id, dtype=np.int64))
-                keys.append(key)
-            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc_id": np.concatenate(ids)})
+            keys = [anchors(_words(text), window, right)[1] for text in pdf["text"]]
+            count = [len(k) for k in keys]
+            yield pd.DataFrame(
+                {
+                    "key": np.concatenate([np.empty(0, U64), *keys]).view(np.int64),
+                    "doc_id": np.repeat(pdf["doc_id"].to_numpy(), count),
+                    "text_key": np.repeat(pdf["text_key"].to_numpy(), count),
+                }
+            )
 
-    return texts.mapInPandas(run, "key long, doc_id long")
+    return texts.mapInPandas(run, "key long, doc_id long, text_key long")
 
 
-_SUFFIX = "key long, after binary, before binary, doc_id long, at long, n_after int, n_before int"
+_SUFFIX = "key long, after binary, before binary, doc_id long, text_key long, at long, n_after int, n_before int"
 
 
 def _suffix_rows(texts: DataFrame, window: int, right: int, context: int) -> DataFrame:
@@ -72,7 +75,7 @@ def _suffix_rows(texts: DataFrame, window: int, right: int, context: int) -> Dat
         steps = np.arange(context)
         for pdf in batches:
             rows = []
-            for doc_id, text, wanted in zip(pdf["doc_id"], pdf["text"], pdf["keys"], strict=True):
+            for doc_id, text_key, text, wanted in zip(pdf["doc_id"], pdf["text_key"], pdf["text"], pdf["keys"], strict=True):
                 words = _words(text)
                 at, key = anchors(words, window, right)
                 signed = key.view(np.int64)
@@ -85,8 +88,8 @@ def _suffix_rows(texts: DataFrame, window: int, right: int, context: int) -> Dat
                 n_after = np.minimum(context, len(words) - at - right)
                 n_before = np.minimum(context, at)
                 rows += zip(
-                    signed.tolist(), map(bytes, after), map(bytes, before), [doc_id] * len(at), at.tolist(), n_after.tolist(), n_before.tolist(),
-                    strict=True,
+                    signed.tolist(), map(bytes, after), map(bytes, before), [doc_id] * len(at), [text_key] * len(at),
+                    at.tolist(), n_after.tolist(), n_before.tolist(), strict=True,
                 )
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SUFFIX.split(", ")])
 
@@ -99,29 +102,37 @@ def _window_rows(texts: DataFrame, window: int, right: int, min_words: int) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         steps = np.arange(window)
         for pdf in batches:
-            ids, starts, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, U64)]
-            for doc_id, text, many in zip(pdf["doc_id"], pdf["text"], pdf["many"], strict=True):
+            starts, hashes = [np.empty(0, np.int64)], [np.empty(0, U64)]
+            for text, many in zip(pdf["text"], pdf["many"], strict=True):
                 words = _words(text)
                 at, key = anchors(words, window, right)
                 at = at[np.isin(key.view(np.int64), np.asarray(many))]
                 start = np.unique(at[:, None] - steps)
                 start = start[(start >= 0) & (start + min_words <= len(words))]
-                ids.append(np.full(len(start), doc_id, dtype=np.int64))
                 starts.append(start)
                 hashes.append(gram_hashes(words, min_words)[start])
-            yield pd.DataFrame({"words": np.concatenate(hashes).view(np.int64), "doc_id": np.concatenate(ids), "start": np.concatenate(starts)})
+            count = [len(x) for x in starts[1:]]
+            yield pd.DataFrame(
+                {
+                    "words": np.concatenate(hashes).view(np.int64),
+                    "doc_id": np.repeat(pdf["doc_id"].to_numpy(), count),
+                    "text_key": np.repeat(pdf["text_key"].to_numpy(), count),
+                    "start": np.concatenate(starts),
+                }
+            )
 
-    return texts.mapInPandas(run, "words long, doc_id long, start long")
+    return texts.mapInPandas(run, "words long, doc_id long, text_key long, start long")
 
 
 def _window_claims(windows: DataFrame, min_words: int) -> DataFrame:
     """A claim for each of the materialised windows that occurs twice; occurrences are counted before they are joined."""
-    place = F.struct("doc_id", "start")
+    place = F.struct("doc_id", "text_key", "start")
     counted = windows.groupBy("words").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = join_hot_apart(windows, materialise(counted.filter("n > 1"), "repeated"), "words", windows.count())
+    repeated = join_hot_apart(windows, materialise(counted.filter("first <> last"), "repeated"), "words", windows.count())
     later = place != F.col("first")
     return repeated.select(
         "doc_id",
+        "text_key",
         "start",
         (F.col("start") + min_words).alias("stop"),
         F.when(later, F.col("first.doc_id")).otherwise(F.col("last.doc_id")).alias("other_doc_id"),
@@ -147,15 +158,17 @@ def _compare_sorted(min_words: int, right: int, context: int):
 
         after, before = table("after"), table("before")
         n_after, n_before = pdf["n_after"].to_numpy(), pdf["n_before"].to_numpy()
-        key, doc, at = pdf["key"].to_numpy(), pdf["doc_id"].to_numpy(), pdf["at"].to_numpy()
+        key, doc, text, at = (pdf[c].to_numpy() for c in ("key", "doc_id", "text_key", "at"))
         r = right + np.minimum(_common(after[1:], after[:-1]), np.minimum(n_after[1:], n_after[:-1]))
         left = np.minimum(_common(before[1:], before[:-1]), np.minimum(n_before[1:], n_before[:-1]))
-        hit = np.flatnonzero((key[1:] == key[:-1]) & (r + left >= min_words))
+        itself = (doc[1:] == doc[:-1]) & (text[1:] == text[:-1]) & (at[1:] == at[:-1])  # a row that stands twice
+        hit = np.flatnonzero((key[1:] == key[:-1]) & (r + left >= min_words) & ~itself)
         own, other = np.concatenate((hit, hit + 1)), np.concatenate((hit + 1, hit))
         size_l, size_r = np.tile(left[hit], 2), np.tile(r[hit], 2)
-        later = (doc[other] < doc[own]) | ((doc[other] == doc[own]) & (at[other] < at[own]))
+        behind = (text[other] < text[own]) | ((text[other] == text[own]) & (at[other] < at[own]))
+        later = (doc[other] < doc[own]) | ((doc[other] == doc[own]) & behind)
         return pd.DataFrame(
-            {"doc_id": doc[own], "claim": True, "start": at[own] - size_l, "stop": at[own] + size_r, "other_doc_id": doc[other], "later": later}
+            {"doc_id": doc[own], "text_key": text[own], "claim": True, "start": at[own] - size_l, "stop": at[own] + size_r, "other_doc_id": doc[other], "later": later}
         )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,72 +188,73 @@ def _compare_sorted(min_words: int, right: int, context: int):
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """(doc_id, start_word, end_word, other_doc_id, removable): passages of min_words words or more that occur elsewhere.
+    """(doc_id, text_key, start_word, end_word, other_doc_id, removable): passages of min_words words or more that occur elsewhere.
 
     Words are runs without ASCII white space, case counts.  Overlapping claims
-    of a document are united; other_doc_id is one document (possibly the same)
-    that holds a part of the passage; removable says that an earlier occurrence
-    by (document, position) was seen, so that removing such passages keeps the
-    first.  Equal texts are found by digest and only their first is sorted.
-    Texts with fewer words, null texts and rows with a null id are left out;
-    repeated ids count as one document; an empty table gives no rows.
+    of a text are united; other_doc_id is one document (possibly the same) that
+    holds a part of the passage; removable says that all of it occurs earlier by
+    (document, text_key, position).  Claims of first and of later occurrences
+    are united apart, so removing all removable passages keeps the first
+    occurrence of each.  Equal texts are found by digest and only their first is
+    sorted.  Texts with fewer words, null texts and rows with a null id are left
+    out; different texts of one id are told apart by text_key, a hash of the
+    text; rows that repeat id and text are one text; an empty table gives no
+    rows.
     """
     window = min_words // 2
     right = min_words - window + 1
     context = window - 1
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text_id = ["doc_id", "text_key"]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     rows = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     size = F.size(F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != ""))
-    digests = materialise(rows.select("doc_id", F.unhex(F.md5("text")).alias("digest"), size.cast("long").alias("words")), "digests")
-    first = digests.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
-    copies = materialise(digests.join(first, "digest").filter("doc_id <> first").select("doc_id", "first", "words"), "copies")
-    ids = materialise(copies.select("doc_id").distinct(), "ids")
-    texts = filter_by_ids(rows, ids, "doc_id", "left_anti")
+    digests = materialise(rows.select(*text_id, F.unhex(F.md5("text")).alias("digest"), size.cast("long").alias("words")), "digests")
+    first = materialise(digests.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1"), "first")
+    copies = join_hot_apart(digests, first, "digest", digests.count()).filter("doc_id <> first").select(*text_id, "first", "words")
+    copies = materialise(copies.distinct(), "copies")
+    discard(digests)
+    texts = filter_by_ids(rows, copies.select(*text_id), text_id, "left_anti")
 
     keyed = materialise(_anchor_rows(texts, window, right), "anchors")
     shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     repeated = join_hot_apart(keyed, shared.withColumn("many", F.col("n") > 2), "key", keyed.count())
     wanted = materialise(
-        repeated.groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("many"), F.col("key"))).alias("many")),
+        repeated.groupBy(*text_id).agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("many"), F.col("key"))).alias("many")),
         "wanted",
-    )  # a document's keys are bounded by its words
+    )  # a text's keys are bounded by its words
     discard(keyed)
-    chosen = filter_by_ids(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id")
-    suffixes = _suffix_rows(chosen, window, right, context)
-    order = ["key", "after", "before", "doc_id", "at"]
+    chosen = filter_by_ids(texts, wanted.select(*text_id), text_id).join(wanted, text_id)
+    suffixes = materialise(_suffix_rows(chosen, window, right, context), "suffixes")
+    order = ["key", "after", "before", *text_id, "at"]
     compare = _compare_sorted(min_words, right, context)
     schema = _SUFFIX + ", " + _CLAIM
     compared = materialise(
         suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(compare, schema), "compared"
     )
+    discard(suffixes)
     # two suffixes of each partition: their number depends on the partitions alone
     edges = compared.filter("NOT claim").select(*(c.split()[0] for c in _SUFFIX.split(", ")))
     edges = edges.coalesce(1).sortWithinPartitions(*order).mapInPandas(compare, schema)
-    claims = compared.filter("claim").unionByName(edges.filter("claim")).select("doc_id", "start", "stop", "other_doc_id", "later")
+    claims = compared.filter("claim").unionByName(edges.filter("claim")).select(*text_id, "start", "stop", "other_doc_id", "later")
     windows = materialise(_window_rows(chosen.filter("size(many) > 0"), window, right, min_words), "windows")
     claims = claims.unionByName(_window_claims(windows, min_words))
     whole = copies.filter(F.col("words") >= min_words).select(
-        "doc_id", F.lit(0).cast("long").alias("start"), F.col("words").alias("stop"), F.col("first").alias("other_doc_id"), F.lit(True).alias("later")
+        *text_id, F.lit(0).cast("long").alias("start"), F.col("words").alias("stop"), F.col("first").alias("other_doc_id"), F.lit(True).alias("later")
     )
-    originals = whole.groupBy(F.col("other_doc_id").alias("doc_id")).agg(
+    originals = whole.groupBy(F.col("other_doc_id").alias("doc_id"), "text_key").agg(
         F.lit(0).cast("long").alias("start"), F.max("stop").alias("stop"), F.min("doc_id").alias("other_doc_id"), F.lit(False).alias("later")
     )
     return _united(claims.unionByName(whole).unionByName(originals))
 
 
 def _united(claims: DataFrame) -> DataFrame:
-    """Overlapping claims of a document as one passage each."""
-    w = Window.partitionBy("doc_id").orderBy("start", "stop")
+    """Overlapping claims of a text as one passage each, those of first and of later occurrences apart."""
+    w = Window.partitionBy("doc_id", "text_key", "later").orderBy("start", "stop")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     marked = claims.withColumn("fresh", F.coalesce(F.col("start") > F.max("stop").over(before), F.lit(True)).cast("int"))
     numbered = marked.withColumn("passage", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return (
-        numbered.groupBy("doc_id", "passage")
-        .agg(
-            F.min("start").alias("start_word"),
-            F.max("stop").alias("end_word"),
-            F.min("other_doc_id").alias("other_doc_id"),
-            F.max("later").alias("removable"),
-        )
-        .drop("passage")
+        numbered.groupBy("doc_id", "text_key", "later", "passage")
+        .agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("other_doc_id").alias("other_doc_id"))
+        .select("doc_id", "text_key", "start_word", "end_word", "other_doc_id", F.col("later").alias("removable"))
     )

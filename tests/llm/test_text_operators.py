@@ -74,10 +74,27 @@ def test_repeated_passages_of_scattered_neighbours(spark):
     assert all(expected[i] <= found[i] for i in expected)
 
 
+def test_removable_passages_keep_every_first_occurrence(spark):
+    """P and Q meet in document 5; Q is first in 1, P is first in 5."""
+    p, q = words(120, 71), words(120, 72)
+    rows = [(1, words(30, 73) + q), (5, words(30, 74) + p + q), (9, p + words(30, 75)), (9, words(200, 76))]
+    found = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["start_word"], r["end_word"], r["removable"]) for r in found}
+    assert got == {(1, 30, 150, False), (5, 30, 150, False), (5, 150, 270, True), (9, 0, 120, True)}
+
+
+def test_other_texts_of_a_repeated_id_are_searched(spark):
+    a, b, c = words(80, 81), words(70, 82), words(60, 83)
+    rows = [(1, a), (2, a), (2, words(20, 84) + b), (3, b + words(20, 85)), (4, c), (4, c)]
+    found = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["start_word"], r["end_word"], r["removable"]) for r in found}
+    assert got == {(1, 0, 80, False), (2, 0, 80, True), (2, 20, 90, False), (3, 0, 70, True)}
+
+
 def test_repeated_passages_awkward(awkward, empty):
-    found = {r["doc_id"]: r for r in repeated_passages(awkward).collect()}
-    assert {1, 2, 7} == set(found) and (found[2]["start_word"], found[2]["end_word"]) == (0, 60)
-    assert found[2]["removable"] and not found[1]["removable"]
+    found = {(r["doc_id"], r["removable"]): r for r in repeated_passages(awkward).collect()}
+    assert {(1, False), (2, True), (7, False), (7, True)} == set(found)
+    assert (found[2, True]["start_word"], found[2, True]["end_word"]) == (0, 60)
     assert repeated_passages(empty).count() == 0
 
 
