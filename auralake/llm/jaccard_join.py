@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from auralake.llm.components import connected_components
 from auralake.llm.hashing import U64, mix, shingle_set
-from auralake.llm.storage import discard, filter_by_ids, materialise
+from auralake.llm.storage import discard, filter_by_ids, join_hot_apart, materialise
 
 #: Upper size of a band over its lower size.
 BAND_RATIO = 4
@@ -97,7 +97,7 @@ def _sketch_distance(a: bytes, b: bytes) -> int:
 
 
 def describe_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(node, n_shingles, digest, sketch, fine) of every row; empty sets have a null digest."""
+    """(node, text_key, n_shingles, digest, sketch, fine) of every row; empty sets have a null digest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -105,6 +105,7 @@ def describe_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
             yield pd.DataFrame(
                 {
                     "node": pdf["node"],
+                    "text_key": pdf["text_key"],
                     "n_shingles": [len(s) for s in sets],
                     "digest": [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "sketch": [parity_sketch(s, COARSE) if len(s) else None for s in sets],
@@ -112,8 +113,8 @@ def describe_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
                 }
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "node long, n_shingles long, digest binary, sketch binary, fine binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "node long, text_key long, n_shingles long, digest binary, sketch binary, fine binary")
 
 
 def _signature_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -268,18 +269,18 @@ def jaccard_components(
     component_id is the smallest id reachable over links, the row's own included.
     Null or wordless texts have 0 shingles and link with nothing; fewer words
     than `words` make one shingle of the whole sequence.  Equal sets always link.
-    Rows that repeat an id count as one document with several texts.  A row with
+    Rows that repeat an id count as one document with several texts, each of
+    which links by itself.  A row with
     a null id gets a null component.  Other columns are ignored; an empty table
     gives an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     sets = materialise(describe_sets(docs, id_col, text_col, words), "sets")
     usable = sets.filter("digest IS NOT NULL AND node IS NOT NULL")
-    narrow = usable.select("node", "digest")
-    classes = materialise(narrow.groupBy("digest").agg(F.min("node").alias("first")), "classes")
-    copies = materialise(
-        narrow.join(classes, "digest").filter("node <> first").select("node", "first"), "copies"
-    )
+    narrow = usable.select("node", "text_key", "digest")
+    classes = narrow.groupBy("digest").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
+    narrow = join_hot_apart(narrow, materialise(classes, "classes"), "digest", sets.count())
+    copies = materialise(narrow.filter("node <> first").select("node", "text_key", "first").distinct(), "copies")
     groups = _signature_groups(texts, sets, copies, words, percent)
     coarse = usable.select("node", "n_shingles", "sketch")
     fine = usable.select("node", "n_shingles", F.col("fine").alias("sketch"))
@@ -304,7 +305,7 @@ def jaccard_components(
     near = materialise(_block_pairs(mixed, percent).distinct(), "near")
     rest = materialise(_close(near, fine, percent).distinct(), "close")
     links = links.unionByName(_verified(rest, texts, words, percent))
-    links = links.unionByName(copies.select(F.col("first").alias("a"), F.col("node").alias("b")))
+    links = links.unionByName(copies.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     final = connected_components(links)
     return (
         sets.select("node", "n_shingles")
@@ -320,8 +321,7 @@ def _signature_groups(texts: DataFrame, sets: DataFrame, copies: DataFrame, word
     make one group, in which each member stands once: two sets that share a
     signature share its pivot.  several: a signature of three sets or more.
     """
-    ids = materialise(copies.select("node").distinct(), "ids")
-    firsts = filter_by_ids(texts.filter("node IS NOT NULL"), ids, "node", "left_anti")
+    firsts = filter_by_ids(texts.filter("node IS NOT NULL"), copies.select("node", "text_key"), ["node", "text_key"], "left_anti")
     w = Window.partitionBy("sig")
     grouped = (
         _signature_rows(firsts, words, percent)

@@ -88,3 +88,11 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (3, 2)], "a long, b long")
     found = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert all(found[i] == 0 for i in range(1, 41)) and found[101] == 100
+
+
+def test_every_text_of_a_repeated_id_links(spark):
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    near = [*b[:30], "other", *b[31:]]
+    rows = [(1, a), (2, a), (2, b), (3, near), (4, [f"c{i}" for i in range(60)])]
+    found = jaccard_components(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
