@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auralake.functions.rules import (
-    ABOVE_NOISE, BACKGROUND, GRADES, MIN_CONFIDENCE, NOISE_LIMIT_DBFS, NON_EVENTS, OVERLAP, RAISE_TO_CRITICAL, TOP_TWO_MARGIN, UNKNOWN, UNKNOWN_BELOW,
-    rank, rank_sql, rule_sql, rule_table, with_rule,
+    BACKGROUND, GRADES, MIN_CONFIDENCE, NON_EVENTS, OVERLAP, TOP_TWO_MARGIN, UNKNOWN, UNKNOWN_BELOW, parse_rules, rank, rank_sql, rule_sql,
+    rule_table, with_rule,
 )
 from auralake.operators.evaluation import consistency
 from auralake.plans.registry import Views, query
@@ -32,12 +32,14 @@ def overlapping_classes(windows: str, threshold: float = OVERLAP) -> Column:
 
 
 def decide(df: DataFrame, rules: DataFrame, live: bool = False) -> DataFrame:
-    """df with the decision columns; the rules are broadcast (a dozen rows).
+    """df with the decision columns.
 
     Needs python_class, python_confidence, python_margin, gtm_class ('' = no
     result), gtm_confidence, quality_grade, repeated_detections, n_windows,
     noise_dbfs (null = unknown) and overlaps (array).  Offline, required repeats
-    are capped by the number of windows; live they aren't.
+    are capped by the number of windows; live they aren't.  A disabled rule counts
+    as none.  conditions maps each condition of a class that can raise an alert to
+    whether it held.
     """
     c = F.col
     match = c("gtm_confidence").isNotNull() & (c("gtm_class") == c("python_class"))
@@ -45,8 +47,8 @@ def decide(df: DataFrame, rules: DataFrame, live: bool = False) -> DataFrame:
     df = with_rule(df.withColumns({"match": match, "unknown": unknown, "final_class": F.when(unknown, UNKNOWN).otherwise(c("python_class"))}), rules, "final_class")
     repeats = F.when(c("unknown"), 0).otherwise(c("repeated_detections")) if not live else c("repeated_detections")
     needed = c("rule_consecutive_detections") if live else F.least("rule_consecutive_detections", "n_windows")
-    noisy = (c("final_class") == BACKGROUND) & F.coalesce(c("noise_dbfs") > NOISE_LIMIT_DBFS, F.lit(False))
-    raises = F.when(noisy, F.lit(ABOVE_NOISE[1])).otherwise(c("rule_alert")) & ~c("unknown")
+    noisy = (c("final_class") == BACKGROUND) & F.coalesce(c("noise_dbfs") > c("rule_noise_limit_dbfs"), F.lit(False))
+    raises = F.when(noisy, F.coalesce("rule_noise_alert", "rule_alert")).otherwise(c("rule_alert")) & ~c("unknown")
     grade = rank("quality_grade", GRADES)
     conditions = {
         "confidence": c("python_confidence") >= c("rule_min_confidence"),
@@ -54,12 +56,16 @@ def decide(df: DataFrame, rules: DataFrame, live: bool = False) -> DataFrame:
         "repeats": repeats >= needed,
         "quality": grade <= rank("rule_min_quality", GRADES),
     }
-    passed = conditions["confidence"] & conditions["margin"] & conditions["repeats"] & conditions["quality"]
+    agree = F.when(c("rule_require_model_agreement"), c("match"))
+    passed = conditions["confidence"] & conditions["margin"] & conditions["repeats"] & conditions["quality"] & F.coalesce(agree, F.lit(True))
+    checked = F.create_map(*[x for k, v in conditions.items() for x in (F.lit(k), v)])
+    checked = F.when(agree.isNull(), checked).otherwise(F.map_concat(checked, F.create_map(F.lit("agreement"), agree)))
     df = df.withColumns(
         {
             "raises": raises,
             "alert_status": F.when(~raises, "No alert").when(passed, "Alert generated").otherwise("Not confirmed"),
-            "conditions": F.when(raises, F.create_map(*[x for k, v in conditions.items() for x in (F.lit(k), v)])),
+            "conditions": F.when(raises, checked),
+            "recommended_action": F.when(noisy, F.coalesce("rule_noise_action", "rule_recommended_action")).otherwise(c("rule_recommended_action")),
         }
     )
     reasons = F.array_compact(
@@ -74,10 +80,9 @@ def decide(df: DataFrame, rules: DataFrame, live: bool = False) -> DataFrame:
             F.when(c("rule_critical") & ~c("unknown") & ~c("match"), R_CRITICAL),
         )
     )
-    raised = F.lit(False)
-    for category, (confidence, times) in RAISE_TO_CRITICAL.items():
-        raised = raised | ((c("final_class") == category) & (c("python_confidence") >= confidence) & (repeats >= times))
-    severity = F.when((c("alert_status") == "Alert generated") & raised, "Critical").when(noisy, ABOVE_NOISE[0]).otherwise(c("rule_severity"))
+    raised = F.coalesce((c("python_confidence") >= c("rule_raise_confidence")) & (repeats >= c("rule_raise_repeats")), F.lit(False))
+    calm = F.when(noisy, F.coalesce("rule_noise_severity", "rule_severity")).otherwise(c("rule_severity"))
+    severity = F.when((c("alert_status") == "Alert generated") & raised, "Critical").otherwise(calm)
     sure = (c("python_confidence") >= F.greatest(F.lit(0.8), "rule_min_confidence")) & (c("python_margin") >= TOP_TWO_MARGIN)
     agreed = consistency(c("match"), c("python_confidence"), c("gtm_confidence")) == "Acceptable Match"
     level = F.when(sure & agreed, "High").when(c("python_confidence") >= MIN_CONFIDENCE, "Medium").otherwise("Low")
@@ -101,25 +106,48 @@ def _decision_input(v: Views) -> DataFrame:
     )
 
 
+def _decision_rules(spark: SparkSession) -> DataFrame:
+    """The rules with one class disabled, one that needs both models and one that becomes Critical, so that every branch has rows."""
+    at = lambda name, value, column: F.when(F.col("category") == name, F.lit(value)).otherwise(F.col(column))
+    return rule_table(spark).withColumns(
+        {
+            "enabled": F.col("category") != "Animal Sound",
+            "require_model_agreement": F.col("category") == "Machinery Fault",
+            "raise_confidence": at("Glass Breaking", 0.7, "raise_confidence"),
+            "raise_repeats": at("Glass Breaking", 2, "raise_repeats"),
+        }
+    )
+
+
+_RULES = f"""(SELECT * REPLACE (category = 'Machinery Fault' AS require_model_agreement, CASE category WHEN 'Glass Breaking' THEN 0.7 ELSE raise_confidence END AS raise_confidence,
+    CASE category WHEN 'Glass Breaking' THEN 2 ELSE raise_repeats END AS raise_repeats) FROM {rule_sql()} WHERE category <> 'Animal Sound')"""
 _BASE = f"""(SELECT e.*, coalesce(q.critical, false) AS critical, coalesce(q.alert, false) AS alert, coalesce(q.severity, 'Informational') AS sev, coalesce(q.min_confidence, 0.6) AS mc,
-    coalesce(q.top_two_margin, 0.15) AS tm, coalesce(q.consecutive_detections, 1) AS cd, coalesce(q.min_quality, 'Poor') AS mq FROM (
+    coalesce(q.top_two_margin, 0.15) AS tm, coalesce(q.consecutive_detections, 1) AS cd, coalesce(q.min_quality, 'Poor') AS mq, coalesce(q.recommended_action, '') AS action, coalesce(q.require_model_agreement, false) AS agree,
+    q.raise_confidence AS rc, q.raise_repeats AS rr, q.noise_limit_dbfs AS nl, q.noise_severity AS ns, q.noise_alert AS na, q.noise_action AS nx FROM (
     SELECT *, gtm_confidence IS NOT NULL AND gtm_class = python_class AS m, python_confidence < 0.35 OR quality_grade = 'Unusable' AS u,
     CASE WHEN python_confidence < 0.35 OR quality_grade = 'Unusable' THEN 'Unknown' ELSE python_class END AS final_class, k % 4 AS rep, event_id % 3 + 1 AS nw,
-    CASE WHEN event_id % 10 <> 0 THEN -(k % 60) END AS db FROM {{scored_events}}) e LEFT JOIN {rule_sql()} q ON q.category = e.final_class)"""
-_STEP = f"""(SELECT *, final_class = 'Background Noise' AND coalesce(db > -20, false) AS noisy, CASE WHEN u THEN 0 ELSE rep END AS r, {rank_sql("quality_grade", GRADES)} AS g, {rank_sql("mq", GRADES)} AS mg FROM {_BASE})"""
-_ALERT = f"""(SELECT *, CASE WHEN u OR NOT (noisy OR alert) THEN 'No alert' WHEN python_confidence >= mc AND python_margin >= tm AND r >= least(cd, nw) AND g <= mg THEN 'Alert generated' ELSE 'Not confirmed' END AS alert_status FROM {_STEP})"""
+    CASE WHEN event_id % 10 <> 0 THEN -(k % 60) END AS db FROM {{scored_events}}) e LEFT JOIN {_RULES} q ON q.category = e.final_class)"""
+_STEP = f"""(SELECT *, final_class = 'Background Noise' AND coalesce(db > nl, false) AS noisy, CASE WHEN u THEN 0 ELSE rep END AS r, {rank_sql("quality_grade", GRADES)} AS g, {rank_sql("mq", GRADES)} AS mg FROM {_BASE})"""
+_ALERT = f"""(SELECT *, CASE WHEN u OR NOT CASE WHEN noisy THEN na ELSE alert END THEN 'No alert' WHEN python_confidence >= mc AND python_margin >= tm AND r >= least(cd, nw) AND g <= mg AND (m OR NOT agree) THEN 'Alert generated' ELSE 'Not confirmed' END AS alert_status FROM {_STEP})"""
 _REASON = f"""(SELECT *, list_filter([CASE WHEN gtm_confidence IS NULL THEN '{R_NO_SECOND}' WHEN NOT m THEN '{R_DISAGREE}' END, CASE WHEN python_confidence < 0.5 THEN '{R_LOW}' END, CASE WHEN g >= 2 THEN '{R_POOR}' END,
     CASE WHEN python_margin < 0.1 THEN '{R_SIMILAR}' END, CASE WHEN event_id % 8 = 0 THEN '{R_OVERLAP}' END, CASE WHEN u THEN '{R_UNSUPPORTED}' END, CASE WHEN alert_status = 'Not confirmed' THEN '{R_FALSE}' END,
     CASE WHEN critical AND NOT u AND NOT m THEN '{R_CRITICAL}' END], lambda x: x IS NOT NULL) AS reasons FROM {_ALERT})"""
-_DECISION = f"""SELECT event_id, final_class, alert_status, CASE WHEN noisy THEN 'Medium' ELSE sev END AS severity, array_to_string(reasons, '; ') AS reasons,
+_FAILED = """CASE WHEN alert_status <> 'Not confirmed' THEN '' ELSE array_to_string(list_filter([CASE WHEN agree AND NOT m THEN 'agreement' END, CASE WHEN python_confidence < mc THEN 'confidence' END,
+    CASE WHEN python_margin < tm THEN 'margin' END, CASE WHEN g > mg THEN 'quality' END, CASE WHEN r < least(cd, nw) THEN 'repeats' END], lambda x: x IS NOT NULL), ',') END"""
+_DECISION = f"""SELECT event_id, final_class, alert_status, CASE WHEN alert_status = 'Alert generated' AND coalesce(python_confidence >= rc AND r >= rr, false) THEN 'Critical' WHEN noisy THEN ns ELSE sev END AS severity, array_to_string(reasons, '; ') AS reasons,
+    CASE WHEN noisy THEN nx ELSE action END AS action, {_FAILED} AS failed,
     CASE WHEN python_confidence >= greatest(0.8, mc) AND python_margin >= 0.1 AND m AND gtm_confidence >= 0.5 AND abs(python_confidence - gtm_confidence) <= 0.3 THEN 'High' WHEN python_confidence >= 0.5 THEN 'Medium' ELSE 'Low' END AS confidence_level,
     CASE WHEN alert_status = 'Alert generated' THEN 'Alert Generated' WHEN gtm_confidence IS NULL OR NOT m OR python_confidence < 0.5 OR g >= 2 OR python_margin < 0.1 OR event_id % 8 = 0 THEN 'Uncertain' WHEN len(reasons) > 0 THEN 'Manual Review' ELSE 'Classified' END AS status FROM {_REASON}"""
 
 
 @query("sc13_decision", _DECISION)
 def _sc13(v: Views) -> DataFrame:
-    found = decide(_decision_input(v), rule_table(v.spark))
-    return found.select("event_id", "final_class", "alert_status", "severity", F.array_join("review_reasons", "; ").alias("reasons"), "confidence_level", "status")
+    found = decide(_decision_input(v), _decision_rules(v.spark))
+    failed = F.array_join(F.array_sort(F.map_keys(F.map_filter("conditions", lambda k, ok: ~ok))), ",")
+    return found.select(
+        "event_id", "final_class", "alert_status", "severity", F.array_join("review_reasons", "; ").alias("reasons"), F.col("recommended_action").alias("action"),
+        F.when(F.col("alert_status") == "Not confirmed", failed).otherwise("").alias("failed"), "confidence_level", "status",
+    )
 
 
 @query(
@@ -128,7 +156,7 @@ def _sc13(v: Views) -> DataFrame:
 )
 def decision_overview(v: Views) -> DataFrame:
     """The flagship: decide on every event, then count by class, alert and status."""
-    found = decide(_decision_input(v), rule_table(v.spark))
+    found = decide(_decision_input(v), _decision_rules(v.spark))
     return found.groupBy("final_class", "alert_status", "status").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "Critical").alias("critical"))
 
 
@@ -165,6 +193,27 @@ def _io8(v: Views) -> DataFrame:
     return v.embeddings.groupBy("label").agg(F.count("*").alias("n"), F.sum(bad).alias("bad"))
 
 
-@query("io2_rules_as_table", f"SELECT category, severity, alert, min_confidence FROM {rule_sql()}")
+@query(
+    "io2_rules_from_json",
+    """SELECT 'rule ' || c_custkey AS category, CASE c_custkey % 3 WHEN 0 THEN 'Informational' ELSE 'High' END AS severity, c_custkey % 2 = 0 AS alert, CASE c_custkey % 5 WHEN 0 THEN 0.6 ELSE (c_custkey % 100) / 100 END AS min_confidence,
+    c_custkey % 7 <> 1 AS enabled, CASE c_custkey % 4 WHEN 0 THEN coalesce(CASE c_custkey % 8 WHEN 0 THEN 3 END, 1) END AS raise_repeats, CASE c_custkey % 11 WHEN 2 THEN 'Medium' END AS noise_severity
+    FROM customer WHERE c_custkey % 13 <> 0""",
+)
 def _io2(v: Views) -> DataFrame:
-    return rule_table(v.spark).select("category", "severity", "alert", "min_confidence")
+    """A JSON text per customer: keys left out, comments, nested parts, rules without a category."""
+    n = F.col("c_custkey")
+    text = lambda when, *parts: F.when(when, F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))).otherwise("")
+    value = F.concat(
+        F.lit('[{"_comment": "a {note}", "critical": false'),
+        text(n % 13 != 0, ', "category": "rule ', n.cast("string"), '"'),
+        text(n % 3 != 0, ', "severity": "High"'),
+        text(n % 2 == 0, ', "alert": true'),
+        text(n % 5 != 0, ', "min_confidence": ', ((n % 100) / 100).cast("string")),
+        text(n % 7 == 1, ', "enabled": false'),
+        text(n % 8 == 0, ', "raise_to_critical": {"min_confidence": 0.9, "consecutive_detections": 3}'),
+        text(n % 8 == 4, ', "raise_to_critical": {"min_confidence": 0.9}'),
+        text(n % 11 == 2, ', "noise_limit_dbfs": -20, "above_noise_limit": {"severity": "Medium", "alert": true}'),
+        F.lit(', "manual_review": "x"}]'),
+    )
+    rules = parse_rules(v.customer.select(value.alias("value")))
+    return rules.select("category", "severity", "alert", "min_confidence", "enabled", "raise_repeats", "noise_severity")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralake.functions.rules import SEVERITIES, rank, rank_sql
-from auralake.functions.text import safe_cell
 from auralake.plans.registry import Views, query
 
 ROLES_SEEING_ALL = ("reviewer", "security", "maintenance", "admin")
@@ -14,17 +13,23 @@ CLOSED_STATUSES = ("Reviewed", "Closed")
 
 
 def with_effective(events: DataFrame) -> DataFrame:
-    """effective_class and effective_severity: the reviewer's value unless blank or null, else the automatic one."""
+    """effective_class, effective_severity and, where events have actions, effective_action: the reviewer's value unless blank or null, else the automatic one."""
     pick = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))
-    return events.withColumns(
-        {"effective_class": pick("reviewed_class", "final_class"), "effective_severity": pick("reviewed_severity", "severity")}
-    )
+    found = {"effective_class": pick("reviewed_class", "final_class"), "effective_severity": pick("reviewed_severity", "severity")}
+    if "recommended_action" in events.columns:
+        found["effective_action"] = pick("reviewed_action", "recommended_action")
+    return events.withColumns(found)
 
 
 def local_day(column: str, zone: str) -> Column:
     return F.to_date(F.from_utc_timestamp(column, zone))
 
 
+def day_start(day: str, zone: str, later: int = 0) -> Column:
+    """The instant at which a local day (or the one `later` days after) begins: a constant, so a filter on it reaches the scan."""
+    return F.to_utc_timestamp(F.to_timestamp(F.date_add(F.to_date(F.lit(day)), later)), zone)
+
+
 def validate_filters(filters: dict) -> None:
     """Reject unknown names and reversed ranges."""
     known = {"text", "category", "severity", "quality", "source", "owner", "date_from", "date_to", "min_confidence", "max_confidence", "review"}
@@ -47,9 +52,9 @@ def search(events: DataFrame, filters: dict, zone: str = "UTC") -> DataFrame:
         if name in f:
             df = df.filter(F.col(column) == f[name])
     if "date_from" in f:
-        df = df.filter(local_day("created_at", zone) >= F.to_date(F.lit(f["date_from"])))
+        df = df.filter(F.col("created_at") >= day_start(f["date_from"], zone))
     if "date_to" in f:
-        df = df.filter(local_day("created_at", zone) <= F.to_date(F.lit(f["date_to"])))
+        df = df.filter(F.col("created_at") < day_start(f["date_to"], zone, 1))
     if "min_confidence" in f:
         df = df.filter(F.col("python_confidence") >= f["min_confidence"] / 100)
     if "max_confidence" in f:
@@ -64,14 +69,20 @@ def search(events: DataFrame, filters: dict, zone: str = "UTC") -> DataFrame:
     return df.filter(states[f["review"]]) if "review" in f else df
 
 
-def visible(rows: DataFrame, users: DataFrame, owner_col: str = "owner") -> DataFrame:
-    """(viewer, row) pairs: every row for a viewer whose role sees all, else the viewer's own rows.
+def visible(rows: DataFrame, owner_col: str = "owner") -> DataFrame:
+    """rows with `scope`: once under their owner, and once under '*' for the viewers that see all."""
+    return rows.withColumn("scope", F.explode(F.array(F.lit("*"), F.col(owner_col)))).filter("scope IS NOT NULL")
+
+
+def viewer_scopes(users: DataFrame) -> DataFrame:
+    """users (viewer, role) with the scope of `visible` that each may read: '*' for roles that see all, else their own name."""
+    return users.withColumn("scope", F.when(F.col("role").isin(*ROLES_SEEING_ALL), "*").otherwise(F.col("viewer")))
 
-    users: viewer, role.  Both branches are equi-joins or a union per viewer; the
-    list of viewers that see all is small and named explicitly.
-    """
-    own = rows.join(users.filter(~F.col("role").isin(*ROLES_SEEING_ALL)).select(F.col("viewer").alias(owner_col)), owner_col)
-    return own.withColumn("viewer", F.col(owner_col))
+
+def visible_counts(rows: DataFrame, users: DataFrame, owner_col: str = "owner") -> DataFrame:
+    """(viewer, role, n): how many rows each viewer may see; counts are joined by scope, so no viewer is paired with rows."""
+    counted = visible(rows, owner_col).groupBy("scope").agg(F.count("*").alias("n"))
+    return viewer_scopes(users).join(counted, "scope", "left").select("viewer", "role", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def visible_to(rows: DataFrame, viewer: str, role: str, owner_col: str = "owner") -> DataFrame:
@@ -109,34 +120,26 @@ def panels(events: DataFrame, n: int = 6) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= n)
 
 
-def export_rows(events: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Spreadsheet rows: events with their alerts joined as text; text cells are made safe."""
-    listed = alerts.groupBy("event_id").agg(
-        F.count("*").alias("n_alerts"), F.array_join(F.sort_array(F.collect_set("status")), "; ").alias("alert_statuses")
-    )
-    df = with_effective(events).join(listed, "event_id", "left")
-    return df.select(
-        "event_id", "code", "owner", "source", safe_cell("filename").alias("filename"), safe_cell("comment").alias("comment"),
-        "effective_class", "effective_severity", F.coalesce("n_alerts", F.lit(0)).alias("n_alerts"),
-        F.coalesce("alert_statuses", F.lit("")).alias("alert_statuses"),
-    )
-
-
 def compared_classes(scores: DataFrame) -> DataFrame:
-    """Full outer join of two models' class scores: (key, class_no, p, p2, difference), missing scores 0."""
+    """Full outer join of two models' class scores: (window_id, class_no, p, p2, difference, larger).
+
+    A class that one model does not know has no score there and no difference;
+    larger, by which a report is ordered, takes a missing score as 0.
+    """
     one = scores.filter("p IS NOT NULL").select("window_id", "class_no", "p")
     two = scores.filter("p2 IS NOT NULL").select("window_id", "class_no", "p2")
-    both = one.join(two, ["window_id", "class_no"], "full_outer").fillna(0.0, ["p", "p2"])
+    both = one.join(two, ["window_id", "class_no"], "full_outer")
     return both.withColumns({"difference": F.abs(F.col("p") - F.col("p2")), "larger": F.greatest("p", "p2")})
 
 
-_EFFECTIVE = "coalesce(nullif(reviewed_class, ''), final_class) AS effective_class, coalesce(nullif(reviewed_severity, ''), severity) AS effective_severity"
-_EVENTS = f"(SELECT *, {_EFFECTIVE} FROM {{sound_events}}) e"
+_EFFECTIVE = """coalesce(nullif(reviewed_class, ''), final_class) AS effective_class, coalesce(nullif(reviewed_severity, ''), severity) AS effective_severity,
+    coalesce(nullif(reviewed_action, ''), recommended_action) AS effective_action"""
+EVENTS_SQL = _EVENTS = f"(SELECT *, {_EFFECTIVE} FROM {{sound_events}}) e"
 
 
-@query("p1_effective_values", f"SELECT event_id, effective_class, effective_severity FROM {_EVENTS}")
+@query("p1_effective_values", f"SELECT event_id, effective_class, effective_severity, effective_action FROM {_EVENTS}")
 def _p1(v: Views) -> DataFrame:
-    return with_effective(v.sound_events).select("event_id", "effective_class", "effective_severity")
+    return with_effective(v.sound_events).select("event_id", "effective_class", "effective_severity", "effective_action")
 
 
 @query(
@@ -155,14 +158,24 @@ def _p2b(v: Views) -> DataFrame:
     return search(v.sound_events, {"review": "corrected"}).select("event_id")
 
 
+@query(
+    "p2_search_local_days",
+    f"SELECT event_id FROM {_EVENTS} WHERE CAST(created_at + INTERVAL 5 HOUR AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-06' AND (lower(code) = 'clip_3' OR contains(lower(filename), 'clip_3'))",
+)
+def _p2c(v: Views) -> DataFrame:
+    return search(v.sound_events, {"date_from": "2024-01-05", "date_to": "2024-01-06", "text": " CLIP_3"}, "Asia/Karachi").select("event_id")
+
+
+_ROLE = "CASE user_id % 7 WHEN 0 THEN 'admin' WHEN 3 THEN 'reviewer' ELSE 'user' END"
+
+
 @query(
     "p4_row_visibility",
-    "SELECT e.owner AS viewer, count(*) AS n FROM {sound_events} e JOIN (SELECT DISTINCT owner FROM {sound_events} WHERE session_id % 3 = 0) u ON u.owner = e.owner GROUP BY e.owner",
+    f"""SELECT viewer, role, CASE WHEN role IN ('reviewer', 'admin') THEN (SELECT count(*) FROM {{sound_events}}) ELSE (SELECT count(*) FROM {{sound_events}} e WHERE e.owner = viewer) END AS n
+    FROM (SELECT username AS viewer, {_ROLE} AS role FROM {{users}})""",
 )
 def _p4(v: Views) -> DataFrame:
-    role = F.when(F.col("session_id") % 3 == 0, "user").otherwise("reviewer")
-    users = v.sound_events.select(F.col("owner").alias("viewer"), role.alias("role")).distinct()
-    return visible(v.sound_events, users).groupBy("viewer").agg(F.count("*").alias("n"))
+    return visible_counts(v.sound_events, v.users.select(F.col("username").alias("viewer"), F.expr(_ROLE).alias("role")))
 
 
 @query(
@@ -195,10 +208,11 @@ def _j9(v: Views) -> DataFrame:
 
 @query(
     "j15_class_comparison",
-    "SELECT window_id, class_no, p, p2, abs(p - p2) AS difference, greatest(p, p2) AS larger FROM {scores}",
+    """SELECT coalesce(a.window_id, b.window_id) AS window_id, coalesce(a.class_no, b.class_no) AS class_no, p, p2, abs(p - p2) AS difference, greatest(coalesce(p, 0), coalesce(p2, 0)) AS larger
+    FROM (SELECT window_id, class_no, p FROM {scores} WHERE class_no <= 7) a FULL JOIN (SELECT window_id, class_no, p2 FROM {scores} WHERE class_no >= 2) b ON a.window_id = b.window_id AND a.class_no = b.class_no""",
 )
 def _j15(v: Views) -> DataFrame:
-    return compared_classes(v.scores)
+    return compared_classes(v.scores.withColumns({"p": F.when(F.col("class_no") <= 7, F.col("p")), "p2": F.when(F.col("class_no") >= 2, F.col("p2"))}))
 
 
 @query(
@@ -247,13 +261,3 @@ def _w11(v: Views) -> DataFrame:
     df = v.sound_events.withColumn("day", local_day("created_at", "UTC"))
     w = Window.partitionBy("day").orderBy(F.desc("created_at"), "event_id")
     return df.select("day", "event_id", F.row_number().over(w).alias("place"))
-
-
-@query(
-    "io7_event_export",
-    f"""SELECT e.event_id, code, owner, source, filename, CASE WHEN left(comment, 1) IN ('=', '+', '-', '@') THEN '''' || comment ELSE comment END AS comment,
-    effective_class, effective_severity, coalesce(n_alerts, 0) AS n_alerts, coalesce(alert_statuses, '') AS alert_statuses FROM {_EVENTS}
-    LEFT JOIN (SELECT event_id, count(*) AS n_alerts, string_agg(DISTINCT status, '; ' ORDER BY status) AS alert_statuses FROM {{alerts}} GROUP BY event_id) a ON a.event_id = e.event_id""",
-)
-def _io7(v: Views) -> DataFrame:
-    return export_rows(v.sound_events, v.alerts)

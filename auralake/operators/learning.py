@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auralake.operators.dataset import first_per_class, group_splits, stable_order
+from auralake.operators.dataset import first_per_class, stable_order
 from auralake.operators.evaluation import class_metrics, confusion
 from auralake.plans.registry import Views, query
 
@@ -47,7 +47,7 @@ def shortcut_probe(rows: DataFrame, per_class: int = 60, folds: int = 5) -> Data
     feature; accuracy far above chance means that the format gives the class away.
     """
     sample = first_per_class(rows, per_class, "y", [stable_order("0", "key"), "key"]).withColumn("fold", F.pmod(F.hash("group_id"), F.lit(folds)))
-    data = sample.select("fold", F.col("y").cast("double").alias("label"), array_to_vector("features").alias("features")).cache()
+    data = sample.select("fold", F.col("y").cast("double").alias("label"), array_to_vector("features").alias("features"))
     out = None
     for k in range(folds):
         model = RandomForestClassifier(numTrees=20, maxDepth=5, seed=7).fit(data.filter(F.col("fold") != k))
@@ -56,16 +56,6 @@ def shortcut_probe(rows: DataFrame, per_class: int = 60, folds: int = 5) -> Data
     return out
 
 
-def extend_splits(known: DataFrame, new: DataFrame) -> DataFrame:
-    """(group_id, split): known groups keep their split; a new group is placed once, by the class with most of its new clips.
-
-    new: class_name, group_id, n.
-    """
-    fresh = new.join(known.select("group_id"), "group_id", "left_anti")
-    owner = fresh.groupBy("group_id").agg(F.max(F.struct("n", "class_name")).alias("o"), F.sum("n").alias("n")).select("group_id", F.col("o.class_name").alias("class_name"), "n")
-    return known.select("group_id", "split").unionByName(group_splits(owner).select("group_id", "split"))
-
-
 def _features(v: Views) -> DataFrame:
     return v.embeddings.select("vec_id", F.col("label").alias("y"), F.col("embedding").cast("array<double>").alias("features"))
 
@@ -85,13 +75,3 @@ def _l5(v: Views) -> DataFrame:
 def _ml2(v: Views) -> DataFrame:
     rows = v.embeddings.select(F.col("vec_id").cast("string").alias("key"), F.col("label").alias("y"), (F.col("vec_id") % 97).alias("group_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 5).alias("features"))
     return shortcut_probe(rows)
-
-
-@query("g2_extended_splits", "SELECT group_id, count(*) AS n FROM (SELECT DISTINCT group_id FROM {clips}) GROUP BY group_id")
-def _g2(v: Views) -> DataFrame:
-    """Every group is placed exactly once."""
-    old = v.clips.filter("clip_no % 3 = 0").groupBy("group_id").agg(F.min("split").alias("split"))
-    new = v.clips.filter("clip_no % 3 <> 0").groupBy("class_name", "group_id").agg(F.count("*").alias("n"))
-    return extend_splits(old, new).groupBy("group_id").agg(F.count("*").alias("n"))
-
-

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auralake.functions.rules import BACKGROUND, UNKNOWN
+from auralake.functions.rules import BACKGROUND, NON_EVENTS, UNKNOWN
 from auralake.plans.registry import Views, query
 
 
@@ -17,48 +20,87 @@ def longest_run(windows: DataFrame, keys: list[str], order: list[str], value: st
     return runs.groupBy(*keys, value).agg(F.max("n").alias("longest"))
 
 
-def event_spans(windows: DataFrame, key: str, start: str, end: str, value: str) -> DataFrame:
-    """Windows merged with the previous one when the class is the same and they touch: (key, class, start, end, n)."""
+def event_spans(windows: DataFrame, key: str, start: str, end: str, value: str, confidence: str, min_confidence: float) -> DataFrame:
+    """(key, class, start, end, n): windows of an event merged with the previous kept one when the class is the same and they touch.
+
+    Windows of a class that is no event, or below min_confidence, are left out
+    first, so they neither show nor part two marks that touch.
+    """
+    kept = windows.filter(~F.col(value).isin(*NON_EVENTS) & (F.col(confidence) >= min_confidence))
     w = Window.partitionBy(key).orderBy(start, "window_id")
     fresh = ~((F.lag(value).over(w) == F.col(value)) & (F.col(start) <= F.lag(end).over(w)))
-    marked = windows.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int"))
+    marked = kept.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int"))
     numbered = marked.withColumn("span", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "span").agg(
-        F.first(value).alias(value), F.min(start).alias("span_start"), F.max(end).alias("span_end"), F.count("*").alias("n")
+        F.first(value).alias(value), F.min(start).alias("span_start"), F.max_by(end, F.struct(start, "window_id")).alias("span_end"), F.count("*").alias("n")
     )
 
 
-def repeats_in_period(windows: DataFrame, seconds: int, key: str = "session_id", at: str = "seen_at", value: str = "class_name") -> DataFrame:
-    """repeats: earlier windows of the same class within `seconds`, back to the last window of another class.
+def repeats_in_period(
+    windows: DataFrame, seconds: int, key: str = "session_id", at: str = "seen_at", value: str = "class_name", chunk_seconds: int = 86_400
+) -> DataFrame:
+    """repeats: earlier windows of the same class within `seconds`, going back to the first that heard another class.
 
-    Background and unknown windows neither count nor break the chain; a window
-    that is itself neutral gets 0.  Windows at the same time are ordered by id.
+    Background and unknown windows do not stop the count, and a window of one of
+    these counts its own class up to the last window of an event.  Windows at the
+    same time are ordered by id.  Nothing older than `seconds` matters, so a
+    session is cut into chunks of time, each with the windows of one period
+    before it: a microphone that is always on gives many small groups.
     """
-    sounding = windows.filter(~F.col(value).isin(BACKGROUND, UNKNOWN))
-    w = Window.partitionBy(key).orderBy(at, "window_id")
-    changed = sounding.withColumn("changed", F.coalesce((F.lag(value).over(w) != F.col(value)).cast("int"), F.lit(1)))
-    islands = changed.withColumn("island", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    period = Window.partitionBy(key, "island").orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000, -1)
-    counted = islands.select(key, "window_id", F.count("*").over(period).alias("repeats"))
-    return windows.join(counted, [key, "window_id"], "left").fillna(0, ["repeats"])
-
-
-def alert_episodes(windows: DataFrame, seconds: int, key: str = "session_id", at: str = "seen_at", value: str = "class_name") -> DataFrame:
-    """(key, class, episode start, windows): an alert-worthy window joins the alert created at most `seconds` before, else makes one.
-
-    The gap counts from the alert's creation, so this is a fold, not a session
-    window; it runs over one session, class and day's chunk of windows, so a
-    microphone that stays on for long has no unbounded group.
+    width = max(chunk_seconds, seconds) * 1_000_000
+    neutral = F.col(value).isin(BACKGROUND, UNKNOWN)
+    timed = windows.withColumns({"_t": F.unix_micros(at), "_neutral": neutral})
+    own = F.floor(F.col("_t") / width)
+    next_too = F.when((own + 1) * width - F.col("_t") <= seconds * 1_000_000, own + 1)  # seen from the next chunk
+    spread = timed.withColumn("_own", own).withColumn("_chunk", F.explode(F.array_compact(F.array(own, next_too))))
+    chunk = Window.partitionBy(key, "_chunk")
+    w = chunk.orderBy("_t", "window_id")
+    heard = F.last(F.when(~F.col("_neutral"), F.col(value)), ignorenulls=True)
+    before = heard.over(w.rowsBetween(Window.unboundedPreceding, -1))
+    changed = F.when(~F.col("_neutral"), F.coalesce((before != F.col(value)).cast("int"), F.lit(1))).otherwise(0)
+    # an event's run of one class goes on over neutral windows; a neutral window's ends at the next event
+    marked = spread.withColumns({"_changed": changed, "_event": (~F.col("_neutral")).cast("int")})
+    to_here = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = F.when(F.col("_neutral"), F.sum("_event").over(to_here)).otherwise(F.sum("_changed").over(to_here))
+    same = Window.partitionBy(key, "_chunk", value, "_run").orderBy("_t")
+    earlier = F.row_number().over(same.orderBy("_t", "window_id")) - 1
+    too_old = F.count("*").over(same.rangeBetween(Window.unboundedPreceding, -seconds * 1_000_000 - 1))
+    counted = marked.withColumn("_run", run).withColumn("repeats", F.greatest(earlier - too_old, F.lit(0)))
+    return counted.filter("_chunk = _own").select(*windows.columns, "repeats")
+
+
+def alert_episodes(
+    windows: DataFrame, seconds: int, key: str = "session_id", at: str = "seen_at", value: str = "class_name", resolutions: DataFrame | None = None
+) -> DataFrame:
+    """(key, class, started, windows): an alert-worthy window joins the alert created at most `seconds` before, else makes one.
+
+    The gap counts from the alert's creation, so this is a fold over the windows
+    of a session and class in time order.  resolutions (key, class, time) close
+    the alert that is open then; windows of the same moment come first.  The fold
+    runs over sorted partitions and holds one open alert, however many windows a
+    session has; nothing is collected.
     """
-    day = F.to_date(at)
-    ordered = windows.groupBy(key, value, day.alias("day")).agg(F.sort_array(F.collect_list(F.unix_micros(at))).alias("times"))
-    fold = F.expr(
-        f"""aggregate(times, cast(array() as array<struct<start:bigint,n:int>>), (s, t) ->
-        IF(size(s) > 0 AND t - s[size(s) - 1].start <= {seconds * 1_000_000}L,
-        concat(slice(s, 1, size(s) - 1), array(named_struct('start', s[size(s) - 1].start, 'n', s[size(s) - 1].n + 1))),
-        concat(s, array(named_struct('start', t, 'n', 1)))))"""
-    )
-    return ordered.select(key, value, F.explode(fold).alias("e")).select(key, value, F.timestamp_micros("e.start").alias("started"), F.col("e.n").alias("windows"))
+    kind = windows.schema[key].dataType.simpleString()
+    rows = windows.select(key, value, F.unix_micros(at).alias("t"), F.lit(0).alias("resolved"))
+    if resolutions is not None:
+        rows = rows.unionByName(resolutions.select(key, value, F.unix_micros(at).alias("t"), F.lit(1).alias("resolved")))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        limit, group, start, n = seconds * 1_000_000, None, None, 0
+        for pdf in batches:
+            out = []
+            for k, c, t, resolved in zip(pdf[key], pdf[value], pdf["t"], pdf["resolved"], strict=True):
+                if n and ((k, c) != group or resolved or t - start > limit):
+                    out.append((*group, start, n))
+                    n = 0
+                if not resolved:
+                    group, start, n = (k, c), start if n else t, n + 1
+            yield pd.DataFrame(out, columns=[key, value, "start", "windows"])
+        yield pd.DataFrame([(*group, start, n)] if n else [], columns=[key, value, "start", "windows"])
+
+    ordered = rows.repartition(key, value).sortWithinPartitions(key, value, "t", "resolved")
+    folded = ordered.mapInPandas(fold, f"{key} {kind}, {value} string, start long, windows int")
+    return folded.select(key, value, F.timestamp_micros("start").alias("started"), "windows")
 
 
 def since_acknowledged(audit: DataFrame, acknowledged: DataFrame, key: str, now: str, minutes: int) -> DataFrame:
@@ -69,23 +111,56 @@ def since_acknowledged(audit: DataFrame, acknowledged: DataFrame, key: str, now:
     return joined.filter(F.col("acknowledged_at").isNull() | (F.col("created_at") >= F.col("acknowledged_at"))).drop("acknowledged_at")
 
 
-def counters(audit: DataFrame, acknowledged: DataFrame, now: str, minutes: int, at_least: int) -> DataFrame:
-    """(kind, key, n) of every key with at least `at_least` rows in its period: uploads by user, logins by user and by address."""
+#: kind of notice: how many rows, within how many minutes.  Fixed values.
+LIMITS = {"uploads": (5, 15), "logins": (5, 15), "duplicates": (3, 60), "critical alerts": (5, 60), "second model": (5, 60)}
+
+
+def occurrences(audit: DataFrame, records: DataFrame, alerts: DataFrame, events: DataFrame) -> DataFrame:
+    """(kind, key, created_at) of everything that is counted: rejected uploads, failed logins, repeated files, critical alerts, second-model errors.
+
+    records: owner, uploaded_at, duplicate (boolean); a blank user counts for no key.
+    """
+    named = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    by_name = F.concat(F.lit("username:"), F.col("username"))
     keys = F.array(
-        F.when((F.col("action") == "upload_rejected") & (F.col("username") != ""), F.struct(F.lit("uploads").alias("kind"), F.concat(F.lit("username:"), F.col("username")).alias("key"))),
-        F.when((F.col("action") == "login_failed") & (F.col("username") != ""), F.struct(F.lit("logins").alias("kind"), F.concat(F.lit("username:"), F.col("username")).alias("key"))),
-        F.when((F.col("action") == "login_failed") & F.col("ip_address").isNotNull(), F.struct(F.lit("logins").alias("kind"), F.concat(F.lit("ip_address:"), F.col("ip_address")).alias("key"))),
+        F.when((F.col("action") == "upload_rejected") & (F.col("username") != ""), named("uploads", by_name)),
+        F.when((F.col("action") == "login_failed") & (F.col("username") != ""), named("logins", by_name)),
+        F.when((F.col("action") == "login_failed") & F.col("ip_address").isNotNull(), named("logins", F.concat(F.lit("ip_address:"), F.col("ip_address")))),
     )
-    rows = audit.select("created_at", F.explode(F.array_compact(keys)).alias("x")).select("created_at", "x.*")
-    counted = since_acknowledged(rows, acknowledged, "key", now, minutes).groupBy("kind", "key").agg(F.count("*").alias("n"))
-    return counted.filter(F.col("n") >= at_least)
+    logged = audit.select("created_at", F.explode(F.array_compact(keys)).alias("x")).select("x.kind", "x.key", "created_at")
+    copies = records.filter("duplicate").select(F.lit("duplicates").alias("kind"), F.col("owner").alias("key"), F.col("uploaded_at").alias("created_at"))
+    critical = alerts.filter("critical").select(F.lit("critical alerts").alias("kind"), F.lit("").alias("key"), "created_at")
+    errors = events.filter("gtm_error <> ''").select(F.lit("second model").alias("kind"), F.lit("GTM").alias("key"), "created_at")
+    return logged.unionByName(copies).unionByName(critical).unionByName(errors)
+
 
+def counters(found: DataFrame, acknowledged: DataFrame, now: str, limits: dict[str, tuple[int, int]] = LIMITS) -> DataFrame:
+    """(kind, key, n) of every key that reaches its kind's limit: rows of the kind's last minutes, none before its latest acknowledgement.
 
-def low_confidence_spike(events: DataFrame, now: str, at_least: int = 10, share: float = 0.5) -> DataFrame:
-    """One row: results and Low results of the last hour and of the seven days before, and whether that is a spike."""
+    found: kind, key, created_at (see occurrences); acknowledged: kind, key,
+    acknowledged_at.  All kinds are counted in one pass with partial sums; a key
+    without its own acknowledgement is counted whole.
+    """
+    t = F.to_timestamp(F.lit(now))
+    minutes = F.create_map(*[F.lit(x) for k, (_, m) in limits.items() for x in (k, m)])
+    least = F.create_map(*[F.lit(x) for k, (n, _) in limits.items() for x in (k, n)])
+    longest = max(m for _, m in limits.values())
+    recent = found.filter((F.col("created_at") >= t - F.expr(f"INTERVAL {longest} MINUTES")) & F.col("kind").isin(*limits))
+    recent = recent.filter(F.col("created_at") >= t - F.make_dt_interval(mins=minutes[F.col("kind")]))
+    latest = acknowledged.groupBy("kind", "key").agg(F.max("acknowledged_at").alias("acknowledged_at"))
+    open_rows = recent.join(latest, ["kind", "key"], "left").filter("acknowledged_at IS NULL OR created_at >= acknowledged_at")
+    return open_rows.groupBy("kind", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least[F.col("kind")])
+
+
+def low_confidence_spike(events: DataFrame, now: str, at_least: int = 10, share: float = 0.5, acknowledged_at: str | None = None) -> DataFrame:
+    """One row: results and Low results of the last hour and of the seven days before, and whether that is a spike.
+
+    Of the last hour only what came since the notice was acknowledged counts.
+    """
     t = F.to_timestamp(F.lit(now))
-    hour = (F.col("created_at") >= t - F.expr("INTERVAL 1 HOUR"))
-    week = (F.col("created_at") >= t - F.expr("INTERVAL 7 DAYS")) & ~hour
+    last_hour = F.col("created_at") >= t - F.expr("INTERVAL 1 HOUR")
+    hour = last_hour & (F.col("created_at") >= F.to_timestamp(F.lit(acknowledged_at))) if acknowledged_at else last_hour
+    week = (F.col("created_at") >= t - F.expr("INTERVAL 7 DAYS")) & ~last_hour
     low = F.col("confidence_level") == "Low"
     one = events.agg(F.count_if(hour).alias("recent"), F.count_if(hour & low).alias("recent_low"), F.count_if(week).alias("before"), F.count_if(week & low).alias("before_low"))
     usual = F.when(F.col("before") > 0, F.col("before_low") / F.col("before")).otherwise(0.0)
@@ -107,10 +182,11 @@ def ongoing_alert(windows: DataFrame, alerts: DataFrame, seconds: int) -> DataFr
     return carried.filter("window_id IS NOT NULL").select("window_id", F.when(fresh, F.col("latest.alert_id")).alias("alert_id"))
 
 
-def latest_request(audit: DataFrame) -> DataFrame:
-    """(username, requested_role) of each user's latest registration."""
+def latest_request(users: DataFrame, audit: DataFrame, text: str = "") -> DataFrame:
+    """users whose name contains the text in any case, with requested_role of their latest registration (null: none)."""
     rows = audit.filter("action = 'register' AND username <> ''")
-    return rows.groupBy("username").agg(F.max_by("requested_role", F.struct("created_at", "id")).alias("requested_role"))
+    latest = rows.groupBy("username").agg(F.max_by("requested_role", F.struct("created_at", "id")).alias("requested_role"))
+    return users.filter(F.contains(F.lower("username"), F.lit(text.strip().lower()))).join(latest, "username", "left")
 
 
 @query(
@@ -122,53 +198,74 @@ def _w1(v: Views) -> DataFrame:
     return longest_run(v.live_windows, ["session_id"], ["seen_at", "window_id"], "class_name")
 
 
-
-
 @query(
     "w2_event_spans",
-    """SELECT session_id, span, any_value(class_name) AS class_name, min(s) AS span_start, max(e) AS span_end, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY session_id ORDER BY s, window_id ROWS UNBOUNDED PRECEDING) AS span FROM (
-    SELECT *, CASE WHEN lag(class_name) OVER w = class_name AND s <= lag(e) OVER w THEN 0 ELSE 1 END AS f FROM (SELECT session_id, window_id, class_name, floor(epoch(seen_at)) AS s, floor(epoch(seen_at)) + 7200 AS e FROM {live_windows})
-    WINDOW w AS (PARTITION BY session_id ORDER BY s, window_id))) GROUP BY session_id, span""",
+    """SELECT session_id, span, any_value(class_name) AS class_name, min(s) AS span_start, arg_max(e, (s, window_id)) AS span_end, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY session_id ORDER BY s, window_id ROWS UNBOUNDED PRECEDING) AS span FROM (
+    SELECT *, CASE WHEN lag(class_name) OVER w = class_name AND s <= lag(e) OVER w THEN 0 ELSE 1 END AS f FROM (SELECT session_id, window_id, class_name, floor(epoch(seen_at)) AS s, floor(epoch(seen_at)) + 28800 AS e FROM {live_windows}
+    WHERE class_name <> 'Background Noise' AND window_id % 4 <> 0) WINDOW w AS (PARTITION BY session_id ORDER BY s, window_id))) GROUP BY session_id, span""",
 )
 def _w2(v: Views) -> DataFrame:
-    rows = v.live_windows.withColumn("s", F.floor(F.unix_micros("seen_at") / 1e6).cast("double")).withColumn("e", F.col("s") + 7200)
-    return event_spans(rows, "session_id", "s", "e", "class_name")
+    rows = v.live_windows.withColumns({"s": F.floor(F.unix_micros("seen_at") / 1e6).cast("double"), "confidence": F.when(F.col("window_id") % 4 == 0, 0.4).otherwise(0.5)})
+    return event_spans(rows.withColumn("e", F.col("s") + 28_800), "session_id", "s", "e", "class_name", "confidence", 0.5)
+
+
+_HEARD = "(SELECT *, date_trunc('hour', seen_at) AS h FROM {live_windows})"
 
 
 @query(
     "w3_repeats_in_period",
-    """WITH s AS (SELECT *, sum(c) OVER (PARTITION BY session_id ORDER BY seen_at, window_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN lag(class_name) OVER (PARTITION BY session_id ORDER BY seen_at, window_id) = class_name THEN 0 ELSE 1 END AS c FROM {live_windows} WHERE class_name NOT IN ('Background Noise', 'Unknown')))
-    SELECT l.session_id, l.window_id, coalesce((SELECT count(*) FROM s b JOIN s o ON o.session_id = b.session_id AND o.g = b.g AND o.seen_at < b.seen_at AND epoch_us(o.seen_at) >= epoch_us(b.seen_at) - 36000 * 1000000::BIGINT WHERE b.window_id = l.window_id AND b.session_id = l.session_id), 0) AS repeats FROM {live_windows} l""",
+    f"""WITH w AS (SELECT session_id, window_id, class_name, h FROM {_HEARD}) SELECT a.session_id, a.window_id, (SELECT count(*) FROM w b WHERE b.session_id = a.session_id AND b.class_name = a.class_name AND (b.h, b.window_id) < (a.h, a.window_id) AND b.h >= a.h - INTERVAL 36 HOUR
+    AND NOT EXISTS (SELECT 1 FROM w x WHERE x.session_id = a.session_id AND x.class_name NOT IN (a.class_name, 'Background Noise', 'Unknown') AND (x.h, x.window_id) > (b.h, b.window_id) AND (x.h, x.window_id) < (a.h, a.window_id))) AS repeats FROM w a""",
 )
 def _w3(v: Views) -> DataFrame:
-    return repeats_in_period(v.live_windows, 36_000).select("session_id", "window_id", "repeats")
+    """Times cut to the hour, so that many windows share one."""
+    hourly = v.live_windows.withColumn("seen_at", F.date_trunc("hour", "seen_at"))
+    return repeats_in_period(hourly, 129_600).select("session_id", "window_id", "repeats")
 
 
 @query(
     "w4_alert_episodes",
-    """WITH RECURSIVE o AS (SELECT session_id, class_name, CAST(seen_at AS DATE) AS day, epoch_us(seen_at) AS t, row_number() OVER (PARTITION BY session_id, class_name, CAST(seen_at AS DATE) ORDER BY seen_at, window_id) AS n FROM {live_windows} WHERE alerting),
-    r AS (SELECT session_id, class_name, day, t, n, t AS s FROM o WHERE n = 1 UNION ALL SELECT o.session_id, o.class_name, o.day, o.t, o.n, CASE WHEN o.t - r.s <= 14400 * 1000000::BIGINT THEN r.s ELSE o.t END
-    FROM r JOIN o ON o.session_id = r.session_id AND o.class_name = r.class_name AND o.day = r.day AND o.n = r.n + 1)
-    SELECT session_id, class_name, make_timestamp(s) AS started, CAST(count(*) AS INTEGER) AS windows FROM r GROUP BY session_id, class_name, day, s""",
+    """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY session_id, class_name ORDER BY t, resolved) AS n FROM (SELECT session_id, class_name, epoch_us(seen_at) AS t, CASE WHEN window_id % 9 = 4 THEN 1 ELSE 0 END AS resolved FROM {live_windows} WHERE alerting)),
+    r AS (SELECT session_id, class_name, n, CASE WHEN resolved = 0 THEN t END AS s FROM o WHERE n = 1 UNION ALL
+    SELECT o.session_id, o.class_name, o.n, CASE WHEN o.resolved = 1 THEN NULL WHEN r.s IS NOT NULL AND o.t - r.s <= 144000 * 1000000::BIGINT THEN r.s ELSE o.t END FROM r JOIN o ON o.session_id = r.session_id AND o.class_name = r.class_name AND o.n = r.n + 1)
+    SELECT session_id, class_name, make_timestamp(s) AS started, CAST(count(*) AS INTEGER) AS windows FROM r WHERE s IS NOT NULL GROUP BY session_id, class_name, s""",
 )
 def _w4(v: Views) -> DataFrame:
-    return alert_episodes(v.live_windows.filter("alerting"), 14_400)
+    """Every ninth alerting window stands for the resolution of its session's alert."""
+    rows = v.live_windows.filter("alerting")
+    return alert_episodes(rows.filter("window_id % 9 <> 4"), 144_000, resolutions=rows.filter("window_id % 9 = 4"))
 
 
 _ACKS = "(SELECT 'username:' || username AS key, max(created_at) AS acknowledged_at FROM {audit} WHERE id % 50 = 0 AND username <> '' GROUP BY username)"
 _NOW = "TIMESTAMP '2024-01-15 00:00:00'"
+#: The given events are days apart, so the queries count over days.
+_DAYS = {"uploads": (5, 4320), "logins": (5, 4320), "duplicates": (3, 1440), "critical alerts": (5, 2880), "second model": (5, 1440)}
 
 
 @query(
     "a31_anomaly_counters",
-    f"""SELECT kind, x.key, count(*) AS n FROM (SELECT 'uploads' AS kind, 'username:' || username AS key, created_at FROM {{audit}} WHERE action = 'upload_rejected' AND username <> ''
+    f"""WITH found AS (SELECT 'uploads' AS kind, 'username:' || username AS key, created_at FROM {{audit}} WHERE action = 'upload_rejected' AND username <> ''
     UNION ALL SELECT 'logins', 'username:' || username, created_at FROM {{audit}} WHERE action = 'login_failed' AND username <> ''
-    UNION ALL SELECT 'logins', 'ip_address:' || ip_address, created_at FROM {{audit}} WHERE action = 'login_failed' AND ip_address IS NOT NULL) x LEFT JOIN {_ACKS} a ON a.key = x.key
-    WHERE created_at >= {_NOW} - INTERVAL 4320 MINUTE AND (acknowledged_at IS NULL OR created_at >= acknowledged_at) GROUP BY kind, x.key HAVING count(*) >= 5""",
+    UNION ALL SELECT 'logins', 'ip_address:' || ip_address, created_at FROM {{audit}} WHERE action = 'login_failed' AND ip_address IS NOT NULL
+    UNION ALL SELECT 'duplicates', owner, uploaded_at FROM (SELECT owner, TIMESTAMP '2024-01-14 00:00:00' + INTERVAL 9 HOUR * (record_id % 4) AS uploaded_at, min(record_id) OVER (PARTITION BY sha256) < record_id AS duplicate FROM {{records}}) WHERE duplicate
+    UNION ALL SELECT 'critical alerts', '', created_at + INTERVAL 9490 DAY FROM {{alerts}} WHERE critical UNION ALL SELECT 'second model', 'GTM', created_at FROM {{sound_events}} WHERE gtm_error <> ''),
+    acks AS (SELECT kind, key, max(created_at) AS acked FROM found WHERE (kind = 'logins' AND day(created_at) = 13) OR (kind = 'second model' AND hour(created_at) = 7) OR (kind = 'duplicates' AND key = 'user3') GROUP BY kind, key)
+    SELECT f.kind, f.key, count(*) AS n FROM found f LEFT JOIN acks a ON a.kind = f.kind AND a.key = f.key WHERE (acked IS NULL OR created_at >= acked)
+    AND created_at >= {_NOW} - CASE f.kind WHEN 'duplicates' THEN INTERVAL 1 DAY WHEN 'second model' THEN INTERVAL 1 DAY WHEN 'critical alerts' THEN INTERVAL 2 DAY ELSE INTERVAL 3 DAY END
+    GROUP BY f.kind, f.key HAVING count(*) >= CASE f.kind WHEN 'duplicates' THEN 3 ELSE 5 END""",
 )
 def _a31(v: Views) -> DataFrame:
-    acks = v.audit.filter("id % 50 = 0 AND username <> ''").select(F.concat(F.lit("username:"), F.col("username")).alias("key"), F.col("created_at").alias("acknowledged_at"))
-    return counters(v.audit, acks, "2024-01-15 00:00:00", 4320, 5)
+    first = v.records.groupBy("sha256").agg(F.min("record_id").alias("first"))
+    records = v.records.join(first, "sha256").select(
+        "owner", F.expr("TIMESTAMP '2024-01-14 00:00:00' + INTERVAL 9 HOUR * (record_id % 4)").alias("uploaded_at"), (F.col("first") < F.col("record_id")).alias("duplicate")
+    )
+    alerts = v.alerts.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 9490 DAYS"))
+    found = occurrences(v.audit, records, alerts, v.sound_events)
+    acked = (
+        ((F.col("kind") == "logins") & (F.day("created_at") == 13)) | ((F.col("kind") == "second model") & (F.hour("created_at") == 7))
+        | ((F.col("kind") == "duplicates") & (F.col("key") == "user3"))
+    )
+    return counters(found, found.filter(acked).withColumnRenamed("created_at", "acknowledged_at"), "2024-01-15 00:00:00", _DAYS)
 
 
 @query(
@@ -183,11 +280,11 @@ def _j11(v: Views) -> DataFrame:
 @query(
     "a32_low_confidence_spike",
     """SELECT *, recent >= 10 AND recent_low / recent >= 0.3 AND recent_low / recent >= 2 * CASE WHEN before > 0 THEN before_low / before ELSE 0 END AS spike FROM (
-    SELECT count(*) FILTER (h) AS recent, count(*) FILTER (h AND l) AS recent_low, count(*) FILTER (w AND NOT h) AS before, count(*) FILTER (w AND NOT h AND l) AS before_low FROM (
-    SELECT created_at >= TIMESTAMP '2024-01-15' - INTERVAL 1 HOUR AS h, created_at >= TIMESTAMP '2024-01-15' - INTERVAL 7 DAY AS w, confidence_level = 'Low' AS l FROM {sound_events}))""",
+    SELECT count(*) FILTER (h AND a) AS recent, count(*) FILTER (h AND a AND l) AS recent_low, count(*) FILTER (w AND NOT h) AS before, count(*) FILTER (w AND NOT h AND l) AS before_low FROM (
+    SELECT created_at >= TIMESTAMP '2024-01-14 23:15:00' AS a, created_at >= TIMESTAMP '2024-01-15' - INTERVAL 1 HOUR AS h, created_at >= TIMESTAMP '2024-01-15' - INTERVAL 7 DAY AS w, confidence_level = 'Low' AS l FROM {sound_events}))""",
 )
 def _a32(v: Views) -> DataFrame:
-    return low_confidence_spike(v.sound_events, "2024-01-15 00:00:00", share=0.3)
+    return low_confidence_spike(v.sound_events, "2024-01-15 00:00:00", share=0.3, acknowledged_at="2024-01-14 23:15:00")
 
 
 @query(
@@ -202,10 +299,11 @@ def _j12(v: Views) -> DataFrame:
 
 @query(
     "j14_latest_registration",
-    "SELECT username, arg_max(requested_role, (epoch_us(created_at), id)) AS requested_role FROM {audit} WHERE action = 'register' AND username <> '' GROUP BY username",
+    """SELECT u.username, u.user_code, r.requested_role FROM {users} u LEFT JOIN (SELECT username, arg_max(requested_role, (epoch_us(created_at), id)) AS requested_role FROM {audit} WHERE action = 'register' AND username <> '' GROUP BY username) r
+    ON r.username = u.username WHERE contains(u.username, 'ser1')""",
 )
 def _j14(v: Views) -> DataFrame:
-    return latest_request(v.audit)
+    return latest_request(v.users, v.audit, " SER1").select("username", "user_code", "requested_role")
 
 
 @query(

@@ -30,7 +30,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         f"""SELECT event_id, user_id AS session_id, 'user' || CAST(user_id AS STRING) AS owner, ts AS created_at,
         CASE event_id % 3 WHEN 0 THEN 'upload' WHEN 1 THEN 'live' ELSE 'demo' END AS source,
         'Clip_' || CAST(event_id % 97 AS STRING) || '.wav' AS filename,
-        'EVT-' || lpad(CAST(event_id AS STRING), 6, '0') AS code,
+        'EVT-' || lpad(CAST(event_id AS STRING), CAST(greatest(6, length(CAST(event_id AS STRING))) AS INT), '0') AS code,
         python_class, python_confidence, python_margin, gtm_class, gtm_confidence, quality_grade,
         gtm_class = python_class AS class_match,
         CASE WHEN gtm_class = '' THEN 'Uncertain' WHEN gtm_class = python_class THEN 'Acceptable Match' ELSE 'Disagreement' END AS consistency,
@@ -45,6 +45,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN event_id % 14 = 0 THEN 'Low' ELSE '' END AS reviewed_severity,
         CASE WHEN event_id % 5 = 0 THEN {_CLASS.format("(k + event_id % 2) % 6")} ELSE '' END AS reference_class,
         CASE WHEN gtm_class = '' AND k % 2 = 0 THEN 'timeout' ELSE '' END AS gtm_error,
+        CASE k % 4 WHEN 0 THEN 'wait' WHEN 1 THEN 'call' ELSE '' END AS recommended_action, CASE WHEN event_id % 14 = 0 THEN 'visit' ELSE '' END AS reviewed_action,
+        CASE WHEN event_id % 7 = 0 THEN 'rev' || CAST(k % 3 AS STRING) END AS reviewed_by, CASE WHEN event_id % 7 = 0 THEN ts + INTERVAL 2 HOUR END AS reviewed_at,
+        event_id % 997 AS record_id, 'first-' || CAST(k % 3 AS STRING) AS python_model_version, CASE WHEN gtm_class = '' THEN '' ELSE 'second-1' END AS gtm_model_version,
         CASE WHEN event_id % 9 = 0 THEN '=SUM(A' || CAST(k AS STRING) || ')' ELSE 'note ' || CAST(k AS STRING) END AS comment
         FROM {{scored_events}}""",
     ),
@@ -87,6 +90,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         CASE doc_id % 4 WHEN 0 THEN 'Reviewed' WHEN 1 THEN 'Manual Review' WHEN 2 THEN 'Closed' ELSE 'Classified' END AS status,
         doc_id % 3 = 0 AS review_required FROM {documents}""",
     ),
+    "audio_records": (
+        ("documents",),
+        """SELECT doc_id AS record_id, 'AUD-' || CAST(1000000 + doc_id AS STRING) AS record_code, doc_id % 40 AS owner_id, CASE WHEN doc_id % 3 = 1 THEN doc_id % 7 END AS session_id,
+        CASE WHEN doc_id % 11 = 0 THEN '@' ELSE '' END || 'take' || CAST(doc_id AS STRING) || '.wav' AS original_filename, CASE doc_id % 2 WHEN 0 THEN 'WAV' ELSE 'FLAC' END AS format,
+        CAST(n_chars % 600000 AS DOUBLE) / 1000 AS duration_s, 8000 + (doc_id % 6) * 8000 AS sample_rate, doc_id % 2 + 1 AS channels, CASE WHEN doc_id % 2 = 0 THEN 16 END AS bit_depth, CAST(n_chars AS BIGINT) AS file_size,
+        md5(text) AS sha256, CASE WHEN doc_id % 5 = 4 THEN doc_id - 4 END AS duplicate_of, CASE WHEN doc_id % 6 = 5 THEN doc_id - 5 END AS near_duplicate_of,
+        CASE doc_id % 3 WHEN 0 THEN 'Good' ELSE 'Poor' END AS quality_grade, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'noise: x' ELSE 'noise: x; clipping: y' END AS quality_issues FROM {documents}""",
+    ),
+    "users": (("customer",), "SELECT c_custkey AS user_id, 'user' || CAST(c_custkey AS STRING) AS username, 'USR-' || CAST(1000000 + c_custkey AS STRING) AS user_code FROM {customer}"),
+    "sessions": (("nation",), "SELECT n_nationkey AS session_id, 'SES-' || n_name AS session_code FROM {nation}"),
     "clips": (
         ("customer", "nation"),
         """SELECT c_custkey AS clip_no, 'src' || CAST(c_custkey % 6 AS STRING) AS source, lower(c_name) || '.wav' AS path, c_mktsegment AS class_name,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auralake.functions import text  # noqa: F401
-from auralake.operators import alerts, analytics, dataset, decision, evaluation, events, learning, neardup, sequences, signals  # noqa: F401
+from auralake.operators import alerts, analytics, dataset, decision, evaluation, events, export, learning, neardup, sequences, signals  # noqa: F401
 from auralake.plans.registry import QUERIES, SQL
 from auralake.sources import files  # noqa: F401
 from auralake.streaming import jobs  # noqa: F401

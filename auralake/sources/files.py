@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from auralake.plans.registry import Views, query
 
@@ -78,6 +79,20 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
 
 
+def write_export(rows: DataFrame, path: str, columns: tuple[tuple[str, str], ...]) -> None:
+    """Rows as CSV for spreadsheets: (heading, column) in order, a byte-order mark before the first heading of every file."""
+    named = [F.col(c).alias(("\ufeff" if i == 0 else "") + heading) for i, (heading, c) in enumerate(columns)]
+    rows.select(*named).write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
+
+
+def read_export(spark: SparkSession, path: str, schema: StructType, columns: tuple[tuple[str, str], ...]) -> DataFrame:
+    """The rows of write_export under their column names and types."""
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = raw.toDF(*(c.lstrip("\ufeff") for c in raw.columns))
+    return raw.select(*(F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(c) if kinds[c] == "string" else F.expr(f"try_cast(`{h}` AS {kinds[c]})").alias(c) for h, c in columns))
+
+
 def write_summary(stats: DataFrame, path: str) -> None:
     """Statistics as JSON lines."""
     stats.select(F.to_json(F.struct("*")).alias("value")).write.mode("errorifexists").text(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auralake.functions.rules import rule_table
 from auralake.functions.text import code
+from auralake.operators.ordering import numbered
 from auralake.operators import alerts, analytics, dataset, decision, evaluation, events, learning, neardup, sequences, signals
 from auralake.sources import files
 from auralake.streaming import jobs
@@ -113,11 +114,22 @@ def test_repeats_skip_neutral_windows(spark):
     first = windows(spark, "Machinery Fault", "Background Noise", "Machinery Fault", "Horn", "Machinery Fault", step=2)
     got = {r["window_id"]: r["repeats"] for r in sequences.repeats_in_period(first, 10).collect()}
     assert got == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0}
+    quiet = windows(spark, "Background Noise", "Unknown", "Background Noise", "Horn", "Background Noise", "Background Noise", step=2)
+    for chunk in (10, 86_400):
+        got = {r["window_id"]: r["repeats"] for r in sequences.repeats_in_period(quiet, 10, chunk_seconds=chunk).collect()}
+        assert got == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0, 5: 1}
+    same = {r["window_id"]: r["repeats"] for r in sequences.repeats_in_period(windows(spark, *["Horn"] * 4, step=0), 10).collect()}
+    assert same == {0: 0, 1: 1, 2: 2, 3: 3}
 
 
 def test_episodes_count_from_the_alert(spark):
     got = sorted((r["started"], r["windows"]) for r in sequences.alert_episodes(windows(spark, *["Gunshot"] * 5, step=25), 60).collect())
     assert got == [(T0, 3), (T0 + dt.timedelta(seconds=75), 2)]
+    late = windows(spark, "Gunshot", "Gunshot", step=15).withColumn("seen_at", F.expr("seen_at + INTERVAL '11:59:50' HOUR TO SECOND"))
+    assert [r["windows"] for r in sequences.alert_episodes(late, 60).collect()] == [2]  # over midnight
+    closed = windows(spark, "Gunshot", "Gunshot", "Gunshot", step=10)
+    ends = closed.filter("window_id = 1").withColumn("seen_at", F.expr("seen_at + INTERVAL 1 SECOND"))
+    assert sorted(r["windows"] for r in sequences.alert_episodes(closed, 60, resolutions=ends).collect()) == [1, 2]
 
 
 def test_longest_run_and_spans(spark):
@@ -175,11 +187,61 @@ def test_group_splits(spark):
         dataset.group_splits(g, (0.5, 0.2, 0.2))
 
 
+def test_runs_of_equal_groups_equal_the_rule_one_by_one():
+    rng = np.random.default_rng(3)
+    for weights in ([700_000, 150_000, 150_000], [1_000_000, 0, 0], [500_000, 0, 500_000]):
+        for _ in range(400):
+            counts, n, m = [int(x) for x in rng.integers(0, 60, 3)], int(rng.integers(1, 9)), int(rng.integers(1, 200))
+            taken = [0, 0, 0]
+            for _ in range(m):
+                best = min((i for i in range(3) if weights[i]), key=lambda i: ((counts[i] + taken[i] * n) / weights[i], i))
+                taken[best] += 1
+            assert dataset._run_counts(counts, weights, n, m) == taken
+    assert sum(dataset._run_counts([5, 0, 0], [700_000, 150_000, 150_000], 3, 10**9)) == 10**9
+
+
 def test_extension_leaves_known_groups(spark):
-    known = spark.createDataFrame([("g1", "test")], "group_id string, split string")
-    new = spark.createDataFrame([("a", "g1", 5), ("a", "g2", 1), ("b", "g2", 3), ("b", "g3", 2)], "class_name string, group_id string, n long")
-    got = learning.extend_splits(known, new).collect()
-    assert sorted(r["group_id"] for r in got) == ["g1", "g2", "g3"] and ("g1", "test") in [tuple(r) for r in got]
+    known = spark.createDataFrame([("g1", "test"), ("g9", "train")], "group_id string, split string")
+    fresh = spark.createDataFrame([("a", "g1")] * 5 + [("a", "g2")] + [("b", "g2")] * 3 + [("b", "g3")] * 2 + [("c", "g4")], "class_name string, group_id string")
+    got = {r["group_id"]: r["split"] for r in dataset.extension_splits(fresh, known).collect()}
+    assert set(got) == {"g1", "g2", "g3", "g4"} and got["g1"] == "test"
+    # class a has most new rows and decides on g2, alone in its class; b decides on g3 only
+    assert got["g2"] == got["g3"] == got["g4"] == "train"
+
+
+def test_extension_rejects_repeats_and_goes_on_with_ids(spark):
+    row = "path string, sha256 string, class_name string, group_id string"
+    old = spark.createDataFrame([("p1", "h1", "dog", "g1", "test", "DOG-00007")], row + ", split string, audio_id string")
+    new = spark.createDataFrame([("p1", "hx", "dog", "g1"), ("p2", "h1", "dog", "g1"), ("p3", "h3", "dog", "g1"), ("p4", "h3", "cat", "g2"), ("p5", "h5", "cat", "g1")], row)
+    rows, rejected = dataset.extend_dataset(old, new)
+    got = {r["path"]: (r["split"], r["audio_id"], r["added"]) for r in rows.collect()}
+    assert got == {"p1": ("test", "DOG-00007", False), "p3": ("test", "DOG-00008", True), "p5": ("test", "CAT-00001", True)}
+    assert {r["path"]: r["reason"] for r in rejected.collect()} == {"p2": "exact duplicate (of p1)", "p4": "exact duplicate (of p3)"}
+
+
+def test_numbers_are_exact_over_partitions(spark):
+    rows = spark.range(5000).selectExpr("id % 3 AS k", "CAST(id * 7919 % 5000 AS INT) AS v").repartition(7)
+    got = numbered(rows, ["k"], ["v"]).collect()
+    for k in range(3):
+        own = sorted((r["v"], r["row_no"]) for r in got if r["k"] == k)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+    assert numbered(rows.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_visible_rows(spark):
+    e = make(spark, {}, {"owner": "bo"}, {"owner": "bo"})
+    users = spark.createDataFrame([("ana", "user"), ("bo", "user"), ("eve", "user"), ("root", "admin"), ("bo2", "reviewer")], "viewer string, role string")
+    assert {r["viewer"]: r["n"] for r in events.visible_counts(e, users).collect()} == {"ana": 1, "bo": 2, "eve": 0, "root": 3, "bo2": 3}
+    assert events.visible(e).filter("scope = '*'").count() == 3
+
+
+def test_local_days_become_bounds_on_the_scan(spark, tmp_path):
+    e = make(spark, {"created_at": dt.datetime(2024, 5, 1, 18, 59)}, {"created_at": dt.datetime(2024, 5, 1, 19, 0)})
+    e.write.parquet(str(tmp_path / "e"))
+    found = events.search(spark.read.parquet(str(tmp_path / "e")), {"date_from": "2024-05-02", "date_to": "2024-05-02"}, "Asia/Karachi")
+    assert [r["event_id"] for r in found.collect()] == [1]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(created_at" in plan and "LessThan(created_at" in plan
 
 
 def test_diverse_selection(spark):
