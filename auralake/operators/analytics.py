@@ -73,10 +73,11 @@ def disagreement_by_class(events: DataFrame) -> DataFrame:
     return per.withColumn("rate", F.col("disagreements") / F.col("compared"))
 
 
-def errors_by_class(events: DataFrame, alerts: DataFrame) -> DataFrame:
+def errors_by_class(events: DataFrame, alerts: DataFrame, classes: list[str] | None = None) -> DataFrame:
     """Per class: confirmed, fp, fn (reviews), py_fp, py_fn, gtm_fp, gtm_fn (reference labels), dismissed (alerts).
 
     Every event gives its few (class, measure) pairs, which are counted map-side and pivoted.
+    Of classes, those without any have zeros; without the list, only classes that occur are told.
     """
     reviewed = F.col("reviewed_class") != ""
     wrong = reviewed & (F.col("reviewed_class") != F.col("final_class"))
@@ -98,18 +99,22 @@ def errors_by_class(events: DataFrame, alerts: DataFrame) -> DataFrame:
     rows = events.select(F.explode(pairs).alias("x")).select("x.*")
     rows = rows.unionByName(alerts.filter("status = 'Dismissed'").select(F.col("category").alias("class_name"), F.lit("dismissed").alias("measure")))
     names = ["confirmed", "fp", "fn", "py_fp", "py_fn", "gtm_fp", "gtm_fn", "dismissed"]
-    return rows.groupBy("class_name").pivot("measure", names).count().fillna(0, names)
+    counted = rows.groupBy("class_name").pivot("measure", names).count()
+    if classes is not None:
+        counted = events.sparkSession.createDataFrame([(c,) for c in classes], "class_name string").join(counted, "class_name", "full_outer")
+    return counted.fillna(0, names)
 
 
 def reference_accuracy(events: DataFrame) -> DataFrame:
-    """(model, n, correct, accuracy) against reference labels."""
+    """(model, n, correct, accuracy) of both models against reference labels; accuracy is null where a model has none."""
     known = events.filter("reference_class <> ''")
     models = F.array(
         F.struct(F.lit("first").alias("model"), F.lit(True).alias("scored"), (F.col("python_class") == F.col("reference_class")).alias("hit")),
         F.struct(F.lit("second").alias("model"), (F.col("gtm_class") != "").alias("scored"), (F.col("gtm_class") == F.col("reference_class")).alias("hit")),
     )
-    per = known.select(F.explode(models).alias("m")).filter("m.scored").groupBy("m.model").agg(F.count("*").alias("n"), F.count_if("m.hit").alias("correct"))
-    return per.withColumn("accuracy", F.col("correct") / F.col("n"))
+    per = known.select(F.explode(models).alias("m")).groupBy("m.model").agg(F.count_if("m.scored").alias("n"), F.count_if(F.col("m.scored") & F.col("m.hit")).alias("correct"))
+    every = events.sparkSession.createDataFrame([("first",), ("second",)], "model string").join(per, "model", "left").fillna(0)
+    return every.withColumn("accuracy", F.when(F.col("n") > 0, F.col("correct") / F.col("n")))
 
 
 def alert_response(alerts: DataFrame, actions: DataFrame) -> DataFrame:
@@ -198,7 +203,7 @@ _M = "SELECT {c} AS class_name, '{m}' AS measure FROM {{sound_events}} WHERE {w}
     "a8_errors_by_class",
     "SELECT class_name, "
     + ", ".join(f"count(*) FILTER (measure = '{m}') AS {m}" for m in ("confirmed", "fp", "fn", "py_fp", "py_fn", "gtm_fp", "gtm_fn", "dismissed"))
-    + " FROM ("
+    + " FROM (SELECT unnest(['Panic Scream', 'Gunshot', 'Aggression']) AS class_name, NULL AS measure UNION ALL "
     + " UNION ALL ".join(
         _M.format(c=c, m=m, w=w)
         for c, m, w in (
@@ -214,7 +219,7 @@ _M = "SELECT {c} AS class_name, '{m}' AS measure FROM {{sound_events}} WHERE {w}
     + " UNION ALL SELECT category, 'dismissed' FROM {alerts} WHERE status = 'Dismissed') GROUP BY class_name",
 )
 def _a8(v: Views) -> DataFrame:
-    return errors_by_class(v.sound_events, v.alerts)
+    return errors_by_class(v.sound_events, v.alerts, ["Panic Scream", "Gunshot", "Aggression"])
 
 
 @query(

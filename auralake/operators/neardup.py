@@ -1,17 +1,32 @@
-"""Near-duplicate recordings by fingerprint correlation."""
+"""Near-duplicate recordings by fingerprint correlation.
+
+A fingerprint is a row of frames with 16 bands each; two recordings are compared
+at every alignment of the shorter one in the longer.  Every four frames make a
+window; signs of random projections put windows into buckets, once per table,
+and windows that meet in a bucket are compared by 256 sign bits.  The number of
+bits of a bucket grows with the logarithm of the windows, so that chance
+neighbours stay few, and the number of tables follows from it and the wanted
+recall, so a pair at the threshold is found at any size.  Nothing is capped: a
+bucket of many windows is cut into blocks, all of which are compared.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auralake.operators.ordering import settled, small
 from auralake.plans.registry import Views, query
 
 BANDS, MIN_FRAMES = 16, 4
+#: Windows that are compared with each other in one piece.
+BLOCK = 512
+_SKETCH_BITS = 256
 
 
 def best_correlation(a: np.ndarray, b: np.ndarray) -> float:
@@ -26,59 +41,125 @@ def best_correlation(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.divide(w @ s, norm, out=np.zeros(len(w)), where=norm > 0).max(initial=0.0))
 
 
-def _centred(values: str) -> Column:
-    """The vector minus its mean, at unit length; null where it is flat."""
-    mean = F.aggregate(F.col(values), F.lit(0.0), lambda a, x: a + x) / F.size(values)
-    moved = F.transform(F.col(values), lambda x: x - mean)
-    norm = F.sqrt(F.aggregate(moved, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(moved, lambda x: x / norm))
+def bucket_plan(windows: int, at_least: float, recall: float) -> tuple[int, int]:
+    """(bits, tables): bits so that a bucket holds about 64 windows by chance, tables so that a pair at the threshold meets."""
+    bits = max(2, math.ceil(math.log2(max(1, windows) / 64)))
+    agree = 1 - math.acos(at_least) / math.pi
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _frames(values: np.ndarray) -> np.ndarray:
+    return np.asarray(values, dtype=float)[: len(values) // BANDS * BANDS].reshape(-1, BANDS)
 
 
-def near_duplicates(
-    rows: DataFrame, key: str, fingerprint: str, at_least: float = 0.9, tables: int = 24, bits: int = 6, neighbours: int = 4, size: int = 64
-) -> DataFrame:
-    """(key, near_duplicate_of, score): the best earlier partner with correlation >= at_least, among equal-length fingerprints.
+def _bucketed(rows: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(t, code, id, sketch) of every window and table; flat windows have none."""
+    planes = np.random.default_rng(7).standard_normal((MIN_FRAMES * BANDS, tables * bits + _SKETCH_BITS)).astype(np.float32)
 
-    Signs of fixed random projections make a bucket per table; inside a bucket
-    rows are sorted by one more projection and compared with a few neighbours
-    only, so a bucket of any size gives a number of pairs proportional to its
-    rows.  Recall comes from the number of tables and is measured in the tests.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):
+                ids, parts = [np.empty(0, np.int64)], [np.empty((0, MIN_FRAMES * BANDS))]
+                for i, values in zip(pdf["id"][at : at + 64], pdf["f"][at : at + 64], strict=True):
+                    f = _frames(values)
+                    if len(f) >= MIN_FRAMES:
+                        view = np.lib.stride_tricks.sliding_window_view(f, (MIN_FRAMES, BANDS)).reshape(-1, MIN_FRAMES * BANDS)
+                        ids.append(np.full(len(view), i))
+                        parts.append(view)
+                own, w = np.concatenate(ids), np.concatenate(parts)
+                w = w - w.mean(axis=1, keepdims=True)
+                live = np.linalg.norm(w, axis=1) > 0
+                own, side = own[live], (w[live].astype(np.float32) @ planes) > 0
+                code = side[:, : tables * bits].reshape(len(own), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+                sketch = np.packbits(side[:, tables * bits :], axis=1)
+                yield pd.DataFrame({"t": np.tile(np.arange(tables), len(own)), "code": code.ravel(), "id": np.repeat(own, tables), "sketch": [s.tobytes() for s in np.repeat(sketch, tables, axis=0)]})
+
+    return rows.mapInPandas(run, "t int, code long, id long, sketch binary")
+
+
+def _meeting(buckets: DataFrame, at_least: float) -> DataFrame:
+    """(a, b), a < b: windows' recordings that meet in a bucket with sketches close enough; a pair may be told by several buckets."""
+    share = math.acos(at_least) / math.pi
+    bound = _SKETCH_BITS * share + 6 * math.sqrt(_SKETCH_BITS * share * (1 - share))
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = key[2], key[3]
+        first = pdf[pdf["block"] == lo] if lo != hi else pdf
+        second = pdf[pdf["block"] == hi] if lo != hi else pdf
+        bits = lambda x: np.frombuffer(b"".join(x["sketch"]), dtype=np.uint64).reshape(len(x), -1)
+        one, two, out = bits(first), bits(second), [np.empty((0, 2), np.int64)]
+        for i, x in enumerate(first["id"].to_numpy()):
+            near = second["id"].to_numpy()[np.bitwise_count(two ^ one[i]).sum(axis=1) <= bound]
+            near = np.unique(near[near != x])
+            out.append(np.stack((np.minimum(near, x), np.maximum(near, x)), axis=1))
+        found = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    sizes = buckets.groupBy("t", "code").agg(F.count("*").alias("n")).filter("n > 1")
+    large = small(settled(sizes.filter(F.col("n") > BLOCK)))  # fewer than a 512th of the rows
+    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
+    cut = buckets.join(sizes.select("t", "code"), ["t", "code"], "left_semi").join(large, ["t", "code"], "left").withColumn("blocks", blocks)
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("id", "sketch"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = cut.select("t", "code", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "sketch")
+    return units.groupBy("t", "code", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
+def near_duplicates(rows: DataFrame, key: str, fingerprint: str, digest: str, at_least: float = 0.9, recall: float = 0.999) -> DataFrame:
+    """(key, near_duplicate_of, score): the original of the best earlier recording with another content and correlation >= at_least.
+
+    Earlier is a smaller key; of equal scores (nine digits) the smallest key
+    counts.  near_duplicate_of is that recording's own original, so it never
+    points at a copy of a copy.  Of recordings with one digest the first alone is
+    compared.  Fingerprints under four frames, flat ones, null keys and null
+    fingerprints have no partner.  Pairs of equal length at the threshold are
+    found with the chance `recall`, more alike ones more surely; of unequal
+    lengths it is enough that one window of four frames is that alike.
     """
-    planes = np.random.default_rng(7).standard_normal((tables, bits + 1, size))
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    named = rows.select(F.col(key).cast("long").alias("id"), F.col(fingerprint).alias("f"), F.col(digest).alias("d")).filter("id IS NOT NULL AND f IS NOT NULL")
+    first = settled(named.groupBy("d").agg(F.min("id").alias("id")))
+    texts = settled(named.join(first, ["d", "id"], "left_semi").dropDuplicates(["id"]).select("id", "f"))
+    windows = texts.agg(F.sum(F.greatest(F.floor(F.size("f") / BANDS) - MIN_FRAMES + 1, F.lit(0)))).first()[0] or 0
+    buckets = settled(_bucketed(texts, *bucket_plan(windows, at_least, recall)))
+    pairs = settled(_meeting(buckets, at_least).distinct())
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            u = np.array(pdf["u"].tolist(), dtype=float).reshape(-1, size)
-            side = np.einsum("ns,tbs->ntb", u, planes)
-            code = (side[:, :, :bits] > 0) @ (1 << np.arange(bits))
-            yield pd.DataFrame(
-                {
-                    "id": np.repeat(pdf["id"].to_numpy(), tables),
-                    "u": [x for x in pdf["u"] for _ in range(tables)],
-                    "t": np.tile(np.arange(tables), len(u)),
-                    "code": code.ravel(),
-                    "at": side[:, :, bits].ravel(),
-                }
-            )
-
-    unit = rows.select(F.col(key).cast("long").alias("id"), _centred(fingerprint).alias("u")).filter("u IS NOT NULL")
-    buckets = unit.mapInPandas(hashed, "id long, u array<double>, t int, code int, at double")
-    w = Window.partitionBy("t", "code").orderBy("at", "id")
-    after = [F.struct(F.lead("id", i).over(w).alias("other"), F.lead("u", i).over(w).alias("v")) for i in range(1, neighbours + 1)]
-    pairs = buckets.withColumn("after", F.array(*after)).select("id", "u", F.explode("after").alias("n"))
-    scored = pairs.filter("n.other IS NOT NULL").select(F.greatest("id", "n.other").alias(key), F.least("id", "n.other").alias("near_duplicate_of"), _dot(F.col("u"), F.col("n.v")).alias("score"))
-    kept = scored.filter(F.col("score") >= at_least)
-    best = kept.groupBy(key).agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("near_duplicate_of")).alias("o"))).alias("b"))
-    return best.select(key, (-F.col("b.o")).alias("near_duplicate_of"), F.col("b.score").alias("score"))
-
-
-@query("j5_near_duplicates")
+            score = [best_correlation(_frames(x), _frames(y)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+            found = pdf[["a", "b"]].assign(score=score)
+            yield found[found["score"] >= at_least]
+
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("f").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("f").alias("y")), "b")
+    scored = both.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long, score double")
+    best = scored.groupBy("b").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("a")).alias("a"))).alias("m"))
+    links = settled(best.select(F.col("b").alias("id"), (-F.col("m.a")).alias("to"), F.col("m.score").alias("score")))
+    while True:  # each round halves the way to the original
+        up = links.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        moved = settled(links.join(up, "to", "left").select("id", F.coalesce("next", "to").alias("to"), "score", F.col("next").isNotNull().alias("moved")))
+        done = moved.filter("moved").isEmpty()
+        links = moved.drop("moved")
+        if done:
+            return links.select(F.col("id").alias(key), F.col("to").alias("near_duplicate_of"), "score")
+
+
+_SOUNDS = """SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings UNION ALL
+    SELECT vec_id + 1000000000, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * (1 + ((i - 1) % 3) * 0.3)) FROM embeddings WHERE vec_id % 4 = 0 UNION ALL
+    SELECT vec_id + 2000000000, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * (1 + ((i - 1) % 3) * 0.6)) FROM embeddings WHERE vec_id % 4 = 0 UNION ALL
+    SELECT vec_id + 3000000000, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) FROM embeddings WHERE vec_id % 8 = 0"""
+
+
+@query(
+    "j5_near_duplicates",
+    f"""WITH RECURSIVE s AS (SELECT min(vec_id) AS id, f FROM ({_SOUNDS}) GROUP BY f), c AS (SELECT id, list_transform(f, lambda x: x - list_avg(f)) AS u FROM s),
+    p AS (SELECT b.id, a.id AS other, round(list_cosine_similarity(a.u, b.u), 9) AS score FROM c a JOIN c b ON a.id < b.id WHERE list_cosine_similarity(a.u, b.u) >= 0.9),
+    best AS (SELECT id, arg_max(other, (score, -other)) AS up, max(score) AS score FROM p GROUP BY id),
+    chain AS (SELECT id, up FROM best UNION ALL SELECT c.id, b.up FROM chain c JOIN best b ON b.id = c.up)
+    SELECT b.id AS vec_id, (SELECT min(up) FROM chain WHERE chain.id = b.id) AS near_duplicate_of, round(score, 6) AS score FROM best b""",
+)
 def _j5(v: Views) -> DataFrame:
-    """Embeddings as fingerprints of four frames; copies with a little noise stand beside the originals."""
-    noisy = v.embeddings.filter("vec_id % 10 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: x.cast("double") * (1 + (i % 3) * 0.02)).alias("embedding"))
-    rows = v.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).unionByName(noisy)
-    return near_duplicates(rows, "vec_id", "embedding")
+    """Embeddings as fingerprints of four frames, with copies, changed copies and exact repeats beside them."""
+    plain = v.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("f"))
+    changed = lambda move, by: plain.filter("vec_id % 4 = 0").select((F.col("vec_id") + move).alias("vec_id"), F.transform("f", lambda x, i: x * (1 + (i % 3) * by)).alias("f"))
+    same = plain.filter("vec_id % 8 = 0").select((F.col("vec_id") + 3_000_000_000).alias("vec_id"), "f")
+    rows = plain.unionByName(changed(1_000_000_000, 0.3)).unionByName(changed(2_000_000_000, 0.6)).unionByName(same)
+    found = near_duplicates(rows.withColumn("digest", F.md5(F.to_json("f"))), "vec_id", "f", "digest")
+    return found.withColumn("score", F.round("score", 6))

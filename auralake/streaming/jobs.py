@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from auralake.functions.rules import BACKGROUND, UNKNOWN
+from auralake.functions.rules import BACKGROUND, UNKNOWN, rule_table
+from auralake.operators.dataset import admissible_window
+from auralake.operators.decision import decide
 from auralake.plans.registry import Views, query
 
 
@@ -68,21 +70,41 @@ def stream_sessions(rows: DataFrame, gap: str, delay: str = "10 minutes") -> Dat
     return w.agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("windows")).drop("session_window")
 
 
-_LIVE_OUT = "session_id long, window_id long, class_name string, repeats int, alert string, started double"
+_LIVE_OUT = (
+    "session_id long, window_id long, class_name string, repeats int, alert_status string, severity string, review boolean, alert string, started double, keep_audio boolean, windows long"
+)
 _LIVE_STATE = "recent_at array<double>, recent_class array<string>, open_class array<string>, open_at array<double>, seen long"
-
-
-def live_sessions(rows: DataFrame, period_s: float = 10.0, episode_s: float = 60.0, needed: int = 2, delay: str = "10 minutes") -> DataFrame:
-    """Every stored window with its repeats and its alert: 'new', 'ongoing' or ''.
-
-    rows: session_id, window_id, ts, class_name, alerting, silent.  Silent windows
-    are counted in the state but not stored.  Repeats go back from the newest
-    window within period_s, skip background and unknown, and stop at another
-    class.  An alerting window with enough repeats joins the alert of its class
-    created at most episode_s before, else opens one.  The state of a session
-    holds the windows of one period and one open alert per class; it is dropped
-    when the watermark passes its last window by an hour.
+_LIVE_IN = "session_id, window_id, ts, python_class, python_confidence, python_margin, gtm_class, gtm_confidence, quality_grade, n_windows, noise_dbfs, overlaps, duration_s, bytes, silent"
+
+
+def live_sessions(
+    rows: DataFrame, rules: DataFrame, period_s: float = 10.0, episode_s: float = 60.0, store_audio: bool = True, delay: str = "10 minutes"
+) -> DataFrame:
+    """Every stored window with its repeats, its decision, its alert ('new', 'ongoing' or '') and whether its audio is kept.
+
+    rows: the columns of _LIVE_IN.  Windows that are not admissible (size, 0.3 to
+    5 seconds) are dropped; silent and unusable ones are counted in `windows` but
+    not stored.  Repeats go back from the newest window within period_s, skip
+    background and unknown, and stop at another class.  Whether a window alerts
+    follows the rules with the repeats and itself (decision.decide, live); it
+    joins the alert of its class that was created at most episode_s before, else
+    makes one.  Audio is kept for alerts and reviews.
+
+    A decision depends on the earlier windows by their number alone, so it is
+    made by columns beforehand for one up to the repeats that any rule asks
+    for, and the state only picks the entry.  The state of a session holds the
+    windows of one period and one open alert per class; it is dropped when the
+    watermark passes its last window by an hour.  The rows of a batch are taken
+    in order of time and id, slice by slice as Arrow brings them.
     """
+    most = max(rules.agg(F.max(F.greatest("consecutive_detections", F.coalesce("raise_repeats", F.lit(1))))).first()[0] or 1, 1)
+    usable = ~F.coalesce(F.col("silent"), F.lit(False)) & (F.col("quality_grade") != "Unusable")
+    admitted = rows.select(*_LIVE_IN.split(", ")).filter(admissible_window("bytes", "duration_s").isNull()).withColumn("stored", usable)
+    asked = admitted.withColumn("repeated_detections", F.explode(F.when(F.col("stored"), F.sequence(F.lit(1), F.lit(most))).otherwise(F.array(F.lit(1)))))
+    made = decide(asked, rules, live=True)
+    made = made.select(
+        "session_id", "window_id", "ts", "stored", "python_class", "final_class", F.col("repeated_detections").alias("times"), "alert_status", "severity", (F.size("review_reasons") > 0).alias("review")
+    )
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -91,35 +113,52 @@ def live_sessions(rows: DataFrame, period_s: float = 10.0, episode_s: float = 60
         at, names, opened, opened_at, seen = state.get if state.exists else ([], [], [], [], 0)
         recent, alerts = list(zip(at, names, strict=True)), dict(zip(opened, opened_at, strict=True))
         out, last = [], 0.0
-        for r in pd.concat(list(batches)).sort_values(["ts", "window_id"]).itertuples():
+        for _, options in _in_time_order(batches):
+            r = options[1]
             now = r.ts.timestamp()
             seen, last = seen + 1, max(last, now)
-            if r.silent:
+            if not r.stored:
                 continue
             recent = [(t, c) for t, c in recent if now - t <= period_s]
             repeats = 0
             for _, c in reversed(recent):
-                if c == r.class_name:
+                if c == r.python_class:
                     repeats += 1
                 elif c not in (BACKGROUND, UNKNOWN):
                     break
-            recent.append((now, r.class_name))
+            r = options[min(repeats + 1, most)]
+            recent.append((now, r.final_class))
             alert, began = "", float("nan")
-            if r.alerting and repeats + 1 >= needed:
-                began = alerts.get(r.class_name, -math.inf)
+            if r.alert_status == "Alert generated":
+                began = alerts.get(r.final_class, -math.inf)
                 alert = "ongoing" if now - began <= episode_s else "new"
                 if alert == "new":
-                    alerts[r.class_name] = began = now
-            out.append((key[0], r.window_id, r.class_name, repeats, alert, began))
+                    alerts[r.final_class] = began = now
+            keep = store_audio and bool(alert or r.review)
+            out.append((key[0], r.window_id, r.final_class, repeats, r.alert_status, r.severity, bool(r.review), alert, began, keep, seen))
         alerts = {c: t for c, t in alerts.items() if last - t <= episode_s}
         state.update(([t for t, _ in recent], [c for _, c in recent], list(alerts), list(alerts.values()), seen))
         state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _LIVE_OUT.split(", ")])
 
-    watched = rows.withWatermark("ts", delay)
+    watched = made.withWatermark("ts", delay)
     return watched.groupBy("session_id").applyInPandasWithState(step, _LIVE_OUT, _LIVE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _in_time_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, dict]]:
+    """((ts, window_id), rows by `times`) of one session's rows in a micro-batch, in order.
+
+    Only the narrow decision columns are here; a micro-batch is bounded by the
+    source (maxFilesPerTrigger or maxOffsetsPerTrigger), and so is a session's share.
+    """
+    rows: dict[tuple, dict] = {}
+    for pdf in batches:
+        for r in pdf.itertuples():
+            rows.setdefault((r.ts, r.window_id), {})[r.times] = r
+    for key in sorted(rows):
+        yield key, rows.pop(key)
+
+
 def escalations(steps: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """(alert_id, due) of alerts that nobody handled in time.
 
@@ -133,7 +172,8 @@ def escalations(steps: DataFrame, delay: str = "10 minutes") -> DataFrame:
             state.remove()
             yield pd.DataFrame({"alert_id": [key[0]], "due": [pd.Timestamp(due, unit="ms")]})
             return
-        for r in pd.concat(list(batches)).sort_values("ts").itertuples():
+        steps = sorted((r for pdf in batches for r in pdf.itertuples()), key=lambda r: r.ts)  # the few steps of one alert
+        for r in steps:
             ms = int(r.ts.timestamp() * 1000)
             if r.kind == "created" and not pd.isna(r.minutes):
                 due = ms + int(r.minutes * 60_000)
@@ -166,17 +206,26 @@ def _st4(v: Views) -> DataFrame:
     return run_available(sliding_counters(errors, "user_id", 1440, 240, 5), "complete")
 
 
-@query("st6_dedup_stream", "SELECT DISTINCT user_id, event_type FROM events")
+@query(
+    "st6_dedup_stream",
+    "SELECT user_id, day FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)",
+)
 def _st6(v: Views) -> DataFrame:
-    rows = event_stream(v.spark, f"{v.folder}/events.parquet").withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
-    return run_available(first_of_each(rows, "key", "4000 days")).select("user_id", "event_type")
+    """The first row of each user and day; a key's rows lie within a day, so two days of state are enough at any size."""
+    rows = event_stream(v.spark, f"{v.folder}/events.parquet").withColumn("day", F.to_date("ts")).withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), F.col("day").cast("string")))
+    return run_available(first_of_each(rows, "key", "2 days")).select("user_id", "day")
 
 
 @query("st1_live_sessions_stream")
 def _st1(v: Views) -> DataFrame:
-    k = F.regexp_extract("props", "[0-9]+", 0).cast("long")
-    name = F.element_at(F.array(*map(F.lit, ("Gunshot", "Glass Breaking", "Vehicle Horn", "Animal Sound", BACKGROUND, UNKNOWN))), (k % 3 + 1).cast("int"))
-    rows = event_stream(v.spark, f"{v.folder}/events.parquet").select(
-        F.col("user_id").alias("session_id"), F.col("event_id").alias("window_id"), "ts", name.alias("class_name"), (k % 3 < 2).alias("alerting"), (k % 4 == 3).alias("silent")
-    )
-    return run_available(live_sessions(rows, period_s=86_400.0, episode_s=172_800.0))
+    """The given events as live windows, in several micro-batches; hours stand for seconds, as the events are hours apart."""
+    folder = shared_folder(v.spark)
+    windows = v.scored_events.select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("window_id"), "ts", "python_class", "python_confidence", "python_margin", "gtm_class", "gtm_confidence", "quality_grade",
+        F.lit(1).alias("n_windows"), F.when(F.col("k") % 2 == 0, -F.col("k").cast("double")).alias("noise_dbfs"), F.array().cast("array<string>").alias("overlaps"),
+        (F.col("k") % 60 / 10).alias("duration_s"), F.lit(1000).cast("long").alias("bytes"), (F.col("k") % 7 == 3).alias("silent"),
+    )
+    # one file a slice of time, named in order, so that batches follow event time
+    windows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
+    stream = v.spark.readStream.schema(windows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return run_available(live_sessions(stream, rule_table(v.spark), period_s=86_400.0, episode_s=172_800.0, delay="30 days"))

@@ -1,15 +1,17 @@
 """Hand-made rows with exact numbers."""
 
 import datetime as dt
+import tempfile
 import wave
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from auralake.functions.rules import rule_table
 from auralake.functions.text import code
-from auralake.operators.ordering import numbered
+from auralake.operators.ordering import numbered, settled
 from auralake.operators import alerts, analytics, dataset, decision, evaluation, events, learning, neardup, sequences, signals
 from auralake.sources import files
 from auralake.streaming import jobs
@@ -91,11 +93,11 @@ def test_review_and_alert_replay(spark):
     got = {r["alert_id"]: (r["status"], r["refused"]) for r in alerts.replay_actions(spark.createDataFrame(steps, ACTIONS)).collect()}
     assert got == {1: ("Resolved", 2), 2: ("Active", 1)}
     reviews = spark.createDataFrame(
-        [(1, 1, "correct", "Gunshot", "Vehicle Horn", ""), (1, 2, "close", "Gunshot", None, None), (2, 1, "correct", "Gunshot", "Gunshot", ""), (3, 1, "confirm", "Gunshot", None, "High"), (3, 2, "reopen", "Gunshot", None, None)],
-        "event_id long, step long, kind string, final_class string, new_class string, severity string",
+        [(1, 1, "correct", "Gunshot", "Vehicle Horn", "", ""), (1, 2, "close", "Gunshot", None, None, None), (2, 1, "correct", "Gunshot", "Gunshot", "", "go"), (3, 1, "confirm", "Gunshot", None, "High", None), (3, 2, "reopen", "Gunshot", None, None, None)],
+        "event_id long, step long, kind string, final_class string, new_class string, severity string, action string",
     )
     got = {r["event_id"]: tuple(r)[1:] for r in alerts.replay_reviews(reviews, rule_table(spark)).collect()}
-    assert got == {1: ("Vehicle Horn", "Low", "Closed"), 2: ("Gunshot", "", "Reviewed"), 3: ("Gunshot", "High", "Manual Review")}
+    assert got == {1: ("Vehicle Horn", "Low", "nothing to do", "Closed"), 2: ("Gunshot", "", "go", "Reviewed"), 3: ("Gunshot", "High", "", "Manual Review")}
 
 
 def test_escalation(spark):
@@ -158,11 +160,14 @@ def test_decision_cases(spark):
 
 
 def test_clip_scores_and_metrics(spark):
-    rows = [(1, w, c, p) for w, ps in enumerate(([0.6, 0.3, 0.1], [0.6, 0.3, 0.1], [0.05, 0.05, 0.9])) for c, p in enumerate(ps)]
-    s = spark.createDataFrame(rows, "clip_id long, window_id long, class_no int, p double")
-    pick = lambda m: evaluation.clip_predictions(evaluation.clip_scores(s, m)).first()["pred"]
-    assert pick("mean") == 0 and pick("max") == 2
-    assert abs(evaluation.clip_scores(s, "max").agg(F.sum("p")).first()[0] - 1) < 1e-9
+    rows = [(1, w, p) for w, p in enumerate(([0.6, 0.3, 0.1], [0.6, 0.3, 0.1], [0.05, 0.05, 0.9], [0.34, 0.33, 0.33]))]
+    s = spark.createDataFrame(rows[:3], "clip_id long, window_id long, probs array<double>")
+    clips_ = spark.createDataFrame([(1,), (2,)], "clip_id long")
+    scored = lambda m, w=s: {r["clip_id"]: r for r in evaluation.clip_scores(w, clips_, 3, m).withColumn("pred", evaluation.predicted(F.col("probs"))).collect()}
+    assert scored("mean")[1]["pred"] == 0 and scored("max")[1]["pred"] == 2 and abs(sum(scored("max")[1]["probs"]) - 1) < 1e-9
+    assert all(abs(p - 1 / 3) < 1e-9 for p in scored("mean")[2]["probs"])  # no windows
+    four = spark.createDataFrame(rows, "clip_id long, window_id long, probs array<double>")
+    assert np.allclose(scored("top3", four)[1]["probs"], scored("mean")[1]["probs"])
     t = spark.createDataFrame([(0, 0), (0, 0), (1, 1), (1, 0), (2, 2), (2, 2)], "y int, pred int")
     got = {r["class_no"]: r for r in evaluation.class_metrics(evaluation.confusion(t, "y", "pred", 3)).collect()}
     assert got[1]["recall"] == 0.5 and abs(got[0]["precision"] - 2 / 3) < 1e-9
@@ -170,12 +175,26 @@ def test_clip_scores_and_metrics(spark):
 
 
 def test_temperature_keeps_rankings(spark):
-    rows = [(w, c, w % 3, p) for w in range(30) for c, p in enumerate(([0.97, 0.02, 0.01] if w % 2 else [0.1, 0.2, 0.7]))]
-    s = spark.createDataFrame(rows, "window_id long, class_no int, y int, p double")
+    rows = [(w, w % 3, [0.97, 0.02, 0.01] if w % 2 else [0.1, 0.2, 0.7]) for w in range(30)]
+    s = spark.createDataFrame(rows, "window_id long, y int, probs array<double>")
     t = evaluation.fit_temperature(s)
-    assert t > 1.5
-    soft = evaluation.softmax_temperature(s, "p", F.lit(t)).collect()
-    assert all(abs(sum(r["calibrated"] for r in soft if r["window_id"] == w) - 1) < 1e-9 for w in range(30))
+    grid = [np.exp(g) for g in np.linspace(-3, 3, 2001)]
+    p = np.array([r[2] for r in rows])
+    nll = [-np.mean(np.log((p ** (1 / g) / (p ** (1 / g)).sum(axis=1, keepdims=True))[range(30), [r[1] for r in rows]])) for g in grid]
+    assert t > 1.5 and abs(np.log(t) - np.log(grid[int(np.argmin(nll))])) < 0.03
+    soft = s.select(evaluation.calibrated(F.col("probs"), t).alias("c"), "probs").collect()
+    assert all(abs(sum(r["c"]) - 1) < 1e-9 and np.argsort(r["c"]).tolist() == np.argsort(r["probs"]).tolist() for r in soft)
+    assert evaluation.fit_temperature(s.limit(0)) == 1.0
+
+
+def test_two_model_summary(spark):
+    rows = [("Gunshot", "Gunshot", 0.9, "Gunshot", 0.8, "Gunshot", False, True), ("Gunshot", "Gunshot", 0.8, "Vehicle Horn", 0.6, "Gunshot", True, True), ("Vehicle Horn", "Vehicle Horn", 0.7, None, None, "Vehicle Horn", False, False),
+            ("Gunshot", "Animal Sound", 0.6, "Gunshot", 0.9, "Animal Sound", False, False)]
+    df = spark.createDataFrame(rows, "actual string, pred string, conf double, pred2 string, conf2 double, final_class string, review boolean, alert boolean").withColumn("consistency", F.lit("x"))
+    r = evaluation.model_summary(df, ["Gunshot"], ["Gunshot"]).first()
+    assert (r["scored"], r["compared"], r["agree"], r["disagree"], r["disagree_first_right"], r["disagree_second_right"], r["missed_critical"], r["alerts_true"]) == (4, 3, 1, 2, 1, 1, 1, 2)
+    m = {x["model"]: x["accuracy"] for x in evaluation.model_metrics(df).collect()}
+    assert m == {"first": 0.75, "second": 0.5, "final": 0.75}
 
 
 def test_group_splits(spark):
@@ -296,15 +315,31 @@ def test_fingerprints_of_copies():
     assert len(signals.fingerprint(np.zeros(16_000, np.float32), 16_000)) == 0
 
 
-def test_near_duplicate_recall(spark):
-    rng = np.random.default_rng(9)
-    base = rng.normal(size=(200, 64))
-    near = base + rng.normal(scale=0.3, size=base.shape)
-    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate((base, near)))]
-    got = {r["vec_id"]: r["near_duplicate_of"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, f array<double>"), "vec_id", "f").collect()}
-    c = np.corrcoef(np.concatenate((base, near)))
-    want = {i + 200 for i in range(200) if c[i, i + 200] >= 0.9}
-    assert len(want & set(got)) >= 0.9 * len(want) and all(c[a, b] >= 0.9 - 1e-9 for a, b in got.items())
+@pytest.mark.parametrize("n", [200, 20_000])
+def test_near_duplicate_recall(spark, n):
+    """Half the rows are changed copies at a correlation of about 0.9 to 0.96; found by the number of rows as well as by a few."""
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(n // 2, 64))
+    near = base + rng.normal(scale=rng.uniform(0.25, 0.5, size=(n // 2, 1)), size=base.shape)
+    frame = pd.DataFrame({"id": np.arange(n), "f": np.concatenate((base, near)).tolist()})
+    rows = spark.createDataFrame(frame, "id long, f array<double>").withColumn("d", F.col("id").cast("string"))
+    got = {r["id"]: r["near_duplicate_of"] for r in neardup.near_duplicates(rows, "id", "f", "d").collect()}
+    unit = lambda x: (x - x.mean(axis=1, keepdims=True)) / np.linalg.norm(x - x.mean(axis=1, keepdims=True), axis=1, keepdims=True)
+    c = (unit(base) * unit(near)).sum(axis=1)
+    want = {n // 2 + i for i in np.flatnonzero(c >= 0.9)}
+    assert len(want) > n // 4 and len(want & set(got)) >= 0.99 * len(want)
+    assert all(c[a - n // 2] >= 0.9 - 1e-6 for a, b in got.items() if b == a - n // 2)
+
+
+def test_near_duplicates_point_at_the_original(spark):
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=160)
+    b, other = a + 0.1 * rng.normal(size=160), rng.normal(size=96)
+    rows = [(1, a), (2, b), (3, a[32:]), (4, other), (5, b + 0.02 * rng.normal(size=160)), (6, np.zeros(160)), (7, a[:48]), (8, None), (9, a)]
+    data = [(i, None if x is None else x.tolist(), "same" if i in (1, 9) else str(i)) for i, x in rows]
+    found = neardup.near_duplicates(spark.createDataFrame(data, "k long, f array<double>, d string"), "k", "f", "d").collect()
+    assert {r["k"]: r["near_duplicate_of"] for r in found} == {2: 1, 3: 1, 5: 1}
+    assert neardup.near_duplicates(spark.createDataFrame([], "k long, f array<double>, d string"), "k", "f", "d").count() == 0
 
 
 def test_transforms():
@@ -351,10 +386,50 @@ def streamed(spark, tmp_path, df, parts=3):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
 
-def test_live_sessions(spark, tmp_path):
-    rows = windows(spark, "Glass Breaking", "Glass Breaking", "Background Noise", "Glass Breaking", step=2).withColumnRenamed("seen_at", "ts").coalesce(1)
-    got = {r["window_id"]: (r["repeats"], r["alert"]) for r in jobs.run_available(jobs.live_sessions(streamed(spark, tmp_path, rows, 1))).collect()}
-    assert got == {0: (0, ""), 1: (1, "new"), 2: (0, ""), 3: (2, "ongoing")}
+LIVE = "session_id long, window_id long, ts timestamp, python_class string, python_confidence double, python_margin double, gtm_class string, gtm_confidence double, quality_grade string, n_windows int, noise_dbfs double, overlaps array<string>, duration_s double, bytes long, silent boolean"
+
+
+def live_rows(spark, names, step=2, **changes):
+    base = {"confidence": 0.95, "grade": "Good", "duration": 1.0, "silent": False}
+    rows = []
+    for i, n in enumerate(names):
+        x = {**base, **{k: v[i] for k, v in changes.items() if i in v}}
+        rows.append((1, i, T0 + dt.timedelta(seconds=step * i), n, x["confidence"], 0.5, n, 0.9, x["grade"], 1, None, [], x["duration"], 1000, x["silent"]))
+    return spark.createDataFrame(rows, LIVE)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_live_sessions(spark, tmp_path, parts):
+    """Several micro-batches give what one does: repeats, decision, alert, whether the audio is kept."""
+    rows = live_rows(
+        spark, ["Glass Breaking", "Glass Breaking", "Background Noise", "Machinery Fault", "Animal Sound", "Machinery Fault", "Machinery Fault", "Vehicle Horn", "Glass Breaking"],
+        silent={4: True}, duration={1: 0.1}, confidence={7: 0.4}, step=2,
+    )
+    for b in range(parts):  # files in time order, one a batch
+        rows.filter(f"window_id * {parts} div 9 = {b}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r["window_id"]: (r["repeats"], r["alert_status"], r["alert"], r["keep_audio"]) for r in jobs.run_available(jobs.live_sessions(stream, rule_table(spark))).collect()}
+    assert got == {
+        0: (0, "Alert generated", "new", True), 2: (0, "No alert", "", False), 3: (0, "Not confirmed", "", True), 5: (1, "Alert generated", "new", True), 6: (2, "Alert generated", "ongoing", True),
+        7: (0, "No alert", "", True), 8: (0, "Alert generated", "ongoing", True),
+    }
+
+
+def test_live_stream_equals_batch_jobs(spark):
+    """The stream's repeats and alerts are those of the batch jobs over the stored windows."""
+    names = ["Glass Breaking", "Gunshot", "Background Noise", "Machinery Fault"]
+    rng = np.random.default_rng(5)
+    rows = live_rows(spark, [names[k] for k in rng.integers(0, 4, 120)], step=3)
+    folder = tempfile.mkdtemp()
+    rows.coalesce(1).write.mode("append").parquet(folder + "/in")
+    stream = spark.readStream.schema(rows.schema).parquet(folder + "/in")
+    got = settled(jobs.run_available(jobs.live_sessions(stream, rule_table(spark))))
+    batch = {r["window_id"]: r["repeats"] for r in sequences.repeats_in_period(rows.withColumnsRenamed({"ts": "seen_at", "python_class": "class_name"}), 10).collect()}
+    assert {r["window_id"]: r["repeats"] for r in got.collect()} == batch
+    alerting = rows.join(got.filter("alert <> ''").select("window_id"), "window_id").withColumnsRenamed({"ts": "seen_at", "python_class": "class_name"})
+    episodes = sorted((r["class_name"], r["windows"]) for r in sequences.alert_episodes(alerting, 60).collect())
+    opened = got.filter("alert <> ''").groupBy("class_name", "started").count().collect()
+    assert episodes == sorted((r["class_name"], r["count"]) for r in opened) and len(episodes) > 5
 
 
 def test_session_stream_equals_batch(spark, tmp_path):
