@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from auralake.llm.components import connected_components
 from auralake.llm.hashing import U64, mix, shingle_set
-from auralake.llm.storage import discard, filter_by_ids, join_hot_apart, materialise
+from auralake.llm.storage import TEXT_BATCH, discard, filter_by_ids, join_hot_apart, materialise
 
 #: Upper size of a band over its lower size.
 BAND_RATIO = 4
@@ -174,7 +174,7 @@ def _narrowed(pairs: DataFrame, coarse: DataFrame, fine: DataFrame, percent: int
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that link, by exact intersection; pairs is a materialised table."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialise(_set_rows(filter_by_ids(texts, materialise(ids, "ids"), "node"), words), "sets")
+    sets = materialise(_set_rows(filter_by_ids(texts, materialise(ids, "ids"), "node"), words), "sets", TEXT_BATCH)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -275,7 +275,7 @@ def jaccard_components(
     gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    sets = materialise(describe_sets(docs, id_col, text_col, words), "sets")
+    sets = materialise(describe_sets(docs, id_col, text_col, words), "sets", TEXT_BATCH)
     usable = sets.filter("digest IS NOT NULL AND node IS NOT NULL")
     narrow = usable.select("node", "text_key", "digest")
     classes = narrow.groupBy("digest").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
@@ -330,4 +330,4 @@ def _signature_groups(texts: DataFrame, sets: DataFrame, copies: DataFrame, word
         .filter("size > 1")
         .select("node", "n", F.col("top.node").alias("pivot"), F.col("top.n").alias("pn"), (F.col("size") > 2).alias("several"))
     )
-    return materialise(grouped.groupBy("node", "n", "pivot", "pn").agg(F.max("several").alias("several")), "groups")
+    return materialise(grouped.groupBy("node", "n", "pivot", "pn").agg(F.max("several").alias("several")), "groups", TEXT_BATCH)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auralake.llm.storage import join_hot_apart, materialise
+from auralake.llm.storage import TEXT_BATCH, join_hot_apart, materialise
 
 #: Where a unit ends: punctuation with the white space after it, or a line end.
 UNIT_END = "[.!?,;:]+[ \t-\r]|\n"
@@ -66,10 +66,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows that repeat id and text are the same occurrences and give equal rows,
     so the first stays whole; an empty table gives no rows.
     """
-    units = materialise(line_units(docs, id_col, text_col), "units")
+    units = materialise(line_units(docs, id_col, text_col), "units", TEXT_BATCH)
     place = F.struct("doc_id", "text_key", "start")
     first = materialise(units.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1"), "first")
-    found = join_hot_apart(units, first, "digest", units.count()).withColumn("removed", place != F.col("kept"))
+    found = join_hot_apart(units, first, "digest", units.count()).select(
+        "doc_id", "text_key", "unit", "start", "end", "words", (place != F.col("kept")).alias("removed"), F.struct("kept.doc_id", "kept.start").alias("kept")
+    )
     # a text's units meet in one task from here on; all steps keep that partitioning
     text = ["doc_id", "text_key"]
     rank = F.dense_rank().over(Window.partitionBy(*text).orderBy("unit"))

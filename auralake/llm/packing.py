@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auralake.llm.storage import materialise
+from auralake.llm.storage import TEXT_BATCH, materialise
 from auralake.llm.tokens import worker_tokenizer
 
 #: Partitions whose leftovers are merged by one task.
@@ -140,7 +140,7 @@ def pack(
         return packer.taken()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = materialise(rows.mapInPandas(run, f"{_PIECE}, ids binary, task int"), "packed")
+    packed = materialise(rows.mapInPandas(run, f"{_PIECE}, ids binary, task int"), "packed", TEXT_BATCH)
     names = [c.split()[0] for c in _PIECE.split(", ")]
     done = packed.filter("sequence_id IS NOT NULL").select(*names)
     rest = packed.filter("sequence_id IS NULL").withColumn("group", (F.col("task") / MERGE_GROUP).cast("long"))

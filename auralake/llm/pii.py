@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auralake.llm.storage import discard, materialise
+from auralake.llm.storage import TEXT_BATCH, discard, materialise
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("secret", "number")
@@ -217,7 +217,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     accepted spans (secret, number).  Null and empty texts have no spans;
     repeated and null ids pass through; an empty table gives no rows.
     """
-    found = materialise(_find(docs, id_col, text_col), "spans")
+    found = materialise(_find(docs, id_col, text_col), "spans", TEXT_BATCH)
     accepted = accepted_patterns(_pattern_counts(found))
     kept = F.filter("extra", lambda x: x["pattern"].isin(*sorted(accepted)) if accepted else F.lit(False))
     extra = F.transform(kept, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
@@ -232,7 +232,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rewrites, so texts are never shuffled.  Null texts stay null; all columns
     and rows stay.
     """
-    found = materialise(_find(docs, id_col, text_col).select("extra"), "spans")
+    found = materialise(_find(docs, id_col, text_col).select("extra"), "spans", TEXT_BATCH)
     accepted = accepted_patterns(_pattern_counts(found))
     discard(found)
     schema = docs.schema

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auralake.llm.storage import materialise, row_key
+from auralake.llm.storage import TEXT_BATCH, materialise, row_key
 
 STATISTICS = (
     "upper", "digit", "symbol", "sentence_marks", "shouting", "bars", "spaces",
@@ -167,7 +167,7 @@ def score_documents(
     counts as not held out; null labels teach nothing; an empty table gives no
     rows.
     """
-    stats = materialise(document_statistics(docs, id_col, text_col), "statistics")
+    stats = materialise(document_statistics(docs, id_col, text_col), "statistics", TEXT_BATCH)
     model = train(stats, labels.filter(~held_out("doc_id")), label_col)
     scored = score_statistics(stats, model)
     return scored.select(

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of one long column that a join may broadcast (about 16 MB).
 BROADCAST_ROWS = 1_000_000
+#: Whole texts that a Python worker holds at once.
+TEXT_BATCH = 1_000
 
 
 def workspace(spark: SparkSession) -> str:
@@ -27,10 +31,26 @@ def workspace(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: short lineage that survives lost executors."""
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialise(df: DataFrame, name: str, batch: int = 10_000) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: short lineage that survives lost executors.
+
+    batch: most rows that a Python worker holds at once meanwhile; TEXT_BATCH for
+    jobs that read whole texts.
+    """
     path = f"{workspace(df.sparkSession)}/auralake/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    with _batches_of(df.sparkSession, batch):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

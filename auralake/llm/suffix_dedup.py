@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralake.llm.hashing import U64, gram_hashes, mix, word_bounds, word_hashes
-from auralake.llm.storage import discard, filter_by_ids, join_hot_apart, materialise
+from auralake.llm.storage import TEXT_BATCH, discard, filter_by_ids, join_hot_apart, materialise
 
 GRAM = 5
 
@@ -215,7 +215,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     discard(digests)
     texts = filter_by_ids(rows, copies.select(*text_id), text_id, "left_anti")
 
-    keyed = materialise(_anchor_rows(texts, window, right), "anchors")
+    keyed = materialise(_anchor_rows(texts, window, right), "anchors", TEXT_BATCH)
     shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     repeated = join_hot_apart(keyed, shared.withColumn("many", F.col("n") > 2), "key", keyed.count())
     wanted = materialise(
@@ -224,7 +224,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )  # a text's keys are bounded by its words
     discard(keyed)
     chosen = filter_by_ids(texts, wanted.select(*text_id), text_id).join(wanted, text_id)
-    suffixes = materialise(_suffix_rows(chosen, window, right, context), "suffixes")
+    suffixes = materialise(_suffix_rows(chosen, window, right, context), "suffixes", TEXT_BATCH)
     order = ["key", "after", "before", *text_id, "at"]
     compare = _compare_sorted(min_words, right, context)
     schema = _SUFFIX + ", " + _CLAIM
@@ -236,7 +236,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edges = compared.filter("NOT claim").select(*(c.split()[0] for c in _SUFFIX.split(", ")))
     edges = edges.coalesce(1).sortWithinPartitions(*order).mapInPandas(compare, schema)
     claims = compared.filter("claim").unionByName(edges.filter("claim")).select(*text_id, "start", "stop", "other_doc_id", "later")
-    windows = materialise(_window_rows(chosen.filter("size(many) > 0"), window, right, min_words), "windows")
+    windows = materialise(_window_rows(chosen.filter("size(many) > 0"), window, right, min_words), "windows", TEXT_BATCH)
     claims = claims.unionByName(_window_claims(windows, min_words))
     whole = copies.filter(F.col("words") >= min_words).select(
         *text_id, F.lit(0).cast("long").alias("start"), F.col("words").alias("stop"), F.col("first").alias("other_doc_id"), F.lit(True).alias("later")
