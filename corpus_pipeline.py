@@ -17,7 +17,7 @@ from auralake.llm.packing import pack
 from auralake.llm.pii import redact
 from auralake.llm.quality import score_documents
 from auralake.llm.queries import tokenizer_path
-from auralake.llm.storage import filter_by_ids, join_hot_apart, materialise, row_key
+from auralake.llm.storage import TEXT_BATCH, filter_by_ids, join_hot_apart, materialise, row_key
 
 _KEY = "auralake_row_key"
 
@@ -28,7 +28,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs without the rows of the given keys; rows are told apart by id and text, so null and repeated ids are no matter."""
-    return filter_by_ids(_keyed(docs), materialise(keys.toDF(_KEY).distinct(), "dropped"), _KEY, "left_anti").select(docs.columns)
+    return filter_by_ids(_keyed(docs), materialise(keys.toDF(_KEY).distinct(), "dropped", TEXT_BATCH), _KEY, "left_anti").select(docs.columns)
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,5 +88,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), name, TEXT_BATCH)
     return STAGES[-1][1](spark, docs, sf_dir)
