@@ -1,8 +1,8 @@
 """Tool-call linking in DataFrame operations only.
 
 Calls and results are joined by conversation and call identifier, calls are put
-in topological order of their dependencies by rounds of equi-joins, arguments
-are parsed as variants and checked against the schema of their tool, and every
+in topological order of their dependencies by pointer doubling, arguments are
+parsed as variants and checked against the schema of their tool, and every
 record is serialised as canonical JSON (keys sorted, no spaces).
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auralake.llm.storage import discard, materialise
+from auralake.llm.storage import materialise
 
 #: JSON type -> how schema_of_variant names it.
 _TYPES = {
@@ -24,53 +24,85 @@ _TYPES = {
 }
 
 
-def validation_errors(arguments: Column, tool: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
-    """Sorted array of errors of a variant column against schemas[tool][property] = (type, required)."""
-    problems = [F.when(arguments.isNull(), F.lit("arguments: not JSON")), F.when(~tool.isin(*schemas), F.lit("tool: unknown"))]
+def _spec(given: tuple | dict) -> dict:
+    return dict(zip(("type", "required"), given, strict=True)) if isinstance(given, tuple) else given
+
+
+def _problems(arguments: Column, properties: dict, path: str, inside: Column) -> list[tuple[Column, Column]]:
+    """(holds, text) of each thing that can be wrong with the properties of an object that is there where `inside` holds."""
+    found = []
+    for key, given in properties.items():
+        spec = _spec(given)
+        name = f"{path}{key}"
+        kind = F.schema_of_variant(F.try_variant_get(arguments, f"$.{name}", "variant"))
+        missing = F.coalesce(kind == "VOID", F.lit(True))
+        fits = kind.rlike(_TYPES[spec["type"]])
+        found.append((inside & ~missing & ~fits, F.lit(f"{name}: not {spec['type']}")))
+        if spec.get("required"):
+            found.append((inside & missing, F.lit(f"{name}: missing")))
+        if "items" in spec:
+            item = _TYPES[spec["items"]].strip("^$")
+            found.append((inside & ~missing & fits & ~kind.rlike(f"^ARRAY<({item}|VOID)>$"), F.lit(f"{name}: items not {spec['items']}")))
+        if "enum" in spec:
+            value = F.try_variant_get(arguments, f"$.{name}", "string")
+            found.append((inside & ~missing & fits & ~F.coalesce(value.isin(*map(str, spec["enum"])), F.lit(False)), F.lit(f"{name}: not allowed")))
+        if "properties" in spec:
+            found += _problems(arguments, spec["properties"], f"{name}.", inside & ~missing & fits)
+    return found
+
+
+def validation_errors(arguments: Column, tool: Column, schemas: dict[str, dict[str, tuple[str, bool] | dict]]) -> Column:
+    """Sorted array of errors of a variant column against schemas[tool][property].
+
+    A property is (type, required), or a dict of type, required, and optionally
+    enum (allowed values), items (type of an array's entries) and properties (of
+    an object, to any depth).  Properties that no schema names are allowed.
+    """
+    known = tool.isin(*schemas)
+    errors = [F.when(arguments.isNull(), F.lit("arguments: not JSON")), F.when(~known, F.lit("tool: unknown"))]
     for name, properties in schemas.items():
-        for key, (kind, required) in properties.items():
-            found = F.schema_of_variant(F.try_variant_get(arguments, f"$.{key}", "variant"))
-            missing = found.isNull() | (found == "VOID")
-            wrong = ~missing & ~found.rlike(_TYPES[kind])
-            problem = F.when(wrong, F.lit(f"{key}: not {kind}"))
-            if required:
-                problem = F.when(missing & arguments.isNotNull(), F.lit(f"{key}: missing")).otherwise(problem)
-            problems.append(F.when(tool == name, problem))
-    return F.array_sort(F.array_compact(F.array(*problems)))
+        here = (tool == name) & arguments.isNotNull()
+        errors += [F.when(holds, text) for holds, text in _problems(arguments, properties, "", here)]
+    return F.array_sort(F.array_compact(F.array(*errors)))
 
 
 def topological_levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): 0 without a known dependency, else 1 + the level of `parent_id`; null in a cycle.
+    """(conv_id, call_id, level): 0 without a known dependency, else 1 + the level of `parent_id`; null in a cycle or below one.
 
-    Each round resolves the calls whose parent was resolved in the round before,
-    so there are as many rounds as levels; only open calls are joined again.
+    Pointer doubling: every call knows an ancestor and the steps up to it, and
+    each round replaces it by the ancestor's own, so a chain of n calls takes
+    log2(n) rounds.  A call whose ancestor is a root is done and is not joined
+    again.  After r rounds an open call has more than 2 ** r calls above it; when
+    that is more than there are, it is above itself.
     """
-    nodes = materialise(calls.select("conv_id", "call_id", "parent_id").distinct(), "nodes")
-    known = nodes.select("conv_id", F.col("call_id").alias("parent_id"), F.lit(True).alias("there"))
-    linked = materialise(nodes.join(known, ["conv_id", "parent_id"], "left"), "linked")
-    done = materialise(linked.filter("there IS NULL").select("conv_id", "call_id", F.lit(0).alias("level")), "level")
-    open_calls = materialise(linked.filter("there").select("conv_id", "call_id", "parent_id"), "open")
-    parts, level = [done], 0
-    while not open_calls.isEmpty():
-        level += 1
-        parents = parts[-1].select("conv_id", F.col("call_id").alias("parent_id"))
-        ready = materialise(
-            open_calls.join(parents, ["conv_id", "parent_id"], "left_semi").select("conv_id", "call_id", F.lit(level).alias("level")), "level"
+    key = ["conv_id", "call_id"]
+    nodes = calls.groupBy(*key).agg(F.min("parent_id").alias("up"))
+    roots = materialise(nodes.select(*key, "up"), "nodes")
+    known = roots.select("conv_id", F.col("call_id").alias("up"), F.lit(True).alias("there"))
+    linked = materialise(roots.join(known.hint("shuffle_hash"), ["conv_id", "up"], "left"), "linked")
+    steps = F.when(F.col("there"), 1).otherwise(0).cast("long").alias("steps")
+    done = [linked.filter("there IS NULL").select(*key, steps)]
+    waiting = linked.filter("there").select(*key, "up", steps)
+    most, reach = waiting.count(), 1
+    left = most
+    while left and reach <= most:
+        open_ones = waiting.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
+        above = open_ones
+        for part in done:
+            above = above.unionByName(part.select("conv_id", F.col("call_id").alias("up"), F.lit(None).cast("string").alias("next"), F.col("steps").alias("more")))
+        jumped = materialise(
+            waiting.join(above.hint("shuffle_hash"), ["conv_id", "up"]).select(*key, F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps")), "jumped"
         )
-        if ready.isEmpty():
-            parts.append(open_calls.select("conv_id", "call_id", F.lit(None).cast("int").alias("level")))
-            break
-        rest = materialise(open_calls.join(ready, ["conv_id", "call_id"], "left_anti"), "open")
-        discard(open_calls)
-        parts.append(ready)
-        open_calls = rest
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        done.append(jumped.filter("up IS NULL").select(*key, "steps"))
+        waiting = jumped.filter("up IS NOT NULL")
+        reach, left = 2 * reach, waiting.count()
+    out = waiting.select(*key, F.lit(None).cast("long").alias("level"))
+    for part in done:
+        out = out.unionByName(part.select(*key, F.col("steps").alias("level")))
     return out
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool] | dict]]) -> DataFrame:
     """One row per call and per result without a call: (conv_id, call_id, status, level, valid, errors, record).
 
     calls: conv_id, call_id, turn, tool, arguments (JSON text), parent_id.
@@ -88,7 +120,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     errors = validation_errors(F.col("arguments"), F.col("tool"), schemas)
     asked = asked.select("conv_id", "call_id", "call_turn", "tool", F.to_json("arguments").alias("canonical"), errors.alias("errors"))
     joined = asked.join(levels, ["conv_id", "call_id"], "left").join(
-        results.withColumnRenamed("turn", "result_turn"), ["conv_id", "call_id"], "full_outer"
+        results.withColumnRenamed("turn", "result_turn").hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer"
     )
     status = (
         F.when(F.col("tool").isNull() & F.col("call_turn").isNull(), "orphan")

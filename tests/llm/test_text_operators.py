@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from auralake.llm import decontaminate, pii, quality, tool_calls
 from auralake.llm.line_dedup import dedup_lines, repeated_runs
@@ -364,6 +365,44 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0), tool_calls.SCHEMAS).count() == 0
 
 
+def test_long_chains_and_cycles_of_calls(spark):
+    """A chain of 2,500 calls takes a dozen rounds; calls in a cycle and below one have no level."""
+    rows = [(1, f"c{i}", f"c{i - 1}" if i else None) for i in range(2500)] + [(2, "a", "c"), (2, "b", "a"), (2, "c", "b"), (2, "below", "a"), (3, "own", "own"), (3, "free", "x")]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, parent_id string")
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in tool_calls.topological_levels(calls).collect()}
+    assert len(got) == len(rows) and all(got[1, f"c{i}"] == i for i in range(2500))
+    assert {got[2, c] for c in ("a", "b", "c", "below")} == {None} and got[3, "own"] is None and got[3, "free"] == 0
+
+
+def test_nested_schemas(spark):
+    schema = {"t": {"mode": {"type": "string", "required": True, "enum": ["fast", "slow"]}, "ids": {"type": "array", "items": "integer"}, "at": {"type": "object", "required": False, "properties": {"x": ("number", True), "in": {"type": "object", "properties": {"y": ("boolean", True)}}}}}}
+    texts = ['{"mode": "fast", "ids": [1, 2], "at": {"x": 1.5, "in": {"y": true}}}', '{"mode": "best", "ids": ["a"], "at": {"in": {}}}', '{"at": 3}', '{"mode": "slow", "ids": [], "more": 1}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["e"] for r in df.select("i", tool_calls.validation_errors(F.try_parse_json("t"), F.lit("t"), schema).alias("e")).collect()}
+    assert got == {0: [], 1: ["at.in.y: missing", "at.x: missing", "ids: items not integer", "mode: not allowed"], 2: ["at: not object", "mode: missing"], 3: []}
+
+
+def test_tool_calls_use_hash_joins_and_no_python(spark):
+    talk = spark.read.parquet(f"{DATA}/conversations.parquet")
+    linked = tool_calls.link_tool_calls(tool_calls.derive_calls(talk), tool_calls.derive_results(talk), tool_calls.SCHEMAS)
+    plan = linked._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "FullOuter" in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_tool_calls_awkward(spark):
+    """Nulls in any column, very long texts, repeated rows, extra columns with clashing names."""
+    long = "x" * 200_000
+    schema = "conv_id long, turn int, role string, text string, call_id string, level string, up string"
+    rows = [(1, 0, "user", "hi", "a", "b", "c"), (1, 1, "assistant", long, "a", "b", "c"), (1, 2, "user", long, None, None, None), (1, 1, "assistant", long, "a", "b", "c"), (1, None, "assistant", "t", "a", "b", "c"),
+            (None, 1, "assistant", "t", "a", "b", "c"), (2, 1, "assistant", None, "a", "b", "c"), (2, 2, "user", None, "a", "b", "c"), (2, 3, None, "t", "a", "b", "c"), (3, 4, "user", "", "a", "b", "c")]
+    talk = spark.createDataFrame(rows, schema)
+    got = {(r["conv_id"], r["call_id"]): r for r in tool_calls.link_tool_calls(tool_calls.derive_calls(talk), tool_calls.derive_results(talk), tool_calls.SCHEMAS).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {(1, "call_-1"): "orphan", (1, "call_1"): "linked", (2, "call_1"): "linked", (3, "call_3"): "orphan"}
+    assert json.loads(got[1, "call_1"]["record"])["result"] == long and json.loads(got[2, "call_1"]["record"])["result"] is None
+    empty = talk.limit(0)
+    assert tool_calls.link_tool_calls(tool_calls.derive_calls(empty), tool_calls.derive_results(empty), tool_calls.SCHEMAS).count() == 0
+
+
 # ---- pipeline ----------------------------------------------------------------------------------
 
 
