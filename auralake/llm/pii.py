@@ -2,12 +2,14 @@
 
 Strict detectors give the base spans (email, ip, card, phone), which always
 stay.  A loose generator proposes further spans (long mixed tokens, long digit
-groups); regex, gazetteer, context, checksum and character labelers vote for,
-against, or abstain.  Spark counts the vote patterns over all documents;
-expectation-maximisation on these counts (as many as there are patterns, not
-documents) estimates how often each labeler is right, and a logistic span
-classifier is trained on the estimated labels.  Its decision per pattern is
-applied to every proposed span.
+groups); labelers vote for, against, or abstain: a regex of known forms, a
+gazetteer of issuers' prefixes and countries' number formats, the words and
+signs before the span, its characters, and a checksum.  Spark counts the
+patterns of votes and span features over all documents.  For each kind,
+expectation-maximisation on the votes (as many as there are patterns, not
+documents) estimates how often each labeler is right; with these labels a
+logistic span classifier is trained on votes and span features together, and
+its decision per pattern is applied to every proposed span.
 """
 
 from __future__ import annotations
@@ -28,10 +30,22 @@ from auralake.llm.storage import TEXT_BATCH, discard, materialise
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("secret", "number")
 #: Words that name personal data or secrets shortly before them.
-GAZETTEER = (
+CONTEXT = (
     "account", "api", "auth", "bearer", "card", "contact", "credential", "email", "iban", "id", "ip", "key", "login",
     "mail", "mobile", "passport", "passwd", "password", "phone", "pin", "secret", "ssn", "tel", "token", "user",
 )
+#: Gazetteer: how issuers begin their keys and tokens.
+ISSUER_PREFIXES = (
+    "AIza", "AKIA", "ASIA", "EAAC", "SG", "dckr_pat_", "eyJ", "ghp_", "gho_", "ghr_", "ghs_", "ghu_", "github_pat_", "glpat-", "hf_", "npm_", "pk_live_",
+    "pypi-", "rk_live_", "shpat_", "sk-", "sk_live_", "sk_test_", "xoxa-", "xoxb-", "xoxp-", "ya29",
+)
+#: Gazetteer: letters of an account number (IBAN) by country.
+IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21,
+    "HU": 28, "IE": 22, "IT": 27, "LT": 20, "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24,
+}
+#: Gazetteer: digit groups of telephone and identity numbers as they are written.
+NUMBER_FORMATS = frozenset(("3-3-4", "3-2-4", "2-2-2-2-2", "4-4-4-4", "3-4-4", "2-4-4", "5-6", "3-3-3"))
 LABELERS = ("shape", "gazetteer", "context", "characters", "checksum")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -44,7 +58,8 @@ _TOKEN = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9][A-Za-z0-9_-]{14,}[A-Za-z0-9](
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])\(?[0-9][0-9() .-]{6,22}[0-9](?![0-9A-Za-z])")
 _SHAPE = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{16,}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 _LOCAL_PHONE = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}")
-_NAMED = re.compile(r"(?<![a-z])(?:%s)(?![a-z])" % "|".join(GAZETTEER))
+_NAMED = re.compile(r"(?<![a-z])(?:%s)(?![a-z])" % "|".join(CONTEXT))
+_DIGITS = re.compile("[0-9]+")
 _ASSIGNED = re.compile(r"[=:]\s*[\"']?$")
 
 
@@ -91,12 +106,20 @@ def _entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
+def _listed(kind: str, span: str) -> bool:
+    """Whether the gazetteers know the span's issuer, country format or grouping."""
+    if kind == "secret":
+        return span.startswith(ISSUER_PREFIXES) or IBAN_LENGTHS.get(span[:2]) == len(span)
+    return "-".join(str(len(g)) for g in _DIGITS.findall(span)) in NUMBER_FORMATS
+
+
 def _votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     """One vote per labeler: 1 for, -1 against, 0 abstains."""
     span, before = text[start:end], text[max(0, start - 24) : start]
     digits = [c for c in span if "0" <= c <= "9"]
     share = len(digits) / len(span)
     shape = (_SHAPE if kind == "secret" else _LOCAL_PHONE).fullmatch(span) is not None
+    named, assigned = _NAMED.search(before.lower()), _ASSIGNED.search(before)
     if kind == "secret":
         mixed = 0.1 <= share <= 0.9 and "-" not in span and _entropy(span) >= 3.0
         checksum = 0
@@ -105,13 +128,21 @@ def _votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
         checksum = (1 if luhn("".join(digits)) else -1) if len(digits) >= 13 else 0
     return (
         1 if shape else -1,
-        1 if _NAMED.search(before.lower()) else 0,
-        1 if _ASSIGNED.search(before) else 0,
+        1 if _listed(kind, span) else 0,
+        1 if named or assigned else 0,
         1 if mixed else -1,
         checksum,
     )
 
 
+def _span_features(text: str, start: int, end: int) -> str:
+    """Four digits 0 to 3: length, share of digits, letter case and entropy of the span."""
+    span = text[start:end]
+    share = sum("0" <= c <= "9" for c in span) / len(span)
+    case = (span != span.upper()) + 2 * (span != span.lower())
+    return f"{min(3, len(span) // 12)}{min(3, int(share * 4))}{case}{min(3, int(_entropy(span)))}"
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
     """Proposed spans outside the base spans, with the pattern of votes and features that decides on them."""
     if not _DIGIT.search(text):
@@ -125,14 +156,22 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
                 continue
             if kind == "secret":
                 taken.append((start, end))
-            length = min(3, (end - start) // 12)
             votes = "".join("-0+"[v + 1] for v in _votes(kind, text, start, end))
-            out.append((kind, start, end, f"{kind}|{votes}|{length}"))
+            out.append((kind, start, end, f"{kind}|{votes}|{_span_features(text, start, end)}"))
     return out
 
 
-def fit_votes(counts: dict[str, int], rounds: int = 50) -> tuple[dict[str, float], np.ndarray]:
-    """EM over the vote patterns: P(real) per pattern, and P(vote | truth) as (labeler, truth, vote)."""
+def fit_votes(counts: dict[str, int], rounds: int = 50) -> tuple[dict[str, float], dict[str, np.ndarray]]:
+    """EM over the vote patterns of each kind: P(real) per pattern, and by kind P(vote | truth) as (labeler, truth, vote)."""
+    real, rates = {}, {}
+    for kind in sorted({p.split("|")[0] for p in counts}):
+        own = {p: n for p, n in counts.items() if p.split("|")[0] == kind}
+        found, rates[kind] = _fit_kind(own, rounds)
+        real.update(found)
+    return real, rates
+
+
+def _fit_kind(counts: dict[str, int], rounds: int) -> tuple[dict[str, float], np.ndarray]:
     patterns = sorted(counts)
     votes = np.array([["-0+".index(c) for c in p.split("|")[1]] for p in patterns]).reshape(-1, len(LABELERS))
     n = np.array([counts[p] for p in patterns], dtype=float)
@@ -151,10 +190,10 @@ def fit_votes(counts: dict[str, int], rounds: int = 50) -> tuple[dict[str, float
 
 
 def _features(pattern: str) -> np.ndarray:
-    kind, votes, length = pattern.split("|")
-    return np.array(
-        [1.0, EXTRA_KINDS.index(kind), *(float("-0+".index(v) == k) for v in votes for k in (0, 2)), float(length)]
-    )
+    """A block of intercept, votes for and against, and span features for each kind; the other kind's block is zero."""
+    kind, votes, features = pattern.split("|")
+    block = [1.0, *(float("-0+".index(v) == k) for v in votes for k in (0, 2)), *(float(int(f) == k) for f in features for k in (1, 2, 3))]
+    return np.concatenate([np.array(block) * (kind == k) for k in EXTRA_KINDS])
 
 
 def train_classifier(counts: dict[str, int], real: dict[str, float], steps: int = 25, ridge: float = 1.0) -> np.ndarray:
@@ -205,7 +244,7 @@ def _find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _pattern_counts(found: DataFrame) -> dict[str, int]:
-    """Documents' vote patterns with their counts; at most 2 * 3**5 * 4 entries, however many documents."""
+    """Spans by pattern; at most 2 * 3**5 * 4**4 entries, however many documents."""
     rows = found.select(F.explode("extra.pattern").alias("p")).groupBy("p").count().collect()
     return {r["p"]: r["count"] for r in rows}
 

@@ -2,7 +2,7 @@ import hashlib
 import json
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,13 +147,41 @@ def test_weak_supervision_finds_secrets_and_leaves_numbers(spark):
     found = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all("secret:" in r["spans"] for r in found)
     assert sum(r["spans"].count("secret:") for r in found) == 80
+    assert not any("number:" in r["spans"] for r in found)  # order numbers without a known form
+
+
+def test_spans_equal_a_plain_pass(spark):
+    """Counts over all texts, then each text's spans by the accepted patterns, in plain Python."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    counts = Counter(c[3] for t in texts.values() for c in pii.candidates(t, plain_spans(t)))
+    accepted = pii.accepted_patterns(dict(counts))
+    expected = {}
+    for i, t in texts.items():
+        base = plain_spans(t)
+        spans = base + [c[:3] for c in pii.candidates(t, base) if c[3] in accepted]
+        expected[i] = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    assert {r["doc_id"]: r["spans"] for r in pii.find_spans(docs).collect()} == expected
+
+
+def test_gazetteers():
+    assert pii._listed("secret", "ghp_" + "a1" * 18) and pii._listed("secret", "DE89370400440532013000") and not pii._listed("secret", "DE8937040044053201300")
+    assert pii._listed("number", "(555) 555-1234") and not pii._listed("number", "1000000000000007")
 
 
 def test_em_recovers_reliabilities():
-    counts = {"secret|+++++|1": 400, "secret|-0---|1": 500, "secret|+0-+-|1": 30, "secret|--0--|1": 60}
+    counts = {"secret|+++++|1232": 400, "secret|-0---|1232": 500, "secret|+0-+-|1232": 30, "secret|--0--|1232": 60, "number|-0-+-|0301": 900, "number|+++++|0301": 50}
     real, rates = pii.fit_votes(counts)
-    assert real["secret|+++++|1"] > 0.99 and real["secret|-0---|1"] < 0.01
-    assert rates[0, 1, 2] > 0.8 and abs(rates.sum(axis=2) - 1).max() < 1e-9
+    assert real["secret|+++++|1232"] > 0.99 and real["secret|-0---|1232"] < 0.01 and real["number|+++++|0301"] > 0.99
+    assert rates["secret"][0, 1, 2] > 0.8 and all(abs(r.sum(axis=2) - 1).max() < 1e-9 for r in rates.values())
+    assert rates["number"][3, 0, 2] > 0.9 > rates["secret"][3, 0, 2]  # the characters labeler is worse on numbers
+
+
+def test_features_decide_where_votes_agree():
+    """Spans with the same votes are told apart by what they look like."""
+    counts = {"secret|+++++|3132": 300, "secret|-0---|0210": 300, "secret|-0-+-|3132": 20, "secret|-0-+-|0210": 20}
+    accepted = pii.accepted_patterns(counts)
+    assert "secret|+++++|3132" in accepted and "secret|-0---|0210" not in accepted and "secret|-0-+-|0210" not in accepted
 
 
 # ---- op3 ---------------------------------------------------------------------------------------
