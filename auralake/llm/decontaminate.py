@@ -1,14 +1,17 @@
-"""Benchmark decontamination with a BM25 inverted index and block-max pruning.
+"""Benchmark decontamination with a BM25 inverted index and block-max WAND.
 
 The index holds the benchmark items: per term the items it occurs in with their
 BM25 weight divided by the item's own full score, so scores run from 0 to 1, and
-per block of items the largest weight.  Every training text is cut into
-overlapping passages; a passage and a block are looked at only if the sum of
-block maxima reaches the threshold (block-max WAND's pivot test, for all
-passages of a text at once; the most frequent terms, which can add little, are
-left to a constant); only there the weights of all terms are added up per item.  All items at or above
-the threshold are kept, then the overlap of word triples with the item's
-question and answer part is verified.
+per term and block of items the largest weight.  Every training text is cut into
+overlapping passages.  A passage is queried with all its words: lists of postings
+stand at their next item, a pivot is the first item that the lists' largest
+weights let reach the threshold, and the block maxima around it decide whether
+it is scored or the lists jump behind the block.  Two bounds of the same maxima,
+taken for all passages of a text at once, keep most passages from that loop: one
+over the rarer terms only (the frequent ones, which can add little, count as a
+constant), then one over all terms.  All items at or above the threshold are
+kept, then the overlap of word triples with the item's question and answer part
+is verified.  Items of like length share an index, with passages to their size.
 """
 
 from __future__ import annotations
@@ -25,7 +28,10 @@ from auralake.llm.storage import materialise
 
 #: Items of one broadcast index; a larger benchmark is searched in several rounds.
 ROUND_ITEMS = 20_000
-BLOCK_ITEMS = 16
+#: Postings of one broadcast index (about 100 MB); also a reason for more rounds.
+ROUND_POSTINGS = 2_000_000
+BLOCK_ITEMS = 4
+_ROUNDING = 1e-9
 _INSIDE = np.zeros(256, dtype=bool)
 _INSIDE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -91,6 +97,29 @@ def index_items(benchmark: DataFrame, id_col: str, text_col: str, answer_share:
     )
 
 
+class _Cursor:
+    """A term's list of postings, standing at its next item; item is -1 behind the last."""
+
+    def __init__(self, index: ItemIndex, term: int):
+        self.index, self.at, self.end = index, int(index.posting[term]), int(index.posting[term + 1])
+        self.blocks = slice(int(index.start[term]), int(index.start[term + 1]))
+        self.highest = float(index.highest[term])
+        self.item = int(index.item[self.at])
+
+    def advance(self, goal: int) -> None:
+        """To the first posting of an item from goal on."""
+        self.at += int(np.searchsorted(self.index.item[self.at : self.end], goal))
+        self.item = int(self.index.item[self.at]) if self.at < self.end else -1
+
+    def block_top(self, block: int) -> float:
+        own = self.index.block[self.blocks]
+        n = int(np.searchsorted(own, block))
+        return float(self.index.top[self.blocks][n]) if n < len(own) and own[n] == block else 0.0
+
+    def weight(self) -> float:
+        return float(self.index.weight[self.at])
+
+
 class ItemIndex:
     """Postings and block maxima of up to ROUND_ITEMS items, as flat arrays."""
 
@@ -114,6 +143,8 @@ class ItemIndex:
         self.top = np.maximum.reduceat(self.weight, self.first)
         self.block = self.item[self.first] // BLOCK_ITEMS
         self.start = np.searchsorted(number[self.first], np.arange(len(self.terms) + 1))
+        self.posting = np.searchsorted(number, np.arange(len(self.terms) + 1))
+        self.highest = np.maximum.reduceat(self.weight, self.posting[:-1])
         self._split_terms(number, len(rows))
 
     def _split_terms(self, number: np.ndarray, items: int) -> None:
@@ -148,49 +179,63 @@ class ItemIndex:
         where = np.flatnonzero(self.terms[at] == words)
         term = at[where]
         chosen = self.essential[term]
-        half, rare = where[chosen] // step, term[chosen]
+        halves = where // step
+        half, rare = halves[chosen], term[chosen]
         if not len(rare):
             return []
-        passages = int(len(words) - 1) // step + 1
         key = np.concatenate((half, half[half > 0] - 1)) * len(self.terms) + np.concatenate((rare, rare[half > 0]))
         key = np.unique(key)  # one per passage and term
-        own, rare = key // len(self.terms), key % len(self.terms)
-        count = self.start[rare + 1] - self.start[rare]
+        place, bound = self._bounds(key // len(self.terms), key % len(self.terms))
+        alive = place[bound >= threshold - self.rest - _ROUNDING] // self.blocks
+        found = []
+        for passage in np.unique(alive).tolist():
+            begin, end = np.searchsorted(halves, (passage, passage + 2))
+            own = np.unique(term[begin:end])
+            if self._bounds(np.zeros(len(own), dtype=np.int64), own)[1].max(initial=0.0) >= threshold - _ROUNDING:
+                found += [(item, score, passage * step) for item, score in self._wand(own.tolist(), threshold)]
+        return sorted(found, key=lambda f: (f[1], -f[2], -f[0]))
+
+    def _bounds(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage * blocks + block, sum of the block maxima of the passage's terms) where a term has one."""
+        count = self.start[term + 1] - self.start[term]
         ends = np.cumsum(count)
-        entry = np.arange(int(ends[-1])) + np.repeat(self.start[rare] - (ends - count), count)
-        place = np.repeat(own, count) * self.blocks + self.block[entry]
-        bound = np.bincount(place, weights=self.top[entry], minlength=passages * self.blocks)
-        alive = np.flatnonzero(bound >= threshold - self.rest - 1e-9)
-        if not len(alive):
-            return []
-        score = self._scores(where // step, term, alive // self.blocks, alive % self.blocks)
-        pair, i = np.nonzero(score >= threshold)
-        item, first, score = alive[pair] % self.blocks * BLOCK_ITEMS + i, alive[pair] // self.blocks * step, score[pair, i]
-        order = np.lexsort((-item, -first, score))
-        return list(zip(item[order].tolist(), score[order].tolist(), first[order].tolist(), strict=True))
-
-    def _scores(self, half: np.ndarray, term: np.ndarray, passage: np.ndarray, block: np.ndarray) -> np.ndarray:
-        """Full scores (pair, item of the block) of the given passages and blocks, over all their terms."""
-        asked = np.unique(passage)
-        begin, end = np.searchsorted(half, asked), np.searchsorted(half, asked + 2)
-        count = end - begin
-        run = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        own = np.unique(np.repeat(asked, count) * len(self.terms) + term[np.repeat(begin, count) + run])
-        in_passage = np.searchsorted(own, asked * len(self.terms)), np.searchsorted(own, (asked + 1) * len(self.terms))
-        at = np.searchsorted(asked, passage)
-        first, many = in_passage[0][at], in_passage[1][at] - in_passage[0][at]
-        pair = np.repeat(np.arange(len(passage)), many)
-        run = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        wanted = own[np.repeat(first, many) + run] % len(self.terms) * self.blocks + block[pair]
-        cell = np.searchsorted(self.cell, wanted)
-        cell[cell == len(self.cell)] = 0
-        there = np.flatnonzero(self.cell[cell] == wanted)
-        cell, pair = cell[there], pair[there]
-        many = self.last[cell] - self.first[cell]
-        run = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        posting = np.repeat(self.first[cell], many) + run
-        place = np.repeat(pair, many) * BLOCK_ITEMS + self.item[posting] % BLOCK_ITEMS
-        return np.bincount(place, weights=self.weight[posting], minlength=len(passage) * BLOCK_ITEMS).reshape(-1, BLOCK_ITEMS)
+        entry = np.arange(int(ends[-1])) + np.repeat(self.start[term] - (ends - count), count)
+        place, at = np.unique(np.repeat(passage, count) * self.blocks + self.block[entry], return_inverse=True)
+        return place, np.bincount(at, weights=self.top[entry])
+
+    def _wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
+        """(item, score) of every item whose weights of these terms add up to the threshold."""
+        lists = [_Cursor(self, t) for t in terms]
+        found = []
+        while lists:
+            lists.sort(key=lambda x: x.item)
+            reach, pivot = 0.0, -1
+            for n, x in enumerate(lists):
+                reach += x.highest
+                if reach >= threshold - _ROUNDING:
+                    pivot = n
+                    break
+            if pivot < 0:
+                break
+            item = lists[pivot].item
+            while pivot + 1 < len(lists) and lists[pivot + 1].item == item:
+                pivot += 1
+            upto, block = lists[: pivot + 1], item // BLOCK_ITEMS
+            if sum(x.block_top(block) for x in upto) < threshold - _ROUNDING:
+                goal = (block + 1) * BLOCK_ITEMS  # no item of this block before the next list begins
+                if pivot + 1 < len(lists):
+                    goal = min(goal, lists[pivot + 1].item)
+            elif lists[0].item == item:
+                score = sum(x.weight() for x in upto)
+                if score >= threshold:
+                    found.append((item, score))
+                goal = item + 1
+            else:
+                goal = item
+            for x in upto:
+                x.advance(goal)
+            lists = [x for x in lists if x.item >= 0]
+        return found
 
     def overlaps(self, item: int, words: np.ndarray, first: int) -> tuple[float, float]:
         """Shares of the question's and answer's word triples that stand around the passage."""
@@ -218,37 +263,50 @@ def find_leaks(
     and items leak nothing; documents with a repeated id are searched each by
     itself; of the texts of a repeated item id the best verified one is told; a
     null id stays null; empty tables give no rows.  Items are searched in rounds
-    of ROUND_ITEMS, the texts of one id in one round, so the broadcast index has
-    a size bound.
+    of about ROUND_ITEMS or ROUND_POSTINGS, the texts of one id in one round, so
+    the broadcast index has a size bound.
     """
     spark = docs.sparkSession
     items = materialise(index_items(benchmark, item_id_col, item_text_col, answer_share), "index")
-    n, longest = items.agg(F.count("*"), F.coalesce(F.max("length"), F.lit(0))).first()
-    passage = 32 * max(2, -(-longest // 32))
+    n, postings = items.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rounds = -(-n // ROUND_ITEMS)
+    rounds = max(-(-n // ROUND_ITEMS), -(-postings // ROUND_POSTINGS))
     found = spark.createDataFrame([], schema)
     for r in range(rounds):
         chosen = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r).collect() if rounds > 1 else items.collect()
-        index = spark.sparkContext.broadcast(ItemIndex(sorted(chosen, key=lambda x: (x["item_id"], x["variant"])), passage))
+        indexes = spark.sparkContext.broadcast(_by_length(chosen))
 
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], indexes=indexes) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = []
                 for doc_id, text in zip(pdf["doc_id"].astype("object"), pdf["text"], strict=True):
-                    words = term_hashes(text)
-                    best: dict[int, tuple] = {}
-                    for item, score, first in reversed(index.value.search(words, threshold) if len(words) else ()):
-                        item_id = int(index.value.ids[item])
-                        if item_id in best:
-                            continue
-                        q, a = index.value.overlaps(item, words, first)
-                        if q >= overlap and a >= overlap:
-                            best[item_id] = (score, q, a, first)
+                    best = _best_leaks(indexes.value, term_hashes(text), threshold, overlap)
                     out += [(None if pd.isna(doc_id) else doc_id, item_id, *found) for item_id, found in best.items()]
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
         part = rows.mapInPandas(run, schema)
         found = part if r == 0 else found.unionByName(part)
     return found
+
+
+def _by_length(rows: list) -> list[ItemIndex]:
+    """One index for the items of up to 64 words, of up to 128, and so on; its passages are as long as its longest items may be."""
+    classes: dict[int, list] = {}
+    for r in sorted(rows, key=lambda x: (x["item_id"], x["variant"])):
+        classes.setdefault(max(6, (r["length"] - 1).bit_length()), []).append(r)
+    return [ItemIndex(own, 1 << size) for size, own in sorted(classes.items())]
+
+
+def _best_leaks(indexes: list[ItemIndex], words: np.ndarray, threshold: float, overlap: float) -> dict[int, tuple]:
+    """By item id, the best-scored passage of the text that is verified: (score, question overlap, answer overlap, first word)."""
+    best: dict[int, tuple] = {}
+    for index in indexes if len(words) else ():
+        for item, score, first in reversed(index.search(words, threshold)):
+            item_id = int(index.ids[item])
+            if item_id in best and best[item_id][0] >= score:
+                continue
+            q, a = index.overlaps(item, words, first)
+            if q >= overlap and a >= overlap:
+                best[item_id] = (score, q, a, first)
+    return best

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,6 +321,35 @@ def test_pruned_search_equals_full_scores(spark, monkeypatch):
         assert got.keys() == full.keys() and all(abs(got[i] - full[i]) < 1e-9 for i in got)
 
 
+def test_wand_equals_full_scores_for_any_threshold():
+    """The pivot loop against plain sums, on made-up postings with common and rare terms."""
+    rng = np.random.default_rng(8)
+    terms = np.sort(rng.integers(1, 2**62, 300))
+    items = []
+    for i in range(90):
+        own = np.sort(rng.choice(terms, int(rng.integers(3, 40)), replace=False, p=(w := 1 / np.arange(1, 301)) / w.sum()))
+        weight = rng.random(len(own))
+        items.append({"item_id": i, "length": len(own), "terms": own.tolist(), "weights": (weight / weight.sum()).tolist(), "question": [], "answer": []})
+    index = decontaminate.ItemIndex(items, 64)
+    for threshold in (0.1, 0.3, 0.5, 0.9):
+        for _ in range(40):
+            asked = np.unique(rng.integers(0, len(index.terms), int(rng.integers(1, 60)))).tolist()
+            held = {int(index.terms[t]) for t in asked}
+            full = {i["item_id"]: sum(w for t, w in zip(i["terms"], i["weights"], strict=True) if t in held) for i in items}
+            got = dict(index._wand(asked, threshold))
+            assert got.keys() == {i for i, x in full.items() if x >= threshold} and all(abs(got[i] - full[i]) < 1e-9 for i in got)
+
+
+def test_a_long_item_does_not_lengthen_the_passages_of_short_ones(spark):
+    items = [(1, " ".join(words(20, 301))), (2, " ".join(words(900, 302)))]
+    scattered = []
+    for k, w in enumerate(words(20, 301)):  # the words of item 1, far apart
+        scattered += [w, *words(30, 400 + k)]
+    docs = [(1, " ".join(words(100, 303) + items[0][1].split() + words(50, 304))), (2, " ".join(scattered)), (3, " ".join(words(40, 305) + items[1][1].split()))]
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), overlap=0.0)
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(1, 1), (3, 2)]
+
+
 def test_rounds_give_the_same(spark, monkeypatch):
     items, benchmark = bench(spark)
     frame = spark.createDataFrame([(i, " ".join(words(80, i)) + " " + items[i][1]) for i in range(40)], "doc_id long, text string")
