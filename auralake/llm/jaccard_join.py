@@ -4,12 +4,14 @@ A document is the set of its distinct word n-grams.  Two documents link when
 100 * |A & B| >= percent * |A | B|, that is when the symmetric difference holds
 at most (100 - percent) / (100 + percent) * (|A| + |B|) shingles.  PartEnum cuts
 the feature domain into partitions: if at most k shingles differ, then at most k
-partitions are touched, so among the first k + 1 partitions that are not empty
-one is the same in both sets.  Each set emits one signature for each subset of
-that enumeration (the level-two subset is the whole partition, the point of the
-parameter space with the fewest signatures), and linked sets share one.  Sizes
-are cut in bands of a fixed ratio with their own number of partitions; a set
-just below the next band also signs in that band.
+partitions are touched, so of the first k + 1 partitions, in any order that both
+sets use, one is the same in both.  Each set emits one signature for each subset
+of that enumeration (the level-two subset is the whole partition, the point of
+the parameter space with the fewest signatures), and linked sets share one.
+Partitions that hold nothing but shingles of very many documents come last in the
+order, so a passage that much of a corpus shares makes no signature while a set
+has others.  Sizes are cut in bands of a fixed ratio with their own number of
+partitions; a set just below the next band also signs in that band.
 
 Groups of equal signatures are never expanded to all pairs: each member is tried
 against one pivot, the links found are contracted to components, and only
@@ -37,20 +39,26 @@ BAND_RATIO = 4
 #: Sizes below this sign every shingle as a partition of its own.
 SINGLE_BELOW = 64
 #: Bits a shingle of the sketch that goes with every group member, and of the one for single pairs.
-COARSE, FINE = 5, 12
+COARSE, FINE = 2, 6
 #: Rows of a signature group that are compared with each other in one piece.
-BLOCK = 1024
+BLOCK = 512
+#: A shingle is told as frequent by a batch of texts if this share of them holds it (and at least four do).
+OFTEN = 0.02
 
 
 def _bands() -> list[int]:
     return [BAND_RATIO**i for i in range(24)]
 
 
-def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of one sorted shingle set (see the module text)."""
+def signatures(shingles: np.ndarray, percent: int, often: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of one sorted shingle set (see the module text); often: the sorted frequent shingles."""
     n = len(shingles)
     if not n:
         return np.empty(0, dtype=U64)
+    common = np.zeros(n, dtype=bool)
+    if often is not None and len(often):
+        at = np.searchsorted(often, shingles)
+        common = often[np.minimum(at, len(often) - 1)] == shingles
     lows = _bands()
     band = int(np.searchsorted(lows, n, side="right")) - 1
     out = []
@@ -63,10 +71,10 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
         parts = 2**32 if high < SINGLE_BELOW else max(1, int(0.35 * high))
         part = ((shingles >> U64(32)) * U64(parts)) >> U64(32)
         start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        end = int(start[k + 1]) if len(start) > k + 1 else n
-        start = start[: k + 1]
-        inside = np.add.reduceat(mix(shingles[:end]), start)
-        out.append(mix(inside + part[start] * U64(0x9E3779B97F4A7C15) + U64(b + 1)))
+        inside = np.add.reduceat(mix(shingles), start)
+        last = np.logical_and.reduceat(common, start)  # known from the partition's content alone
+        chosen = np.argsort(last, kind="stable")[: k + 1] if last.any() else slice(0, k + 1)
+        out.append(mix(inside[chosen] + part[start[chosen]] * U64(0x9E3779B97F4A7C15) + U64(b + 1)))
     return np.concatenate(out)
 
 
@@ -97,7 +105,10 @@ def _sketch_distance(a: bytes, b: bytes) -> int:
 
 
 def describe_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(node, text_key, n_shingles, digest, sketch, fine) of every row; empty sets have a null digest."""
+    """(node, text_key, n_shingles, digest, sketch, fine, often) of every row; empty sets have a null digest.
+
+    often, on the first row of each batch of texts, lists the shingles that are frequent there.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -110,21 +121,39 @@ def describe_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
                     "digest": [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "sketch": [parity_sketch(s, COARSE) if len(s) else None for s in sets],
                     "fine": [parity_sketch(s, FINE) if len(s) else None for s in sets],
+                    "often": [_often(sets), *[None] * (len(sets) - 1)] if len(sets) else [],
                 }
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "node long, text_key long, n_shingles long, digest binary, sketch binary, fine binary")
+    return rows.mapInPandas(run, "node long, text_key long, n_shingles long, digest binary, sketch binary, fine binary, often array<long>")
+
+
+def _often(sets: list[np.ndarray]) -> np.ndarray:
+    found, n = np.unique(np.concatenate(sets), return_counts=True)
+    return found[n >= max(4, OFTEN * len(sets))].view(np.int64)
+
+
+def frequent_shingles(sets: DataFrame, most: int = 1_000_000) -> np.ndarray:
+    """Sorted shingles that batches of all texts tell as frequent, those of most batches first, `most` at the most.
+
+    They only order partitions, so any list gives the same links; a longer one makes fewer signatures meet by chance.
+    """
+    told = sets.filter("often IS NOT NULL").select(F.explode("often").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    rows = told.orderBy(F.desc("n"), "s").limit(most).select("s").toPandas()
+    return np.sort(rows["s"].to_numpy(dtype=np.int64).view(U64))
+
 
+def _signature_rows(texts: DataFrame, words: int, percent: int, often: np.ndarray) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(often)  # at most eight megabytes
 
-def _signature_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for first in range(0, len(pdf), 256):
                 nodes, sizes, found = [], [], []
                 for node, text in zip(pdf["node"][first : first + 256], pdf["text"][first : first + 256], strict=True):
                     s = shingle_set(text, words)
-                    g = signatures(s, percent)
+                    g = signatures(s, percent, shared.value)
                     nodes.append(np.full(len(g), node, dtype=np.int64))
                     sizes.append(np.full(len(g), len(s), dtype=np.int32))
                     found.append(g)
@@ -324,7 +353,7 @@ def _signature_groups(texts: DataFrame, sets: DataFrame, copies: DataFrame, word
     firsts = filter_by_ids(texts.filter("node IS NOT NULL"), copies.select("node", "text_key"), ["node", "text_key"], "left_anti")
     w = Window.partitionBy("sig")
     grouped = (
-        _signature_rows(firsts, words, percent)
+        _signature_rows(firsts, words, percent, frequent_shingles(sets))
         .withColumn("size", F.count("*").over(w))
         .withColumn("top", F.min(F.struct("node", "n")).over(w))
         .filter("size > 1")

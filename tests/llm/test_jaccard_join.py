@@ -5,7 +5,7 @@ import numpy as np
 
 from auralake.llm.components import connected_components
 from auralake.llm.hashing import shingle_set
-from auralake.llm.jaccard_join import _fold, jaccard_components, parity_sketch, signatures
+from auralake.llm.jaccard_join import _fold, _often, jaccard_components, parity_sketch, signatures
 
 
 def brute(rows, percent=75):
@@ -66,6 +66,23 @@ def test_signatures_of_linked_sets_meet():
                 continue
             a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[:same], pool[n : n + m - same])))
             assert set(signatures(a, 75).tolist()) & set(signatures(b, 75).tolist()), (n, m)
+            often = np.sort(rng.choice(pool, len(pool) // 3, replace=False))
+            assert set(signatures(a, 75, often).tolist()) & set(signatures(b, 75, often).tolist()), (n, m)
+
+
+def test_a_passage_of_many_documents_makes_no_signature(spark):
+    """200 different texts share 60 words; with the frequent shingles last no signature stands for the shared passage."""
+    shared = [f"s{i}" for i in range(60)]
+    texts = [" ".join([f"d{n}_{i}" for i in range(150)] + shared + [f"e{n}_{i}" for i in range(60)]) for n in range(200)]
+    sets = [shingle_set(t) for t in texts]
+    often = np.sort(_often(sets).view(np.uint64))
+    assert len(often) == 56
+    plain, ordered = ([signatures(s, 75, o) for s in sets] for o in (None, often))
+    assert max(Counter(g for own in plain for g in own.tolist()).values()) > 100
+    assert max(Counter(g for own in ordered for g in own.tolist()).values()) == 1
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(500, texts[7] + " more"), (501, " ".join(shared))], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_components(rows).collect()}
+    assert found[500] == 7 and all(found[i] == i for i in range(200)) and found[501] == 501
 
 
 def test_sketch_never_exceeds_the_distance():
