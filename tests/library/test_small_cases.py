@@ -346,6 +346,9 @@ def test_transforms():
     y = tone()
     noisy = signals.mix(y, np.random.default_rng(0).normal(size=500).astype(np.float32), 10)
     assert abs(signals.level_db(y) - signals.level_db(noisy - y) - 10) < 0.01
+    assert abs(signals.level_db(signals.reverberate(y, 16_000, 0.5, 0.3, np.random.default_rng(1))) - signals.level_db(y)) < 0.01
+    assert np.abs(signals.soft_clip(y, 0.5)).max() < 0.5 * np.abs(y).max() and np.allclose(signals.soft_clip(y * 1e-3 + 0, 50.0), y * 1e-3, rtol=1e-3)
+    assert signals.shift(np.arange(4.0), 9).tolist() == [0, 0, 0, 0]
     assert signals.shift(np.arange(4.0), 1).tolist() == [0, 0, 1, 2] and signals.shift(np.arange(4.0), -1).tolist() == [1, 2, 3, 0]
     assert signals.level_db(signals.pass_band(tone(1.0, 5000.0), 16_000, 300, 3400)) < -60
 
