@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralake.functions.rules import GRADES, rule_sql, rule_table
@@ -117,6 +117,21 @@ def reference_accuracy(events: DataFrame) -> DataFrame:
     return every.withColumn("accuracy", F.when(F.col("n") > 0, F.col("correct") / F.col("n")))
 
 
+def exact_median(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(key, name): the exact median per key; null values do not count, and a key without others has no row.
+
+    Values are counted first and the middle is read off the sorted counts as
+    they stream by, so no key's values are held together.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    totals = counted.groupBy(key).agg(F.sum("_n").alias("_all"))
+    upto = F.sum("_n").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("_upto", upto).join(totals, key)
+    at = lambda place: F.min(F.when(F.col("_upto") >= place, F.col(value)))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.ceil((F.col("_all") + 1) / 2)
+    return placed.groupBy(key).agg(((at(low) + at(high)) / 2).alias(name))
+
+
 def alert_response(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     """Per severity: alerts, handled, median minutes to the first action of a person, auto-escalated, dismissed, open."""
     first = actions.groupBy("alert_id").agg(
@@ -124,15 +139,15 @@ def alert_response(alerts: DataFrame, actions: DataFrame) -> DataFrame:
         F.max(F.coalesce(F.col("username").isNull() & (F.col("action") == "escalate"), F.lit(False))).alias("auto"),
     )
     minutes = (F.unix_timestamp("handled_at") - F.unix_timestamp("created_at")) / 60
-    joined = alerts.join(first, "alert_id", "left")
-    return joined.groupBy("severity").agg(
+    joined = alerts.join(first, "alert_id", "left").withColumn("minutes", minutes)
+    counts = joined.groupBy("severity").agg(
         F.count("*").alias("alerts"),
         F.count("handled_at").alias("handled"),
-        F.median(minutes).alias("median_minutes"),
         F.count_if("auto").alias("auto_escalated"),
         F.count_if(F.col("status") == "Dismissed").alias("dismissed"),
         F.count_if(~F.col("status").isin("Resolved", "Dismissed")).alias("open"),
     )
+    return counts.join(exact_median(joined, "severity", "minutes", "median_minutes"), "severity", "left")
 
 
 @query(

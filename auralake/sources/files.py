@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import uuid
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -75,10 +76,36 @@ def write_dataset(rows: DataFrame, path: str, by: tuple[str, ...] = ("split", "c
     rows.repartition(*by).write.partitionBy(*by).mode("overwrite" if force else "errorifexists").parquet(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
+def write_csv(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Rows as CSV with a header; in a given order over all files, whose names follow it."""
+    if order:
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
 
 
+def write_metadata(rows: DataFrame, rejected: DataFrame, stats: DataFrame, path: str, order: list[str]) -> None:
+    """The tables of a dataset below path: rows in order, rejected rows by path, and statistics as JSON lines."""
+    write_csv(rows, f"{path}/dataset_metadata", order)
+    write_csv(rejected, f"{path}/rejected_files", ["source_path"])
+    write_summary(stats, f"{path}/dataset_statistics")
+
+
+def write_features(parts: DataFrame, path: str, names: list[str], settings: dict) -> DataFrame:
+    """Feature rows (ids and an array column `features`) as Parquet, names and settings beside them as JSON; one row: rows, and values that are no finite numbers.
+
+    Values are checked as they are written, by an observation of the same pass.
+    """
+    seen = Observation()
+    bad = F.size(F.filter("features", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    watched = parts.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum(bad), F.lit(0)).alias("bad"))
+    watched.write.mode("errorifexists").parquet(f"{path}/features")
+    spark = parts.sparkSession
+    side = spark.createDataFrame([(json.dumps({"names": names, "settings": settings}, sort_keys=True),)], "value string")
+    side.coalesce(1).write.mode("errorifexists").text(f"{path}/description")
+    found = seen.get
+    return spark.createDataFrame([(found["rows"], found["bad"])], "rows long, bad long")
+
+
 def write_export(rows: DataFrame, path: str, columns: tuple[tuple[str, str], ...]) -> None:
     """Rows as CSV for spreadsheets: (heading, column) in order, a byte-order mark before the first heading of every file."""
     named = [F.col(c).alias(("\ufeff" if i == 0 else "") + heading) for i, (heading, c) in enumerate(columns)]
@@ -117,6 +144,43 @@ def _io5(v: Views) -> DataFrame:
     return v.spark.read.parquet(path).groupBy("split", "class_name").agg(F.count("*").alias("n"))
 
 
+@query(
+    "io6_ordered_tables",
+    """SELECT 'row' AS kind, clip_no, path, row_number() OVER (ORDER BY class_name, path) AS place FROM {clips} WHERE duration_s >= 0.3 UNION ALL
+    SELECT 'rejected', clip_no, path, row_number() OVER (ORDER BY path) FROM {clips} WHERE duration_s < 0.3""",
+)
+def _io6b(v: Views) -> DataFrame:
+    """Written in order; the place of a row is counted over the files by name and the lines of each."""
+    path = scratch(v.spark)
+    kept = v.clips.filter("duration_s >= 0.3").select("clip_no", "path", "class_name", "duration_s")
+    rejected = v.clips.filter("duration_s < 0.3").select("clip_no", F.col("path").alias("source_path"), F.lit("too short").alias("reason"))
+    write_metadata(kept, rejected, kept.groupBy("class_name").agg(F.count("*").alias("n")), path, ["class_name", "path"])
+
+    def placed(folder: str, kind: str, name: str) -> DataFrame:
+        lines = v.spark.read.option("header", True).csv(f"{path}/{folder}").withColumns({"_f": F.input_file_name(), "_i": F.monotonically_increasing_id()})
+        order = Window.partitionBy(F.lit(1)).orderBy("_f", "_i")  # a check of a small table
+        return lines.select(F.lit(kind).alias("kind"), F.col("clip_no").cast("long").alias("clip_no"), F.col(name).alias("path"), F.row_number().over(order).cast("long").alias("place"))
+
+    return placed("dataset_metadata", "row", "path").unionByName(placed("rejected_files", "rejected", "source_path"))
+
+
+@query(
+    "io8_feature_store",
+    "SELECT count(*) AS rows, CAST(count(*) FILTER (vec_id % 9 = 0) + 2 * count(*) FILTER (vec_id % 10 = 0) AS BIGINT) AS bad, 'e0,e1' AS first_names, count(*) AS stored FROM embeddings",
+)
+def _io8(v: Views) -> DataFrame:
+    """Some values spoilt before they are written; the stored rows and the description are read back."""
+    path = scratch(v.spark)
+    spoilt = F.concat(
+        F.col("embedding").cast("array<double>"), F.when(F.col("vec_id") % 9 == 0, F.array(F.lit(float("nan")))).otherwise(F.array().cast("array<double>")),
+        F.when(F.col("vec_id") % 10 == 0, F.array(F.lit(float("inf")), F.lit(None).cast("double"))).otherwise(F.array().cast("array<double>")),
+    )
+    health = write_features(v.embeddings.select("vec_id", spoilt.alias("features")), path, [f"e{i}" for i in range(64)], {"rate": 16000})
+    names = v.spark.read.text(f"{path}/description").select(F.array_join(F.slice(F.from_json("value", "names array<string>")["names"], 1, 2), ",").alias("first_names"))
+    stored = v.spark.read.parquet(f"{path}/features").agg(F.count("*").alias("stored"))
+    return health.crossJoin(names).crossJoin(stored)  # one row each
+
+
 @query("io6_json_summary", "SELECT class_name, count(*) AS n FROM {clips} GROUP BY class_name")
 def _io6(v: Views) -> DataFrame:
     path = scratch(v.spark)

@@ -206,6 +206,36 @@ def _st4(v: Views) -> DataFrame:
     return run_available(sliding_counters(errors, "user_id", 1440, 240, 5), "complete")
 
 
+@query(
+    "st2_session_totals_stream",
+    """SELECT session_id, min(ts) AS started, max(ts) AS ended, count(*) AS windows FROM (SELECT *, sum(f) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
+    SELECT user_id AS session_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 21600 * 1000000::BIGINT THEN 0 ELSE 1 END AS f FROM events)) GROUP BY session_id, g
+    HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+)
+def _st2(v: Views) -> DataFrame:
+    """Sessions that the watermark has closed."""
+    return run_available(stream_sessions(event_stream(v.spark, f"{v.folder}/events.parquet").withColumnRenamed("user_id", "session_id"), "6 hours"))
+
+
+_STEPS = """SELECT alert_id, created_at AS ts, 'created' AS kind, CAST(escalate_after_minutes AS DOUBLE) * 1440 AS minutes FROM {alerts} UNION ALL
+    SELECT alert_id, min(created_at) AS ts, 'acknowledge' AS kind, NULL AS minutes FROM {actions} WHERE username IS NOT NULL AND action = 'acknowledge' GROUP BY alert_id"""
+
+
+@query(
+    "st3_escalation_stream",
+    f"""WITH s AS ({_STEPS}) SELECT c.alert_id, c.ts + to_minutes(CAST(c.minutes AS BIGINT)) AS due FROM s c WHERE kind = 'created' AND minutes IS NOT NULL AND c.ts + to_minutes(CAST(c.minutes AS BIGINT)) <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM s)
+    AND NOT EXISTS (SELECT 1 FROM s a WHERE a.alert_id = c.alert_id AND a.kind <> 'created' AND a.ts < c.ts + to_minutes(CAST(c.minutes AS BIGINT)))""",
+)
+def _st3(v: Views) -> DataFrame:
+    """Alerts and what people did, as one stream; days stand for minutes, as the given actions are days apart."""
+    folder = shared_folder(v.spark)
+    created = v.alerts.select("alert_id", F.col("created_at").alias("ts"), F.lit("created").alias("kind"), (F.col("escalate_after_minutes") * 1440).cast("double").alias("minutes"))
+    handled = v.actions.filter("username IS NOT NULL AND action = 'acknowledge'").groupBy("alert_id").agg(F.min("created_at").alias("ts"))
+    steps = created.unionByName(handled.select("alert_id", "ts", F.lit("acknowledge").alias("kind"), F.lit(None).cast("double").alias("minutes")))
+    steps.write.parquet(f"{folder}/in")
+    return run_available(escalations(v.spark.readStream.schema(steps.schema).parquet(f"{folder}/in")))
+
+
 @query(
     "st6_dedup_stream",
     "SELECT user_id, day FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)",
