@@ -56,6 +56,59 @@ def test_packing_places_every_id_once(spark):
     assert len(sequences) * 256 <= total * 1.06 + 256
 
 
+def plain_packing(lengths, window, most, gap):
+    """The rule on lengths alone: {window contents} of one partition, each a list of (document, start, length)."""
+    done, open_ones = [], []
+
+    def room(w):
+        return window - sum(n for _, _, n in w)
+
+    def place(pieces, limit, top_up):
+        for doc, start, n in pieces:
+            while n > window:
+                done.append([(doc, start, window)])
+                start, n = start + window, n - window
+            while n:
+                fits = [w for w in open_ones if room(w) >= n]
+                if fits:
+                    best = min(fits, key=room)
+                    best.append((doc, start, n))
+                    n = 0
+                elif len(open_ones) < limit:
+                    open_ones.append(best := [(doc, start, n)])
+                    n = 0
+                else:
+                    best = min(open_ones, key=room)
+                    if room(best) <= top_up:
+                        open_ones.remove(best)
+                        done.append(best)
+                        continue
+                    k = room(best)
+                    best.append((doc, start, k))
+                    start, n = start + k, n - k
+                if not room(best):
+                    open_ones.remove(best)
+                    done.append(best)
+
+    place([(d, 0, n) for d, n in enumerate(lengths)], most, gap)
+    rest = [p for w in sorted(open_ones, key=room) for p in w]
+    open_ones.clear()
+    place(rest, 1, 0)
+    return done + open_ones
+
+
+def test_packing_equals_the_plain_rule(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 500, int(n)))) for i, n in enumerate(rng.integers(0, 500, 150))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    encoder = CachedTokenizer(PATH, 2)
+    expected = plain_packing([len(encoder.encode(t)) for _, t in rows], 256, 4, 8)
+    found = {}
+    for r in sorted(pack(docs, PATH, window=256, open_windows=4, max_gap=8).collect(), key=lambda r: r["offset"]):
+        found.setdefault(r["sequence_id"], []).append((r["doc_id"], r["start"], r["length"]))
+    assert sorted(sorted(w) for w in found.values()) == sorted(sorted(w) for w in expected)
+
+
 def test_packing_awkward_rows(awkward, empty):
     found = pack(awkward, PATH, window=128).collect()
     _, by_doc = check_pieces(found, 128)
@@ -132,6 +185,24 @@ def test_media_round_trip(awkward, empty):
     assert len(set(same)) == 1 and len(rows) == awkward.count() and media_columns(empty).count() == 0
 
 
+def test_feature_equals_plain_cells(spark):
+    """Width, height and the 64 cells brighter than their mean, cell by cell from the padded payload."""
+    texts = ["", "short text", "mixed Text 0123 \xe9\u4e2d " * 90]
+    rows = media_columns(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        payload = pad_payload(texts[r["doc_id"]].encode())
+        image = [payload[i : i + 24] for i in range(0, len(payload), 24)]
+        tall = len(image)
+        tops = sorted({k * tall // 8 for k in range(8)})
+        cells = []
+        for a, b in zip(tops, [*tops[1:], tall], strict=True):
+            cells += [[v for line in image[a:b] for v in line[c : c + 3]] for c in range(0, 24, 3)]
+        means = [sum(c) / len(c) for c in cells]
+        bits = [m > sum(means) / len(means) for m in means] + [False] * (64 - len(means))
+        number = int("".join("01"[b] for b in bits), 2)
+        assert r["feature"] == f"192x{tall * 8}:{number:016x}"
+
+
 def test_every_byte_pair_survives():
     payload = np.random.default_rng(2).integers(0, 256, 576 * 9, dtype=np.uint8).tobytes() + bytes([0, 255] * 288) + b"\xff" * 576
     (stored,) = encode_payloads([payload])
