@@ -477,6 +477,17 @@ def _a30(v: Views) -> DataFrame:
     return select_model(metas, critical_recall=0.1)
 
 
+@query(
+    "u8_clip_probabilities",
+    f"""SELECT c.clip_id, CAST(n.i AS INTEGER) AS class_no, round(coalesce(e / sum(e) OVER (PARTITION BY c.clip_id), 0.1), 6) AS p FROM {_CLIPS} c CROSS JOIN range(10) n(i) LEFT JOIN (
+    SELECT clip_id, class_no, pow(p / sum(p) OVER (PARTITION BY clip_id) + 1e-12, 1 / 0.8) AS e FROM (SELECT clip_id, class_no, max(w) AS p FROM (
+    SELECT clip_id, window_id, class_no, pow(p + 1e-12, 1 / 1.3) / sum(pow(p + 1e-12, 1 / 1.3)) OVER (PARTITION BY window_id) AS w FROM {{scores}}) GROUP BY clip_id, class_no)) s ON s.clip_id = c.clip_id AND s.class_no = n.i""",
+)
+def _u8(v: Views) -> DataFrame:
+    """Window scores calibrated, combined per clip, calibrated again; clips without windows stay uniform."""
+    return _long(clip_probabilities(_windows(v), _clips(v), 10, 1.3, "max", 0.8), "clip_id")
+
+
 @query(
     "sc8_temperature_softmax",
     "SELECT window_id, CAST(class_no AS INTEGER) AS class_no, round(e / sum(e) OVER (PARTITION BY window_id), 6) AS calibrated FROM (SELECT *, exp(z - max(z) OVER (PARTITION BY window_id)) AS e FROM (SELECT *, ln(p + 1e-12) / 1.7 AS z FROM {scores}))",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 from auralake.operators.dataset import first_per_class, stable_order
 from auralake.operators.evaluation import class_metrics, confusion
+from auralake.operators.ordering import settled
+from auralake.operators.signals import recording_properties
 from auralake.plans.registry import Views, query
 
 
@@ -40,20 +44,51 @@ def feature_ranking(train: DataFrame, trees: int = 20) -> DataFrame:
     return train.sparkSession.createDataFrame(rows, "feature int, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def _cross_validated(sample: DataFrame, folds: int) -> DataFrame:
+    """(fold, n, correct) of a forest per fold; whole groups stay in one fold.  sample: y (a number), group_id, features."""
+    fold = F.pmod(F.xxhash64("group_id"), F.lit(folds))
+    data = settled(sample.select(fold.alias("fold"), F.col("y").cast("double").alias("label"), "features"))
+    data = data.select("fold", "label", array_to_vector("features").alias("features"))
+    out = []
+    for k in range(folds):
+        train = data.filter(F.col("fold") != k)
+        if train.isEmpty():
+            continue
+        model = RandomForestClassifier(numTrees=20, maxDepth=5, seed=7).fit(train)
+        tested = model.transform(data.filter(F.col("fold") == k))
+        out.append(tested.agg(F.lit(k).alias("fold"), F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("correct")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def shortcut_probe(rows: DataFrame, per_class: int = 60, folds: int = 5) -> DataFrame:
-    """(fold, n, correct): a forest on recording-format features, cross-validated with whole groups per fold.
+    """(fold, n, correct, chance): a forest on recording-format features, cross-validated with whole groups per fold.
 
-    rows: key, y, group_id, features.  A sample of per_class rows a class is the
-    feature; accuracy far above chance means that the format gives the class away.
+    rows: key, y (class number), group_id, features.  A sample of per_class rows a
+    class is the feature; accuracy far above chance (one over the classes) means
+    that the format gives the class away.
     """
-    sample = first_per_class(rows, per_class, "y", [stable_order("0", "key"), "key"]).withColumn("fold", F.pmod(F.hash("group_id"), F.lit(folds)))
-    data = sample.select("fold", F.col("y").cast("double").alias("label"), array_to_vector("features").alias("features"))
-    out = None
-    for k in range(folds):
-        model = RandomForestClassifier(numTrees=20, maxDepth=5, seed=7).fit(data.filter(F.col("fold") != k))
-        tested = model.transform(data.filter(F.col("fold") == k)).agg(F.lit(k).alias("fold"), F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("correct"))
-        out = tested if out is None else out.unionByName(tested)
-    return out
+    sample = first_per_class(rows, per_class, "y", [stable_order("0", "key"), "key"])
+    classes = rows.agg(F.count_distinct("y")).first()[0]
+    return _cross_validated(sample, folds).withColumn("chance", F.lit(1.0 / max(1, classes)))
+
+
+def source_probe(rows: DataFrame, per_source: int = 40, least: int = 20, folds: int = 5) -> DataFrame:
+    """(y, accuracy, majority) of each class: whether the format tells a clip's source among those with at least `least` clips, and the share of the largest source.
+
+    rows: key, y, source (a number), group_id, features.  Classes with one such
+    source are left out.  The loop is over classes, a short list.
+    """
+    held = rows.groupBy("y", "source").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    several = held.groupBy("y").agg(F.count("*").alias("sources"), F.sum(F.least("n", F.lit(per_source))).alias("all"), F.max(F.least("n", F.lit(per_source))).alias("most")).filter("sources > 1")
+    sample = settled(
+        first_per_class(rows.join(held, ["y", "source"], "left_semi").withColumn("both", F.struct("y", "source")), per_source, "both", [stable_order("0", "key"), "key"]).drop("both")
+    )
+    out = []
+    for r in several.orderBy("y").collect():
+        one = sample.filter(F.col("y") == r["y"]).select(F.col("source").alias("y"), "group_id", "features")
+        score = _cross_validated(one, folds).filter("n > 0").agg(F.avg(F.col("correct") / F.col("n")).alias("accuracy"))
+        out.append(score.select(F.lit(r["y"]).alias("y"), "accuracy", F.lit(r["most"] / r["all"]).alias("majority")))
+    return reduce(DataFrame.unionByName, out) if out else rows.sparkSession.createDataFrame([], "y long, accuracy double, majority double")
 
 
 def _features(v: Views) -> DataFrame:
@@ -71,7 +106,22 @@ def _l5(v: Views) -> DataFrame:
     return feature_ranking(_features(v))
 
 
+def _formats(v: Views) -> DataFrame:
+    """Recording properties of the embeddings taken as clips; one source of two is a little louder."""
+    n = F.col("vec_id")
+    clips = v.embeddings.select(
+        n.alias("clip_id"), F.lit(16_000).alias("rate"), (n % 2 + 1).alias("channels"), F.transform("embedding", lambda x: x.cast("double") * (1 + (n % 5 == 0).cast("int"))).alias("samples"),
+    )
+    found = recording_properties(clips).join(v.embeddings.select(n.alias("clip_id"), F.col("label").alias("y")), "clip_id")
+    values = F.array(*(F.col(c).cast("double") for c in ("rate", "channels", "high_share", "zero_share", "level")))
+    return found.select(F.col("clip_id").cast("string").alias("key"), "y", (F.col("clip_id") % 97).alias("group_id"), (F.col("clip_id") % 5 == 0).cast("int").alias("source"), values.alias("features"))
+
+
 @query("ml2_shortcut_probe")
 def _ml2(v: Views) -> DataFrame:
-    rows = v.embeddings.select(F.col("vec_id").cast("string").alias("key"), F.col("label").alias("y"), (F.col("vec_id") % 97).alias("group_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 5).alias("features"))
-    return shortcut_probe(rows)
+    return shortcut_probe(_formats(v))
+
+
+@query("ml2_source_probe")
+def _ml2b(v: Views) -> DataFrame:
+    return source_probe(_formats(v).withColumn("y", F.col("y") % 2), folds=3)

@@ -463,3 +463,14 @@ def test_codes_keep_long_numbers(spark):
     start = spark.createDataFrame([("Gunshot", 99_999)], "label string, last_no long")
     one = spark.createDataFrame([("Gunshot", "a")], "label string, path string")
     assert dataset.class_codes(one, ["path"], "label", start).first()["audio_id"] == "GUN-100000"
+
+
+def test_probes_tell_leaks_from_chance(spark):
+    rng = np.random.default_rng(2)
+    rows = [(str(i), i % 3, i % 2, i % 41, [float(i % 2), float(rng.normal())]) for i in range(240)]  # the first feature is the source
+    df = spark.createDataFrame(rows, "key string, y int, source int, group_id int, features array<double>")
+    got = learning.source_probe(df, folds=3).collect()
+    assert len(got) == 3 and all(r["accuracy"] > 0.95 and r["majority"] == 0.5 for r in got)
+    folds = learning.shortcut_probe(df, folds=3).collect()
+    assert sum(r["n"] for r in folds) == 180 and all(abs(r["chance"] - 1 / 3) < 1e-9 for r in folds) and sum(r["correct"] for r in folds) / 180 < 0.6
+    assert learning.source_probe(df.filter("source = 0"), folds=3).count() == 0
