@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auralake.llm.storage import discard, materialise
+from auralake.llm.storage import discard, join_hot_apart, materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the edges; component is its smallest node.
 
     Every round hangs neighbours on the smallest neighbour by a grouped minimum
-    and an equi-join, so no neighbour list is gathered in one place.  An empty
+    and an equi-join, so no neighbour list is gathered in one place; the edges of
+    a node with very many neighbours are joined without being shuffled by it.  An empty
     edge table gives an empty result; loops and repeated edges change nothing.
     """
     pairs = materialise(
@@ -24,8 +25,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = _state(pairs)
     while state[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        larger = both.filter("v > u")  # a node with very many neighbours keeps them where they are
+        large = join_hot_apart(larger, materialise(least, "least"), "u", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (

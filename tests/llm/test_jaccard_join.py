@@ -113,3 +113,10 @@ def test_every_text_of_a_repeated_id_links(spark):
     rows = [(1, a), (2, a), (2, b), (3, near), (4, [f"c{i}" for i in range(60)])]
     found = jaccard_components(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_components_of_large_stars(spark):
+    """Two centres with thousands of neighbours each, joined by one edge, and a chain hanging off."""
+    edges = [(0, i) for i in range(1, 3000)] + [(5000, i) for i in range(5001, 8000)] + [(2999, 7999), (7000, 9000), (9000, 9001)] + [(20_000, 20_001)]
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(found[i] == 0 for i in (*range(1, 3000), *range(5000, 8000), 9000, 9001)) and found[20_001] == 20_000
