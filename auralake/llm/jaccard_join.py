@@ -196,8 +196,8 @@ def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 def _narrowed(pairs: DataFrame, coarse: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
     """Pairs that neither sketch excludes, materialised."""
-    near = materialise(_close(pairs, coarse, percent).distinct(), "near")
-    return materialise(_close(near, fine, percent).distinct(), "close")
+    near = materialise(_close(pairs, coarse, percent).distinct(), "near", TEXT_BATCH)
+    return materialise(_close(near, fine, percent).distinct(), "close", TEXT_BATCH)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -216,7 +216,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     one = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    links = materialise(pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long").distinct(), "links")
+    links = materialise(pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long").distinct(), "links", TEXT_BATCH)
     discard(sets)
     return links
 
@@ -331,8 +331,8 @@ def jaccard_components(
     mixed = materialise(mixed, "mixed")
     held_by = mixed.groupBy("node").agg(F.collect_set("key").alias("groups"))  # no more than a set has signatures
     mixed = mixed.join(coarse.join(held_by, "node"), "node")
-    near = materialise(_block_pairs(mixed, percent).distinct(), "near")
-    rest = materialise(_close(near, fine, percent).distinct(), "close")
+    near = materialise(_block_pairs(mixed, percent).distinct(), "near", TEXT_BATCH)
+    rest = materialise(_close(near, fine, percent).distinct(), "close", TEXT_BATCH)
     links = links.unionByName(_verified(rest, texts, words, percent))
     links = links.unionByName(copies.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     final = connected_components(links)

@@ -2,8 +2,8 @@
 
 The tokenizer lower-cases, drops white space and never joins anything across
 it, so the ids of a text are those of its words between white space.  A word
-seen before is one dictionary look-up, and numpy gathers the ids of a text; a
-new word is split into letters, digits and other signs, each piece of which is
+seen twice before is one dictionary look-up, and numpy gathers the ids of a text;
+another word is split into letters, digits and other signs, each piece of which is
 encoded by itself.  Texts with characters beyond Latin letters give their words
 to the tokenizer whole.
 """
@@ -17,8 +17,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Distinct words remembered by one Python worker (about 100 MB).
-REMEMBERED = 600_000
+#: Words and pieces that a Python worker remembers (about 100 MB in all); what came once only is not among them.
+REMEMBERED = 350_000
+#: Words whose ids are held, remembered or not, before all is forgotten.
+HELD = 2_500_000
 _LATIN = re.compile("[\t-\r\x20-\x7e\xa1-ɏ]*")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
 
@@ -31,21 +33,38 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+class _Seen:
+    """Tells whether a text was probably asked for before: one flag for each of four million hashes."""
+
+    def __init__(self):
+        self.flags = bytearray(1 << 22)
+
+    def before(self, text: str) -> bool:
+        at = hash(text) & 0x3FFFFF
+        known, self.flags[at] = self.flags[at], 1
+        return known == 1
+
+
 class _Words(dict):
-    """Number of each word seen, by its text; a new one is encoded on its first look-up."""
+    """Number of each word that came twice, by its text; others are encoded when they are looked up."""
 
     def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.seen = encode, _Seen()
         self.flat = array("I")
         self.start = array("q", [0])
 
     def __missing__(self, word: str) -> int:
+        at = len(self.start) - 1
         self.flat.extend(self.encode(word))
         self.start.append(len(self.flat))
-        self[word] = at = len(self)
+        if self.seen.before(word):
+            self[word] = at
         return at
 
+    def full(self) -> bool:
+        return len(self) > REMEMBERED or len(self.start) > HELD
+
     def ids(self, words: list[str], last: int) -> np.ndarray:
         """Ids of all words in order, and `last` behind them."""
         k = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -68,20 +87,18 @@ class CachedTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.end_id = end_id
-        self.pieces: dict[str, list[int]] = {}
-        self._clear()
-
-    def _clear(self) -> None:
         self.latin, self.other = _Words(self._word), _Words(self._chunk)
+        self.pieces, self.seen = {}, _Seen()
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> tuple[int, ...]:
         found = self.pieces.get(piece)
         if found is None:
             letters = _byte_letters()
-            found = [t.id for t in self.whole.model.tokenize("".join([letters[b] for b in piece.encode()]))]
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[piece] = found
+            found = tuple([t.id for t in self.whole.model.tokenize("".join([letters[b] for b in piece.encode()]))])
+            if self.seen.before(piece):
+                if len(self.pieces) >= REMEMBERED:
+                    self.pieces, self.seen = {}, _Seen()
+                self.pieces[piece] = found
         return found
 
     def _word(self, word: str) -> list[int]:
@@ -92,8 +109,8 @@ class CachedTokenizer:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the whole text followed by end_id, as uint32; a null text has end_id alone."""
-        if len(self.latin) + len(self.other) > REMEMBERED:
-            self._clear()
+        if self.latin.full() or self.other.full():
+            self.latin, self.other = _Words(self._word), _Words(self._chunk)
         text = text or ""
         if _LATIN.fullmatch(text) and "<|" not in text:  # in these, white space is ASCII and normal form C changes nothing
             return self.latin.ids(text.lower().split(), self.end_id)
