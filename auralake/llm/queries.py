@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, and SQL for those that SQL can express."""
+"""The operators as queries over the given tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auralake.llm import decontaminate, jaccard_join, line_dedup, media, packing, pii, quality, sharding, suffix_dedup, tool_calls
+from auralake.llm import decontaminate, jaccard_join, line_dedup, media, packing, periodic_runs, pii, quality, sharding, suffix_dedup, tool_calls, topk_search, whitening
 
 
 def tokenizer_path() -> str:
@@ -71,10 +71,37 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), words=5, percent=75)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = periodic_runs.longest_run(F.col("runs"))
+    return (
+        periodic_runs.periodic_runs(docs)
+        .withColumn("best", best)
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            "best.start",
+            "best.length",
+            "best.period",
+            F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+            F.sha2(periodic_runs.runs_text(F.col("runs")), 256).alias("runs_sha256"),
+            F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_array_dedup, op2_pii_spans, op3_quality_qda, op4_line_dedup, op5_slot_shards, op6_window_packing,
-        op7_jpeg_media, op8_bm25_decontamination, op9_tool_call_linking, op10_ngram_jaccard_join,
+        op7_jpeg_media, op8_bm25_decontamination, op9_tool_call_linking, op10_ngram_jaccard_join, op11_periodic_runs, op12_exact_top_k, op13_whitening,
     )
     return {f.__name__: f for f in found}
 
@@ -173,5 +200,19 @@ FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN components c ON
 """
 
 
+_TOP_K = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _LINE_DEDUP, "op9_tool_call_linking": _TOOL_CALLS, "op10_ngram_jaccard_join": _JACCARD}
+    return {"op4_line_dedup": _LINE_DEDUP, "op9_tool_call_linking": _TOOL_CALLS, "op10_ngram_jaccard_join": _JACCARD, "op12_exact_top_k": _TOP_K}
