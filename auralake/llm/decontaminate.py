@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auralake.llm.hashing import _LOWER, U64, gram_hashes, word_hashes
-from auralake.llm.storage import materialise
+from auralake.llm.storage import id_long, id_text, materialise
 
 #: Items of one broadcast index; a larger benchmark is searched in several rounds.
 ROUND_ITEMS = 20_000
@@ -148,9 +148,9 @@ class ItemIndex:
         self._split_terms(number, len(rows))
 
     def _split_terms(self, number: np.ndarray, items: int) -> None:
-        """Frequent terms, whose weights in any one item add up to a small share, propose nothing (MaxScore).
+        """Order the frequent terms; those whose weights in any one item stay under half a threshold propose nothing (MaxScore).
 
-        `rest` bounds what they can add to an item's score.
+        rests[k] bounds what the first k + 1 of them can add to an item's score.
         """
         df = np.bincount(number, minlength=len(self.terms))
         order = np.argsort(-df, kind="stable")
@@ -158,27 +158,27 @@ class ItemIndex:
         place = np.full(len(self.terms), len(frequent))
         place[frequent] = np.arange(len(frequent))
         reach = np.zeros(items)
-        taken = 0
         by_place = np.argsort(place[number], kind="stable")
         bounds = np.searchsorted(place[number][by_place], np.arange(len(frequent) + 1))
-        self.rest = 0.0
+        rests = []
         for k in range(len(frequent)):
             own = by_place[bounds[k] : bounds[k + 1]]
             reach[self.item[own]] += self.weight[own]
-            if reach.max() > 0.25:
+            rests.append(float(reach.max()))
+            if rests[-1] > 0.5:  # half the highest threshold
                 break
-            taken, self.rest = k + 1, float(reach.max())
-        self.essential = np.ones(len(self.terms), dtype=bool)
-        self.essential[frequent[:taken]] = False
+        self.rests, self.place = np.array(rests), place
 
     def search(self, words: np.ndarray, threshold: float) -> list[tuple[int, float, int]]:
         """(item, score, first word) of every passage and item with score >= threshold, by rising score, of equal ones the first passage last."""
         step = self.passage // 2
+        taken = int(np.searchsorted(self.rests, threshold / 2, side="right"))
+        rest = float(self.rests[taken - 1]) if taken else 0.0
         at = np.searchsorted(self.terms, words)
         at[at == len(self.terms)] = 0
         where = np.flatnonzero(self.terms[at] == words)
         term = at[where]
-        chosen = self.essential[term]
+        chosen = self.place[term] >= taken  # a passage without such a term can't reach the threshold
         halves = where // step
         half, rare = halves[chosen], term[chosen]
         if not len(rare):
@@ -186,7 +186,7 @@ class ItemIndex:
         key = np.concatenate((half, half[half > 0] - 1)) * len(self.terms) + np.concatenate((rare, rare[half > 0]))
         key = np.unique(key)  # one per passage and term
         place, bound = self._bounds(key // len(self.terms), key % len(self.terms))
-        alive = place[bound >= threshold - self.rest - _ROUNDING] // self.blocks
+        alive = place[bound >= threshold - rest - _ROUNDING] // self.blocks
         found = []
         for passage in np.unique(alive).tolist():
             begin, end = np.searchsorted(halves, (passage, passage + 2))
@@ -269,8 +269,8 @@ def find_leaks(
     spark = docs.sparkSession
     items = materialise(index_items(benchmark, item_id_col, item_text_col, answer_share), "index")
     n, postings = items.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    schema = "doc_id string, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+    rows = docs.select(id_text(id_col), F.col(text_col).alias("text"))
     rounds = max(-(-n // ROUND_ITEMS), -(-postings // ROUND_POSTINGS))
     found = spark.createDataFrame([], schema)
     for r in range(rounds):
@@ -280,14 +280,14 @@ def find_leaks(
         def run(batches: Iterator[pd.DataFrame], indexes=indexes) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = []
-                for doc_id, text in zip(pdf["doc_id"].astype("object"), pdf["text"], strict=True):
+                for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                     best = _best_leaks(indexes.value, term_hashes(text), threshold, overlap)
-                    out += [(None if pd.isna(doc_id) else doc_id, item_id, *found) for item_id, found in best.items()]
+                    out += [(doc_id, item_id, *found) for item_id, found in best.items()]
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
         part = rows.mapInPandas(run, schema)
         found = part if r == 0 else found.unionByName(part)
-    return found
+    return id_long(found)
 
 
 def _by_length(rows: list) -> list[ItemIndex]:

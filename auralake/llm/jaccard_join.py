@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from auralake.llm.components import connected_components
 from auralake.llm.hashing import U64, mix, shingle_set
-from auralake.llm.storage import TEXT_BATCH, discard, filter_by_ids, join_hot_apart, materialise
+from auralake.llm.storage import TEXT_BATCH, discard, filter_by_ids, id_long, id_text, join_hot_apart, materialise
 
 #: Upper size of a band over its lower size.
 BAND_RATIO = 4
@@ -125,8 +125,9 @@ def describe_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
                 }
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "node long, text_key long, n_shingles long, digest binary, sketch binary, fine binary, often array<long>")
+    rows = docs.select(id_text(id_col, "node"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    found = rows.mapInPandas(run, "node string, text_key long, n_shingles long, digest binary, sketch binary, fine binary, often array<long>")
+    return id_long(found, "node")
 
 
 def _often(sets: list[np.ndarray]) -> np.ndarray:

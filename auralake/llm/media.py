@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auralake.llm.jpeg import average_hash, dc_planes, encode_payloads, pad_payload, parse
+from auralake.llm.storage import id_long, id_text
 
 #: Payload bytes that one numpy pass handles; a longer text makes a pass of its own.
 PASS_BYTES = 1 << 20
 
 _FIELDS = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
+    "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
     "media_bytes long, media_sha256 string, width int, height int, feature string"
 )
 
@@ -63,19 +64,19 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, raws, size = [], [], 0
-            for doc_id, text in zip(pdf["doc_id"].astype("object"), pdf["text"], strict=True):
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 raw = (text or "").encode("utf-8")
                 if raws and size + len(raw) > PASS_BYTES:
                     yield _describe(ids, raws, keep_media)
                     ids, raws, size = [], [], 0
-                ids.append(None if pd.isna(doc_id) else doc_id)
+                ids.append(doc_id)
                 raws.append(raw)
                 size += len(raw)
             if raws:
                 yield _describe(ids, raws, keep_media)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, _FIELDS + (", media binary" if keep_media else ""))
+    rows = docs.select(id_text(id_col), F.col(text_col).alias("text"))
+    return id_long(rows.mapInPandas(run, _FIELDS + (", media binary" if keep_media else "")))
 
 
 def thumbnails(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -100,8 +101,5 @@ def thumbnails(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
                     rows.append((doc_id, None, None, None, None, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["doc_id", "width", "height", "thumb_width", "thumb_height", "thumb", "thumb_hash", "error"])
 
-    rows = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"))
-    return rows.mapInPandas(
-        run,
-        "doc_id long, width int, height int, thumb_width int, thumb_height int, thumb binary, thumb_hash string, error string",
-    )
+    rows = media.select(id_text(id_col), F.col(media_col).alias("media"))
+    return id_long(rows.mapInPandas(run, "doc_id string, width int, height int, thumb_width int, thumb_height int, thumb binary, thumb_hash string, error string"))

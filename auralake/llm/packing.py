@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auralake.llm.storage import TEXT_BATCH, materialise
+from auralake.llm.storage import TEXT_BATCH, id_long, id_text, materialise
 from auralake.llm.tokens import worker_tokenizer
 
 #: Partitions whose leftovers are merged by one task.
 MERGE_GROUP = 64
-_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_PIECE = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class _Packer:
@@ -52,7 +52,7 @@ class _Packer:
         if not self.free[at]:
             self._emit(at)
 
-    def add(self, doc_id: int | None, start: int, ids: np.ndarray, total: int) -> None:
+    def add(self, doc_id: str | None, start: int, ids: np.ndarray, total: int) -> None:
         while len(ids) > self.window:
             self._open((doc_id, start, ids[: self.window], total))
             start, ids = start + self.window, ids[self.window :]
@@ -117,9 +117,9 @@ def pack(
         encoder = worker_tokenizer(tokenizer_path, end_id)
         packer = _Packer(window, open_windows, max_gap, task << 32)
         for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"].astype("object"), pdf["text"], strict=True):
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids = encoder.encode(text)
-                packer.add(None if pd.isna(doc_id) else doc_id, 0, ids, len(ids))
+                packer.add(doc_id, 0, ids, len(ids))
             yield packer.taken().assign(ids=None, task=task)
         last = packer.leftovers()
         yield packer.taken().assign(ids=None, task=task)
@@ -131,7 +131,7 @@ def pack(
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         packer = _Packer(window, open_windows, max_gap, (1 << 55) + (int(pdf["group"].iat[0]) << 32))
         for r in pdf.sort_values(["task", "doc_id", "start"]).itertuples():
-            packer.add(None if pd.isna(r.doc_id) else int(r.doc_id), int(r.start), np.frombuffer(r.ids, dtype="<u4"), int(r.doc_tokens))
+            packer.add(r.doc_id, int(r.start), np.frombuffer(r.ids, dtype="<u4"), int(r.doc_tokens))
         for doc_id, start, ids, total in packer.leftovers():
             packer.free, packer.pieces = packer.free or [window], packer.pieces or [[]]
             packer.pieces[0].append((doc_id, start, ids, total))
@@ -139,9 +139,9 @@ def pack(
             packer._emit(0)
         return packer.taken()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(id_text(id_col), F.col(text_col).alias("text"))
     packed = materialise(rows.mapInPandas(run, f"{_PIECE}, ids binary, task int"), "packed", TEXT_BATCH)
     names = [c.split()[0] for c in _PIECE.split(", ")]
     done = packed.filter("sequence_id IS NOT NULL").select(*names)
     rest = packed.filter("sequence_id IS NULL").withColumn("group", (F.col("task") / MERGE_GROUP).cast("long"))
-    return done.unionByName(rest.groupBy("group").applyInPandas(merge, _PIECE))
+    return id_long(done.unionByName(rest.groupBy("group").applyInPandas(merge, _PIECE)))

@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auralake.llm.storage import TEXT_BATCH, discard, materialise
+from auralake.llm.storage import TEXT_BATCH, discard, id_long, id_text, materialise
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("secret", "number")
@@ -222,25 +223,25 @@ def _written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, extra array<struct<kind:string,start:int,end:int,pattern:string>>"
+_FOUND = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, extra array<struct<kind:string,start:int,end:int,pattern:string>>"
 
 
 def _find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"].astype("object"), pdf["text"], strict=True):
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 text = text or ""
                 base = base_spans(text)
                 n = Counter(k for k, _, _ in base)
                 written = _written(base)
                 extra = [dict(zip(("kind", "start", "end", "pattern"), c, strict=True)) for c in candidates(text, base)]
                 digest = hashlib.sha256(written.encode()).hexdigest()
-                rows.append((None if pd.isna(doc_id) else doc_id, *(n[k] for k in BASE_KINDS), digest, written, extra))
+                rows.append((doc_id, *(n[k] for k in BASE_KINDS), digest, written, extra))
             yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "base", "extra"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, _FOUND)
+    rows = docs.select(id_text(id_col), F.col(text_col).alias("text"))
+    return id_long(rows.mapInPandas(run, _FOUND))
 
 
 def _pattern_counts(found: DataFrame) -> dict[str, int]:
@@ -268,20 +269,22 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """docs with every found span replaced by its kind in brackets; overlapping spans make one.
 
     Votes are counted over all documents first; a second scan decides and
-    rewrites, so texts are never shuffled.  Null texts stay null; all columns
-    and rows stay.
+    rewrites, so texts are never shuffled.  Null texts stay null; all rows and
+    all other columns stay as they are, bit for bit.
     """
     found = materialise(_find(docs, id_col, text_col).select("extra"), "spans", TEXT_BATCH)
     accepted = accepted_patterns(_pattern_counts(found))
     discard(found)
     schema = docs.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf[text_col] = [None if t is None else _redacted(t, accepted) for t in pdf[text_col]]
-            yield pdf
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            field = batch.schema.field(at)
+            texts = [None if t is None else _redacted(t, accepted) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, field, pa.array(texts, type=field.type))
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _redacted(text: str, accepted: frozenset[str]) -> str:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auralake.llm.storage import TEXT_BATCH, materialise, row_key
+from auralake.llm.storage import TEXT_BATCH, id_long, id_text, materialise, row_key
 
 STATISTICS = (
     "upper", "digit", "symbol", "sentence_marks", "shouting", "bars", "spaces",
@@ -60,12 +60,12 @@ def statistics(text: str | None) -> list[float]:
 
 @dataclass
 class QuadraticDiscriminant:
-    """Means, Cholesky factors of the shrunk covariances and log determinants, for classes 0 and 1."""
+    """Means, inverted Cholesky factors of the shrunk covariances and log determinants, for classes 0 and 1; factored once, when fitted."""
 
     centre: np.ndarray
     scale: np.ndarray
     means: np.ndarray
-    factors: np.ndarray
+    inverse_factors: np.ndarray
     log_dets: np.ndarray
     log_priors: np.ndarray
 
@@ -96,14 +96,14 @@ class QuadraticDiscriminant:
             c = (1 - to_diagonal) * c + to_diagonal * np.diag(np.diagonal(c)) + 1e-3 * np.eye(d)
             factors.append(np.linalg.cholesky(c))
         dets = np.array([2 * np.log(np.diagonal(f)).sum() for f in factors])
-        return QuadraticDiscriminant(centre, scale, means, np.stack(factors), dets, priors)
+        return QuadraticDiscriminant(centre, scale, means, np.linalg.inv(np.stack(factors)), dets, priors)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.centre) / self.scale
         dense = []
         for k in (0, 1):
-            y = np.linalg.solve(self.factors[k], (z - self.means[k]).T)
-            dense.append(self.log_priors[k] - 0.5 * (self.log_dets[k] + (y**2).sum(axis=0)))
+            y = (z - self.means[k]) @ self.inverse_factors[k].T
+            dense.append(self.log_priors[k] - 0.5 * (self.log_dets[k] + (y**2).sum(axis=1)))
         # divided by the square root of the dimensions: the statistics overlap in what they tell
         return 1 / (1 + np.exp(-np.clip((dense[1] - dense[0]) / math.sqrt(x.shape[1]), -500, 500)))
 
@@ -115,8 +115,8 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "row_key": pdf["row_key"], "x": [statistics(t) for t in pdf["text"]]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, row_key long, x array<double>")
+    rows = docs.select(id_text(id_col), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    return id_long(rows.mapInPandas(run, "doc_id string, row_key long, x array<double>"))
 
 
 def train(stats: DataFrame, labels: DataFrame, label_col: str, to_pooled: float = 0.2, to_diagonal: float = 0.1) -> QuadraticDiscriminant:
@@ -147,7 +147,7 @@ def score_statistics(stats: DataFrame, model: QuadraticDiscriminant) -> DataFram
             x = np.array(pdf["x"].tolist(), dtype=float).reshape(-1, len(STATISTICS))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "row_key": pdf["row_key"], "score": model.score(x)})
 
-    return stats.mapInPandas(run, "doc_id long, row_key long, score double")
+    return id_long(stats.withColumn("doc_id", id_text("doc_id")).mapInPandas(run, "doc_id string, row_key long, score double"))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -67,6 +67,16 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
+def id_text(id_col: str, name: str = "doc_id") -> Column:
+    """An id column on its way through pandas, which would round large ids beside nulls."""
+    return F.col(id_col).cast("long").cast("string").alias(name)
+
+
+def id_long(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """df with an id_text column as the number that it was."""
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def filter_by_ids(df: DataFrame, ids: DataFrame, column: str | list[str], how: str = "left_semi") -> DataFrame:
     """Semi or anti join with a materialised table of ids, of one or more long columns.
 
