@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auralake.operators.dataset import first_per_class, stable_order
@@ -44,20 +42,28 @@ def feature_ranking(train: DataFrame, trees: int = 20) -> DataFrame:
     return train.sparkSession.createDataFrame(rows, "feature int, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def _cross_validated(sample: DataFrame, folds: int) -> DataFrame:
-    """(fold, n, correct) of a forest per fold; whole groups stay in one fold.  sample: y (a number), group_id, features."""
-    fold = F.pmod(F.xxhash64("group_id"), F.lit(folds))
-    data = settled(sample.select(fold.alias("fold"), F.col("y").cast("double").alias("label"), "features"))
-    data = data.select("fold", "label", array_to_vector("features").alias("features"))
+def fold_of(group: str, folds: int) -> Column:
+    """The fold of a group: its md5 as a number, modulo the folds."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col(group).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
+
+
+def _cross_validated(data: DataFrame, folds: int) -> list[tuple[int, int, int]]:
+    """(fold, n, correct) of a forest per fold.  data: fold, y (a number), features; settled.
+
+    Each fold is counted right after its fit, so no plan outlives its model.
+    """
+    data = data.select("fold", F.col("y").cast("double").alias("label"), array_to_vector("features").alias("features"))
     out = []
     for k in range(folds):
         train = data.filter(F.col("fold") != k)
         if train.isEmpty():
             continue
-        model = RandomForestClassifier(numTrees=20, maxDepth=5, seed=7).fit(train)
+        # a copy leaves out the training summary, which holds the session and can't be sent to tasks
+        model = RandomForestClassifier(numTrees=20, maxDepth=5, seed=7).fit(train).copy()
         tested = model.transform(data.filter(F.col("fold") == k))
-        out.append(tested.agg(F.lit(k).alias("fold"), F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("correct")))
-    return reduce(DataFrame.unionByName, out)
+        n, correct = tested.agg(F.count("*"), F.count_if(F.col("prediction") == F.col("label"))).first()
+        out.append((k, n, correct))
+    return out
 
 
 def shortcut_probe(rows: DataFrame, per_class: int = 60, folds: int = 5) -> DataFrame:
@@ -69,7 +75,18 @@ def shortcut_probe(rows: DataFrame, per_class: int = 60, folds: int = 5) -> Data
     """
     sample = first_per_class(rows, per_class, "y", [stable_order("0", "key"), "key"])
     classes = rows.agg(F.count_distinct("y")).first()[0]
-    return _cross_validated(sample, folds).withColumn("chance", F.lit(1.0 / max(1, classes)))
+    found = _cross_validated(settled(sample.withColumn("fold", fold_of("group_id", folds))), folds)
+    chance = F.lit(1.0 / max(1, classes)).alias("chance")
+    return rows.sparkSession.createDataFrame(found, "fold int, n long, correct long").select("*", chance)
+
+
+def source_sample(rows: DataFrame, per_source: int = 40, least: int = 20, folds: int = 5) -> DataFrame:
+    """(y, source, fold, key, features) of up to per_source clips of every source with `least` clips or more, in classes with several such sources."""
+    held = rows.groupBy("y", "source").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    several = held.groupBy("y").agg(F.count("*").alias("sources")).filter("sources > 1")
+    chosen = rows.join(held, ["y", "source"], "left_semi").join(several, "y", "left_semi").withColumn("both", F.struct("y", "source"))
+    first = first_per_class(chosen, per_source, "both", [stable_order("0", "key"), "key"])
+    return first.select("y", "source", fold_of("group_id", folds).alias("fold"), "key", "features")
 
 
 def source_probe(rows: DataFrame, per_source: int = 40, least: int = 20, folds: int = 5) -> DataFrame:
@@ -78,17 +95,14 @@ def source_probe(rows: DataFrame, per_source: int = 40, least: int = 20, folds:
     rows: key, y, source (a number), group_id, features.  Classes with one such
     source are left out.  The loop is over classes, a short list.
     """
-    held = rows.groupBy("y", "source").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    several = held.groupBy("y").agg(F.count("*").alias("sources"), F.sum(F.least("n", F.lit(per_source))).alias("all"), F.max(F.least("n", F.lit(per_source))).alias("most")).filter("sources > 1")
-    sample = settled(
-        first_per_class(rows.join(held, ["y", "source"], "left_semi").withColumn("both", F.struct("y", "source")), per_source, "both", [stable_order("0", "key"), "key"]).drop("both")
-    )
+    sample = settled(source_sample(rows, per_source, least, folds))
+    sizes = sample.groupBy("y", "source").agg(F.count("*").alias("n")).groupBy("y").agg((F.max("n") / F.sum("n")).alias("majority"))
     out = []
-    for r in several.orderBy("y").collect():
-        one = sample.filter(F.col("y") == r["y"]).select(F.col("source").alias("y"), "group_id", "features")
-        score = _cross_validated(one, folds).filter("n > 0").agg(F.avg(F.col("correct") / F.col("n")).alias("accuracy"))
-        out.append(score.select(F.lit(r["y"]).alias("y"), "accuracy", F.lit(r["most"] / r["all"]).alias("majority")))
-    return reduce(DataFrame.unionByName, out) if out else rows.sparkSession.createDataFrame([], "y long, accuracy double, majority double")
+    for y, majority in sizes.orderBy("y").collect():
+        one = sample.filter(F.col("y") == y).select("fold", F.col("source").alias("y"), "features")
+        tested = [correct / n for _, n, correct in _cross_validated(one, folds) if n]
+        out.append((y, sum(tested) / len(tested) if tested else None, majority))
+    return rows.sparkSession.createDataFrame(out, "y long, accuracy double, majority double")
 
 
 def _features(v: Views) -> DataFrame:
@@ -125,3 +139,16 @@ def _ml2(v: Views) -> DataFrame:
 @query("ml2_source_probe")
 def _ml2b(v: Views) -> DataFrame:
     return source_probe(_formats(v).withColumn("y", F.col("y") % 2), folds=3)
+
+
+@query(
+    "ml2_probe_folds",
+    """WITH f AS (SELECT vec_id, label % 2 AS y, CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END AS source, CAST(CAST('0x' || substr(md5(CAST(vec_id % 97 AS VARCHAR)), 1, 8) AS UBIGINT) % 3 AS INTEGER) AS fold FROM embeddings),
+    held AS (SELECT y, source FROM f GROUP BY ALL HAVING count(*) >= 20), several AS (SELECT y FROM held GROUP BY y HAVING count(*) > 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY y, source ORDER BY md5('0:' || vec_id), CAST(vec_id AS VARCHAR)) AS r FROM f SEMI JOIN held USING (y, source) SEMI JOIN several USING (y))
+    SELECT y, source, fold, count(*) AS n, min(vec_id) AS first_id FROM ranked WHERE r <= 40 GROUP BY y, source, fold""",
+)
+def _ml2c(v: Views) -> DataFrame:
+    """The clips that the source probe learns from and tests: how many of each source lie in each fold."""
+    sample = source_sample(_formats(v).withColumn("y", F.col("y") % 2), folds=3)
+    return sample.groupBy("y", "source", "fold").agg(F.count("*").alias("n"), F.min(F.col("key").cast("long")).alias("first_id"))

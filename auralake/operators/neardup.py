@@ -1,30 +1,42 @@
 """Near-duplicate recordings by fingerprint correlation.
 
 A fingerprint is a row of frames with 16 bands each; two recordings are compared
-at every alignment of the shorter one in the longer.  Every four frames make a
-window; signs of random projections put windows into buckets, once per table,
-and windows that meet in a bucket are compared by 256 sign bits.  The number of
-bits of a bucket grows with the logarithm of the windows, so that chance
-neighbours stay few, and the number of tables follows from it and the wanted
-recall, so a pair at the threshold is found at any size.  Nothing is capped: a
-bucket of many windows is cut into blocks, all of which are compared.
+at every alignment of the shorter one in the longer.  Candidates meet in buckets
+of signs of random projections, once per table:
+
+* recordings of one length by a projection of the whole fingerprint, so a pair is
+  found by the very correlation that decides on it;
+* recordings of unequal length by windows of four averages over 1, 2, 4, ...
+  frames: the shorter one offers half-overlapping windows, the longer one windows
+  at offsets half an average apart.  The correlation of a pair is a mean over
+  scales and places, weighted by their energy, so some window is that alike:
+  noise-like detail is found in short windows, slow fades in long ones.
+
+Rows that meet are compared by 256 sign bits, and the pairs that are left by the
+exact correlation over all alignments.  The number of bits of a bucket grows with
+the logarithm of its rows, so that chance neighbours stay few, and the number of
+tables follows from it and the wanted recall.  Nothing is capped: a bucket of
+many rows is cut into blocks, all of which are compared.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auralake.operators.ordering import settled, small
 from auralake.plans.registry import Views, query
 
 BANDS, MIN_FRAMES = 16, 4
-#: Windows that are compared with each other in one piece.
+#: Roles of a row in a bucket: a whole fingerprint, a window of the shorter recording, one of the longer.
+WHOLE, SHORTER, LONGER = 0, 1, 2
+#: Rows that are compared with each other in one piece.
 BLOCK = 512
 _SKETCH_BITS = 256
 
@@ -42,7 +54,7 @@ def best_correlation(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def bucket_plan(windows: int, at_least: float, recall: float) -> tuple[int, int]:
-    """(bits, tables): bits so that a bucket holds about 64 windows by chance, tables so that a pair at the threshold meets."""
+    """(bits, tables): bits so that a bucket holds about 64 rows by chance, tables so that a pair at the threshold meets."""
     bits = max(2, math.ceil(math.log2(max(1, windows) / 64)))
     agree = 1 - math.acos(at_least) / math.pi
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
@@ -52,56 +64,121 @@ def _frames(values: np.ndarray) -> np.ndarray:
     return np.asarray(values, dtype=float)[: len(values) // BANDS * BANDS].reshape(-1, BANDS)
 
 
-def _bucketed(rows: DataFrame, bits: int, tables: int) -> DataFrame:
-    """(t, code, id, sketch) of every window and table; flat windows have none."""
-    planes = np.random.default_rng(7).standard_normal((MIN_FRAMES * BANDS, tables * bits + _SKETCH_BITS)).astype(np.float32)
+def scales(frames: int) -> list[int]:
+    """Frames that an average takes: 1, 2, 4, ... as long as four averages fit."""
+    return [1 << j for j in range(max(0, (frames // MIN_FRAMES).bit_length()))]
+
+
+def windows(f: np.ndarray, scale: int, role: int) -> np.ndarray:
+    """(windows, 64): four averages of `scale` frames each, from the offsets of the role on."""
+    last = len(f) - MIN_FRAMES * scale
+    starts = np.arange(0, last + 1, max(1, scale // 2)) if role == LONGER else np.unique(np.append(np.arange(0, last + 1, 2 * scale), last))
+    sums = np.concatenate((np.zeros((1, BANDS)), np.cumsum(f, axis=0)))
+    mean = (sums[scale:] - sums[:-scale]) / scale
+    return mean[starts[:, None] + scale * np.arange(MIN_FRAMES)].reshape(len(starts), -1)
+
+
+class _Signs:
+    """Signs of random projections of centred vectors: bucket codes and a sketch.  Vectors of any length share the planes of their first entries."""
+
+    def __init__(self, bits: int, tables: int):
+        self.bits, self.tables = bits, tables
+        self.planes: list[np.ndarray] = []
+
+    def __call__(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows that aren't flat, their codes, their sketches)."""
+        w = w - w.mean(axis=1, keepdims=True)
+        live = np.flatnonzero(np.linalg.norm(w, axis=1) > 0)
+        while len(self.planes) * BANDS < w.shape[1]:
+            drawn = np.random.default_rng([7, len(self.planes)]).standard_normal((BANDS, self.tables * self.bits + _SKETCH_BITS))
+            self.planes.append(drawn.astype(np.float32))
+        side = w[live].astype(np.float32) @ np.concatenate(self.planes[: w.shape[1] // BANDS]) > 0
+        code = side[:, : self.tables * self.bits].reshape(len(live), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+        return live, code, np.packbits(side[:, self.tables * self.bits :], axis=1)
+
+
+_BUCKETED = "kind int, t int, code long, role int, id long, frames int, sketch binary"
+
+
+def _bucketed(rows: DataFrame, whole: tuple[int, int], part: tuple[int, int] | None, shortest: int, longest: int) -> DataFrame:
+    """A row for every table of whole fingerprints (kind: minus their length) and, where lengths differ, of windows (kind: the scale)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of_whole, of_part = _Signs(*whole), _Signs(*(part or whole))
+
+        def told(kind: int, role: int, ids: np.ndarray, frames: np.ndarray, vectors: np.ndarray, signs: _Signs) -> pd.DataFrame:
+            live, code, sketch = signs(vectors)
+            again = lambda x: np.repeat(x[live], signs.tables)
+            return pd.DataFrame(
+                {"kind": kind, "t": np.tile(np.arange(signs.tables), len(live)), "code": code.ravel(), "role": role, "id": again(ids), "frames": again(frames), "sketch": [s.tobytes() for s in np.repeat(sketch, signs.tables, axis=0)]}
+            )
+
         for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                ids, parts = [np.empty(0, np.int64)], [np.empty((0, MIN_FRAMES * BANDS))]
-                for i, values in zip(pdf["id"][at : at + 64], pdf["f"][at : at + 64], strict=True):
-                    f = _frames(values)
-                    if len(f) >= MIN_FRAMES:
-                        view = np.lib.stride_tricks.sliding_window_view(f, (MIN_FRAMES, BANDS)).reshape(-1, MIN_FRAMES * BANDS)
-                        ids.append(np.full(len(view), i))
-                        parts.append(view)
-                own, w = np.concatenate(ids), np.concatenate(parts)
-                w = w - w.mean(axis=1, keepdims=True)
-                live = np.linalg.norm(w, axis=1) > 0
-                own, side = own[live], (w[live].astype(np.float32) @ planes) > 0
-                code = side[:, : tables * bits].reshape(len(own), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
-                sketch = np.packbits(side[:, tables * bits :], axis=1)
-                yield pd.DataFrame({"t": np.tile(np.arange(tables), len(own)), "code": code.ravel(), "id": np.repeat(own, tables), "sketch": [s.tobytes() for s in np.repeat(sketch, tables, axis=0)]})
-
-    return rows.mapInPandas(run, "t int, code long, id long, sketch binary")
+            known = [(i, f) for i, f in zip(pdf["id"], map(_frames, pdf["f"]), strict=True) if len(f) >= MIN_FRAMES]
+            for n in sorted({len(f) for _, f in known}):
+                same = [(i, f) for i, f in known if len(f) == n]
+                for at in range(0, len(same), 256):
+                    ids, stack = np.array([i for i, _ in same[at : at + 256]]), np.stack([f for _, f in same[at : at + 256]])
+                    yield told(-n, WHOLE, ids, np.full(len(ids), n), stack.reshape(len(ids), -1), of_whole)
+                    if part is None:
+                        continue
+                    for scale in scales(n):
+                        for role in (SHORTER, LONGER):
+                            if n != (longest if role == SHORTER else shortest):
+                                for few in range(0, len(ids), 32):
+                                    own = [windows(f, scale, role) for f in stack[few : few + 32]]
+                                    count = len(own[0])
+                                    yield told(scale, role, np.repeat(ids[few : few + 32], count), np.full(len(own) * count, n), np.concatenate(own), of_part)
+
+    return rows.mapInPandas(run, _BUCKETED)
 
 
 def _meeting(buckets: DataFrame, at_least: float) -> DataFrame:
-    """(a, b), a < b: windows' recordings that meet in a bucket with sketches close enough; a pair may be told by several buckets."""
+    """(a, b), a < b: recordings with rows that meet in a bucket with sketches close enough; a pair may be told by several buckets."""
     share = math.acos(at_least) / math.pi
     bound = _SKETCH_BITS * share + 6 * math.sqrt(_SKETCH_BITS * share * (1 - share))
+    bucket = ["kind", "t", "code"]
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = key[2], key[3]
-        first = pdf[pdf["block"] == lo] if lo != hi else pdf
-        second = pdf[pdf["block"] == hi] if lo != hi else pdf
-        bits = lambda x: np.frombuffer(b"".join(x["sketch"]), dtype=np.uint64).reshape(len(x), -1)
-        one, two, out = bits(first), bits(second), [np.empty((0, 2), np.int64)]
-        for i, x in enumerate(first["id"].to_numpy()):
-            near = second["id"].to_numpy()[np.bitwise_count(two ^ one[i]).sum(axis=1) <= bound]
-            near = np.unique(near[near != x])
-            out.append(np.stack((np.minimum(near, x), np.maximum(near, x)), axis=1))
-        found = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    sizes = buckets.groupBy("t", "code").agg(F.count("*").alias("n")).filter("n > 1")
-    large = small(settled(sizes.filter(F.col("n") > BLOCK)))  # fewer than a 512th of the rows
+    def pairs_of(by_length: bool, across: bool, role: np.ndarray, ids: np.ndarray, frames: np.ndarray, block: np.ndarray, sketch: np.ndarray) -> Iterator[np.ndarray]:
+        one, two = np.flatnonzero(role != LONGER), np.flatnonzero(role != SHORTER)
+        for at in range(0, len(one), 64):
+            x = one[at : at + 64, None]
+            near = (np.bitwise_count(sketch[x] ^ sketch[two]).sum(axis=2) <= bound) & (ids[x] != ids[two])
+            if by_length:
+                near &= frames[two] > frames[x]
+            if across:
+                near &= block[x] != block[two]
+            i, j = np.nonzero(near)
+            if len(i):
+                yield np.unique(np.sort(np.stack((ids[x[i, 0]], ids[two[j]]), axis=1), axis=1), axis=0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for pdf in chain(batches, [None]):  # None: the end
+            rows = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            keys = rows[[*bucket, "lo", "hi"]].to_numpy()
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            cut = np.append(cut, len(rows)) if pdf is None else cut
+            sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint64).reshape(len(rows), -1)
+            columns = [*(rows[c].to_numpy() for c in ("role", "id", "frames", "block")), sketch]
+            found = [np.empty((0, 2), np.int64)]
+            for first, end in zip(np.append(0, cut[:-1]), cut, strict=True) if len(cut) else ():
+                if end - first > 1:
+                    found += pairs_of(keys[first, 0] > 0, keys[first, 3] != keys[first, 4], *(c[first:end] for c in columns))
+            yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+            held = rows.iloc[cut[-1] :].reset_index(drop=True) if len(cut) else rows
+
+    sizes = buckets.groupBy(*bucket).agg(F.count("*").alias("n"), F.count_if(F.col("role") != LONGER).alias("s"), F.count_if(F.col("role") != SHORTER).alias("l"))
+    sizes = sizes.filter("n > 1 AND s > 0 AND l > 0")
+    large = small(settled(sizes.filter(F.col("n") > BLOCK).drop("s", "l")))  # fewer than a 512th of the rows
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
-    cut = buckets.join(sizes.select("t", "code"), ["t", "code"], "left_semi").join(large, ["t", "code"], "left").withColumn("blocks", blocks)
+    cut = buckets.join(sizes.select(*bucket), bucket, "left_semi").join(large, bucket, "left").withColumn("blocks", blocks)
     cut = cut.withColumn("block", F.pmod(F.xxhash64("id", "sketch"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = cut.select("t", "code", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "sketch")
-    return units.groupBy("t", "code", "lo", "hi").applyInPandas(compare, "a long, b long")
+    units = cut.select(*bucket, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "role", "id", "frames", "sketch")
+    unit = [*bucket, "lo", "hi"]
+    return units.repartition(*unit).sortWithinPartitions(*unit).mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(rows: DataFrame, key: str, fingerprint: str, digest: str, at_least: float = 0.9, recall: float = 0.999) -> DataFrame:
@@ -112,14 +189,17 @@ def near_duplicates(rows: DataFrame, key: str, fingerprint: str, digest: str, at
     points at a copy of a copy.  Of recordings with one digest the first alone is
     compared.  Fingerprints under four frames, flat ones, null keys and null
     fingerprints have no partner.  Pairs of equal length at the threshold are
-    found with the chance `recall`, more alike ones more surely; of unequal
-    lengths it is enough that one window of four frames is that alike.
+    found with the chance `recall`, more alike ones more surely; so are pairs of
+    unequal length of which a window at some scale (see the module) is that alike.
     """
     named = rows.select(F.col(key).cast("long").alias("id"), F.col(fingerprint).alias("f"), F.col(digest).alias("d")).filter("id IS NOT NULL AND f IS NOT NULL")
     first = settled(named.groupBy("d").agg(F.min("id").alias("id")))
     texts = settled(named.join(first, ["d", "id"], "left_semi").dropDuplicates(["id"]).select("id", "f"))
-    windows = texts.agg(F.sum(F.greatest(F.floor(F.size("f") / BANDS) - MIN_FRAMES + 1, F.lit(0)))).first()[0] or 0
-    buckets = settled(_bucketed(texts, *bucket_plan(windows, at_least, recall)))
+    n = F.floor(F.size("f") / BANDS)
+    lengths = texts.filter(n >= MIN_FRAMES).groupBy(n.alias("n")).agg(F.count("*").alias("c"))
+    most, offsets, shortest, longest = lengths.agg(F.max("c"), F.sum(F.col("c") * (F.col("n") - MIN_FRAMES + 1)), F.min("n"), F.max("n")).first()
+    part = bucket_plan(offsets, at_least, recall) if shortest != longest else None
+    buckets = settled(_bucketed(texts, bucket_plan(most or 0, at_least, recall), part, shortest, longest))
     pairs = settled(_meeting(buckets, at_least).distinct())
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,25 +221,43 @@ def near_duplicates(rows: DataFrame, key: str, fingerprint: str, digest: str, at
             return links.select(F.col("id").alias(key), F.col("to").alias("near_duplicate_of"), "score")
 
 
-_SOUNDS = """SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings UNION ALL
-    SELECT vec_id + 1000000000, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * (1 + ((i - 1) % 3) * 0.3)) FROM embeddings WHERE vec_id % 4 = 0 UNION ALL
-    SELECT vec_id + 2000000000, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * (1 + ((i - 1) % 3) * 0.6)) FROM embeddings WHERE vec_id % 4 = 0 UNION ALL
-    SELECT vec_id + 3000000000, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) FROM embeddings WHERE vec_id % 8 = 0"""
+_PLAIN = """SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_concat(list_concat(e, h), list_transform(e, lambda x, i: x * ((i - 1) % 5 - 2))) ELSE list_concat(e, h) END AS f
+    FROM (SELECT vec_id, e, list_transform(list_reverse(e), lambda x, i: 0.5 * x + ((i - 1) // 16) * 0.05) AS h FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings))"""
+_SOUNDS = f"""SELECT vec_id, f FROM ({_PLAIN}) UNION ALL
+    SELECT vec_id + 1000000000, list_transform(f, lambda x, i: x * (1 + ((i - 1) % 3) * 0.3)) FROM ({_PLAIN}) WHERE vec_id % 4 = 0 UNION ALL
+    SELECT vec_id + 2000000000, list_transform(f, lambda x, i: x * (1 + ((i - 1) % 3) * 0.6)) FROM ({_PLAIN}) WHERE vec_id % 4 = 1 UNION ALL
+    SELECT vec_id + 3000000000, f FROM ({_PLAIN}) WHERE vec_id % 8 = 0 UNION ALL
+    SELECT vec_id + 4000000000, f[33:] FROM ({_PLAIN}) WHERE vec_id % 4 = 2 UNION ALL
+    SELECT vec_id + 5000000000, list_transform(f[17:112], lambda x, i: x * (1 + ((i - 1) % 2) * 0.3)) FROM ({_PLAIN}) WHERE vec_id % 4 = 3"""
+_CENTRED = "list_transform({0}, lambda x: x - list_avg({0}))"
 
 
 @query(
     "j5_near_duplicates",
-    f"""WITH RECURSIVE s AS (SELECT min(vec_id) AS id, f FROM ({_SOUNDS}) GROUP BY f), c AS (SELECT id, list_transform(f, lambda x: x - list_avg(f)) AS u FROM s),
-    p AS (SELECT b.id, a.id AS other, round(list_cosine_similarity(a.u, b.u), 9) AS score FROM c a JOIN c b ON a.id < b.id WHERE list_cosine_similarity(a.u, b.u) >= 0.9),
-    best AS (SELECT id, arg_max(other, (score, -other)) AS up, max(score) AS score FROM p GROUP BY id),
+    f"""WITH RECURSIVE s AS MATERIALIZED (SELECT min(vec_id) AS id, f FROM ({_SOUNDS}) GROUP BY f),
+    cut AS MATERIALIZED (SELECT id, len(f) AS whole, n, o, {_CENTRED.format("w")} AS u FROM (SELECT id, f, n, o, f[o * 16 + 1 : o * 16 + n] AS w FROM (
+        SELECT id, f, n, unnest(range(0, (len(f) - n) // 16 + 1)) AS o FROM s JOIN (SELECT DISTINCT len(f) AS n FROM s) ON n <= len(f)))),
+    p AS (SELECT greatest(a.id, b.id) AS id, least(a.id, b.id) AS other, max(list_cosine_similarity(a.u, b.u)) AS score FROM cut a JOIN cut b ON a.n = a.whole AND b.n = a.n AND (b.whole > a.whole OR (b.whole = a.whole AND a.id < b.id)) GROUP BY ALL),
+    best AS (SELECT id, arg_max(other, (round(score, 9), -other)) AS up, max(score) AS score FROM p WHERE score >= 0.9 GROUP BY id),
     chain AS (SELECT id, up FROM best UNION ALL SELECT c.id, b.up FROM chain c JOIN best b ON b.id = c.up)
     SELECT b.id AS vec_id, (SELECT min(up) FROM chain WHERE chain.id = b.id) AS near_duplicate_of, round(score, 6) AS score FROM best b""",
 )
 def _j5(v: Views) -> DataFrame:
-    """Embeddings as fingerprints of four frames, with copies, changed copies and exact repeats beside them."""
-    plain = v.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("f"))
-    changed = lambda move, by: plain.filter("vec_id % 4 = 0").select((F.col("vec_id") + move).alias("vec_id"), F.transform("f", lambda x, i: x * (1 + (i % 3) * by)).alias("f"))
-    same = plain.filter("vec_id % 8 = 0").select((F.col("vec_id") + 3_000_000_000).alias("vec_id"), "f")
-    rows = plain.unionByName(changed(1_000_000_000, 0.3)).unionByName(changed(2_000_000_000, 0.6)).unionByName(same)
+    """Fingerprints of 6 to 12 frames made of the embeddings, with copies, changed and trimmed copies and exact repeats beside them."""
+    e = F.col("embedding").cast("array<double>")
+    faded = F.transform(F.reverse(e), lambda x, i: x * 0.5 + F.floor(i / 16) * 0.05)
+    turned = F.transform(e, lambda x, i: x * (i % 5 - 2))
+    plain = v.embeddings.select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.concat(e, faded, turned)).otherwise(F.concat(e, faded)).alias("f"))
+
+    def beside(rest: int, move: int, f: Column, every: int = 4) -> DataFrame:
+        return plain.filter(F.col("vec_id") % every == rest).select((F.col("vec_id") + move * 1_000_000_000).alias("vec_id"), f.alias("f"))
+
+    waved = lambda f, of, by: F.transform(f, lambda x, i: x * (1 + (i % of) * by))
+    rows = plain
+    for more in (
+        beside(0, 1, waved("f", 3, 0.3)), beside(1, 2, waved("f", 3, 0.6)), beside(0, 3, F.col("f"), 8),
+        beside(2, 4, F.slice("f", 33, 1_000)), beside(3, 5, waved(F.slice("f", 17, 96), 2, 0.3)),
+    ):
+        rows = rows.unionByName(more)
     found = near_duplicates(rows.withColumn("digest", F.md5(F.to_json("f"))), "vec_id", "f", "digest")
     return found.withColumn("score", F.round("score", 6))
