@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auralake.functions.rules import GRADES, rule_sql, rule_table
 from auralake.operators.events import _EVENTS, CLOSED_STATUSES, local_day, with_effective
+from auralake.operators.ordering import settled, small
 from auralake.plans.registry import Views, query
 
 _rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
@@ -117,19 +118,28 @@ def reference_accuracy(events: DataFrame) -> DataFrame:
     return every.withColumn("accuracy", F.when(F.col("n") > 0, F.col("correct") / F.col("n")))
 
 
-def exact_median(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+def exact_median(rows: DataFrame, key: str, value: str, name: str, buckets: int = 1_024) -> DataFrame:
     """(key, name): the exact median per key; null values do not count, and a key without others has no row.
 
-    Values are counted first and the middle is read off the sorted counts as
-    they stream by, so no key's values are held together.
+    Rank selection: values are counted, and for the one or two middle ranks of a
+    key the counts of equal ranges tell the range that holds the rank; only that
+    range, between its own least and largest value, is cut again, until it is one
+    value.  No key's values are sorted, and a round moves `buckets` rows a key.
     """
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
-    totals = counted.groupBy(key).agg(F.sum("_n").alias("_all"))
-    upto = F.sum("_n").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.withColumn("_upto", upto).join(totals, key)
-    at = lambda place: F.min(F.when(F.col("_upto") >= place, F.col(value)))
-    low, high = F.floor((F.col("_all") + 1) / 2), F.ceil((F.col("_all") + 1) / 2)
-    return placed.groupBy(key).agg(((at(low) + at(high)) / 2).alias(name))
+    counted = settled(rows.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+    middle = F.array_distinct(F.array(F.floor((F.col("_all") + 1) / 2), F.ceil((F.col("_all") + 1) / 2)))
+    sought = counted.groupBy(key).agg(F.sum("_n").alias("_all"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    sought = settled(sought.select(key, F.explode(middle).alias("_rank"), F.lit(0).cast("long").alias("_before"), "_low", "_high"))
+    order = Window.partitionBy(key, "_rank").orderBy("_bucket")
+    while not sought.filter("_low < _high").isEmpty():
+        inside = counted.join(small(sought), key).filter("_v BETWEEN _low AND _high")
+        share = (F.col("_v") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+        bucket = F.coalesce(F.least(F.floor(share * buckets), F.lit(buckets - 1)), F.lit(0))
+        per = inside.withColumn("_bucket", bucket).groupBy(key, "_rank", "_before", "_bucket").agg(F.sum("_n").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        upto = F.col("_before") + F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        held = per.withColumn("_upto", upto).filter("_upto >= _rank AND _upto - _n < _rank")
+        sought = settled(held.select(key, "_rank", (F.col("_upto") - F.col("_n")).alias("_before"), "_low", "_high"))
+    return sought.groupBy(key).agg(F.avg("_low").alias(name))
 
 
 def alert_response(alerts: DataFrame, actions: DataFrame) -> DataFrame:

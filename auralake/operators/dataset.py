@@ -135,13 +135,21 @@ def stable_order(seed: str, *columns: str) -> Column:
 def diverse_selection(rows: DataFrame, target: int, label: str = "class_name", group: str = "group_id", key: str = "path", seed: str = "42") -> DataFrame:
     """Up to `target` rows per class: one of every group before a second of any, lower priority first.
 
-    Rows are numbered inside (class, group); only the first `target` rounds go on
-    to the class-level numbering.
+    Rows are numbered inside (class, group); only the first `target` rounds go on.
+    Of these a class is cut by counts: rows per (round, priority, start of the
+    group's hash) tell where the target is reached, and only the rows before that
+    point and those of the boundary bucket are numbered.
     """
     inside = Window.partitionBy(label, group).orderBy("priority", stable_order(seed, key), key)
     rounds = rows.withColumn("round", F.row_number().over(inside)).filter(F.col("round") <= target)
+    rounds = settled(rounds.withColumn("_bucket", F.struct("round", "priority", F.substring(stable_order(seed, group), 1, 3))))
+    counts = rounds.groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    within = counts.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < target)
+    last = within.groupBy(label).agg(F.max("_bucket").alias("_last"))
+    cut = rounds.join(small(last), label).filter("_bucket <= _last")
     across = Window.partitionBy(label).orderBy("round", "priority", stable_order(seed, group), group)
-    return rounds.withColumn("place", F.row_number().over(across)).filter(F.col("place") <= target)
+    return cut.withColumn("place", F.row_number().over(across)).filter(F.col("place") <= target).drop("_bucket", "_last")
 
 
 def first_per_class(rows: DataFrame, n: int, label: str, order: list) -> DataFrame:

@@ -22,25 +22,43 @@ def settled(df: DataFrame, purpose: str = "tables") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[Column | str], name: str = "row_no") -> DataFrame:
-    """rows with their number from 1 inside `keys` in a total order.
+def placed(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """rows with _id, which rises in the order of keys and `order`, and _part, the range partition that a row lies in; settled.
 
-    The rows are range-partitioned by keys and order, so a key of any size is
-    spread over tasks; the numbers inside a partition are moved up by the rows
-    that the key has in earlier partitions.  Only that table, of at most keys +
-    partitions rows, goes through a window.
+    A key of any size is spread over parts, and what a part tells of a key is one
+    row; so a scan along a key is one within the parts and one over these rows.
     """
     places = [F.col(k) for k in keys] + [F.col(c) if isinstance(c, str) else c for c in order]
     spread = rows.repartitionByRange(*places).sortWithinPartitions(*places)
-    placed = settled(spread.withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    counts = placed.groupBy(*keys, part.alias("_part")).agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
+    return settled(spread.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[Column | str], name: str = "row_no") -> DataFrame:
+    """rows with their number from 1 inside `keys` in a total order.
+
+    The numbers inside a part are moved up by the rows that the key has in
+    earlier parts.  Only that table, of at most keys + parts rows, goes through a
+    window.
+    """
+    spread = placed(rows, keys, order)
+    counts = spread.groupBy(*keys, "_part").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    joined = placed.withColumn("_part", part).join(starts, [*keys, "_part"])
+    joined = spread.join(starts, [*keys, "_part"])
     return joined.withColumn(name, F.col("_id") - F.col("_low") + F.col("_before") + 1).select(*rows.columns, name)
 
 
+def in_chunks(rows: DataFrame, micros: str, width: int, behind: int = 0, ahead: int = 0) -> DataFrame:
+    """rows with _own, the chunk of time that a row lies in, and _chunk, once for every chunk that sees it.
+
+    A chunk of `width` microseconds sees the rows of `behind` before and `ahead` after it, too.
+    """
+    number = lambda t: ((t - F.pmod(t, F.lit(width))) / width).cast("long")  # noqa: E731  exact: the difference is a multiple
+    t = F.col(micros)
+    seen = F.sequence(number(t - ahead), number(t + behind))
+    return rows.withColumn("_own", number(t)).withColumn("_chunk", F.explode(seen))
+
+
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df, marked for broadcast if it has at most `rows` rows (counted here); give it a few narrow columns."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,36 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralake.functions.rules import BACKGROUND, NON_EVENTS, UNKNOWN
+from auralake.operators.ordering import in_chunks, placed, settled
 from auralake.plans.registry import Views, query
 
 
 def longest_run(windows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Longest run of consecutive equal values per key and value (gaps and islands)."""
-    whole = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    own = F.row_number().over(Window.partitionBy(*keys, value).orderBy(*order))
-    runs = windows.withColumn("island", whole - own).groupBy(*keys, value, "island").agg(F.count("*").alias("n"))
-    return runs.groupBy(*keys, value).agg(F.max("n").alias("longest"))
+    """Longest run of consecutive equal values per key and value.
+
+    A segmented scan: runs are found within range parts, so a key of any size is
+    spread over tasks; then the first and last run of each part, two rows at
+    most, are joined where a part goes on with the value that the one before
+    ended with.
+    """
+    rows = placed(windows.select(*keys, *order, value), keys, order)
+    own = Window.partitionBy(*keys, "_part").orderBy("_id")
+    fresh = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(own))).cast("int"), F.lit(1))
+    first_row = F.row_number().over(own) == 1
+    marked = rows.withColumn("_fresh", F.when(first_row, 1).otherwise(fresh))
+    runs = marked.withColumn("_run", F.sum("_fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = settled(runs.groupBy(*keys, "_part", "_run", value).agg(F.count("*").alias("n")))
+    last = runs.groupBy(*keys, "_part").agg(F.max("_run").alias("_last"))
+    edges = runs.join(last, [*keys, "_part"]).filter("_run = 1 OR _run = _last")
+    along = Window.partitionBy(*keys).orderBy("_part", "_run")
+    goes_on = (F.col("_run") == 1) & F.col(value).eqNullSafe(F.lag(value).over(along)) & (F.lag("_part").over(along) < F.col("_part"))
+    chains = edges.withColumn("_new", F.coalesce((~goes_on).cast("int"), F.lit(1)))
+    chains = chains.withColumn("_chain", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, value, "_chain").agg(F.sum("n").alias("n"))
+    return runs.select(*keys, value, "n").unionByName(chains.select(*keys, value, "n")).groupBy(*keys, value).agg(F.max("n").alias("longest"))
 
 
 def event_spans(windows: DataFrame, key: str, start: str, end: str, value: str, confidence: str, min_confidence: float) -> DataFrame:
-    """(key, class, start, end, n): windows of an event merged with the previous kept one when the class is the same and they touch.
+    """(key, span, class, start, end, n): windows of an event merged with the previous kept one when the class is the same and they touch.
 
     Windows of a class that is no event, or below min_confidence, are left out
-    first, so they neither show nor part two marks that touch.
+    first, so they neither show nor part two marks that touch.  Whether a window
+    begins a span is told by the one before; the first window of a range part
+    asks the last one of the key's part before, and the span numbers of a part
+    are moved up by those of earlier parts, so no key needs one task.
     """
     kept = windows.filter(~F.col(value).isin(*NON_EVENTS) & (F.col(confidence) >= min_confidence))
-    w = Window.partitionBy(key).orderBy(start, "window_id")
-    fresh = ~((F.lag(value).over(w) == F.col(value)) & (F.col(start) <= F.lag(end).over(w)))
-    marked = kept.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int"))
-    numbered = marked.withColumn("span", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "span").agg(
+    rows = placed(kept, [key], [start, "window_id"])
+    own = Window.partitionBy(key, "_part").orderBy("_id")
+    row = F.struct(value, start, end)
+    before = F.lag(row).over(own)
+    edges = rows.groupBy(key, "_part").agg(F.max_by(row, "_id").alias("_ends"))
+    along = Window.partitionBy(key).orderBy("_part")
+    edges = edges.withColumn("_prior", F.lag("_ends").over(along)).drop("_ends")
+    joined = rows.withColumn("_before", before).join(edges, [key, "_part"]).withColumn("_before", F.coalesce("_before", "_prior"))
+    touches = (F.col(f"_before.{value}") == F.col(value)) & (F.col(start) <= F.col(f"_before.{end}"))
+    marked = settled(joined.withColumn("_fresh", F.coalesce((~touches).cast("int"), F.lit(1))).select(key, "_part", "_id", "_fresh", "window_id", value, start, end))
+    counts = marked.groupBy(key, "_part").agg(F.sum("_fresh").alias("_n"))
+    counts = counts.withColumn("_moved", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    numbered = marked.withColumn("_at", F.sum("_fresh").over(own.rowsBetween(Window.unboundedPreceding, 0))).join(counts, [key, "_part"])
+    return numbered.groupBy(key, (F.col("_at") + F.col("_moved")).alias("span")).agg(
         F.first(value).alias(value), F.min(start).alias("span_start"), F.max_by(end, F.struct(start, "window_id")).alias("span_end"), F.count("*").alias("n")
     )
 
@@ -70,37 +96,52 @@ def repeats_in_period(
 
 
 def alert_episodes(
-    windows: DataFrame, seconds: int, key: str = "session_id", at: str = "seen_at", value: str = "class_name", resolutions: DataFrame | None = None
+    windows: DataFrame, seconds: int, key: str = "session_id", at: str = "seen_at", value: str = "class_name", resolutions: DataFrame | None = None, chunk_seconds: int = 86_400
 ) -> DataFrame:
     """(key, class, started, windows): an alert-worthy window joins the alert created at most `seconds` before, else makes one.
 
-    The gap counts from the alert's creation, so this is a fold over the windows
-    of a session and class in time order.  resolutions (key, class, time) close
-    the alert that is open then; windows of the same moment come first.  The fold
-    runs over sorted partitions and holds one open alert, however many windows a
-    session has; nothing is collected.
+    The gap counts from the alert's creation.  resolutions (key, class, time)
+    close the alert that is open then; windows of the same moment come first.
+
+    List ranking in place of a fold: a moment that follows a resolution, or the
+    moment before by more than `seconds`, begins an alert in any case; every
+    moment points to the first one more than `seconds` later that no such
+    beginning precedes; doubled pointers mark what is reached from the
+    beginnings.  Neighbours are sought in chunks of time, so one endless session
+    is spread over tasks; the rounds grow with the logarithm of the longest chain.
     """
-    kind = windows.schema[key].dataType.simpleString()
-    rows = windows.select(key, value, F.unix_micros(at).alias("t"), F.lit(0).alias("resolved"))
+    limit = seconds * 1_000_000
+    width = max(chunk_seconds * 1_000_000, 2 * limit + 1)
+    ids = [key, value]
+    moments = windows.select(*ids, F.unix_micros(at).alias("t")).groupBy(*ids, "t").agg(F.count("*").alias("n"))
+    rows = moments.withColumn("resolved", F.lit(False))
     if resolutions is not None:
-        rows = rows.unionByName(resolutions.select(key, value, F.unix_micros(at).alias("t"), F.lit(1).alias("resolved")))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limit, group, start, n = seconds * 1_000_000, None, None, 0
-        for pdf in batches:
-            out = []
-            for k, c, t, resolved in zip(pdf[key], pdf[value], pdf["t"], pdf["resolved"], strict=True):
-                if n and ((k, c) != group or resolved or t - start > limit):
-                    out.append((*group, start, n))
-                    n = 0
-                if not resolved:
-                    group, start, n = (k, c), start if n else t, n + 1
-            yield pd.DataFrame(out, columns=[key, value, "start", "windows"])
-        yield pd.DataFrame([(*group, start, n)] if n else [], columns=[key, value, "start", "windows"])
-
-    ordered = rows.repartition(key, value).sortWithinPartitions(key, value, "t", "resolved")
-    folded = ordered.mapInPandas(fold, f"{key} {kind}, {value} string, start long, windows int")
-    return folded.select(key, value, F.timestamp_micros("start").alias("started"), "windows")
+        ended = resolutions.select(*ids, F.unix_micros(at).alias("t")).distinct()
+        rows = rows.unionByName(ended.select(*ids, "t", F.lit(0).cast("long").alias("n"), F.lit(True).alias("resolved")))
+    chunk = Window.partitionBy(*ids, "_chunk").orderBy("t")
+    earlier = chunk.rangeBetween(-limit, -1)
+    window_t, resolved_t = F.when(~F.col("resolved"), F.col("t")), F.when(F.col("resolved"), F.col("t"))
+    last, ended = F.max(window_t).over(earlier), F.max(resolved_t).over(earlier)
+    seen = in_chunks(rows, "t", width, behind=limit).withColumn("head", last.isNull() | F.coalesce(ended >= last, F.lit(False)))
+    nodes = settled(seen.filter("_chunk = _own AND NOT resolved").select(*ids, "t", "n", "head"))
+
+    # chunks are wider than two limits: what isn't seen here is a beginning
+    forward = in_chunks(nodes, "t", width, ahead=width)
+    goal = F.min("t").over(chunk.rangeBetween(limit + 1, Window.unboundedFollowing))
+    begins = F.min(F.when(F.col("head"), F.col("t"))).over(chunk.rangeBetween(1, Window.unboundedFollowing))
+    forward = forward.withColumns({"goal": goal, "begins": begins}).filter("_chunk = _own AND goal IS NOT NULL AND (begins IS NULL OR begins > goal)")
+    jumps = settled(forward.select(*ids, "t", "goal"))
+    marked = nodes.filter("head").select(*ids, "t")
+    while not jumps.isEmpty():
+        reached = marked.join(jumps, [*ids, "t"]).select(*ids, F.col("goal").alias("t"))
+        marked = settled(marked.unionByName(reached).distinct())
+        onward = jumps.select(*ids, F.col("t").alias("goal"), F.col("goal").alias("further"))
+        jumps = settled(jumps.join(onward, [*ids, "goal"]).select(*ids, "t", F.col("further").alias("goal")))
+
+    begun = nodes.join(marked.withColumn("start", F.col("t")), [*ids, "t"], "left")
+    since = F.max("start").over(chunk.rangeBetween(-limit, 0))
+    told = in_chunks(begun, "t", width, behind=limit).withColumn("since", since).filter("_chunk = _own")
+    return told.groupBy(*ids, "since").agg(F.sum("n").cast("int").alias("windows")).select(*ids, F.timestamp_micros("since").alias("started"), "windows")
 
 
 def since_acknowledged(audit: DataFrame, acknowledged: DataFrame, key: str, now: str, minutes: int) -> DataFrame:

@@ -7,12 +7,13 @@ import wave
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auralake.functions.rules import rule_table
 from auralake.functions.text import code
 from auralake.operators.ordering import numbered, settled
-from auralake.operators import alerts, analytics, dataset, decision, evaluation, events, learning, neardup, sequences, signals
+from auralake.operators import alerts, analytics, dataset, decision, evaluation, events, learning, neardup, ordering, sequences, signals
 from auralake.sources import files
 from auralake.streaming import jobs
 
@@ -315,6 +316,83 @@ def test_fingerprints_of_copies():
     assert len(signals.fingerprint(np.zeros(16_000, np.float32), 16_000)) == 0
 
 
+def endless(spark, n=4000, sessions=(1, 1, 1, 1, 1, 1, 1, 1, 1, 2)):
+    """Windows of which nine in ten belong to one session, in many partitions; long runs cross them."""
+    rng = np.random.default_rng(9)
+    rows, t = [], 0
+    for i in range(n):
+        t += int(rng.choice((1, 1, 2, 5, 40)))
+        name = "a" if i % 1500 < 900 else ("a", "b", "c")[int(rng.integers(3))]
+        rows.append((sessions[i % len(sessions)], i, T0 + dt.timedelta(seconds=t), name, float(t), float(t + rng.integers(1, 30))))
+    frame = spark.createDataFrame(rows, "session_id long, window_id long, seen_at timestamp, class_name string, s double, e double")
+    return rows, frame.withColumn("confidence", F.lit(0.9)).repartition(8)
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Small range partitions stay what they are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scans_along_one_endless_session(spark, many_parts):
+    rows, frame = endless(spark)
+    longest, spans, last, run = {}, [], {}, {}
+    for k, i, _, c, s, e in rows:
+        run[k] = run[k] + 1 if k in last and last[k][0] == c else 1
+        longest[k, c] = max(longest.get((k, c), 0), run[k])
+        if k in last and last[k][0] == c and s <= last[k][1]:
+            at = last[k][2]
+            spans[at][4:] = [e, spans[at][5] + 1]
+        else:
+            at = len(spans)
+            spans.append([k, sum(x[0] == k for x in spans) + 1, c, s, e, 1])
+        last[k] = (c, e, at)
+    got = {(r["session_id"], r["class_name"]): r["longest"] for r in sequences.longest_run(frame, ["session_id"], ["seen_at", "window_id"], "class_name").collect()}
+    assert got == longest and max(longest.values()) > 800
+    found = sequences.event_spans(frame, "session_id", "s", "e", "class_name", "confidence", 0.5)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, spans))
+    parts = ordering.placed(frame, ["session_id"], ["seen_at", "window_id"]).groupBy("_part").count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 2 * 4000 / 4  # a task has no more than its share
+
+
+@pytest.mark.parametrize(("seconds", "chunk"), [(60, 1), (7, 100), (1000, 86_400)])
+def test_episodes_equal_a_fold(spark, seconds, chunk):
+    rows, frame = endless(spark, 1500)
+    ends = [r for r in rows if r[1] % 23 == 5]
+    alerting = [r for r in rows if r[1] % 23 != 5]
+    steps = sorted([(k, c, t, 0) for k, _, t, c, _, _ in alerting] + [(k, c, t, 1) for k, _, t, c, _, _ in ends])
+    out, opened = {}, {}
+    for k, c, t, resolved in steps:
+        if resolved:
+            opened.pop((k, c), None)
+            continue
+        if (k, c) not in opened or (t - opened[k, c]).total_seconds() > seconds:
+            opened[k, c] = t
+        out[k, c, opened[k, c]] = out.get((k, c, opened[k, c]), 0) + 1
+    got = sequences.alert_episodes(frame.filter("window_id % 23 <> 5"), seconds, resolutions=frame.filter("window_id % 23 = 5"), chunk_seconds=chunk).collect()
+    assert {(r["session_id"], r["class_name"], r["started"]): r["windows"] for r in got} == out
+
+
+def test_median_of_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [("heavy", float(x)) for x in 10.0 ** rng.uniform(-9, 9, 1001)] + [("ties", float(x)) for x in rng.integers(0, 4, 500)] + [("one", 3.0), ("none", None)] + [("two", -1.5), ("two", 1e12)]
+    got = {r["k"]: r["m"] for r in analytics.exact_median(spark.createDataFrame(rows, "k string, v double"), "k", "v", "m", buckets=8).collect()}
+    want = {k: float(np.median([v for x, v in rows if x == k])) for k in ("heavy", "ties", "one", "two")}
+    assert got == want
+
+
+def test_diverse_selection_of_one_large_class(spark):
+    """All groups of one class: the cut by counts gives what numbering all of them gives."""
+    rows = spark.range(6000).select(F.lit("x").alias("class_name"), (F.col("id") % 2500).alias("group_id"), F.col("id").cast("string").alias("path"), (F.col("id") % 3).cast("int").alias("priority"))
+    w = lambda *k: Window.partitionBy(*k)
+    inside = rows.withColumn("round", F.row_number().over(w("class_name", "group_id").orderBy("priority", dataset.stable_order("42", "path"), "path")))
+    plain = inside.withColumn("place", F.row_number().over(w("class_name").orderBy("round", "priority", dataset.stable_order("42", "group_id"), "group_id"))).filter("place <= 700")
+    pick = lambda f: sorted((r["path"], r["place"]) for r in f.collect())
+    assert pick(dataset.diverse_selection(rows, 700)) == pick(plain)
+
+
 @pytest.mark.parametrize("n", [200, 20_000])
 def test_near_duplicate_recall(spark, n):
     """Half the rows are changed copies at a correlation of about 0.9 to 0.96; found by the number of rows as well as by a few."""
