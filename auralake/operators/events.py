@@ -104,6 +104,24 @@ def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], cursor: tuple | None, size: int) -> DataFrame:
+    """The first `size` rows of df in a total order that come after the cursor, the sort key of the last row seen (None: from the start).
+
+    order: (column, descending) of columns without nulls.  The cursor becomes a
+    filter, whose bound on the first column reaches the scan, and each task keeps
+    its own first rows, so a late page costs no more than an early one.
+    """
+    if cursor is not None:
+        after, same = F.lit(False), F.lit(True)
+        for (column, descending), last in zip(order, cursor, strict=True):
+            c = F.col(column)
+            after = after | (same & (c < F.lit(last) if descending else c > F.lit(last)))
+            same = same & (c == F.lit(last))
+        (column, descending), last = order[0], cursor[0]
+        df = df.filter(F.col(column) <= F.lit(last) if descending else F.col(column) >= F.lit(last)).filter(after)
+    return df.orderBy(*(F.desc(c) if descending else F.asc(c) for c, descending in order)).limit(size)
+
+
 def panels(events: DataFrame, n: int = 6) -> DataFrame:
     """Latest n events of each dashboard panel, numbered; one pass over (event, panel) rows, top n before the shuffle."""
     named = F.array_compact(
@@ -253,6 +271,20 @@ def _l4(v: Views) -> DataFrame:
     return page(v.sound_events, [F.desc("created_at"), "event_id"], 3, 25).select("event_id", "created_at")
 
 
+@query(
+    "l4_cursor_pages",
+    "SELECT event_id, created_at, CAST((n - 1) // 25 + 1 AS INTEGER) AS page FROM (SELECT event_id, created_at, row_number() OVER (ORDER BY created_at DESC, event_id) AS n FROM {sound_events}) WHERE n <= 100",
+)
+def _l4b(v: Views) -> DataFrame:
+    """Four pages, each asked for with the last row of the one before."""
+    order, cursor, pages = [("created_at", True), ("event_id", False)], None, []
+    for number in range(1, 5):
+        rows = page_after(v.sound_events.select("event_id", "created_at"), order, cursor, 25).collect()  # a page
+        pages += [(r["event_id"], r["created_at"], number) for r in rows]
+        cursor = (rows[-1]["created_at"], rows[-1]["event_id"]) if rows else cursor
+    return v.spark.createDataFrame(pages, "event_id long, created_at timestamp, page int")
+
+
 @query(
     "w11_timeline_by_day",
     "SELECT CAST(created_at AS DATE) AS day, event_id, row_number() OVER (PARTITION BY CAST(created_at AS DATE) ORDER BY created_at DESC, event_id) AS place FROM {sound_events}",

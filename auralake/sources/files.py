@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from auralake.operators.ordering import numbered
 from auralake.plans.registry import Views, query
 
 
@@ -51,7 +52,21 @@ def decode_wav(raw: bytes) -> tuple[np.ndarray, int, int]:
 
 
 def probe_audio(spark: SparkSession, folder: str, pattern: str = "*.wav") -> DataFrame:
-    """Format, duration, rate, channels, bits, size, peak and sha256 of every file; one that can't be decoded has a reason in `error`."""
+    """probe_contents of every audio file below folder."""
+    return probe_contents(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder))
+
+
+def wav_bytes(samples: Column, rate: int) -> Column:
+    """A mono WAV file of 8-bit samples (a binary column), header and data."""
+    le = lambda n, size: F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(n), 2 * size, "0"), F.lit("(..)"))), ""))  # noqa: E731  little-endian
+    n = F.octet_length(samples).cast("long")
+    word = lambda x, size: le(F.lit(x).cast("long"), size)
+    parts = [F.encode(F.lit("RIFF"), "UTF-8"), le(n + 36, 4), F.encode(F.lit("WAVEfmt "), "UTF-8"), word(16, 4), word(1, 2), word(1, 2), word(rate, 4), word(rate, 4), word(1, 2), word(8, 2)]
+    return F.concat(*parts, F.encode(F.lit("data"), "UTF-8"), le(n, 4), samples)
+
+
+def probe_contents(files: DataFrame) -> DataFrame:
+    """Format, duration, rate, channels, bits, size, peak and sha256 of every file (path, content); one that can't be decoded has a reason in `error`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -65,7 +80,6 @@ def probe_audio(spark: SparkSession, folder: str, pattern: str = "*.wav") -> Dat
                     rows.append((path, None, None, None, None, None, len(raw), None, digest, str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["path", "format", "duration_s", "sample_rate", "channels", "bit_depth", "size", "peak", "sha256", "error"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     return files.select("path", "content").mapInPandas(
         run, "path string, format string, duration_s double, sample_rate int, channels int, bit_depth int, size long, peak double, sha256 string, error string"
     )
@@ -137,6 +151,19 @@ def _io1(v: Views) -> DataFrame:
     return read_metadata(v.spark, path, "clip_no bigint, path string, class_name string, duration_s double")
 
 
+@query(
+    "io4_probed_recordings",
+    """SELECT doc_id, CASE WHEN doc_id % 10 <> 3 THEN 'wav' END AS format, CASE WHEN doc_id % 10 <> 3 THEN n / 8000 END AS duration_s, CASE WHEN doc_id % 10 <> 3 THEN 8000 END AS sample_rate,
+    CASE WHEN doc_id % 10 = 3 THEN 20 ELSE n + 44 END AS size, doc_id % 10 = 3 AS broken FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)""",
+)
+def _io4(v: Views) -> DataFrame:
+    """The bytes of every document as a WAV file; every tenth is cut off in its header."""
+    whole = wav_bytes(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 8000)
+    files = v.documents.select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 10 == 3, F.substring(whole, 1, 20)).otherwise(whole).alias("content"))
+    found = probe_contents(files)
+    return found.select(F.col("path").cast("long").alias("doc_id"), "format", "duration_s", "sample_rate", "size", F.col("error").isNotNull().alias("broken"))
+
+
 @query("io5_partitioned_dataset", "SELECT split, class_name, count(*) AS n FROM {clips} GROUP BY ALL")
 def _io5(v: Views) -> DataFrame:
     path = scratch(v.spark)
@@ -158,8 +185,7 @@ def _io6b(v: Views) -> DataFrame:
 
     def placed(folder: str, kind: str, name: str) -> DataFrame:
         lines = v.spark.read.option("header", True).csv(f"{path}/{folder}").withColumns({"_f": F.input_file_name(), "_i": F.monotonically_increasing_id()})
-        order = Window.partitionBy(F.lit(1)).orderBy("_f", "_i")  # a check of a small table
-        return lines.select(F.lit(kind).alias("kind"), F.col("clip_no").cast("long").alias("clip_no"), F.col(name).alias("path"), F.row_number().over(order).cast("long").alias("place"))
+        return numbered(lines, [], ["_f", "_i"], "place").select(F.lit(kind).alias("kind"), F.col("clip_no").cast("long").alias("clip_no"), F.col(name).alias("path"), "place")
 
     return placed("dataset_metadata", "row", "path").unionByName(placed("rejected_files", "rejected", "source_path"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from auralake.functions.rules import BACKGROUND, UNKNOWN, rule_table
 from auralake.operators.dataset import admissible_window
 from auralake.operators.decision import decide
+from auralake.operators.sequences import LIMITS, occurrences
 from auralake.plans.registry import Views, query
 
 
@@ -54,6 +56,37 @@ def sliding_counters(rows: DataFrame, key: str, minutes: int, step: int, at_leas
     return counted.filter(F.col("n") >= at_least).select(key, F.col("window.start").alias("window_start"), "n")
 
 
+def sliding_in_steps(rows: DataFrame, keys: list[str], minutes: int, step: int, at_least: int, delay: str = "10 minutes") -> DataFrame:
+    """(keys, window_start, n): sliding_counters of closed windows in two steps, for append mode.
+
+    Rows are counted once per key and step; only these counts, one per key and
+    step, go into the minutes / step windows that hold them.  minutes is a
+    multiple of step.
+    """
+    return _slid(rows.withWatermark("ts", delay), keys, minutes, step, at_least)
+
+
+def _slid(watched: DataFrame, keys: list[str], minutes: int, step: int, at_least: int) -> DataFrame:
+    counted = watched.groupBy(F.window("ts", f"{step} minutes"), *keys).agg(F.count("*").alias("c"))
+    slid = counted.groupBy(F.window(F.window_time("window"), f"{minutes} minutes", f"{step} minutes"), *keys).agg(F.sum("c").alias("n"))
+    return slid.filter(F.col("n") >= at_least).select(*keys, F.col("window.start").alias("window_start"), "n")
+
+
+def notices(found: DataFrame, limits: dict[str, tuple[int, int]] = LIMITS, step: int = 5, delay: str = "10 minutes") -> DataFrame:
+    """(kind, key, window_start, n) of every closed window in which a kind of occurrence reaches its limit for a key.
+
+    found: a stream of kind, key, ts (sequences.occurrences); limits: rows and
+    minutes of each kind.  Kinds of one length and limit share their windows.
+    """
+    lengths: dict[tuple[int, int], list[str]] = {}
+    for kind, (least, minutes) in limits.items():
+        lengths.setdefault((least, minutes), []).append(kind)
+    watched = found.withWatermark("ts", delay)
+    # the filter names ts so that it stays above the watermark, which is that of the whole stream for every part
+    parts = [_slid(watched.filter(F.col("kind").isin(*kinds) | F.col("ts").isNull()), ["kind", "key"], minutes, step, least) for (least, minutes), kinds in sorted(lengths.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def tumbling_trend(rows: DataFrame, width: str, delay: str = "10 minutes") -> DataFrame:
     counted = rows.withWatermark("ts", delay).groupBy(F.window("ts", width)).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"))
     return counted.select(F.col("window.start").alias("day"), "events", "errors")
@@ -206,6 +239,34 @@ def _st4(v: Views) -> DataFrame:
     return run_available(sliding_counters(errors, "user_id", 1440, 240, 5), "complete")
 
 
+_OCCURRED = """SELECT 'uploads' AS kind, 'username:' || username AS key, created_at AS ts FROM {audit} WHERE action = 'upload_rejected' AND username <> ''
+    UNION ALL SELECT 'logins', 'username:' || username, created_at FROM {audit} WHERE action = 'login_failed' AND username <> ''
+    UNION ALL SELECT 'logins', 'ip_address:' || ip_address, created_at FROM {audit} WHERE action = 'login_failed' AND ip_address IS NOT NULL
+    UNION ALL SELECT 'duplicates', owner, TIMESTAMP '2024-01-14 00:00:00' + INTERVAL 9 HOUR * (record_id % 4) FROM {records} WHERE record_id % 3 = 0
+    UNION ALL SELECT 'critical alerts', '', created_at + INTERVAL 9490 DAY FROM {alerts} WHERE critical AND created_at + INTERVAL 9490 DAY < TIMESTAMP '2024-02-01 00:00:00'
+    UNION ALL SELECT 'second model', 'GTM', created_at FROM {sound_events} WHERE gtm_error <> ''"""
+#: The given events are hours apart, so the query counts over days.
+_DAYS = {"uploads": (3, 2880), "logins": (3, 2880), "duplicates": (2, 1440), "critical alerts": (5, 2880), "second model": (5, 1440)}
+
+
+@query(
+    "st4_notices_stream",
+    f"""WITH o AS ({_OCCURRED}), l AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {n}, {m})" for k, (n, m) in _DAYS.items())}) AS v(kind, least, minutes)),
+    w AS (SELECT o.kind, key, least, minutes, unnest(list_transform(range(0, minutes // 720), lambda i: time_bucket(INTERVAL 720 MINUTE, ts, TIMESTAMP '1970-01-01') - i * INTERVAL 720 MINUTE)) AS window_start FROM o JOIN l ON l.kind = o.kind)
+    SELECT kind, key, window_start, CAST(count(*) AS BIGINT) AS n FROM w WHERE window_start + to_minutes(minutes) <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM o) GROUP BY kind, key, window_start, least HAVING count(*) >= least""",
+)
+def _st4b(v: Views) -> DataFrame:
+    """All five kinds of occurrence as one stream."""
+    folder = shared_folder(v.spark)
+    records = v.records.select("owner", F.expr("TIMESTAMP '2024-01-14 00:00:00' + INTERVAL 9 HOUR * (record_id % 4)").alias("uploaded_at"), (F.col("record_id") % 3 == 0).alias("duplicate"))
+    alerts = v.alerts.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 9490 DAYS")).filter("created_at < TIMESTAMP '2024-02-01 00:00:00'")
+    found = occurrences(v.audit, records, alerts, v.sound_events).withColumnRenamed("created_at", "ts")
+    found.write.parquet(f"{folder}/in")
+    # one watermark for all kinds: their windows close by the time of the whole stream
+    stream = v.spark.readStream.schema(found.schema).parquet(f"{folder}/in")
+    return run_available(notices(stream, _DAYS, step=720))
+
+
 @query(
     "st2_session_totals_stream",
     """SELECT session_id, min(ts) AS started, max(ts) AS ended, count(*) AS windows FROM (SELECT *, sum(f) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (

@@ -10,11 +10,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from auralake.functions import text
 from auralake.functions.rules import rule_table
 from auralake.functions.text import code
 from auralake.operators.ordering import numbered, settled
 from auralake.operators import alerts, analytics, dataset, decision, evaluation, events, learning, neardup, ordering, sequences, signals
-from auralake.sources import files
+from auralake.sources import files, versions
 from auralake.streaming import jobs
 
 T0 = dt.datetime(2024, 5, 1, 12)
@@ -582,3 +583,65 @@ def test_probes_tell_leaks_from_chance(spark):
     folds = learning.shortcut_probe(df, folds=3).collect()
     assert sum(r["n"] for r in folds) == 180 and all(abs(r["chance"] - 1 / 3) < 1e-9 for r in folds) and sum(r["correct"] for r in folds) / 180 < 0.6
     assert learning.source_probe(df.filter("source = 0"), folds=3).count() == 0
+
+
+def test_sliding_counts_in_steps_hold_less_state(spark, tmp_path):
+    """Two steps give the windows of one, from a row per key and step in place of one per row and window."""
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(3)), T0 + dt.timedelta(seconds=int(s))) for s in np.sort(rng.integers(0, 7200, 3000))]
+    df = spark.createDataFrame([*rows, (9, T0 + dt.timedelta(days=1))], "k long, ts timestamp").coalesce(1)
+    one = {tuple(r) for r in jobs.run_available(jobs.sliding_counters(streamed(spark, tmp_path / "a", df, 1), "k", 60, 5, 1)).collect()}
+    two = {tuple(r) for r in jobs.run_available(jobs.sliding_in_steps(streamed(spark, tmp_path / "b", df, 1), ["k"], 60, 5, 1)).collect()}
+    assert one == two and len(one) > 50
+
+
+def test_pages_by_cursor(spark, tmp_path):
+    rows = [(i, T0 + dt.timedelta(minutes=i // 7)) for i in range(100)]  # many rows of one moment
+    spark.createDataFrame(rows, "n long, at timestamp").repartition(3).write.parquet(str(tmp_path / "t"))
+    df, order, cursor, seen = spark.read.parquet(str(tmp_path / "t")), [("at", True), ("n", False)], None, []
+    while got := events.page_after(df, order, cursor, 9).collect():
+        seen += [r["n"] for r in got]
+        cursor = (got[-1]["at"], got[-1]["n"])
+    assert seen == [i for i, t in sorted(rows, key=lambda r: (-r[1].timestamp(), r[0]))]
+    plan = events.page_after(df, order, (T0, 3), 9)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "LessThanOrEqual(at," in plan and "TakeOrderedAndProject" in plan
+
+
+def test_published_versions(spark, tmp_path):
+    path = f"file://{tmp_path}/set"
+    frame = lambda *rows: spark.createDataFrame(list(rows), "part string, n long")
+    read = lambda v=None: sorted(((r["part"], r["n"]) for r in versions.read_version(spark, path, v).collect()), key=str)
+    assert versions.latest_version(spark, path) == 0
+    assert versions.publish(frame(("a", 1), ("b", 2), (None, 3), ("", 4)), path, "part") == 1
+    assert versions.publish(frame(("a", 5)), path, "part") == 2
+    reader = versions.read_version(spark, path)
+    assert versions.publish(frame((None, 6), ("b", 7)), path, "part", replace=True) == 3
+    assert versions.drop_parts(spark, path, ["a", None]) == 4
+    assert read(1) == sorted([("a", 1), ("b", 2), (None, 3), ("", 4)], key=str)
+    assert read(2) == sorted([*read(1), ("a", 5)], key=str) == sorted(((r["part"], r["n"]) for r in reader.collect()), key=str)
+    assert read(3) == sorted([("a", 1), ("a", 5), (None, 6), ("b", 7), ("", 4)], key=str) and read() == [("", 4), ("b", 7)]
+    with pytest.raises(versions.VersionConflict):  # the second of two writers on version 3
+        versions.publish(frame(("z", 1)), path, "part", base=3)
+    broken = frame(("q", 1)).select("part", F.raise_error(F.lit("no")).cast("long").alias("n"))
+    with pytest.raises(Exception, match="no"):
+        versions.publish(broken, path, "part")
+    with pytest.raises(ValueError, match="differ"):
+        versions.publish(frame(("q", 1)).select("n", "part"), path, "n")
+    assert versions.latest_version(spark, path) == 4 and read() == [("", 4), ("b", 7)]
+    assert versions.publish(frame(), path, "part") == 5 and read() == [("", 4), ("b", 7)]
+
+
+def test_comparison_text_tells_every_part(spark):
+    schema = "event_id long, python_class string, python_confidence double, gtm_class string, gtm_confidence double, reference_class string, window_classes array<string>, quality_grade string, quality_issues array<string>, alert_status string, final_class string, severity string, review_reasons array<string>"
+    rows = [
+        (1, "Gunshot", 0.9, "Alarm", 0.4, "Gunshot", ["Alarm", "Gunshot", "Gunshot", "x", "y", None], "Poor", ["Noise"], "Alert generated", "Gunshot", "Critical", ["Low Confidence"]),
+        (2, "Gunshot", 0.9, "Background Noise", 0.8, "Alarm", ["Gunshot"], "Good", [], "No alert", "Gunshot", "High", []),
+        (3, "Gunshot", 0.9, "Gunshot", 0.8, "Alarm", None, None, None, "No alert", "Gunshot", "High", None), (4, "Gunshot", 0.9, "Siren", 0.8, "Siren", None, None, None, None, None, None, None),
+    ]
+    pairs = spark.createDataFrame([("Alarm", "Gunshot", "both are loud")], "class_a string, class_b string, why string")
+    got = {r["event_id"]: r["explanation"] for r in text.comparison_text(spark.createDataFrame(rows, schema), pairs).collect()}
+    assert got == {
+        1: "First: Gunshot (90%), second: Alarm (40%), actual: Gunshot; first right; often mixed up: both are loud; windows differ: Gunshot in 2, Alarm in 1, x in 1; quality Poor: noise; second model unsure; alert: Critical Gunshot; review: low confidence",
+        2: "First: Gunshot (90%), second: Background Noise (80%), actual: Alarm; both wrong; faint events and noise are hard to tell apart",
+        4: "First: Gunshot (90%), second: Siren (80%), actual: Siren; second right; the models hear different recordings of the sound",
+    }
