@@ -309,12 +309,24 @@ def test_segments_and_features(spark):
     assert abs(v[centre] - 1000) < 60
 
 
-def test_fingerprints_of_copies():
+def test_fingerprints_of_copies(spark):
     rng = np.random.default_rng(4)
-    y = rng.normal(0, 0.1, 16_000 * 4).astype(np.float32) * (1 + np.sin(np.arange(64_000) / 3000)).astype(np.float32)
-    a, b = signals.fingerprint(y, 16_000), signals.fingerprint(y * 0.5, 16_000)
-    assert neardup.best_correlation(a, b) > 0.99 and neardup.best_correlation(a, a[2:]) > 0.99 and neardup.best_correlation(a, a[:3]) == 0
-    assert len(signals.fingerprint(np.zeros(16_000, np.float32), 16_000)) == 0
+    y = rng.normal(0, 0.1, 4000 * 4) * (1 + np.sin(np.arange(16_000) / 750))
+    late = np.concatenate((np.zeros(2000), y))
+    found = {r["clip_id"]: np.array(r["fingerprint"]).reshape(-1, 16) for r in signals.fingerprints(clips(spark, y, y * 0.5, np.zeros(4000), y[:500], late, rate=4000)).collect()}
+    a, b = found[0], found[1]
+    assert len(a) == 16 and neardup.best_correlation(a, b) > 0.99 and neardup.best_correlation(a, a[2:]) > 0.99 and neardup.best_correlation(a, a[:3]) == 0
+    assert len(found[2]) == 0 and len(found[3]) == 0 and np.allclose(found[4], a, atol=1e-6)
+    (one,) = signals.fingerprints(clips(spark, tone(1.0, signals.TONES[5], rate=4000), rate=4000)).collect()
+    assert np.array(one["fingerprint"]).reshape(-1, 16).argmax(axis=1).tolist() == [5] * 4  # the tone's own band
+
+
+def test_flatness_tells_noise_from_tones(spark):
+    rng = np.random.default_rng(1)
+    rows = signals.assess(clips(spark, rng.normal(0, 0.1, 8000), tone(0.5), np.cumsum(rng.normal(0, 0.01, 8000)), np.zeros(0), np.array([0.5, np.nan]))).collect()
+    flat = {r["clip_id"]: r["flatness"] for r in rows}
+    assert flat[0] > 0.98 and flat[1] < 0.01 and flat[2] < 0.1 and flat[3] is None and flat[4] is None
+    assert {r["clip_id"]: r["grade"] for r in rows if r["clip_id"] > 2} == {3: "Unusable", 4: "Unusable"}
 
 
 def endless(spark, n=4000, sessions=(1, 1, 1, 1, 1, 1, 1, 1, 1, 2)):
