@@ -17,10 +17,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words and pieces that a Python worker remembers (about 100 MB in all); what came once only is not among them.
-REMEMBERED = 350_000
+#: Words and pieces that a Python worker remembers (about 50 MB in all); what came once only is not among them.
+REMEMBERED = 150_000
 #: Words whose ids are held, remembered or not, before all is forgotten.
-HELD = 2_500_000
+HELD = 1_000_000
 _LATIN = re.compile("[\t-\r\x20-\x7e\xa1-ɏ]*")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
 
