@@ -52,7 +52,7 @@ def critical_frequency(events: DataFrame, alerts: DataFrame, rules: DataFrame) -
     classes = rules.filter("critical").select("category")
     e = with_effective(events).groupBy(F.col("effective_class").alias("category")).agg(F.count("*").alias("events"))
     a = alerts.groupBy("category").agg(F.count("*").alias("alerts"))
-    return F.broadcast(classes).join(e, "category", "left").join(a, "category", "left").fillna(0, ["events", "alerts"])
+    return small(classes).join(e, "category", "left").join(a, "category", "left").fillna(0, ["events", "alerts"])
 
 
 def confidence_histogram(events: DataFrame, bins: int = 10) -> DataFrame:

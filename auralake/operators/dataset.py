@@ -45,23 +45,25 @@ def admissible_window(size: str, duration: str) -> Column:
     )
 
 
-#: Windows of one payload that are read.
+#: Windows of one payload that are read unless told otherwise.
 PAYLOAD_WINDOWS = 2000
 _PAYLOAD = "labels array<string>, clip array<double>, windows array<struct<start: double, end: double, probs: array<double>>>, version string, error string, elapsed_ms double"
 
 
-def parse_scores(payload: str) -> Column:
+def parse_scores(payload: str, most: int | None = PAYLOAD_WINDOWS) -> Column:
     """struct<scores, windows, error, version, elapsed_ms> of a JSON payload {labels, clip, windows: [{start, end, probs}]}.
 
     Scores are clipped to [0, 1] and rounded to five digits, halves to even.
     error is '' for a good payload, and else says what is wrong; then scores and
-    windows are null.  Fewer than two classes, labels that repeat or have more
+    windows are null.  Of a payload the first `most` windows are read (two hours
+    at three seconds are 2,400; None: all of them).  Fewer than two classes, labels that repeat or have more
     than 40 letters, and scores that are no probabilities (1e-6 beyond [0, 1], a
     sum 0.02 from 1), in the clip or in any window, spoil the whole payload.
     """
     p = F.from_json(F.col(payload), _PAYLOAD)
     n = p["labels"]
-    windows = F.slice(F.coalesce(p["windows"], F.array().cast(f"array<{'struct<start: double, end: double, probs: array<double>>'}>")), 1, PAYLOAD_WINDOWS)
+    windows = F.coalesce(p["windows"], F.array().cast("array<struct<start: double, end: double, probs: array<double>>>"))
+    windows = windows if most is None else F.slice(windows, 1, most)
     bad_number = lambda x: x.isNull() | F.isnan(x) | (x < -1e-6) | (x > 1 + 1e-6)
     total = lambda m: F.aggregate(m, F.lit(0.0), lambda a, b: a + b)
     bad = lambda m: F.coalesce(F.exists(m, bad_number) | (F.abs(total(m) - 1) > 0.02), F.lit(True))

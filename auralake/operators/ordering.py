@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def shared_folder(df: DataFrame, purpose: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors reach; the warehouse where that is unset."""
-    conf = df.sparkSession.conf
-    base = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir")
+def new_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors reach.
+
+    Where that is unset, a local session uses the warehouse; on a cluster, whose
+    executors need not share the driver's disk, it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/auralake-{purpose}/{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame, purpose: str = "tables") -> DataFrame:
     """df written to the shared folder and read back: computed once, and still there when an executor is lost."""
-    path = shared_folder(df, purpose)
+    path = new_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ from auralake.functions import text  # noqa: F401
 from auralake.operators import alerts, analytics, dataset, decision, evaluation, events, export, learning, neardup, sequences, signals  # noqa: F401
 from auralake.plans.registry import QUERIES, SQL
 from auralake.sources import files, versions  # noqa: F401
-from auralake.streaming import jobs  # noqa: F401
+from auralake.streaming import jobs, messages  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

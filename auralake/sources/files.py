@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import io
 import json
-import uuid
 import wave
 from collections.abc import Iterator
 
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from auralake.operators.ordering import numbered
+from auralake.operators.ordering import new_folder, numbered
 from auralake.plans.registry import Views, query
 
 
@@ -140,8 +139,7 @@ def write_summary(stats: DataFrame, path: str) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/auralake-files/{uuid.uuid4().hex}"
+    return new_folder(spark, "files")
 
 
 @query("io1_csv_round_trip", "SELECT clip_no, path, class_name, duration_s FROM {clips}")

@@ -7,7 +7,6 @@ Event time is the arrival time of the rows; each job takes a watermark delay
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,14 +18,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from auralake.functions.rules import BACKGROUND, UNKNOWN, rule_table
 from auralake.operators.dataset import admissible_window
 from auralake.operators.decision import decide
+from auralake.operators.ordering import new_folder
 from auralake.operators.sequences import LIMITS, occurrences
 from auralake.plans.registry import Views, query
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors reach; the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/auralake-streams/{uuid.uuid4().hex}"
+    """A new folder that all executors reach."""
+    return new_folder(spark, "streams")
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -16,7 +16,7 @@ from auralake.functions.text import code
 from auralake.operators.ordering import numbered, settled
 from auralake.operators import alerts, analytics, dataset, decision, evaluation, events, learning, neardup, ordering, sequences, signals
 from auralake.sources import files, versions
-from auralake.streaming import jobs
+from auralake.streaming import jobs, messages
 
 T0 = dt.datetime(2024, 5, 1, 12)
 EVENT = {
@@ -657,3 +657,30 @@ def test_comparison_text_tells_every_part(spark):
         2: "First: Gunshot (90%), second: Background Noise (80%), actual: Alarm; both wrong; faint events and noise are hard to tell apart",
         4: "First: Gunshot (90%), second: Siren (80%), actual: Siren; second right; the models hear different recordings of the sound",
     }
+
+
+def test_messages_survive_a_restart(spark, tmp_path, monkeypatch):
+    """Files that come later, and a batch that fails half way: nothing is lost and nothing comes twice."""
+    say = lambda *ids: [f'{{"session_id":1,"window_id":{i},"seen_us":{i},"duration_s":1.0,"bytes":9}}' for i in ids] + [f"broken {ids[0]}"]
+    folder, out = tmp_path / "in", f"file://{tmp_path}/out"
+    folder.mkdir()
+    write = lambda name, *ids: (folder / name).write_text("\n".join(say(*ids)) + "\n")
+    read = lambda pair: (sorted(r["window_id"] for r in pair[0].collect()), sorted(r["value"] for r in pair[1].collect()))
+    write("a", 1, 2)
+    assert read(messages.take_messages(spark, str(folder), out, files=1)) == ([1, 2], ["broken 1"])
+    write("b", 3, 4)
+    write("c", 5)
+    whole = messages.parse_messages
+    monkeypatch.setattr(messages, "parse_messages", lambda lines: whole(lines).withColumn("bytes", F.when(F.col("window_id") == 5, F.raise_error(F.lit("lost"))).otherwise(F.col("bytes"))))
+    with pytest.raises(Exception, match="lost"):
+        messages.take_messages(spark, str(folder), out, files=1)
+    monkeypatch.setattr(messages, "parse_messages", whole)
+    for _ in range(2):
+        assert read(messages.take_messages(spark, str(folder), out, files=1)) == ([1, 2, 3, 4, 5], ["broken 1", "broken 3", "broken 5"])
+
+
+def test_payloads_may_be_read_whole(spark):
+    windows = ",".join(f'{{"start":{i},"end":{i + 1},"probs":[{0.5 if i < 2500 else 7},0.5]}}' for i in range(2501))
+    df = spark.createDataFrame([(f'{{"labels":["a","b"],"clip":[0.5,0.5],"windows":[{windows}]}}',)], "p string")
+    few, whole = df.select(F.size(dataset.parse_scores("p")["windows"]), dataset.parse_scores("p", None)["error"]).first()
+    assert (few, whole) == (2000, "not probabilities")
