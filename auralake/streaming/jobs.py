@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from auralake.functions.rules import BACKGROUND, UNKNOWN, rule_table
 from auralake.operators.dataset import admissible_window
 from auralake.operators.decision import decide
-from auralake.operators.ordering import new_folder
+from auralake.operators.ordering import new_folder, settled
 from auralake.operators.sequences import LIMITS, occurrences
 from auralake.plans.registry import Views, query
 
@@ -28,9 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return new_folder(spark, "streams")
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return its result; every batch is its own folder, so a retry overwrites it."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and return its result; every batch is its own folder, so a retry overwrites it.
+
+    folder: that of an earlier run, which goes on where it ended; its result is returned too.
+    """
+    spark, folder = stream.sparkSession, folder or shared_folder(stream.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
         place = f"{folder}/out/batch={number}" if mode == "append" else f"{folder}/out/batch=0"
@@ -105,12 +111,88 @@ def stream_sessions(rows: DataFrame, gap: str, delay: str = "10 minutes") -> Dat
 _LIVE_OUT = (
     "session_id long, window_id long, class_name string, repeats int, alert_status string, severity string, review boolean, alert string, started double, keep_audio boolean, windows long"
 )
-_LIVE_STATE = "recent_at array<double>, recent_class array<string>, open_class array<string>, open_at array<double>, seen long"
+#: Milliseconds that a session is kept after its last window.
+KEPT_MS = 3_600_000
 _LIVE_IN = "session_id, window_id, ts, python_class, python_confidence, python_margin, gtm_class, gtm_confidence, quality_grade, n_windows, noise_dbfs, overlaps, duration_s, bytes, silent"
 
 
+class _LiveSession(StatefulProcessor):
+    """One session: `recent` its windows of one period, `alerts` when the open alert of each class was created, `seen` its admitted windows and the time of the last."""
+
+    def __init__(self, most: int, period_s: float, episode_s: float, store_audio: bool):
+        self.most, self.period_s, self.episode_s, self.store_audio = most, period_s, episode_s, store_audio
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getListState("recent", "at double, class_name string")
+        self.alerts = handle.getMapState("alerts", "class_name string", "at double")
+        self.seen = handle.getValueState("seen", "n long, last double")
+
+    def handleInitialState(self, key: tuple, initial: pd.DataFrame, timers: TimerValues) -> None:
+        """Take over a running session: its rows of session_state, in any order."""
+        windows = sorted((r.at, r.class_name) for r in initial.itertuples() if r.kind == "window")
+        if windows:
+            self.recent.put(windows)
+        for r in initial.itertuples():
+            if r.kind == "alert":
+                self.alerts.updateValue((r.class_name,), (r.at,))
+        counted = [r for r in initial.itertuples() if r.kind == "seen"]
+        last = max(r.at for r in initial.itertuples())
+        self.seen.update((int(sum(r.n for r in counted)), float(last)))
+        self.handle.registerTimer(int(last * 1000) + KEPT_MS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        recent = list(self.recent.get()) if self.recent.exists() else []
+        seen, last = self.seen.get() if self.seen.exists() else (0, 0.0)
+        before, out = last, []
+        for _, options in _in_time_order(rows):
+            r = options[1]
+            now = r.ts.timestamp()
+            seen, last = seen + 1, max(last, now)
+            if not r.stored:
+                continue
+            recent = [(t, c) for t, c in recent if now - t <= self.period_s]
+            repeats = 0
+            for _, c in reversed(recent):
+                if c == r.python_class:
+                    repeats += 1
+                elif c not in (BACKGROUND, UNKNOWN):
+                    break
+            r = options[min(repeats + 1, self.most)]
+            recent.append((now, r.final_class))
+            alert, began = "", float("nan")
+            if r.alert_status == "Alert generated":
+                held = self.alerts.getValue((r.final_class,))
+                began = held[0] if held else -math.inf
+                alert = "ongoing" if now - began <= self.episode_s else "new"
+                if alert == "new":
+                    began = now
+                    self.alerts.updateValue((r.final_class,), (now,))
+            keep = self.store_audio and bool(alert or r.review)
+            out.append((key[0], r.window_id, r.final_class, repeats, r.alert_status, r.severity, bool(r.review), alert, began, keep, seen))
+        for (c,), (t,) in list(self.alerts.iterator()):
+            if last - t > self.episode_s:
+                self.alerts.removeKey((c,))
+        self.recent.put(recent) if recent else self.recent.clear()
+        self.seen.update((seen, last))
+        if before:
+            self.handle.deleteTimer(int(before * 1000) + KEPT_MS)
+        self.handle.registerTimer(max(int(last * 1000), timers.getCurrentWatermarkInMs()) + KEPT_MS)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _LIVE_OUT.split(", ")])
+
+    def handleExpiredTimer(self, key: tuple, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, last = self.seen.get() if self.seen.exists() else (0, 0.0)
+        if int(last * 1000) + KEPT_MS <= expired.getExpiryTimeInMs():
+            for state in (self.recent, self.alerts, self.seen):
+                state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def live_sessions(
-    rows: DataFrame, rules: DataFrame, period_s: float = 10.0, episode_s: float = 60.0, store_audio: bool = True, delay: str = "10 minutes"
+    rows: DataFrame, rules: DataFrame, period_s: float = 10.0, episode_s: float = 60.0, store_audio: bool = True, delay: str = "10 minutes", running: DataFrame | None = None
 ) -> DataFrame:
     """Every stored window with its repeats, its decision, its alert ('new', 'ongoing' or '') and whether its audio is kept.
 
@@ -125,9 +207,11 @@ def live_sessions(
     A decision depends on the earlier windows by their number alone, so it is
     made by columns beforehand for one up to the repeats that any rule asks
     for, and the state only picks the entry.  The state of a session holds the
-    windows of one period and one open alert per class; it is dropped when the
-    watermark passes its last window by an hour.  The rows of a batch are taken
-    in order of time and id, slice by slice as Arrow brings them.
+    windows of one period and one open alert per class, in typed variables of the
+    state store; a timer drops it when the watermark passes its last window by an
+    hour.  running: sessions to take over (see session_state), for a stream that
+    starts anew.  The rows of a batch are taken in order of time and id.  The
+    session's state store must be the one of RocksDB (see with_state_store).
     """
     most = max(rules.agg(F.max(F.greatest("consecutive_detections", F.coalesce("raise_repeats", F.lit(1))))).first()[0] or 1, 1)
     usable = ~F.coalesce(F.col("silent"), F.lit(False)) & (F.col("quality_grade") != "Unusable")
@@ -137,44 +221,39 @@ def live_sessions(
     made = made.select(
         "session_id", "window_id", "ts", "stored", "python_class", "final_class", F.col("repeated_detections").alias("times"), "alert_status", "severity", (F.size("review_reasons") > 0).alias("review")
     )
+    watched = made.withWatermark("ts", delay).groupBy("session_id")
+    session = _LiveSession(most, period_s, episode_s, store_audio)
+    start = running.groupBy("session_id") if running is not None else None
+    return watched.transformWithStateInPandas(session, _LIVE_OUT, "append", "EventTime", start)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, names, opened, opened_at, seen = state.get if state.exists else ([], [], [], [], 0)
-        recent, alerts = list(zip(at, names, strict=True)), dict(zip(opened, opened_at, strict=True))
-        out, last = [], 0.0
-        for _, options in _in_time_order(batches):
-            r = options[1]
-            now = r.ts.timestamp()
-            seen, last = seen + 1, max(last, now)
-            if not r.stored:
-                continue
-            recent = [(t, c) for t, c in recent if now - t <= period_s]
-            repeats = 0
-            for _, c in reversed(recent):
-                if c == r.python_class:
-                    repeats += 1
-                elif c not in (BACKGROUND, UNKNOWN):
-                    break
-            r = options[min(repeats + 1, most)]
-            recent.append((now, r.final_class))
-            alert, began = "", float("nan")
-            if r.alert_status == "Alert generated":
-                began = alerts.get(r.final_class, -math.inf)
-                alert = "ongoing" if now - began <= episode_s else "new"
-                if alert == "new":
-                    alerts[r.final_class] = began = now
-            keep = store_audio and bool(alert or r.review)
-            out.append((key[0], r.window_id, r.final_class, repeats, r.alert_status, r.severity, bool(r.review), alert, began, keep, seen))
-        alerts = {c: t for c, t in alerts.items() if last - t <= episode_s}
-        state.update(([t for t, _ in recent], [c for _, c in recent], list(alerts), list(alerts.values()), seen))
-        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _LIVE_OUT.split(", ")])
 
-    watched = made.withWatermark("ts", delay)
-    return watched.groupBy("session_id").applyInPandasWithState(step, _LIVE_OUT, _LIVE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def session_state(stored: DataFrame, period_s: float = 10.0, episode_s: float = 60.0) -> DataFrame:
+    """(session_id, kind, at, class_name, n): what a stream that starts anew needs to know of the sessions so far.
+
+    stored: the stored windows so far (session_id, ts, class_name, alert and
+    started as live_sessions gives them, windows).  Kept are the windows of the last period,
+    the alerts created within episode_s, and the number of windows.
+    """
+    at = F.unix_micros("ts") / 1e6
+    last = stored.groupBy("session_id").agg(F.max(at).alias("last"), F.max("windows").alias("n"))
+    timed = stored.select("session_id", at.alias("at"), "class_name", "alert", "started").join(last.select("session_id", "last"), "session_id")
+    none = F.lit(0).cast("long").alias("n")
+    windows = timed.filter(F.col("last") - F.col("at") <= period_s).select("session_id", F.lit("window").alias("kind"), "at", "class_name", none)
+    opened = timed.filter("alert <> ''").groupBy("session_id", "class_name", "last").agg(F.max("started").alias("at")).filter(F.col("last") - F.col("at") <= episode_s)
+    opened = opened.select("session_id", F.lit("alert").alias("kind"), "at", "class_name", none)
+    return windows.unionByName(opened).unionByName(last.select("session_id", F.lit("seen").alias("kind"), F.col("last").alias("at"), F.lit("").alias("class_name"), "n"))
+
+
+@contextmanager
+def with_state_store(spark: SparkSession) -> Iterator[None]:
+    """The session's streams started meanwhile keep their state in RocksDB, which typed state variables need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _in_time_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, dict]]:
@@ -306,16 +385,43 @@ def _st6(v: Views) -> DataFrame:
     return run_available(first_of_each(rows, "key", "2 days")).select("user_id", "day")
 
 
-@query("st1_live_sessions_stream")
-def _st1(v: Views) -> DataFrame:
-    """The given events as live windows, in several micro-batches; hours stand for seconds, as the events are hours apart."""
-    folder = shared_folder(v.spark)
-    windows = v.scored_events.select(
+def _live_windows(v: Views) -> DataFrame:
+    """The given events as live windows; hours stand for seconds, as the events are hours apart."""
+    return v.scored_events.select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("window_id"), "ts", "python_class", "python_confidence", "python_margin", "gtm_class", "gtm_confidence", "quality_grade",
         F.lit(1).alias("n_windows"), F.when(F.col("k") % 2 == 0, -F.col("k").cast("double")).alias("noise_dbfs"), F.array().cast("array<string>").alias("overlaps"),
         (F.col("k") % 60 / 10).alias("duration_s"), F.lit(1000).cast("long").alias("bytes"), (F.col("k") % 7 == 3).alias("silent"),
     )
-    # one file a slice of time, named in order, so that batches follow event time
-    windows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
-    stream = v.spark.readStream.schema(windows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    return run_available(live_sessions(stream, rule_table(v.spark), period_s=86_400.0, episode_s=172_800.0, delay="30 days"))
+
+
+def _live(v: Views) -> DataFrame:
+    """The live windows in four slices of time, each read by a run of its own that takes up the state of the one before."""
+    folder, windows = shared_folder(v.spark), settled(_live_windows(v))
+    slices = F.lit(0)
+    for cut in windows.select(F.unix_micros("ts").alias("t")).approxQuantile("t", [0.25, 0.5, 0.75], 0.01):
+        slices = slices + (F.unix_micros("ts") > cut).cast("int")
+    with with_state_store(v.spark):
+        for number in range(4):
+            windows.filter(slices == number).write.mode("append").parquet(f"{folder}/in")
+            stream = v.spark.readStream.schema(windows.schema).parquet(f"{folder}/in")
+            told = run_available(live_sessions(stream, rule_table(v.spark), period_s=86_400.0, episode_s=172_800.0, delay="30 days"), folder=folder)
+    return told
+
+
+@query("st1_live_sessions_stream")
+def _st1(v: Views) -> DataFrame:
+    return _live(v)
+
+
+@query(
+    "st1_live_repeats_stream",
+    """WITH w AS (SELECT user_id AS session_id, event_id AS window_id, epoch_us(ts) AS t, python_class, CASE WHEN FINAL THEN 'Unknown' ELSE python_class END AS final_class FROM {scored_events}
+    WHERE k % 60 / 10 BETWEEN 0.3 AND 5.0 AND k % 7 <> 3 AND quality_grade <> 'Unusable'),
+    admitted AS (SELECT user_id AS session_id, event_id AS window_id, epoch_us(ts) AS t FROM {scored_events} WHERE k % 60 / 10 BETWEEN 0.3 AND 5.0)
+    SELECT a.session_id, a.window_id, (SELECT count(*) FROM w b WHERE b.session_id = a.session_id AND b.final_class = a.python_class AND (b.t, b.window_id) < (a.t, a.window_id) AND a.t - b.t <= 86400 * 1000000::BIGINT
+    AND NOT EXISTS (SELECT 1 FROM w x WHERE x.session_id = a.session_id AND x.final_class NOT IN (a.python_class, 'Background Noise', 'Unknown') AND (x.t, x.window_id) > (b.t, b.window_id) AND (x.t, x.window_id) < (a.t, a.window_id))) AS repeats,
+    (SELECT count(*) FROM admitted b WHERE b.session_id = a.session_id AND (b.t, b.window_id) <= (a.t, a.window_id)) AS windows FROM w a""".replace("FINAL", "python_confidence < 0.35"),
+)
+def _st1b(v: Views) -> DataFrame:
+    """How often each stored window's class was heard before, and how many windows its session had sent."""
+    return _live(v).select("session_id", "window_id", F.col("repeats").cast("long").alias("repeats"), "windows")

@@ -521,6 +521,11 @@ def live_rows(spark, names, step=2, **changes):
     return spark.createDataFrame(rows, LIVE)
 
 
+def live(spark, stream, **options):
+    with jobs.with_state_store(spark):
+        return jobs.run_available(jobs.live_sessions(stream, rule_table(spark), **options))
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_live_sessions(spark, tmp_path, parts):
     """Several micro-batches give what one does: repeats, decision, alert, whether the audio is kept."""
@@ -531,7 +536,7 @@ def test_live_sessions(spark, tmp_path, parts):
     for b in range(parts):  # files in time order, one a batch
         rows.filter(f"window_id * {parts} div 9 = {b}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {r["window_id"]: (r["repeats"], r["alert_status"], r["alert"], r["keep_audio"]) for r in jobs.run_available(jobs.live_sessions(stream, rule_table(spark))).collect()}
+    got = {r["window_id"]: (r["repeats"], r["alert_status"], r["alert"], r["keep_audio"]) for r in live(spark, stream).collect()}
     assert got == {
         0: (0, "Alert generated", "new", True), 2: (0, "No alert", "", False), 3: (0, "Not confirmed", "", True), 5: (1, "Alert generated", "new", True), 6: (2, "Alert generated", "ongoing", True),
         7: (0, "No alert", "", True), 8: (0, "Alert generated", "ongoing", True),
@@ -546,7 +551,7 @@ def test_live_stream_equals_batch_jobs(spark):
     folder = tempfile.mkdtemp()
     rows.coalesce(1).write.mode("append").parquet(folder + "/in")
     stream = spark.readStream.schema(rows.schema).parquet(folder + "/in")
-    got = settled(jobs.run_available(jobs.live_sessions(stream, rule_table(spark))))
+    got = settled(live(spark, stream))
     batch = {r["window_id"]: r["repeats"] for r in sequences.repeats_in_period(rows.withColumnsRenamed({"ts": "seen_at", "python_class": "class_name"}), 10).collect()}
     assert {r["window_id"]: r["repeats"] for r in got.collect()} == batch
     alerting = rows.join(got.filter("alert <> ''").select("window_id"), "window_id").withColumnsRenamed({"ts": "seen_at", "python_class": "class_name"})
@@ -684,3 +689,25 @@ def test_payloads_may_be_read_whole(spark):
     df = spark.createDataFrame([(f'{{"labels":["a","b"],"clip":[0.5,0.5],"windows":[{windows}]}}',)], "p string")
     few, whole = df.select(F.size(dataset.parse_scores("p")["windows"]), dataset.parse_scores("p", None)["error"]).first()
     assert (few, whole) == (2000, "not probabilities")
+
+
+def test_a_new_stream_takes_over_running_sessions(spark, tmp_path):
+    """One run, ten batches, and a second stream that starts from a table of the first one's sessions tell the same."""
+    names = ["Glass Breaking", "Gunshot", "Background Noise", "Machinery Fault"]
+    rng = np.random.default_rng(8)
+    rows = live_rows(spark, [names[k] for k in rng.integers(0, 4, 60)], step=3).withColumn("session_id", F.col("window_id") % 2)
+
+    def run(name, part, parts, **options):
+        first, last = part.agg(F.min("window_id"), F.max("window_id")).first()
+        step = (last - first + parts) // parts
+        for b in range(parts):
+            part.filter(F.col("window_id").between(first + b * step, first + (b + 1) * step - 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        return settled(live(spark, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)), **options))
+
+    tell = lambda f: sorted(map(str, f.collect()))
+    whole = run("one", rows, 1)
+    assert tell(run("ten", rows, 10)) == tell(whole) and whole.count() == 60
+    before = run("first", rows.filter("window_id < 31"), 2)
+    running = jobs.session_state(before.join(rows.select("window_id", "ts"), "window_id"))
+    after = run("second", rows.filter("window_id >= 31"), 2, running=running)
+    assert tell(before.unionByName(after)) == tell(whole)
