@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
@@ -33,6 +35,45 @@ def train_tuned(train: DataFrame, validation: DataFrame, classes: int, strengths
     return best[0], table
 
 
+def sampled_settings(trials: int, seed: int) -> list[dict]:
+    """Settings of forests, drawn at random but the same for a seed: depth, least rows of a leaf, share of rows and of features a tree sees."""
+    draw = random.Random(seed)
+    return [
+        {"depth": draw.randint(3, 12), "leaf": int(2 ** draw.uniform(0, 5)), "rows": round(draw.uniform(0.5, 1.0), 3), "features": round(draw.uniform(0.2, 1.0), 3)}
+        for _ in range(trials)
+    ]
+
+
+def search_trees(train: DataFrame, validation: DataFrame, classes: int, trials: int = 8, trees: int = 4, most: int = 64, seed: int = 0, gain: float = 0.001) -> tuple[object, DataFrame]:
+    """(best model, table of all trials): random search over forests with successive halving, judged by validation macro F1.
+
+    train, validation: y, features (array of doubles).  All settings begin with
+    `trees` trees; the better half goes on with twice as many, up to `most`.  A
+    setting that gains less than `gain` by the doubling stops there, and so does
+    the search when none goes on.  Both tables are settled once, as every fit reads them.
+    The table has a row for each fit: trial, rung, trees, the setting and macro_f1.
+    """
+    vectors = lambda df: settled(df.select(F.col("y").cast("double").alias("label"), "features")).select("label", array_to_vector("features").alias("features"))
+    fitted, tested = vectors(train), vectors(validation)
+    going, rung, best, rows = [(i, s, -1.0) for i, s in enumerate(sampled_settings(trials, seed))], 0, None, []
+    while going:
+        scored = []
+        for i, s, before in going:
+            forest = RandomForestClassifier(numTrees=trees, maxDepth=s["depth"], minInstancesPerNode=s["leaf"], subsamplingRate=s["rows"], featureSubsetStrategy=str(s["features"]), seed=seed)
+            model = forest.fit(fitted).copy()  # without its summary, which holds the session
+            f1 = class_metrics(confusion(model.transform(tested), "label", "prediction", classes)).agg(F.avg("f1")).first()[0]
+            rows.append((i, rung, trees, s["depth"], s["leaf"], s["rows"], s["features"], f1))
+            scored.append((f1, -i, s, before))
+            if best is None or f1 > best[0]:
+                best = (f1, model)
+        scored.sort(key=lambda x: x[:2], reverse=True)
+        kept = scored[: len(scored) // 2] if trees * 2 <= most else []
+        going = [(-i, s, f1) for f1, i, s, before in kept if f1 - before >= gain]
+        rung, trees = rung + 1, trees * 2
+    schema = "trial int, rung int, trees int, depth int, leaf int, rows double, features double, macro_f1 double"
+    return best[1], train.sparkSession.createDataFrame(rows, schema)
+
+
 def feature_ranking(train: DataFrame, trees: int = 20) -> DataFrame:
     """(feature, importance) of a random forest, largest first."""
     model = RandomForestClassifier(numTrees=trees, maxDepth=6, seed=7).fit(
@@ -115,6 +156,12 @@ def _ml1(v: Views) -> DataFrame:
     return train_tuned(rows.filter("vec_id % 5 <> 0"), rows.filter("vec_id % 5 = 0"), 10)[1]
 
 
+@query("ml1_tree_search")
+def _ml1b(v: Views) -> DataFrame:
+    rows = _features(v)
+    return search_trees(rows.filter("vec_id % 5 <> 0"), rows.filter("vec_id % 5 = 0"), 10, trials=4, most=16)[1]
+
+
 @query("l5_feature_ranking")
 def _l5(v: Views) -> DataFrame:
     return feature_ranking(_features(v))
