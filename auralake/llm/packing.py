@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auralake.llm.storage import TEXT_BATCH, id_long, id_text, materialise
-from auralake.llm.tokens import worker_tokenizer
+from auralake.llm.tokens import REMEMBERED, worker_tokenizer
 
 #: Partitions whose leftovers are merged by one task.
 MERGE_GROUP = 64
@@ -101,6 +101,7 @@ def pack(
     open_windows: int = 64,
     max_gap: int = 32,
     end_id: int = 2,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """Pieces of all documents with their place: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
@@ -109,12 +110,13 @@ def pack(
     `window`.  A null or empty text has the end id alone; rows that repeat an id
     are packed each by itself, a null id stays null.  An empty table gives no
     rows; other columns are ignored.  Sequence ids are unique, not consecutive.
-    A task holds at most open_windows * window ids besides its batch.
+    A task holds at most open_windows * window ids besides its batch, and a worker
+    about 300 bytes for each of `remembered` words; fewer make it slower, not other.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
-        encoder = worker_tokenizer(tokenizer_path, end_id)
+        encoder = worker_tokenizer(tokenizer_path, end_id, remembered)
         packer = _Packer(window, open_windows, max_gap, task << 32)
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):

@@ -17,10 +17,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words and pieces that a Python worker remembers (about 50 MB in all); what came once only is not among them.
-REMEMBERED = 150_000
-#: Words whose ids are held, remembered or not, before all is forgotten.
-HELD = 1_000_000
+#: Words and pieces that a Python worker remembers (about 100 MB in all); what came once only is not among them.
+REMEMBERED = 350_000
+#: For one word remembered, words whose ids are held, remembered or not, before all is forgotten.
+HELD = 7
 _LATIN = re.compile("[\t-\r\x20-\x7e\xa1-ɏ]*")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
 
@@ -48,9 +48,9 @@ class _Seen:
 class _Words(dict):
     """Number of each word that came twice, by its text; others are encoded when they are looked up."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[str], list[int]], remembered: int):
         super().__init__()
-        self.encode, self.seen = encode, _Seen()
+        self.encode, self.remembered, self.seen = encode, remembered, _Seen()
         self.flat = array("I")
         self.start = array("q", [0])
 
@@ -63,7 +63,7 @@ class _Words(dict):
         return at
 
     def full(self) -> bool:
-        return len(self) > REMEMBERED or len(self.start) > HELD
+        return len(self) > self.remembered or len(self.start) > HELD * self.remembered
 
     def ids(self, words: list[str], last: int) -> np.ndarray:
         """Ids of all words in order, and `last` behind them."""
@@ -82,21 +82,24 @@ class _Words(dict):
 class CachedTokenizer:
     """Encodes texts with a tokenizer file of the `tokenizers` library."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.end_id = end_id
-        self.latin, self.other = _Words(self._word), _Words(self._chunk)
+        self.end_id, self.remembered = end_id, remembered
+        self._forget()
         self.pieces, self.seen = {}, _Seen()
 
+    def _forget(self) -> None:
+        self.latin, self.other = _Words(self._word, self.remembered), _Words(self._chunk, self.remembered)
+
     def _piece(self, piece: str) -> tuple[int, ...]:
         found = self.pieces.get(piece)
         if found is None:
             letters = _byte_letters()
             found = tuple([t.id for t in self.whole.model.tokenize("".join([letters[b] for b in piece.encode()]))])
             if self.seen.before(piece):
-                if len(self.pieces) >= REMEMBERED:
+                if len(self.pieces) >= self.remembered:
                     self.pieces, self.seen = {}, _Seen()
                 self.pieces[piece] = found
         return found
@@ -110,7 +113,7 @@ class CachedTokenizer:
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the whole text followed by end_id, as uint32; a null text has end_id alone."""
         if self.latin.full() or self.other.full():
-            self.latin, self.other = _Words(self._word), _Words(self._chunk)
+            self._forget()
         text = text or ""
         if _LATIN.fullmatch(text) and "<|" not in text:  # in these, white space is ASCII and normal form C changes nothing
             return self.latin.ids(text.lower().split(), self.end_id)
@@ -118,6 +121,6 @@ class CachedTokenizer:
 
 
 @lru_cache(maxsize=2)
-def worker_tokenizer(path: str, end_id: int) -> CachedTokenizer:
+def worker_tokenizer(path: str, end_id: int, remembered: int = REMEMBERED) -> CachedTokenizer:
     """The tokenizer of this Python worker, which the tasks it runs one after the other share."""
-    return CachedTokenizer(path, end_id)
+    return CachedTokenizer(path, end_id, remembered)
