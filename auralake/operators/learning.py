@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auralake.operators.dataset import first_per_class, stable_order
 from auralake.operators.evaluation import class_metrics, confusion
-from auralake.operators.ordering import settled
+from auralake.operators.ordering import new_folder, settled
 from auralake.operators.signals import recording_properties
 from auralake.plans.registry import Views, query
 
@@ -27,7 +27,9 @@ def train_tuned(train: DataFrame, validation: DataFrame, classes: int, strengths
     fitted, tested = scaler.transform(vectors(train)), scaler.transform(vectors(validation))
     found = []
     for s in strengths:
-        model = LogisticRegression(regParam=s, maxIter=30).fit(fitted)
+        path = new_folder(train.sparkSession, "models")
+        LogisticRegression(regParam=s, maxIter=30).fit(fitted).write().save(path)
+        model = LogisticRegressionModel.load(path)  # without its training summary, which holds the session and can't be sent to tasks
         matrix = confusion(model.transform(tested), "label", "prediction", classes)
         found.append((model, s, class_metrics(matrix).agg(F.avg("f1")).first()[0]))
     best = max(found, key=lambda x: (x[2], -x[1]))
@@ -51,6 +53,7 @@ def search_trees(train: DataFrame, validation: DataFrame, classes: int, trials:
     `trees` trees; the better half goes on with twice as many, up to `most`.  A
     setting that gains less than `gain` by the doubling stops there, and so does
     the search when none goes on.  Both tables are settled once, as every fit reads them.
+    The settings are those of the seed; the rows that a tree sees depend on the partitions, too.
     The table has a row for each fit: trial, rung, trees, the setting and macro_f1.
     """
     vectors = lambda df: settled(df.select(F.col("y").cast("double").alias("label"), "features")).select("label", array_to_vector("features").alias("features"))
