@@ -69,7 +69,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in windows of 4096 ids; workers that have served the stages before remember fewer words."""
-    return pack(docs, tokenizer_path(), window=4096, remembered=150_000)
+    return pack(docs, tokenizer_path(), window=4096, remembered=60_000)
 
 
 STAGES = [
