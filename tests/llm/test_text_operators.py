@@ -144,6 +144,45 @@ def test_pii_spans(spark, awkward, empty):
     assert red[3] is None and red[8].endswith("[PHONE] [EMAIL]") and red[6] == "two words"
 
 
+ALNUM = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def proposable(kind, text, s, e):
+    """Whether [s, e) is a loose candidate, told character by character."""
+    wall = ALNUM | {"_"} if kind == "secret" else ALNUM
+    if (s and text[s - 1] in wall) or (e < len(text) and text[e] in wall):
+        return False
+    if kind == "secret":
+        span = text[s:e]
+        return len(span) >= 16 and span[0] in ALNUM and span[-1] in ALNUM and set(span) <= ALNUM | {"_", "-"}
+    body = text[s + (text[s] == "(") : e]
+    return 8 <= len(body) <= 24 and body[0] in "0123456789" and body[-1] in "0123456789" and set(body) <= set("0123456789() .-")
+
+
+def plain_candidates(text, base):
+    """Longest candidates from left to right, those with a digit and clear of base spans and of secrets."""
+    taken, out = [(s, e) for _, s, e in base], []
+    for kind in ("secret", "number"):
+        at = 0
+        while at < len(text):
+            end = next((e for e in range(len(text), at, -1) if proposable(kind, text, at, e)), None)
+            if end and any(c in "0123456789" for c in text[at:end]) and not any(s < end and at < e for s, e in taken):
+                out.append((kind, at, end))
+                if kind == "secret":
+                    taken.append((at, end))
+            at = end or at + 1
+    return out
+
+
+def test_candidates_equal_a_plain_scan():
+    alphabet = ["a", "é", "_", "-", " ", "(", ")", ".", "7", "12", "555", "abcdefgh", "A1b2C3d4", "token=", "+1 ", "x@y.z", "4111 1111 1111 1111", "\n", "\u0663"]
+    for seed in range(4000):
+        r = random.Random(seed)
+        text = "".join(r.choice(alphabet) for _ in range(r.randrange(1, 20)))
+        base = plain_spans(text)
+        assert [c[:3] for c in pii.candidates(text, base)] == plain_candidates(text, base), text
+
+
 def test_weak_supervision_finds_secrets_and_leaves_numbers(spark):
     rows = [(i, f"some words token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" and order {10**15 + i * 7} more") for i in range(80)]
     found = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
