@@ -80,7 +80,7 @@ STAGES = [
     ("window_packing", pack_windows),
 ]
 
-#: SQL can express neither the classifier nor the tokenizer; tests/llm compare each stage with a plain version.
+#: SQL can express neither the classifier nor the tokenizer; tests/llm hold the operator of each stage against a plain version, and the stages against their rules.
 ORACLE_SQL = None
 
 
