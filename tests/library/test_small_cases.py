@@ -728,3 +728,17 @@ def test_tree_search_beats_a_linear_model(spark):
     by_rung = {k: [r for r in trials if r["rung"] == k] for k in {r["rung"] for r in trials}}
     assert len(by_rung[0]) == 4 and {r["trees"] for r in by_rung[0]} == {2} and all(len(by_rung[k]) <= len(by_rung[k - 1]) // 2 for k in by_rung if k)
     assert learning.sampled_settings(4, 0) == learning.sampled_settings(8, 0)[:4]
+
+
+def test_results_of_signal_jobs_leave_a_worker_in_pieces():
+    """A batch of clips that makes 40 MB of results holds no more than a few of them at once."""
+
+    class Table:
+        def mapInPandas(self, run, schema):
+            return run
+
+    run = signals._map(Table(), "clip_id long, n int, samples array<float>", lambda r, y: ((r.clip_id, n, np.resize(y, 100_000)) for n in range(10)))
+    batch = pd.DataFrame({"clip_id": range(10), "rate": 16_000, "samples": [b"some text"] * 10})
+    pieces = list(run(iter([batch, batch.iloc[:0]])))
+    assert max(sum(x.nbytes for x in p["samples"]) for p in pieces) <= signals.HELD_BYTES + 400_000
+    assert [(i, n) for p in pieces for i, n in zip(p["clip_id"], p["n"], strict=True)] == [(i, n) for i in range(10) for n in range(10)]
