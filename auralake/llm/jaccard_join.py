@@ -17,7 +17,10 @@ Groups of equal signatures are never expanded to all pairs: each member is tried
 against one pivot, the links found are contracted to components, and only
 members of groups (all signatures with one pivot) that still hold several
 components are compared further, inside tasks, in blocks, by parity sketches whose distance never exceeds the
-real one.  What a sketch cannot exclude is checked on the exact sets.
+real one.  What a sketch cannot exclude is checked on the exact sets.  First each
+member proposes its nearest one in another component alone, and what links is
+contracted; all pairs of what is still apart are compared last, so a large group
+of near copies isn't expanded to the pairs between its components.
 """
 
 from __future__ import annotations
@@ -222,10 +225,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return links
 
 
-def _compare_unit(unit: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of one block unit in different components that sketches allow; rows come sorted by n.
+def _compare_unit(unit: pd.DataFrame, percent: int, nearest: bool) -> Iterator[tuple[int, int, float]]:
+    """Pairs of one block unit in different components that sketches allow, with their distance; rows come sorted by n.
 
-    A pair is told in the first group that holds both nodes and in no other.
+    A pair is told in the first group that holds both nodes and in no other;
+    nearest: each node with the nearest other one of the unit instead.
     """
     key = unit["key"].iat[0]
     node, comp = unit["node"].to_numpy(), unit["component"].to_numpy()
@@ -239,6 +243,7 @@ def _compare_unit(unit: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]
     table = {w: np.stack([_fold(words[i], w) for i in np.flatnonzero(widths >= w)]) for w in np.unique(widths)}
     rank = {w: np.cumsum(widths >= w) - 1 for w in table}
     last = np.searchsorted(n, n * 100 // percent, side="right")
+    best, other = np.full(len(node), np.inf), np.arange(len(node))
     for i in range(len(node) - 1):
         later = np.arange(i + 1, last[i])
         later = later[comp[later] != comp[i]]
@@ -247,15 +252,27 @@ def _compare_unit(unit: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]
         for w in np.unique(np.minimum(widths[later], widths[i])) if len(later) else ():
             some = later[np.minimum(widths[later], widths[i]) == w]
             gap = np.bitwise_count(table[w][rank[w][some]] ^ table[w][rank[w][i]]).sum(axis=1, dtype=np.int64)
-            for j in some[gap * (100 + percent) <= (100 - percent) * (n[some] + n[i])]:
-                if min(groups[i] & groups[j]) == key:
-                    yield (int(min(node[i], node[j])), int(max(node[i], node[j])))
-
-
-def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
+            allowed = gap * (100 + percent) <= (100 - percent) * (n[some] + n[i])
+            some, far = some[allowed], (gap / (n[some] + n[i]))[allowed]
+            if not nearest:
+                for j, d in zip(some, far, strict=True):
+                    if min(groups[i] & groups[j]) == key:
+                        yield int(min(node[i], node[j])), int(max(node[i], node[j])), float(d)
+                continue
+            closer = far < best[some]
+            best[some[closer]], other[some[closer]] = far[closer], i
+            if len(far) and far.min() < best[i]:
+                best[i], other[i] = far.min(), some[far.argmin()]
+    if nearest:
+        for i in np.flatnonzero(best < np.inf):
+            yield int(node[i]), int(node[other[i]]), float(best[i])
+
+
+def _block_pairs(rows: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Candidate pairs of the groups in rows (key, size, node, component, n_shingles, sketch, groups).
 
-    groups: the keys of all groups in rows that hold the node.
+    groups: the keys of all groups in rows that hold the node.  nearest: at most
+    one pair for each node, that with the nearest node in another component.
 
     A group of up to BLOCK rows is one unit; a larger one is dealt to blocks by
     a hash of the node, and every two blocks make a unit.
@@ -268,12 +285,14 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
             unit = pdf[["key", "lo", "hi"]].to_numpy()
             cut = np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1
             for first, end in zip(np.concatenate(([0], cut[:-1])), cut, strict=True) if len(cut) else ():
-                found = list(_compare_unit(pdf.iloc[first:end], percent))
+                found = list(_compare_unit(pdf.iloc[first:end], percent, nearest))
                 if found:
-                    yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                    yield pd.DataFrame(found, columns=["a", "b", "far"])
             held = pdf.iloc[cut[-1] :].reset_index(drop=True) if len(cut) else pdf
         if held is not None and len(held):
-            yield pd.DataFrame(list(_compare_unit(held, percent)), columns=["a", "b"], dtype="int64")
+            found = list(_compare_unit(held, percent, nearest))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b", "far"])
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     units = (
@@ -284,11 +303,14 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
         .withColumn("hi", F.greatest("block", "other"))
         .select("key", "lo", "hi", "block", "node", "component", "n_shingles", "sketch", "groups")
     )
-    return (
+    found = (
         units.repartition("key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi", "n_shingles")
-        .mapInPandas(run, "a long, b long")
+        .mapInPandas(run, "a long, b long, far double")
     )
+    if nearest:
+        found = found.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"))
+    return found.select("a", "b").distinct()
 
 
 def jaccard_components(
@@ -318,23 +340,17 @@ def jaccard_components(
     star = groups.filter("node <> pivot AND 100 * least(n, pn) >= %d * greatest(n, pn)" % percent)
     star = star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = _verified(_narrowed(star, coarse, fine, percent), texts, words, percent)
-    found = connected_components(links)
 
-    w = Window.partitionBy("pivot")
-    mixed = groups.filter("several").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = (
-        mixed.withColumn("low", F.min("component").over(w))
-        .withColumn("high", F.max("component").over(w))
-        .withColumn("size", F.count("*").over(w))
-        .filter("low <> high")
-        .select(F.col("pivot").alias("key"), "size", "node", "component")
-    )
-    mixed = materialise(mixed, "mixed")
-    held_by = mixed.groupBy("node").agg(F.collect_set("key").alias("groups"))  # no more than a set has signatures
-    mixed = mixed.join(coarse.join(held_by, "node"), "node")
-    near = materialise(_block_pairs(mixed, percent).distinct(), "near", TEXT_BATCH)
-    rest = materialise(_close(near, fine, percent).distinct(), "close", TEXT_BATCH)
-    links = links.unionByName(_verified(rest, texts, words, percent))
+    for nearest in (True, False):  # what the nearest neighbours link needs no pair by pair comparison
+        mixed = _mixed(groups, connected_components(links))
+        if mixed.isEmpty():
+            break
+        held_by = mixed.groupBy("node").agg(F.collect_set("key").alias("groups"))  # no more than a set has signatures
+        rows = mixed.join(coarse.join(held_by, "node"), "node")
+        near = materialise(_block_pairs(rows, percent, nearest), "near", TEXT_BATCH)
+        rest = materialise(_close(near, fine, percent).distinct(), "close", TEXT_BATCH)
+        links = links.unionByName(_verified(rest, texts, words, percent))
+        discard(mixed)
     links = links.unionByName(copies.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     final = connected_components(links)
     return (
@@ -344,6 +360,20 @@ def jaccard_components(
     )
 
 
+def _mixed(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, size, node, component) of the members of groups that hold several components."""
+    w = Window.partitionBy("pivot")
+    rows = groups.filter("several").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = (
+        rows.withColumn("low", F.min("component").over(w))
+        .withColumn("high", F.max("component").over(w))
+        .withColumn("size", F.count("*").over(w))
+        .filter("low <> high")
+        .select(F.col("pivot").alias("key"), "size", "node", "component")
+    )
+    return materialise(rows, "mixed")
+
+
 def _signature_groups(texts: DataFrame, sets: DataFrame, copies: DataFrame, words: int, percent: int) -> DataFrame:
     """Members of the signatures that several sets share, by pivot: (node, n, pivot, pn, several).
 

@@ -5,7 +5,7 @@ import numpy as np
 
 from auralake.llm.components import connected_components
 from auralake.llm.hashing import shingle_set
-from auralake.llm.jaccard_join import _fold, _often, jaccard_components, parity_sketch, signatures
+from auralake.llm.jaccard_join import _block_pairs, _fold, _often, jaccard_components, parity_sketch, signatures
 
 
 def brute(rows, percent=75):
@@ -120,3 +120,14 @@ def test_components_of_large_stars(spark):
     edges = [(0, i) for i in range(1, 3000)] + [(5000, i) for i in range(5001, 8000)] + [(2999, 7999), (7000, 9000), (9000, 9001)] + [(20_000, 20_001)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in (*range(1, 3000), *range(5000, 8000), 9000, 9001)) and found[20_001] == 20_000
+
+
+def test_components_of_one_group_are_not_expanded_to_pairs(spark):
+    """Two halves of near copies, larger than a block: the first round proposes no more pairs than there are nodes."""
+    sets = [np.sort(np.unique(np.random.default_rng(i // 500).integers(0, 2**63, 60, dtype=np.uint64))) for i in range(1000)]
+    rows = [(1, 1000, i, i % 2, len(s), bytearray(parity_sketch(s, 2)), [1]) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "key long, size long, node long, component long, n_shingles long, sketch binary, groups array<long>")
+    found = [tuple(r) for r in _block_pairs(df, 75, nearest=True).collect()]
+    assert 0 < len(found) <= 1000 and {x for p in found for x in p} == set(range(1000))
+    assert all(a < b and a % 2 != b % 2 and a // 500 == b // 500 for a, b in found)
+    assert _block_pairs(df, 75).count() >= 2 * 250 * 250
