@@ -16,18 +16,21 @@ Rows that meet are compared by 256 sign bits, and the pairs that are left by the
 exact correlation over all alignments.  The number of bits of a bucket grows with
 the logarithm of its rows, so that chance neighbours stay few, and the number of
 tables follows from it and the wanted recall.  Nothing is capped: a bucket of
-many rows is cut into blocks, all of which are compared.
+many rows is cut into blocks, all of which are compared.  The tables are worked
+off a few at a time, so that the disk holds the buckets of these alone.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auralake.operators.ordering import settled, small
@@ -39,6 +42,8 @@ WHOLE, SHORTER, LONGER = 0, 1, 2
 #: Rows that are compared with each other in one piece.
 BLOCK = 512
 _SKETCH_BITS = 256
+#: Tables whose buckets are on disk at once; the pairs of a round are kept, its buckets are not.
+TABLES = 4
 
 
 def best_correlation(a: np.ndarray, b: np.ndarray) -> float:
@@ -85,33 +90,37 @@ class _Signs:
         self.bits, self.tables = bits, tables
         self.planes: list[np.ndarray] = []
 
-    def __call__(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rows that aren't flat, their codes, their sketches)."""
+    def __call__(self, w: np.ndarray, tables: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows that aren't flat, their codes in these tables, their sketches)."""
         w = w - w.mean(axis=1, keepdims=True)
         live = np.flatnonzero(np.linalg.norm(w, axis=1) > 0)
         while len(self.planes) * BANDS < w.shape[1]:
             drawn = np.random.default_rng([7, len(self.planes)]).standard_normal((BANDS, self.tables * self.bits + _SKETCH_BITS))
             self.planes.append(drawn.astype(np.float32))
-        side = w[live].astype(np.float32) @ np.concatenate(self.planes[: w.shape[1] // BANDS]) > 0
-        code = side[:, : self.tables * self.bits].reshape(len(live), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
-        return live, code, np.packbits(side[:, self.tables * self.bits :], axis=1)
+        planes = np.concatenate(self.planes[: w.shape[1] // BANDS])
+        side = lambda part: w[live].astype(np.float32) @ part > 0
+        bits = side(planes[:, tables.start * self.bits : tables.stop * self.bits]).reshape(len(live), len(tables), self.bits)
+        code = bits @ (1 << np.arange(self.bits, dtype=np.int64))
+        return live, code, np.packbits(side(planes[:, self.tables * self.bits :]), axis=1).view(np.int64)
 
 
-_BUCKETED = "kind int, t int, code long, role int, id long, frames int, sketch binary"
+_SKETCH = tuple(f"s{i}" for i in range(_SKETCH_BITS // 64))
+_BUCKETED = "kind int, t int, code long, role int, id long, frames int, " + ", ".join(f"{s} long" for s in _SKETCH)
 
 
-def _bucketed(rows: DataFrame, whole: tuple[int, int], part: tuple[int, int] | None, shortest: int, longest: int) -> DataFrame:
-    """A row for every table of whole fingerprints (kind: minus their length) and, where lengths differ, of windows (kind: the scale)."""
+def _bucketed(rows: DataFrame, whole: tuple[int, int], part: tuple[int, int] | None, shortest: int, longest: int, tables: range) -> DataFrame:
+    """A row for each of `tables` of whole fingerprints (kind: minus their length) and, where lengths differ, of windows (kind: the scale)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of_whole, of_part = _Signs(*whole), _Signs(*(part or whole))
+        of = lambda signs: range(tables.start, min(tables.stop, signs.tables))
 
         def told(kind: int, role: int, ids: np.ndarray, frames: np.ndarray, vectors: np.ndarray, signs: _Signs) -> pd.DataFrame:
-            live, code, sketch = signs(vectors)
-            again = lambda x: np.repeat(x[live], signs.tables)
-            return pd.DataFrame(
-                {"kind": kind, "t": np.tile(np.arange(signs.tables), len(live)), "code": code.ravel(), "role": role, "id": again(ids), "frames": again(frames), "sketch": [s.tobytes() for s in np.repeat(sketch, signs.tables, axis=0)]}
-            )
+            own = of(signs)
+            live, code, sketch = signs(vectors, own)
+            again = lambda x: np.repeat(x[live], len(own))
+            found = {"kind": kind, "t": np.tile(own, len(live)), "code": code.ravel(), "role": role, "id": again(ids), "frames": again(frames)}
+            return pd.DataFrame(found | {s: np.repeat(sketch[:, i], len(own)) for i, s in enumerate(_SKETCH)})
 
         for pdf in batches:
             known = [(i, f) for i, f in zip(pdf["id"], map(_frames, pdf["f"]), strict=True) if len(f) >= MIN_FRAMES]
@@ -119,8 +128,9 @@ def _bucketed(rows: DataFrame, whole: tuple[int, int], part: tuple[int, int] | N
                 same = [(i, f) for i, f in known if len(f) == n]
                 for at in range(0, len(same), 256):
                     ids, stack = np.array([i for i, _ in same[at : at + 256]]), np.stack([f for _, f in same[at : at + 256]])
-                    yield told(-n, WHOLE, ids, np.full(len(ids), n), stack.reshape(len(ids), -1), of_whole)
-                    if part is None:
+                    if of(of_whole):
+                        yield told(-n, WHOLE, ids, np.full(len(ids), n), stack.reshape(len(ids), -1), of_whole)
+                    if part is None or not of(of_part):
                         continue
                     for scale in scales(n):
                         for role in (SHORTER, LONGER):
@@ -134,7 +144,11 @@ def _bucketed(rows: DataFrame, whole: tuple[int, int], part: tuple[int, int] | N
 
 
 def _meeting(buckets: DataFrame, at_least: float) -> DataFrame:
-    """(a, b), a < b: recordings with rows that meet in a bucket with sketches close enough; a pair may be told by several buckets."""
+    """(a, b), a < b: recordings with rows that meet in a bucket with sketches close enough; a pair may be told by several buckets.
+
+    buckets is made twice, for the sizes of its buckets and for the pairs, and
+    shuffled once; what is shuffled for the sizes is one row per bucket and task.
+    """
     share = math.acos(at_least) / math.pi
     bound = _SKETCH_BITS * share + 6 * math.sqrt(_SKETCH_BITS * share * (1 - share))
     bucket = ["kind", "t", "code"]
@@ -161,7 +175,7 @@ def _meeting(buckets: DataFrame, at_least: float) -> DataFrame:
             keys = rows[[*bucket, "lo", "hi"]].to_numpy()
             cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             cut = np.append(cut, len(rows)) if pdf is None else cut
-            sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint64).reshape(len(rows), -1)
+            sketch = np.ascontiguousarray(rows[[*_SKETCH]].to_numpy()).view(np.uint64)
             columns = [*(rows[c].to_numpy() for c in ("role", "id", "frames", "block")), sketch]
             found = [np.empty((0, 2), np.int64)]
             for first, end in zip(np.append(0, cut[:-1]), cut, strict=True) if len(cut) else ():
@@ -170,17 +184,27 @@ def _meeting(buckets: DataFrame, at_least: float) -> DataFrame:
             yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
             held = rows.iloc[cut[-1] :].reset_index(drop=True) if len(cut) else rows
 
-    sizes = buckets.groupBy(*bucket).agg(F.count("*").alias("n"), F.count_if(F.col("role") != LONGER).alias("s"), F.count_if(F.col("role") != SHORTER).alias("l"))
-    sizes = sizes.filter("n > 1 AND s > 0 AND l > 0")
-    large = small(settled(sizes.filter(F.col("n") > BLOCK).drop("s", "l")))  # fewer than a 512th of the rows
+    large = small(settled(buckets.groupBy(*bucket).agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)))  # fewer than a 512th of the rows
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
-    cut = buckets.join(sizes.select(*bucket), bucket, "left_semi").join(large, bucket, "left").withColumn("blocks", blocks)
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("id", "sketch"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = cut.select(*bucket, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "role", "id", "frames", "sketch")
+    cut = buckets.join(large, bucket, "left").withColumn("blocks", blocks)
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("id", *_SKETCH), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = cut.select(*bucket, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "role", "id", "frames", *_SKETCH)
     unit = [*bucket, "lo", "hi"]
     return units.repartition(*unit).sortWithinPartitions(*unit).mapInPandas(run, "a long, b long")
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions run meanwhile are dropped when each ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def near_duplicates(rows: DataFrame, key: str, fingerprint: str, digest: str, at_least: float = 0.9, recall: float = 0.999) -> DataFrame:
     """(key, near_duplicate_of, score): the original of the best earlier recording with another content and correlation >= at_least.
 
@@ -192,33 +216,36 @@ def near_duplicates(rows: DataFrame, key: str, fingerprint: str, digest: str, at
     found with the chance `recall`, more alike ones more surely; so are pairs of
     unequal length of which a window at some scale (see the module) is that alike.
     """
-    named = rows.select(F.col(key).cast("long").alias("id"), F.col(fingerprint).alias("f"), F.col(digest).alias("d")).filter("id IS NOT NULL AND f IS NOT NULL")
-    first = settled(named.groupBy("d").agg(F.min("id").alias("id")))
-    texts = settled(named.join(first, ["d", "id"], "left_semi").dropDuplicates(["id"]).select("id", "f"))
-    n = F.floor(F.size("f") / BANDS)
-    lengths = texts.filter(n >= MIN_FRAMES).groupBy(n.alias("n")).agg(F.count("*").alias("c"))
-    most, offsets, shortest, longest = lengths.agg(F.max("c"), F.sum(F.col("c") * (F.col("n") - MIN_FRAMES + 1)), F.min("n"), F.max("n")).first()
-    part = bucket_plan(offsets, at_least, recall) if shortest != longest else None
-    buckets = settled(_bucketed(texts, bucket_plan(most or 0, at_least, recall), part, shortest, longest))
-    pairs = settled(_meeting(buckets, at_least).distinct())
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            score = [best_correlation(_frames(x), _frames(y)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-            found = pdf[["a", "b"]].assign(score=score)
-            yield found[found["score"] >= at_least]
-
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("f").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("f").alias("y")), "b")
-    scored = both.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long, score double")
-    best = scored.groupBy("b").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("a")).alias("a"))).alias("m"))
-    links = settled(best.select(F.col("b").alias("id"), (-F.col("m.a")).alias("to"), F.col("m.score").alias("score")))
-    while True:  # each round halves the way to the original
-        up = links.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        moved = settled(links.join(up, "to", "left").select("id", F.coalesce("next", "to").alias("to"), "score", F.col("next").isNotNull().alias("moved")))
-        done = moved.filter("moved").isEmpty()
-        links = moved.drop("moved")
-        if done:
-            return links.select(F.col("id").alias(key), F.col("to").alias("near_duplicate_of"), "score")
+    with _shuffles_dropped(rows.sparkSession):
+        named = rows.select(F.col(key).cast("long").alias("id"), F.col(fingerprint).alias("f"), F.col(digest).alias("d")).filter("id IS NOT NULL AND f IS NOT NULL")
+        first = settled(named.groupBy("d").agg(F.min("id").alias("id")))
+        texts = settled(named.join(first, ["d", "id"], "left_semi").dropDuplicates(["id"]).select("id", "f"))
+        n = F.floor(F.size("f") / BANDS)
+        lengths = texts.filter(n >= MIN_FRAMES).groupBy(n.alias("n")).agg(F.count("*").alias("c"))
+        most, offsets, shortest, longest = lengths.agg(F.max("c"), F.sum(F.col("c") * (F.col("n") - MIN_FRAMES + 1)), F.min("n"), F.max("n")).first()
+        part = bucket_plan(offsets, at_least, recall) if shortest != longest else None
+        whole = bucket_plan(most or 0, at_least, recall)
+        last = max(whole[1], part[1] if part else 0)
+        pairs = [settled(_meeting(_bucketed(texts, whole, part, shortest, longest, range(t, min(t + TABLES, last))), at_least).distinct()) for t in range(0, last, TABLES)]
+        pairs = settled(reduce(DataFrame.unionByName, pairs).distinct())
+
+        def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                score = [best_correlation(_frames(x), _frames(y)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+                found = pdf[["a", "b"]].assign(score=score)
+                yield found[found["score"] >= at_least]
+
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("f").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("f").alias("y")), "b")
+        scored = both.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long, score double")
+        best = scored.groupBy("b").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("a")).alias("a"))).alias("m"))
+        links = settled(best.select(F.col("b").alias("id"), (-F.col("m.a")).alias("to"), F.col("m.score").alias("score")))
+        while True:  # each round halves the way to the original
+            up = links.select(F.col("id").alias("to"), F.col("to").alias("next"))
+            moved = settled(links.join(up, "to", "left").select("id", F.coalesce("next", "to").alias("to"), "score", F.col("next").isNotNull().alias("moved")))
+            done = moved.filter("moved").isEmpty()
+            links = moved.drop("moved")
+            if done:
+                return links.select(F.col("id").alias(key), F.col("to").alias("near_duplicate_of"), "score")
 
 
 _PLAIN = """SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_concat(list_concat(e, h), list_transform(e, lambda x, i: x * ((i - 1) % 5 - 2))) ELSE list_concat(e, h) END AS f

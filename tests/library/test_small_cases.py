@@ -748,6 +748,21 @@ def test_a_live_session_asks_its_state_store_at_most_four_times_a_batch():
         assert told[-1]["windows"] == batch * 8 + 8 and len(calls) <= 4
 
 
+def test_near_duplicates_keep_no_buckets(spark, monkeypatch):
+    """Buckets of a few tables at a time are shuffled and dropped; only their pairs and the sizes of large ones are kept, and the setting is as before."""
+    kept, made, key = [], [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    write, buckets, before = neardup.settled, neardup._bucketed, spark.conf.get(key)
+    monkeypatch.setattr(neardup, "settled", lambda df: kept.append(df.columns) or write(df))
+    monkeypatch.setattr(neardup, "_bucketed", lambda *given: made.append(given[-1]) or buckets(*given))
+    rng = np.random.default_rng(4)
+    f = [rng.standard_normal(16 * n) for n in (6, 6, 8, 8)]
+    rows = [(i, x.tolist(), str(i)) for i, x in enumerate([*f, f[0] * 1.5 + 0.01 * rng.standard_normal(96), f[2][16:112]])]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "id long, f array<double>, d string"), "id", "f", "d").collect()
+    assert sorted((r["id"], r["near_duplicate_of"]) for r in got) == [(4, 0), (5, 2)]
+    assert not [c for c in kept if "role" in c] and spark.conf.get(key) == before
+    assert len(made) > 1 and all(len(t) <= neardup.TABLES for t in made) and [t for r in made for t in r] == list(range(made[-1].stop))
+
+
 def test_tree_search_beats_a_linear_model(spark):
     """Classes told by the quadrant of two features: no linear model can, trees do; the search halves its trials."""
     spark._jsparkSession.observationManager()  # a session with state, as in the probes
