@@ -763,6 +763,22 @@ def test_near_duplicates_keep_no_buckets(spark, monkeypatch):
     assert len(made) > 1 and all(len(t) <= neardup.TABLES for t in made) and [t for r in made for t in r] == list(range(made[-1].stop))
 
 
+def test_noise_is_joined_no_longer_than_its_clip(spark):
+    """A long noise clip is not carried whole beside every short clip, and the mixed samples are those of the whole one."""
+    rng = np.random.default_rng(6)
+    noise, clips = rng.integers(0, 255, 5000).astype(np.uint8), [rng.integers(0, 255, n).astype(np.uint8) for n in (40, 7000, 0)]
+    bank = spark.createDataFrame([(9, bytearray(noise.tobytes()))], "clip_id long, samples binary")
+    given = spark.createDataFrame([(i, 16_000, bytearray(c.tobytes()), 9) for i, c in enumerate(clips)], "clip_id long, rate int, samples binary, partner_id long")
+    joined = signals._with_noise(given, bank)
+    assert {r["clip_id"]: len(r["noise"]) for r in joined.collect()} == {0: 40, 1: 5000, 2: 0}
+    floats = lambda name: F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: i.cast("float"))
+    listed = signals._with_noise(given.filter("clip_id < 2").withColumn("samples", floats("samples")), bank.withColumn("samples", floats("samples")))
+    assert {r["clip_id"]: len(r["noise"]) for r in listed.collect()} == {0: 40, 1: 5000}
+    for r in signals.stressed(given, bank).filter("condition = 'noise 10'").collect():
+        y = signals._decoded(clips[r["clip_id"]].tobytes())
+        assert np.allclose(r["samples"], signals.mix(y, signals._decoded(noise.tobytes()), 10.0), atol=1e-6)
+
+
 def test_tree_search_beats_a_linear_model(spark):
     """Classes told by the quadrant of two features: no linear model can, trees do; the search halves its trials."""
     spark._jsparkSession.observationManager()  # a session with state, as in the probes
