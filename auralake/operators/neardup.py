@@ -18,6 +18,11 @@ the logarithm of its rows, so that chance neighbours stay few, and the number of
 tables follows from it and the wanted recall.  Nothing is capped: a bucket of
 many rows is cut into blocks, all of which are compared.  The tables are worked
 off a few at a time, so that the disk holds the buckets of these alone.
+
+With a recall of 1 there are no buckets: blocks of recordings of one length meet
+all blocks, by a product of matrices for each alignment.  That is quadratic, but
+nothing is shuffled but the best partner of a recording in a pair of blocks, and
+up to some million recordings of a few lengths it is the faster way.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +50,8 @@ BLOCK = 512
 _SKETCH_BITS = 256
 #: Tables whose buckets are on disk at once; the pairs of a round are kept, its buckets are not.
 TABLES = 4
+#: Recordings of a block where all pairs are compared, and partitions of blocks at most: a task for each pair of these.
+RECORDINGS, PARTS = 4096, 48
 
 
 def best_correlation(a: np.ndarray, b: np.ndarray) -> float:
@@ -194,17 +202,150 @@ def _meeting(buckets: DataFrame, at_least: float) -> DataFrame:
 
 
 @contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the actions run meanwhile are dropped when each ends."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The setting holds for the actions run meanwhile."""
     before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each length of a batch (id, n, f): its recordings as bytes, without those that hold null or non-finite values."""
+    for batch in batches:
+        n, ids = batch.column("n").to_numpy(), batch.column("id").to_numpy()
+        for frames in np.unique(n):
+            at = np.flatnonzero(n == frames)
+            f = batch.column("f").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+            sound = np.isfinite(f).all(axis=1)
+            if sound.any():
+                yield pa.RecordBatch.from_arrays([pa.array([frames], pa.int32()), pa.array([ids[at][sound].tobytes()]), pa.array([f[sound].tobytes()])], names=["n", "ids", "f"])
+
+
+def _centred(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = w - w.mean(axis=1, keepdims=True)
+    return w, np.linalg.norm(w, axis=1)
+
+
+def best_earlier(short: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray] | None, at_least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, score, partner): of the recordings of two blocks with a partner of a smaller id in the other one, the best; of equal scores (nine digits) the smallest id.
+
+    A block is (ids, values), recordings of one length; short's are no longer than
+    other's; no other: short with itself.  Single precision finds the pairs that
+    can be the best of a recording, within the error that it can have at most;
+    these are scored in double precision.
+    """
+    (ids, x), (other_ids, y) = short, other or short
+    size = x.shape[1]
+    slack = (size + 8) * 2.0**-24
+    limit = np.float32(at_least - slack)
+    places = range(0, y.shape[1] - size + 1, BANDS)
+
+    def units(w: np.ndarray) -> np.ndarray:
+        w, norm = _centred(w)
+        return np.divide(w, norm[:, None], out=np.zeros_like(w), where=norm[:, None] > 0).astype(np.float32)
+
+    def settle(known: list[np.ndarray], found: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+        i, j, place, near = (np.concatenate(c) for c in zip(*found, strict=True))
+        apart = ids[i] != other_ids[j]
+        i, j, place, near = i[apart], j[apart], place[apart], near[apart]
+        b = np.maximum(ids[i], other_ids[j])
+        own, back = np.unique(b, return_inverse=True)
+        top = np.full(len(own), -np.inf, np.float32)
+        np.maximum.at(top, back, near)
+        able = np.flatnonzero(near >= top[back] - 2 * slack)
+        score = np.empty(len(able))
+        for at in range(0, len(able), 8192):
+            few = able[at : at + 8192]
+            s, s_norm = _centred(x[i[few]])
+            w, w_norm = _centred(y[j[few, None], place[few, None] + np.arange(size)])
+            score[at : at + 8192] = np.einsum("ij,ij->i", s, w) / (s_norm * w_norm)
+        able, score = able[score >= at_least], score[score >= at_least]
+        mine = [b[able], score, np.minimum(ids[i[able]], other_ids[j[able]])]
+        b, score, a = (np.concatenate(c) for c in zip(known, mine, strict=True))
+        order = np.lexsort((a, -np.round(score, 9), b))
+        own, first = np.unique(b[order], return_index=True)
+        return [own, np.maximum.reduceat(score[order], first) if len(own) else score, a[order[first]]]
+
+    best, found, held = [np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)], [], 0
+    of_short = units(x)
+    for place in places:
+        of_other = of_short if other is None else units(y[:, place : place + size])
+        for i in range(0, len(x), BLOCK):
+            for j in range(i // 1024 * 1024 if other is None else 0, len(y), 1024):
+                near = of_short[i : i + BLOCK] @ of_other[j : j + 1024].T
+                hit = np.flatnonzero(near.ravel() >= limit)
+                if len(hit):
+                    row, column = np.divmod(hit, near.shape[1])
+                    found.append((i + row, j + column, np.full(len(hit), place), near.ravel()[hit]))
+                    held += len(hit)
+                    if held > 1_000_000:
+                        best, found, held = settle(best, found), [], 0
+    return tuple(settle(best, found) if found else best)
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    """(b, score, a) of the highest score of each b; of equal ones (nine digits) the smallest a."""
+    best = scored.groupBy("b").agg(F.max("score").alias("score"), F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("a")).alias("a"))).alias("m"))
+    return best.select("b", "score", (-F.col("m.a")).alias("a"))
+
+
+def _best_of_all(texts: DataFrame, rows: int, at_least: float) -> DataFrame:
+    """(b, score, a): the best earlier partner a of every recording b, all pairs compared at all alignments.
+
+    A pair of blocks is one row, and one batch, of a join without keys: Spark deals
+    pairs of partitions to tasks, and of blocks neither shuffles nor sends any.
+    """
+    spark = texts.sparkSession
+    n = F.floor(F.size("f") / BANDS).cast("int")
+    known = texts.select("id", n.alias("n"), F.slice("f", F.lit(1), n * BANDS).alias("f")).filter(F.col("n") >= MIN_FRAMES)
+    near = known.repartitionByRange(max(1, math.ceil(rows / RECORDINGS)), "n", F.xxhash64("id"))
+    blocks = settled(near.mapInArrow(_packed, "n int, ids binary, f binary").withColumn("block", F.monotonically_increasing_id())).coalesce(PARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                of = lambda name: batch.column(name)[r]  # noqa: B023, E731
+                sides = []
+                for side in "xy":
+                    ids = np.frombuffer(of(f"{side}_ids").as_buffer(), np.int64)
+                    sides.append((ids, np.frombuffer(of(f"{side}_f").as_buffer(), np.float64).reshape(len(ids), -1)))
+                same = of("x_block").as_py() == of("y_block").as_py()
+                short, other = sorted(sides, key=lambda side: side[1].shape[1])
+                b, score, a = best_earlier(short, None if same else other, at_least)
+                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(score), pa.array(a)], names=["b", "score", "a"])
+
+    x, y = (blocks.select(*(F.col(c).alias(f"{side}_{c}") for c in ("block", "ids", "f"))) for side in "xy")
+    one, two = F.col("x_block"), F.col("y_block")
+    turn = F.pmod(F.xxhash64(F.least(one, two), F.greatest(one, two)), F.lit(2)) == 0  # which side of the diagonal has the pair
+    pairs = x.join(y.hint("shuffle_replicate_nl"), (one == two) | ((one != two) & ((one < two) == turn)))
+    with _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):
+        return settled(_best(pairs.mapInArrow(run, "b long, score double, a long")))
+
+
+def _best_in_buckets(texts: DataFrame, at_least: float, recall: float) -> DataFrame:
+    """(b, score, a): the best earlier partner a of every recording b among those that meet in a bucket."""
+    n = F.floor(F.size("f") / BANDS)
+    lengths = texts.filter(n >= MIN_FRAMES).groupBy(n.alias("n")).agg(F.count("*").alias("c"))
+    most, offsets, shortest, longest = lengths.agg(F.max("c"), F.sum(F.col("c") * (F.col("n") - MIN_FRAMES + 1)), F.min("n"), F.max("n")).first()
+    part = bucket_plan(offsets, at_least, recall) if shortest != longest else None
+    whole = bucket_plan(most or 0, at_least, recall)
+    last = max(whole[1], part[1] if part else 0)
+    pairs = [settled(_meeting(_bucketed(texts, whole, part, shortest, longest, range(t, min(t + TABLES, last))), at_least).distinct()) for t in range(0, last, TABLES)]
+    pairs = settled(reduce(DataFrame.unionByName, pairs).distinct())
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            score = [best_correlation(_frames(x), _frames(y)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+            found = pdf[["a", "b"]].assign(score=score)
+            yield found[found["score"] >= at_least]
+
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("f").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("f").alias("y")), "b")
+    return _best(both.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long, score double"))
+
+
 def near_duplicates(rows: DataFrame, key: str, fingerprint: str, digest: str, at_least: float = 0.9, recall: float = 0.999) -> DataFrame:
     """(key, near_duplicate_of, score): the original of the best earlier recording with another content and correlation >= at_least.
 
@@ -215,30 +356,14 @@ def near_duplicates(rows: DataFrame, key: str, fingerprint: str, digest: str, at
     fingerprints have no partner.  Pairs of equal length at the threshold are
     found with the chance `recall`, more alike ones more surely; so are pairs of
     unequal length of which a window at some scale (see the module) is that alike.
+    With a recall of 1 all pairs are compared.
     """
-    with _shuffles_dropped(rows.sparkSession):
+    with _set(rows.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # shuffle files are dropped as each action ends
         named = rows.select(F.col(key).cast("long").alias("id"), F.col(fingerprint).alias("f"), F.col(digest).alias("d")).filter("id IS NOT NULL AND f IS NOT NULL")
         first = settled(named.groupBy("d").agg(F.min("id").alias("id")))
         texts = settled(named.join(first, ["d", "id"], "left_semi").dropDuplicates(["id"]).select("id", "f"))
-        n = F.floor(F.size("f") / BANDS)
-        lengths = texts.filter(n >= MIN_FRAMES).groupBy(n.alias("n")).agg(F.count("*").alias("c"))
-        most, offsets, shortest, longest = lengths.agg(F.max("c"), F.sum(F.col("c") * (F.col("n") - MIN_FRAMES + 1)), F.min("n"), F.max("n")).first()
-        part = bucket_plan(offsets, at_least, recall) if shortest != longest else None
-        whole = bucket_plan(most or 0, at_least, recall)
-        last = max(whole[1], part[1] if part else 0)
-        pairs = [settled(_meeting(_bucketed(texts, whole, part, shortest, longest, range(t, min(t + TABLES, last))), at_least).distinct()) for t in range(0, last, TABLES)]
-        pairs = settled(reduce(DataFrame.unionByName, pairs).distinct())
-
-        def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                score = [best_correlation(_frames(x), _frames(y)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-                found = pdf[["a", "b"]].assign(score=score)
-                yield found[found["score"] >= at_least]
-
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("f").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("f").alias("y")), "b")
-        scored = both.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long, score double")
-        best = scored.groupBy("b").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("a")).alias("a"))).alias("m"))
-        links = settled(best.select(F.col("b").alias("id"), (-F.col("m.a")).alias("to"), F.col("m.score").alias("score")))
+        best = _best_of_all(texts, texts.count(), at_least) if recall >= 1 else _best_in_buckets(texts, at_least, recall)
+        links = settled(best.select(F.col("b").alias("id"), F.col("a").alias("to"), "score"))
         while True:  # each round halves the way to the original
             up = links.select(F.col("id").alias("to"), F.col("to").alias("next"))
             moved = settled(links.join(up, "to", "left").select("id", F.coalesce("next", "to").alias("to"), "score", F.col("next").isNotNull().alias("moved")))
@@ -286,5 +411,5 @@ def _j5(v: Views) -> DataFrame:
         beside(2, 4, F.slice("f", 33, 1_000)), beside(3, 5, waved(F.slice("f", 17, 96), 2, 0.3)),
     ):
         rows = rows.unionByName(more)
-    found = near_duplicates(rows.withColumn("digest", F.md5(F.to_json("f"))), "vec_id", "f", "digest")
+    found = near_duplicates(rows.withColumn("digest", F.md5(F.to_json("f"))), "vec_id", "f", "digest", recall=1.0)
     return found.withColumn("score", F.round("score", 6))

@@ -818,3 +818,22 @@ def test_escalations_join_without_python(spark, tmp_path):
     told = jobs.escalations(streamed(spark, tmp_path, df, 1))
     assert "Python" not in told._jdf.queryExecution().analyzed().toString() and "InPandas" not in told._jdf.queryExecution().analyzed().toString()
     assert sorted((r["alert_id"], r["due"]) for r in jobs.run_available(told).collect()) == [(1, m(2)), (4, m(290))]
+
+
+def test_near_duplicates_of_all_pairs(spark, monkeypatch):
+    """With a recall of 1 every pair of several blocks and lengths counts, without buckets; the score is not rounded on the way."""
+    monkeypatch.setattr(neardup, "_bucketed", None)
+    monkeypatch.setattr(neardup, "RECORDINGS", 16)
+    rng = np.random.default_rng(8)
+    base = [rng.standard_normal((n, 16)) for n in (6, 8, 12, 8, 6, 12) for _ in range(4)]
+    f = [*base, *(x + 0.3 * rng.standard_normal(x.shape) for x in base), *(2 * x[1:7] for x in base), *base[:3], np.ones((8, 16)), np.full((6, 16), np.nan)]
+    rows = [(i, x.ravel().tolist(), str(i)) for i, x in enumerate(f)]
+    frame = spark.createDataFrame([*rows, (99, rows[0][1], "0"), (100, None, "x"), (101, rows[0][1][:48], "y")], "k long, f array<double>, d string").repartition(5)
+    got = {r["k"]: (r["near_duplicate_of"], r["score"]) for r in neardup.near_duplicates(frame, "k", "f", "d", recall=1.0).collect()}
+    want = {}
+    for b in range(len(f)):
+        score, minus = max(((round(x, 9), -a) for a in range(b) if (x := neardup.best_correlation(f[a], f[b])) >= 0.9), default=(0.0, 0))
+        if score:
+            want[b] = (want.get(-minus, (-minus,))[0], neardup.best_correlation(f[-minus], f[b]))
+    assert len(want) > 40 and {b: a for b, (a, _) in got.items()} == {b: a for b, (a, _) in want.items()}
+    assert all(abs(got[b][1] - want[b][1]) < 1e-14 for b in want)
