@@ -837,3 +837,17 @@ def test_near_duplicates_of_all_pairs(spark, monkeypatch):
             want[b] = (want.get(-minus, (-minus,))[0], neardup.best_correlation(f[-minus], f[b]))
     assert len(want) > 40 and {b: a for b, (a, _) in got.items()} == {b: a for b, (a, _) in want.items()}
     assert all(abs(got[b][1] - want[b][1]) < 1e-14 for b in want)
+
+
+def test_fingerprints_take_bytes_and_odd_clips(spark):
+    """Bytes and arrays of one sound have one fingerprint, to the tone's formula; broken clips and clips without a rate have none, others beside them stay."""
+    rng = np.random.default_rng(2)
+    b = rng.integers(0, 255, 1300).astype(np.uint8)
+    y = signals._decoded(b.tobytes()).astype(float)
+    got = lambda rows, kind: {r["clip_id"]: (r["frames"], r["fingerprint"]) for r in signals.fingerprints(spark.createDataFrame(rows, f"clip_id string, rate int, samples {kind}")).collect()}
+    arrays = got([("a", 2000, y.tolist()), ("null", 2000, None), ("short", 2000, y[:499].tolist()), ("nan", 2000, [0.5] * 500 + [float("nan")]), ("hole", 2000, [0.5, None] * 500), ("rate", None, y.tolist()), ("quiet", 2000, [0.0] * 1000)], "array<double>")
+    told = got([("a", 2000, bytearray(b.tobytes()))], "binary")
+    p = y[:1000].reshape(2, 500)
+    want = [10 * np.log10((sum(v * np.cos(2 * np.pi * hz / 2000 * t) for t, v in enumerate(x)) ** 2 + sum(v * np.sin(2 * np.pi * hz / 2000 * t) for t, v in enumerate(x)) ** 2) / 250_000 + 1e-10) for x in p for hz in signals.TONES]
+    assert told["a"] == arrays["a"] and told["a"][0] == 2 and np.allclose(told["a"][1], np.array(want) - np.mean(want), atol=1e-9)
+    assert arrays["null"] == arrays["short"] == arrays["quiet"] == (0, []) and arrays["nan"] == arrays["hole"] == arrays["rate"] == (None, None)
