@@ -851,3 +851,32 @@ def test_fingerprints_take_bytes_and_odd_clips(spark):
     want = [10 * np.log10((sum(v * np.cos(2 * np.pi * hz / 2000 * t) for t, v in enumerate(x)) ** 2 + sum(v * np.sin(2 * np.pi * hz / 2000 * t) for t, v in enumerate(x)) ** 2) / 250_000 + 1e-10) for x in p for hz in signals.TONES]
     assert told["a"] == arrays["a"] and told["a"][0] == 2 and np.allclose(told["a"][1], np.array(want) - np.mean(want), atol=1e-9)
     assert arrays["null"] == arrays["short"] == arrays["quiet"] == (0, []) and arrays["nan"] == arrays["hole"] == arrays["rate"] == (None, None)
+
+
+def test_stress_levels_without_samples(spark):
+    """The query's levels leave a worker without samples and are those of the copies; echoes are drawn and added as one by one."""
+    rng = np.random.default_rng(3)
+    noise, sounds = rng.integers(0, 255, 700).astype(np.uint8), [rng.integers(0, 255, n).astype(np.uint8) for n in (0, 1, 499, 20_000)]
+    bank = spark.createDataFrame([(9, bytearray(noise.tobytes()))], "clip_id long, samples binary")
+    given = spark.createDataFrame([(i, 16_000, bytearray(c.tobytes()), 9) for i, c in enumerate(sounds)], "clip_id long, rate int, samples binary, partner_id long")
+    bare = signals.stressed(given, bank, with_samples=False)
+    whole = {(r["clip_id"], r["condition"]): r for r in signals.stressed(given, bank).collect()}
+    assert bare.columns == ["clip_id", "condition", "level"] and len(whole) == len(sounds) * len(signals.CONDITIONS)
+    assert {(r["clip_id"], r["condition"]): r["level"] for r in bare.collect()} == {k: r["level"] for k, r in whole.items()}
+
+    def echoed(y, seconds, wet, rng):
+        echoes, reach = np.zeros(y.size), int(seconds * 16_000)
+        for delay in rng.integers(1, reach, 64):
+            loudness = rng.choice((-1.0, 1.0)) * 10 ** (-3.0 * delay / reach)
+            echoes[delay:] += loudness * y[: max(y.size - delay, 0)]
+        loud = signals.level_db(y)
+        at = lambda share: loud + 10 * np.log10(share)
+        return signals.at_level(signals.at_level(y, at(1 - wet)) + signals.at_level(echoes, at(wet)), loud)
+
+    for i, c in enumerate(sounds):
+        y, of = signals._decoded(c.tobytes()), lambda name: whole[i, name]["samples"]  # noqa: B023
+        assert np.array_equal(of("clean"), y)
+        if y.size:
+            assert np.array_equal(of("echo"), echoed(y, 0.8, 0.5, np.random.default_rng(i * 31 + 5)).astype(np.float32))
+            far = 0.5 * echoed(signals.pass_band(y, 16_000, 0, 4000), 0.6, 0.3, np.random.default_rng(i * 31 + 8))
+            assert np.array_equal(of("distant"), far.astype(np.float32))
